@@ -123,7 +123,7 @@ def _spans(pdf: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
         yield (pdf["pool"].iat[lo], pdf["variant"].iat[lo], int(pdf["slice"].iat[lo])), lo, hi
 
 
-def _walk(cols: dict[str, list], lo: int, hi: int, ratings: dict, played: set, out: list[list[float]]) -> None:
+def _walk(cols: dict[str, list], lo: int, hi: int, ratings: dict, played: dict, out: list[list[float]]) -> None:
     """Apply rows lo..hi in order to the ratings of one group."""
     pre_h, pre_a, post_h, post_a = out
     for i in range(lo, hi):
@@ -144,8 +144,7 @@ def _walk(cols: dict[str, list], lo: int, hi: int, ratings: dict, played: set, o
             step = cols["k"][i] * gain * (1.0 + extra)
             nh, na = rh + step, ra - step
             ratings[h], ratings[a] = nh, na
-        played.add(h)
-        played.add(a)
+        played[h] = played[a] = base
         pre_h.append(rh)
         pre_a.append(ra)
         post_h.append(nh)
@@ -165,17 +164,17 @@ def _emit_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, lo, hi in _spans(pdf):
             if k != key:
                 key, ratings = k, {}
-            _walk(cols, lo, hi, ratings, set(), out)
+            _walk(cols, lo, hi, ratings, {}, out)
         rows = pdf.loc[pdf["kind"].to_numpy() == 1, ["pool", "variant", "match_id", "home", "away", "t"]]
         yield rows.assign(pre_h=out[0], pre_a=out[1], post_h=out[2], post_a=out[3])
 
 
 def _emit_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, ratings, played = None, {}, set()
+    key, ratings, played = None, {}, {}
 
     def rows():
-        teams = sorted(x for x in played if x in ratings)  # skipped draws leave unseeded teams without a rating
-        return pd.DataFrame({"pool": key[0], "variant": key[1], "slice": key[2], "team": teams, "rating": [ratings[x] for x in teams]})
+        teams = sorted(played)  # after skipped draws only, a team still stands at its base
+        return pd.DataFrame({"pool": key[0], "variant": key[1], "slice": key[2], "team": teams, "rating": [ratings.get(x, played[x]) for x in teams]})
 
     for pdf in batches:
         if not len(pdf):
@@ -185,7 +184,7 @@ def _emit_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if k != key:
                 if played:
                     yield rows()
-                key, ratings, played = k, {}, set()
+                key, ratings, played = k, {}, {}
             _walk(cols, lo, hi, ratings, played, out)
     if played:
         yield rows()
