@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ QUALIFIER = ["qualification", "qualifying", "world cup", "euro", "olympic", "con
 
 
 def _any_in(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def classify_competition(df: DataFrame, name: str = "tournament") -> DataFrame:

@@ -6,7 +6,7 @@ slice needs from earlier slices is computed from small per-slice summaries, so r
 
 * ``with_halo``   - bounded row frames: the last n earlier rows of the key are added as halo rows;
 * ``running``     - unbounded frames of sums: per-slice totals are prefix-summed and added;
-* ``carried_last``- last non-null value before the slice, for as-of joins.
+* as-of joins carry the last non-null value of earlier slices in the same way (``joins.asof_wide``).
 
 The summary tables hold at most n rows per key and slice, i.e. they grow with keys x calendar, never with rows.
 """
@@ -72,11 +72,3 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     """Inclusive running sums: ``running`` plus the row itself."""
     out = running(df, keys, order, sums, unit)
     return out.select(*df.columns, *[(F.col(n) + F.coalesce(e, F.lit(0))).alias(n) for n, e in sums.items()])
-
-
-def carried_last(sliced: DataFrame, keys: list[str], order: list[str], value: Column, present: Column, name: str) -> DataFrame:
-    """Per (key, slice): the last ``value`` with ``present`` true in any earlier slice."""
-    per_slice = sliced.groupBy(*keys, SLICE).agg(
-        F.max_by(F.when(present, value), F.when(present, F.struct(*order))).alias("_v"))
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return per_slice.select(*keys, SLICE, F.last("_v", ignorenulls=True).over(before).alias(name))
