@@ -28,22 +28,27 @@ def draw_probability(e: Column, rating_gap: Column, rule: str) -> Column:
     raise ValueError(rule)
 
 
+def three_way(e: Column, gap: Column, rule: str) -> tuple[Column, Column, Column]:
+    """(home, draw, away) from the expected score; ``rule='fixed'`` gives both sides 80 % of their expectation."""
+    pd = F.lit(1.0) - 0.8 if rule == "fixed" else draw_probability(e, gap, rule)
+    return e * (1 - pd), pd, (1 - e) * (1 - pd)
+
+
 def elo_probs(df: DataFrame, rule: str = "linear", home: str = "rating_home", away: str = "rating_away", bonus: Column | float = 100.0) -> DataFrame:
-    """Add p_home, p_draw, p_away from two ratings; ``rule='fixed'`` gives both sides 80 % of their expectation."""
+    """Add p_home, p_draw, p_away from two ratings."""
     lift = bonus if isinstance(bonus, Column) else F.when(F.col("neutral"), 0.0).otherwise(float(bonus))
     gap = col(home) - col(away)
     df = df.withColumn("_e", R.elo_expected(gap + lift))
-    e = F.col("_e")
-    if rule == "fixed":
-        ph, pa = 0.8 * e, 0.8 * (1 - e)
-        pd = 1 - ph - pa
-    else:
-        pd = draw_probability(e, gap, rule)
-        ph, pa = e * (1 - pd), (1 - e) * (1 - pd)
-    df = df.withColumn("_d", pd)
-    if rule != "fixed":
-        ph, pa = e * (1 - F.col("_d")), (1 - e) * (1 - F.col("_d"))
-    return normalise(df.withColumns({"p_home": ph, "p_draw": F.col("_d"), "p_away": pa}).drop("_e", "_d"))
+    return normalise(df.withColumns(dict(zip(("p_home", "p_draw", "p_away"), three_way(F.col("_e"), gap, rule)))).drop("_e"))
+
+
+def elo_probs_by_rule(df: DataFrame, rules: list[str], home: str = "rating_home", away: str = "rating_away", bonus: float = 100.0) -> DataFrame:
+    """All draw rules side by side in long form (column ``rule``), in one pass."""
+    gap = col(home) - col(away)
+    df = df.withColumn("_e", R.elo_expected(gap + F.when(F.col("neutral"), 0.0).otherwise(bonus)))
+    sets = [F.struct(F.lit(r).alias("rule"), *[c.alias(n) for n, c in zip(("p_home", "p_draw", "p_away"), three_way(F.col("_e"), gap, r))]) for r in rules]
+    keep = [c for c in df.columns if c != "_e"]
+    return normalise(df.select(*keep, F.explode(F.array(*sets)).alias("_s")).select(*keep, "_s.*"))
 
 
 def normalise(df: DataFrame, cols: tuple[str, str, str] = ("p_home", "p_draw", "p_away")) -> DataFrame:

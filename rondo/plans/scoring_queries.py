@@ -1,7 +1,5 @@
 """Registered queries: scoring expressions."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
@@ -34,10 +32,10 @@ _RULES = {
 
 
 @query("elo_1x2_probs", f"WITH {RATED_SQL} " + " UNION ALL ".join(
-    f"SELECT match_id, '{n}' AS rule, #[e * (1 - ({r}))]# AS p_home, #[{r}]# AS p_draw, #[(1 - e) * (1 - ({r}))]# AS p_away FROM rated" for n, r in _RULES.items()), "matches teams")
+    f"SELECT match_id, '{n}' AS rule, #8[e * (1 - ({r}))]# AS p_home, #8[{r}]# AS p_draw, #8[(1 - e) * (1 - ({r}))]# AS p_away FROM rated" for n, r in _RULES.items()), "matches teams")
 def _(t):
-    base = rated(t)
-    return reduce(lambda a, b: a.unionByName(b), [p3(S.elo_probs(base, r), F.lit(r).alias("rule")) for r in _RULES])
+    out = S.elo_probs_by_rule(rated(t), list(_RULES))
+    return out.select("match_id", "rule", *[rnd(p, 8).alias(p) for p in P3])
 
 
 _FACT = [1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800]
