@@ -1 +1,188 @@
-"""Registered queries."""
+"""Registered queries: model fitting, calibration and search grids."""
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import rnd
+from ..operators import models as MD
+from ..operators import scoring as S
+from ..operators import splits as SP
+from .metric_queries import BR, PA, PICK, r
+from .registry import query
+from .split_queries import _goals
+
+P3 = S.P3
+FEATURES = ["rating_diff", "is_neutral", "p_home", "p_draw"]
+
+
+def training(t):
+    """Label 0 / 1 / 2 (home / draw / away) with a few features, split by time."""
+    m = t.matches.select("match_id", F.col("neutral").cast("double").alias("is_neutral"))
+    df = t.predictions.select("match_id", "kickoff_ts", "actual", (1 - F.col("actual")).cast("double").alias("label"), "rating_diff", "p_home", "p_draw").join(m, "match_id")
+    return SP.temporal_split(df, "kickoff_ts", "2024-01-21", "2024-01-25")
+
+
+def _fit_eval(t, fit):
+    df = training(t)
+    scored = MD.score(fit(df.filter("split = 'train'")), df.filter("split = 'test'").select("match_id", "actual", *FEATURES))
+    from ..functions.expr import brier_row, hit, logloss_row
+
+    return scored.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(hit()), 3).alias("accuracy"), rnd(F.avg(logloss_row()), 3).alias("log_loss"), rnd(F.avg(brier_row()), 3).alias("brier"))
+
+
+@query("fit_poisson_uplift")
+def _(t):
+    coef = MD.fit_uplift(_goals(t), ["gap", "on_neutral"])
+    return t.spark.createDataFrame([(k, round(v, 4)) for k, v in sorted(coef.items())], "term string, coefficient double")
+
+
+@query("fit_gbm_multiclass")
+def _(t):
+    return _fit_eval(t, lambda d: MD.fit_gbm(d, FEATURES, trees=10))
+
+
+@query("fit_random_forest")
+def _(t):
+    return _fit_eval(t, lambda d: MD.fit_random_forest(d, FEATURES, trees=20, depth=5))
+
+
+@query("fit_logistic")
+def _(t):
+    return _fit_eval(t, lambda d: MD.fit_logistic(d, FEATURES))
+
+
+@query("class_weights", "SELECT CAST(1 - actual AS DOUBLE) AS label, count(*) AS n, #[(SELECT count(*) FROM predictions) / (3 * count(*))]# AS weight FROM predictions GROUP BY 1", "predictions")
+def _(t):
+    return r(MD.class_weights(t.predictions.withColumn("label", (1 - F.col("actual")).cast("double"))), "weight")
+
+
+@query("standard_scale", """
+WITH s AS (SELECT avg(rating_diff) AS m, stddev_pop(rating_diff) AS d, avg(p_home) AS mp, stddev_pop(p_home) AS dp FROM predictions WHERE kickoff_ts < TIMESTAMP '2024-01-21')
+SELECT match_id, #[(rating_diff - m) / d]# AS rating_diff, #[(p_home - mp) / dp]# AS p_home FROM predictions, s""", "predictions")
+def _(t):
+    p = t.predictions.select("match_id", "kickoff_ts", "rating_diff", "p_home")
+    out = MD.standard_scale(p.filter(F.col("kickoff_ts") < F.lit("2024-01-21").cast("timestamp_ntz")), p, ["rating_diff", "p_home"])
+    return r(out, "rating_diff", "p_home").drop("kickoff_ts")
+
+
+@query("fit_isotonic_calibrator")
+def _(t):
+    df = SP.temporal_split(t.predictions, "kickoff_ts", "2024-01-21", "2024-01-25")
+    models = MD.fit_isotonic(df.filter("split = 'val'"))
+    out = MD.apply_isotonic(models, df.filter("split = 'test'").select("match_id", "actual", *P3))
+    from ..functions.expr import brier_row, logloss_row
+
+    return out.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(brier_row()), 4).alias("brier"), rnd(F.avg(logloss_row()), 4).alias("log_loss"))
+
+
+_T = "(pow(p_home, 1 / tt) + pow(p_draw, 1 / tt) + pow(p_away, 1 / tt))"
+
+
+@query("fit_temperature", f"""
+SELECT #[arg_min(tt, l)]# AS temperature, #[min(l)]# AS nll FROM (SELECT tt, avg(-ln(pow({PA}, 1 / tt) / {_T})) AS l FROM predictions, (SELECT unnest({MD.TEMPERATURES}::DOUBLE[]) AS tt) GROUP BY 1)""", "predictions")
+def _(t):
+    return r(MD.fit_temperature(t.predictions), "temperature", "nll")
+
+
+@query("refine_temperature")
+def _(t):
+    best = MD.refine_temperature(t.predictions)
+    return t.spark.createDataFrame([(round(best[0], 3), round(best[1], 6))], "temperature double, nll double")
+
+
+@query("fit_attack_defence")
+def _(t):
+    from ..functions.expr import brier_row, logloss_row
+
+    df = SP.temporal_split(t.matches, "kickoff_ts", "2024-01-21", "2024-01-25")
+    model = MD.fit_attack_defence(df.filter("split = 'train'"))
+    scored = MD.score_goals(model, df.filter("split = 'test'")).withColumn("actual", S.outcome())
+    rho = MD.fit_low_score_rho(scored, [round(-0.2 + 0.02 * i, 2) for i in range(21)])
+    ev = scored.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(brier_row()), 4).alias("brier"), rnd(F.avg(logloss_row()), 4).alias("log_loss"))
+    return ev.crossJoin(F.broadcast(rho.select("rho")))
+
+
+@query("ensemble_alpha_search", f"""
+WITH c AS (SELECT quantile_cont(CAST(epoch_us(kickoff_ts) AS DOUBLE), 0.8) AS cut FROM predictions),
+l AS (SELECT al, avg(-ln(CASE actual WHEN 1 THEN al * p_home + (1 - al) * 0.45 WHEN 0 THEN al * p_draw + (1 - al) * 0.25 ELSE al * p_away + (1 - al) * 0.30 END)) AS ll
+  FROM predictions, c, (SELECT unnest({MD.ALPHAS}::DOUBLE[]) AS al) WHERE epoch_us(kickoff_ts) >= cut GROUP BY 1)
+SELECT #[arg_min(al, ll)]# AS alpha, #[min(ll)]# AS log_loss FROM l""", "predictions")
+def _(t):
+    df = t.predictions.select("kickoff_ts", "actual", *[F.col(p).alias("a_" + p) for p in P3], *[F.lit(v).alias("b_" + p) for p, v in zip(P3, (0.45, 0.25, 0.30))])
+    return r(MD.alpha_search(df), "alpha", "log_loss")
+
+
+@query("draw_factor_sweep", f"""
+SELECT #[f]# AS factor, #[avg(CAST(actual = {PICK} AS INT))]# AS accuracy, #[avg(-ln({PA}))]# AS log_loss, #[avg({BR})]# AS brier FROM (
+  SELECT f, actual, p_home / (p_home + p_draw * f + p_away) AS p_home, p_draw * f / (p_home + p_draw * f + p_away) AS p_draw, p_away / (p_home + p_draw * f + p_away) AS p_away FROM predictions, (SELECT unnest([1.2, 1.25, 1.3, 1.35, 1.4]::DOUBLE[]) AS f)) GROUP BY 1""", "predictions")
+def _(t):
+    return r(MD.factor_sweep(t.predictions, [1.2, 1.25, 1.3, 1.35, 1.4]), "factor", "accuracy", "log_loss", "brier")
+
+
+def _blend(w):
+    a, b = w
+    return ", ".join(f"({a} * {p} + {b} * {v}) / ({a} + {b}) AS {p}" for p, v in zip(P3, (0.45, 0.25, 0.30)))
+
+
+def _moves():
+    w = {"elo_": 0.7, "flat_": 0.3}
+    yield "base", 0.0, (0.7, 0.3)
+    for i, c in enumerate(w):
+        for d in (-0.2, -0.1, 0.1, 0.2):
+            v = [0.7, 0.3]
+            v[i] = max(0.05, v[i] * (1 + d))
+            yield c, d, tuple(v)
+
+
+@query("weight_sensitivity", "WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS component, CAST({d} AS DOUBLE) AS delta, actual, {_blend(w)} FROM predictions" for c, d, w in _moves()) + f"""),
+m AS (SELECT component, delta, avg(CAST(actual = {PICK} AS INT)) AS a, avg({BR}) AS b FROM v GROUP BY 1, 2)
+SELECT m.component, m.delta, #[m.a]# AS accuracy, #[m.b]# AS brier, #[m.a - f.a]# AS d_accuracy, #[m.b - f.b]# AS d_brier FROM m, (SELECT * FROM m WHERE component = 'base') f WHERE m.component <> 'base'""", "predictions")
+def _(t):
+    df = t.predictions.select("actual", *[F.col(p).alias("elo_" + p) for p in P3], *[F.lit(v).alias("flat_" + p) for p, v in zip(P3, (0.45, 0.25, 0.30))])
+    return r(MD.weight_sensitivity(df, {"elo_": 0.7, "flat_": 0.3}), "accuracy", "brier", "d_accuracy", "d_brier")
+
+
+@query("permutation_importance")
+def _(t):
+    df = training(t)
+    model = MD.fit_logistic(df.filter("split = 'train'"), FEATURES, balanced=False)
+    out = MD.permutation_importance(model, df.filter("split = 'test'").select("match_id", "actual", *FEATURES), FEATURES[:2])
+    return r(out, "base_loss", "loss", "importance", digits=4)
+
+
+@query("bootstrap_importance")
+def _(t):
+    out = MD.bootstrap_importance(training(t).filter("split = 'train'"), FEATURES, replicates=3, trees=5)
+    return r(out, "mean", "ci_low", "ci_high", digits=3)
+
+
+_MODELS = {"elo": P3, "flat": ("0.45", "0.25", "0.30"), "sharp": ("p_home * p_home / q", "p_draw * p_draw / q", "p_away * p_away / q")}
+_MSQL = "m AS (SELECT model, avg(CAST(actual = {0} AS INT)) AS a, avg(-ln(greatest(1e-7, {1}))) AS l, avg({2}) AS b, count(*) AS n FROM (".format(PICK, PA, BR) + " UNION ALL ".join(
+    f"SELECT '{n}' AS model, actual, {a} AS p_home, {b} AS p_draw, {c} AS p_away FROM (SELECT *, p_home * p_home + p_draw * p_draw + p_away * p_away AS q FROM predictions)" for n, (a, b, c) in _MODELS.items()) + ") GROUP BY 1)"
+
+
+def _models(t):
+    h, d, a = (F.col(p) for p in P3)
+    q = h * h + d * d + a * a
+    sets = [("elo", h, d, a), ("flat", F.lit(0.45), F.lit(0.25), F.lit(0.30)), ("sharp", h * h / q, d * d / q, a * a / q)]
+    arr = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), *[c.alias(p) for p, c in zip(P3, cs)]) for n, *cs in sets])).alias("s")
+    return t.predictions.select("actual", arr).select("actual", "s.*")
+
+
+@query("model_comparison", f"""WITH {_MSQL}
+SELECT m.model, #[m.a]# AS accuracy, #[m.l]# AS log_loss, #[m.b]# AS brier, m.n, CAST(m.a > f.a AS INT) + CAST(m.l < f.l AS INT) + CAST(m.b < f.b AS INT) AS wins FROM m, (SELECT * FROM m WHERE model = 'flat') f""", "predictions")
+def _(t):
+    return r(MD.compare_models(_models(t), "flat"), "accuracy", "log_loss", "brier")
+
+
+@query("score_model_batch")
+def _(t):
+    df = training(t)
+    model = MD.fit_logistic(df.filter("split = 'train'"), FEATURES)
+    return r(MD.score(model, df.select("match_id", *FEATURES)).select("match_id", *P3, "pick", "confidence"), *P3, "confidence", digits=3)
+
+
+@query("pairwise_model_average", f"""WITH {_MSQL}
+SELECT 'elo+flat' AS pair, #[avg(a)]# AS accuracy, #[avg(l)]# AS log_loss, #[avg(b)]# AS brier FROM m WHERE model IN ('elo', 'flat') UNION ALL SELECT 'elo+sharp', #[avg(a)]#, #[avg(l)]#, #[avg(b)]# FROM m WHERE model IN ('elo', 'sharp')""", "predictions")
+def _(t):
+    out = MD.pairwise_average(MD.compare_models(_models(t), "flat"), {"elo+flat": ("elo", "flat"), "elo+sharp": ("elo", "sharp")})
+    return r(out, "accuracy", "log_loss", "brier")
