@@ -38,12 +38,12 @@ def summarise(boot: DataFrame, keys: list[str] = (), value: str = "value", level
         F.percentile(value, 0.5).alias("median"), F.avg(F.when(F.col(value) <= 0, 1.0).otherwise(0.0)).alias("p_le_zero"))
 
 
-def block_bootstrap(df: DataFrame, block: str, numerator: Column, denominator: Column = F.lit(1.0), iterations: int = 1000, seed: int = 0) -> DataFrame:
+def block_bootstrap(df: DataFrame, block: str, numerator: Column, denominator: Column | None = None, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """Resample whole blocks with replacement; the metric is sum(numerator) / sum(denominator). One row.
 
     Blocks are windows or periods: their number follows the calendar, not the rows.
     """
-    blocks = df.groupBy(block).agg(F.sum(numerator).alias("_a"), F.sum(denominator).alias("_b"))
+    blocks = df.groupBy(block).agg(F.sum(numerator).alias("_a"), F.sum(F.lit(1.0) if denominator is None else denominator).alias("_b"))
     blocks = blocks.withColumn("_i", (F.row_number().over(Window.orderBy(block)) - 1).cast("bigint"))
     size = blocks.agg(F.count(F.lit(1)).alias("_n"))
     its = df.sparkSession.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(size))  # one row
