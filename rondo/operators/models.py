@@ -89,7 +89,7 @@ def _assembled(features: list[str]) -> VectorAssembler:
 
 def fit_gbm(df: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 3, seed: int = 42):
     """Gradient-boosted trees, one against the rest for the three classes."""
-    gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
+    gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, rawPredictionCol="raw")
     return Pipeline(stages=[_assembled(features), OneVsRest(classifier=gbt, labelCol=label, rawPredictionCol="raw", predictionCol="cls")]).fit(df)
 
 
