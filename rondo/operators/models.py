@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
@@ -28,8 +31,9 @@ def _grid(df: DataFrame, values: list[float], name: str) -> DataFrame:
 def fit_uplift(df: DataFrame, features: list[str], target: str = "goals_home", base: str = "lambda_home_base") -> dict[str, float]:
     """Poisson regression of goals on features with offset ln(base): coefficients by name."""
     rows = df.select(F.col(target).cast("double").alias("label"), F.ln(F.col(base)).alias("offset"), *features)
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
-    model = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="offset", maxIter=25).fit(data)
+    data = _assembled(features).transform(rows).select("label", "offset", "features")
+    with _kept(data) as kept:
+        model = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="offset", maxIter=25).fit(kept)
     return {f: float(c) for f, c in zip(features, model.coefficients)} | {"intercept": float(model.intercept)}
 
 
@@ -46,7 +50,8 @@ def fit_attack_defence(matches: DataFrame, max_iter: int = 25, reg: float = 1e-3
               OneHotEncoder(inputCols=["team_i", "opp_i"], outputCols=["team_v", "opp_v"], dropLast=True),
               VectorAssembler(inputCols=["team_v", "opp_v", "at_home"], outputCol="features"),
               GeneralizedLinearRegression(family="poisson", link="log", maxIter=max_iter, regParam=reg, predictionCol="goals")]
-    return Pipeline(stages=stages).fit(rows)
+    with _kept(rows) as kept:
+        return Pipeline(stages=stages).fit(kept)
 
 
 def score_goals(model, matches: DataFrame) -> DataFrame:
@@ -83,24 +88,54 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)  # one row per class
 
 
+@contextmanager
+def _kept(df: DataFrame):
+    """Keep training rows for the passes of a solver, on disk where memory is short."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def _assembled(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
 
 
-def fit_gbm(df: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 3, seed: int = 42):
+class OneAgainstRest:
+    """Binary models, one per label; ``transform`` adds their scores as one array, all in column expressions."""
+
+    def __init__(self, assembler: VectorAssembler, models: list):
+        self.assembler, self.models = assembler, models
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.assembler.transform(df)
+        for i, m in enumerate(self.models):
+            m = m.copy().setPredictionCol(f"_c{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_s{i}")
+            out = m.transform(out).drop(f"_c{i}", f"_r{i}")
+        scores = F.array(*[vector_to_array(f"_s{i}")[1] for i in range(len(self.models))])
+        return out.withColumn("scores", scores).drop(*[f"_s{i}" for i in range(len(self.models))])
+
+
+def fit_gbm(df: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 3, seed: int = 42) -> OneAgainstRest:
     """Gradient-boosted trees, one against the rest for the three classes."""
-    gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, rawPredictionCol="raw")
-    return Pipeline(stages=[_assembled(features), OneVsRest(classifier=gbt, labelCol=label, rawPredictionCol="raw", predictionCol="cls")]).fit(df)
+    assembler = _assembled(features)
+    with _kept(assembler.transform(df.select(label, *features)).select(label, "features")) as rows:
+        gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, labelCol="_y")
+        models = [gbt.fit(rows.withColumn("_y", (F.col(label) == c).cast("double"))) for c in range(3)]
+    return OneAgainstRest(assembler, models)
 
 
 def fit_random_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 100, depth: int = 8, balanced: bool = True, seed: int = 42):
     rf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="prob", rawPredictionCol="raw", predictionCol="cls", **({"weightCol": "weight"} if balanced else {}))
-    return Pipeline(stages=[_assembled(features), rf]).fit(weighted(df, label) if balanced else df)
+    with _kept((weighted(df, label) if balanced else df).select(label, *features, *(["weight"] if balanced else []))) as rows:
+        return Pipeline(stages=[_assembled(features), rf]).fit(rows)
 
 
 def fit_logistic(df: DataFrame, features: list[str], label: str = "label", balanced: bool = True, reg: float = 0.0):
     lr = LogisticRegression(labelCol=label, family="multinomial", maxIter=100, regParam=reg, probabilityCol="prob", rawPredictionCol="raw", predictionCol="cls", **({"weightCol": "weight"} if balanced else {}))
-    return Pipeline(stages=[_assembled(features), lr]).fit(weighted(df, label) if balanced else df)
+    with _kept((weighted(df, label) if balanced else df).select(label, *features, *(["weight"] if balanced else []))) as rows:
+        return Pipeline(stages=[_assembled(features), lr]).fit(rows)
 
 
 def score(model, df: DataFrame, classes: tuple[int, int, int] = (1, 0, -1)) -> DataFrame:
@@ -108,14 +143,13 @@ def score(model, df: DataFrame, classes: tuple[int, int, int] = (1, 0, -1)) -> D
     out = model.transform(df)
     if "prob" in out.columns:
         p = [vector_to_array("prob")[i] for i in range(3)]
-    else:  # margins of the one-against-rest models, each turned into a score
-        raw = vector_to_array("raw")
-        p = [1 / (1 + F.exp(-2 * raw[i])) for i in range(3)]
+    else:
+        p = [F.col("scores")[i] for i in range(3)]
     order = {c: i for i, c in enumerate(classes)}
     out = S.normalise(out.withColumns({n: clip(p[order[v]], 1e-12, 1.0) for v, n in ((1, "p_home"), (0, "p_draw"), (-1, "p_away"))}))
     from .clean import pick
 
-    return pick(out.drop("features", "prob", "raw", "cls", "rawPrediction"))
+    return pick(out.drop("features", "prob", "raw", "cls", "scores"))
 
 
 def standard_scale(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:

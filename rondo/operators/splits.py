@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, epoch_us, hit, brier_row, logloss_row, seconds_between, share
+from ..session import persist_table
 from . import metrics as M
 from . import rating as R
 from . import scoring as S
@@ -214,6 +215,7 @@ def backtest_uplift(df: DataFrame, features: list[str], target: str = "goals_hom
     from .models import fit_uplift
 
     folds = purged_expanding_cv(df.filter(F.col(base) > 0), ts, k, embargo_days).select("fold", "role", target, base, *features)
+    folds = persist_table(folds)  # read once per fold
     numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())  # at most k
     rates = None
     for n in numbers:
