@@ -160,7 +160,7 @@ def cooldown(triggers: DataFrame, ts: str = "ts", trigger_id: str = "trigger_id"
     A trigger that follows its predecessor by at least the cooldown is accepted whatever came before, so there the
     chain of a guardrail is cut into independent segments; only the segments are walked in order.
     """
-    rows = triggers.select("guardrail", epoch_us(ts).alias("t"), F.col(trigger_id).cast("bigint").alias("id"), (F.col("cooldown_s") * 1_000_000).cast("bigint").alias("cool"))
+    rows = triggers.select("guardrail", epoch_us(ts).alias("t"), F.col(trigger_id).cast("bigint").alias("id"), (F.col("cooldown_s").cast("bigint") * 1_000_000).alias("cool"))
     slice_by = unit if isinstance(unit, Column) else F.floor(F.col("t") / {"hour": 3_600_000_000, "day": 86_400_000_000, "month": 2_592_000_000_000}[unit])
     key, order = ["guardrail"], ["t", "id"]
     gaps = drop_halo(with_halo(rows, key, order, 1, slice_by).withColumn("_p", F.lag("t").over(halo_window(key, order))))

@@ -102,7 +102,7 @@ def _(t):
     return triggered(t).select("trigger_id", "guardrail", "action", "severity", "cooldown_s", "auto_rollback", "affected_feature")
 
 
-_ACC = """nx AS (SELECT guardrail, trigger_id, ts, row_number() OVER (PARTITION BY guardrail ORDER BY ts) AS i, (SELECT min(b.ts) FROM gr b WHERE b.guardrail = a.guardrail AND epoch_us(b.ts) >= epoch_us(a.ts) + a.cooldown_s * {scale} * 1000000) AS nt FROM gr a),
+_ACC = """nx AS (SELECT guardrail, trigger_id, ts, row_number() OVER (PARTITION BY guardrail ORDER BY ts) AS i, (SELECT min(b.ts) FROM gr b WHERE b.guardrail = a.guardrail AND epoch_us(b.ts) >= epoch_us(a.ts) + a.cooldown_s::BIGINT * {scale} * 1000000) AS nt FROM gr a),
 acc AS (SELECT guardrail, trigger_id, ts, nt FROM nx WHERE i = 1 UNION ALL SELECT n.guardrail, n.trigger_id, n.ts, n.nt FROM acc a JOIN nx n ON n.guardrail = a.guardrail AND n.ts = a.nt)"""
 
 
