@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,12 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (totals, bounds, fitted parameters) as a scalar subquery: no join."""
+    row = one.select(F.struct(*one.columns).alias("_one")).scalar()
+    return df.withColumn("_one", row).select(*df.columns, *[F.col("_one")[c].alias(c) for c in one.columns])
+
+
 def lookup(mapping: dict, key: Column, default=None) -> Column:
     """Constant dictionary lookup as one map literal."""
     items = [F.lit(x) for kv in mapping.items() for x in kv]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col, lookup, top_pick
+from ..functions.expr import col, lookup, top_pick, with_one_row
 from .quantiles import exact_quantiles
 
 CRITICAL = ["date", "home_team", "away_team", "home_score", "away_score"]
@@ -141,7 +141,7 @@ def impute(df: DataFrame, constants: dict[str, float] | None = None, medians: li
         df = df.fillna(constants)
     for c in medians or []:
         med = exact_quantiles(df, [], c, {"_median": 0.5})  # always one row
-        df = df.crossJoin(F.broadcast(med)).withColumn(c, F.coalesce(c, "_median")).drop("_median")
+        df = with_one_row(df, med).withColumn(c, F.coalesce(c, "_median")).drop("_median")
     return df
 
 

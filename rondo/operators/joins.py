@@ -25,13 +25,16 @@ def asof_wide(events: DataFrame, features: DataFrame, names: list[str], key: str
     right = features.filter(F.col("feature_name").isin(names)).select(
         F.col(key).alias("_k"), F.col(right_ts).cast("timestamp_ntz").alias("_ts"), F.lit(side_feature).alias("_side"), F.col(source_id).cast("bigint").alias("_id"),
         F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), *[F.when(F.col("feature_name") == n, value).alias(f"f_{n}") for n in names])
-    both = add_slice(left.unionByName(right), "_ts", unit)
+    left, right = add_slice(left, "_ts", unit), add_slice(right, "_ts", unit)
     order = ["_ts", "_side", "_id"]
-    per_slice = both.groupBy("_k", SLICE).agg(*[F.max_by(f"f_{n}", F.when(F.col(f"f_{n}").isNotNull(), F.struct("_ts", "_id"))).alias(f"v_{n}") for n in names])
+    # what each slice of the features ends with; slices with events only are added so that they get a carry too
+    ends = right.groupBy("_k", SLICE).agg(*[F.max_by(f"f_{n}", F.when(F.col(f"f_{n}").isNotNull(), F.struct("_ts", "_id"))).alias(f"v_{n}") for n in names])
+    asked = left.select("_k", SLICE).distinct().join(ends.select("_k", SLICE), ["_k", SLICE], "left_anti")
+    per_slice = ends.unionByName(asked, allowMissingColumns=True)
     before = Window.partitionBy("_k").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slice.select("_k", SLICE, *[F.last(f"v_{n}", ignorenulls=True).over(before).alias(f"c_{n}") for n in names])
     inside = Window.partitionBy("_k", SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = both.join(carry, ["_k", SLICE])
+    out = left.unionByName(right).join(carry, ["_k", SLICE])
     out = out.select("_e", *[F.coalesce(F.last(f"f_{n}", ignorenulls=True).over(inside), F.col(f"c_{n}")).alias(f"f_{n}") for n in names])
     return out.filter(F.col("_e").isNotNull()).select("_e.*", *[f"f_{n}" for n in names])
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import OUTCOMES, add, brier_row, clip, count_if, hit, logloss_row, safe_div, share, top_pick
+from ..functions.expr import OUTCOMES, add, brier_row, clip, count_if, hit, logloss_row, safe_div, share, top_pick, with_one_row
 from .quantiles import exact_quantiles
 from .scoring import P3
 
@@ -210,7 +210,7 @@ def draw_profile(df: DataFrame) -> DataFrame:
     out = df.agg(F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.min(d).alias("min"), F.max(d).alias("max"), share(F.col("actual") == 0).alias("draw_rate"),
                  share(d.between(0.10, 0.20)).alias("density_10_20"), share(d.between(0.20, 0.35)).alias("density_20_35"), share(d > 0.35).alias("density_35_plus"),
                  F.avg(top - d).alias("gap_mean"), share(d > top).alias("dominance_rate"))
-    out = out.crossJoin(F.broadcast(exact_quantiles(df, [], "p_draw", PERCENTS)))  # one row each
+    out = with_one_row(out, exact_quantiles(df, [], "p_draw", PERCENTS))
     return out.withColumns({
         "pattern": F.when(F.col("std") < 0.05, "NARROW_BELL").when(F.col("max") < 0.30, "TRUNCATED_TAIL").otherwise("NORMAL"),
         "suppression": F.when((F.col("gap_mean") > 0.15) & (F.col("dominance_rate") < 0.02), "SEVERE_SUPPRESSION").when(F.col("gap_mean") > 0.10, "MODERATE_SUPPRESSION").otherwise("ACCEPTABLE")})

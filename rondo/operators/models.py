@@ -13,7 +13,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegressio
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import add, brier_row, clip, hit, logloss_row, p_actual
+from ..functions.expr import add, brier_row, clip, hit, logloss_row, p_actual, with_one_row
 from . import metrics as M
 from . import scoring as S
 
@@ -155,7 +155,7 @@ def score(model, df: DataFrame, classes: tuple[int, int, int] = (1, 0, -1)) -> D
 def standard_scale(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation of the training rows; constant columns are only centred."""
     stats = train.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
-    out = df.crossJoin(F.broadcast(stats))
+    out = with_one_row(df, stats)
     scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}
     return out.withColumns(scaled).select(*df.columns)
 
@@ -224,7 +224,7 @@ def alpha_search(df: DataFrame, a: str = "a_", b: str = "b_", grid: list[float]
 
     rows = df.withColumn("_t", epoch_us(ts).cast("double"))
     cut = exact_quantiles(rows, [], "_t", {"_cut": 1 - tail})  # one row
-    last = rows.crossJoin(F.broadcast(cut)).filter(F.col("_t") >= F.col("_cut")).select("actual", *[pre + p for pre in (a, b) for p in P3])
+    last = with_one_row(rows, cut).filter(F.col("_t") >= F.col("_cut")).select("actual", *[pre + p for pre in (a, b) for p in P3])
     g = S.blend_probs(_grid(last, grid, "alpha"), a, b, F.col("alpha"))
     losses = g.groupBy("alpha").agg(_loss().alias("log_loss"))
     return losses.agg(F.min_by("alpha", F.struct("log_loss", "alpha")).alias("alpha"), F.min("log_loss").alias("log_loss"))
@@ -247,7 +247,7 @@ def weight_sensitivity(df: DataFrame, weights: dict[str, float], deltas: list[fl
     rows = S.normalise(df.select("actual", F.explode(sets).alias("s")).select("actual", "s.*"))
     m = rows.groupBy("component", "delta").agg(F.avg(hit()).alias("accuracy"), F.avg(brier_row()).alias("brier"))
     base = m.filter(F.col("component") == "base").select(F.col("accuracy").alias("_a"), F.col("brier").alias("_b"))  # one row
-    return m.filter(F.col("component") != "base").crossJoin(F.broadcast(base)).select(
+    return with_one_row(m.filter(F.col("component") != "base"), base).select(
         "component", "delta", "accuracy", "brier", (F.col("accuracy") - F.col("_a")).alias("d_accuracy"), (F.col("brier") - F.col("_b")).alias("d_brier"))
 
 
@@ -283,7 +283,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], key: str =
     for f in features:
         one = scorer(model, permuted(df, f, key, seed)).agg(_loss().alias("loss")).withColumn("feature", F.lit(f))
         out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(base)).select("feature", "base_loss", "loss", (F.col("loss") - F.col("base_loss")).alias("importance"))
+    return with_one_row(out, base).select("feature", "base_loss", "loss", (F.col("loss") - F.col("base_loss")).alias("importance"))
 
 
 def bootstrap_importance(df: DataFrame, features: list[str], label: str = "label", replicates: int = 5, trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
@@ -301,7 +301,7 @@ def compare_models(preds: DataFrame, baseline: str) -> DataFrame:
     """Metric table per ``model`` over the same rows, with wins against the baseline."""
     m = preds.groupBy("model").agg(F.avg(hit()).alias("accuracy"), F.avg(logloss_row()).alias("log_loss"), F.avg(brier_row()).alias("brier"), F.count(F.lit(1)).alias("n"))
     base = m.filter(F.col("model") == baseline).select(*[F.col(c).alias(f"_{c}") for c in ("accuracy", "log_loss", "brier")])
-    out = m.crossJoin(F.broadcast(base))  # one row
+    out = with_one_row(m, base)
     wins = (F.col("accuracy") > F.col("_accuracy")).cast("int") + (F.col("log_loss") < F.col("_log_loss")).cast("int") + (F.col("brier") < F.col("_brier")).cast("int")
     return out.withColumn("wins", wins).select("model", "accuracy", "log_loss", "brier", "n", "wins")
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import add, count_if, epoch_us, lookup, share
+from ..functions.expr import add, count_if, epoch_us, lookup, share, with_one_row
 from . import drift as D
 from . import metrics as M
 from .slices import drop_halo, halo_window, prefix_sum, with_halo
@@ -69,7 +69,7 @@ def operational_health(log: DataFrame, order: list[str], window: int = 1000) ->
     rates = log.agg(F.count(F.lit(1)).alias("total_requests"), share(F.col("status").contains("FAILSAFE")).alias("fallback_rate"), share(F.col("status") == "FAILSAFE_LEAKAGE").alias("leakage_rejection_rate"),
                     F.avg(F.when(base > 0, div)).alias("mean_divergence"), F.max(F.when(base > 0, div)).alias("max_divergence"))
     pct = latency_percentiles(log, "latency_ms", order, w=window).drop("n")
-    return rates.crossJoin(F.broadcast(pct))  # one row each
+    return with_one_row(rates, pct)
 
 
 def operational_checks(health: DataFrame, fallback: float = 0.05, divergence: float = 0.10) -> DataFrame:

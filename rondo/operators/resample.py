@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import with_one_row
 from .slices import drop_halo, halo_window, running, with_halo
 
 _M = 2147483647  # modulus of the multiplicative generator
@@ -46,7 +47,7 @@ def block_bootstrap(df: DataFrame, block: str, numerator: Column, denominator: C
     blocks = df.groupBy(block).agg(F.sum(numerator).alias("_a"), F.sum(F.lit(1.0) if denominator is None else denominator).alias("_b"))
     blocks = blocks.withColumn("_i", (F.row_number().over(Window.orderBy(block)) - 1).cast("bigint"))
     size = blocks.agg(F.count(F.lit(1)).alias("_n"))
-    its = df.sparkSession.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(size))  # one row
+    its = with_one_row(df.sparkSession.range(iterations).withColumnRenamed("id", "iteration"), size)
     draws = _chunked(its, F.col("_n"), "_j").select("iteration", draw(F.col("iteration"), F.col("_j"), F.col("_n"), seed).alias("_i"))
     boot = draws.join(blocks, "_i").groupBy("iteration").agg((F.sum("_a") / F.sum("_b")).alias("value"))
     return summarise(boot)

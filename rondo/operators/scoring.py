@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import add, clip, col, lookup, top_pick
+from ..functions.expr import add, clip, col, lookup
 from . import rating as R
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import count_if, epoch_us, hit, brier_row, logloss_row, seconds_between, share
+from ..functions.expr import count_if, epoch_us, hit, brier_row, logloss_row, seconds_between, share, with_one_row
 from ..session import persist_table
 from . import metrics as M
 from . import rating as R
@@ -33,7 +33,7 @@ def _with_roles(df: DataFrame, ts: str, bounds: DataFrame, windows: Column, requ
     """
     t = epoch_us(ts)
     spec = bounds.select(windows.alias("_w"))  # one row
-    rows = df.withColumn("_t", t).crossJoin(F.broadcast(spec))
+    rows = with_one_row(df.withColumn("_t", t), spec)
     mine = F.filter("_w", lambda w: (F.col("_t") >= w["start"]) & (F.col("_t") < w["end"]))
     out = rows.withColumn("_m", F.explode(mine)).select(*df.columns, F.col("_m.fold").alias("fold"), F.col("_m.role").alias("role"))
     full = out.filter(F.col("role").isin(required)).groupBy("fold").agg(F.count_distinct("role").alias("_r")).filter(F.col("_r") == len(required)).select("fold")
@@ -82,7 +82,7 @@ def walk_forward_years(df: DataFrame, ts: str, years: list[int], min_rows: int =
     """For each test year: all earlier rows train, the year tests (half-open years); years with too few rows are skipped."""
     per_year = df.groupBy(F.year(ts).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))  # one row per calendar year
     enough = per_year.filter(F.col("_y").isin(years) & (F.col("_n") >= min_rows)).agg(F.collect_set("_y").alias("_years"))
-    rows = df.withColumn("_y", F.year(ts)).crossJoin(F.broadcast(enough))
+    rows = with_one_row(df.withColumn("_y", F.year(ts)), enough)
     folds = F.filter("_years", lambda v: v >= F.col("_y"))
     out = rows.withColumn("fold", F.explode(folds))
     return out.withColumn("role", F.when(F.col("fold") == F.col("_y"), "test").otherwise("train")).drop("_y", "_years")
@@ -113,7 +113,7 @@ def frozen_eval(matches: DataFrame, train_end: str, test_end: str, rules: R.Rule
     """Predictions of the test window from ratings frozen at the end of training."""
     kind = dict(matches.dtypes)["kickoff_ts"]
     t1, t2 = F.lit(train_end).cast(kind), F.lit(test_end).cast(kind)
-    final = R.final_ratings(R.elo_fold(matches.filter(F.col("kickoff_ts") < t1), rules, **fold))
+    final = persist_table(R.final_ratings(R.elo_fold(matches.filter(F.col("kickoff_ts") < t1), rules, **fold)).select("pool", "team", "rating"))
     test = matches.filter((F.col("kickoff_ts") >= t1) & (F.col("kickoff_ts") < t2)).withColumn("actual", S.outcome())
     for side in ("home", "away"):
         test = test.join(final.select("pool", F.col("team").alias(side), F.col("rating").alias(f"rating_{side}")), ["pool", side], "left")
@@ -134,17 +134,18 @@ def calibrated_eval(records: DataFrame, train_end: str, cal_end: str, test_end:
     """Fit the temperature on (train_end, cal_end], test on (cal_end, test_end]: raw and calibrated rows of metrics."""
     from .models import fit_temperature
 
+    records = persist_table(records.select(ts, "actual", *S.P3))  # the fold behind it runs once
     kind = dict(records.dtypes)[ts]
     t1, t2, t3 = (F.lit(x).cast(kind) for x in (train_end, cal_end, test_end))
     cal = records.filter((F.col(ts) > t1) & (F.col(ts) <= t2))
     test = records.filter((F.col(ts) > t2) & (F.col(ts) <= t3))
-    fitted = fit_temperature(cal, grid)  # one row
-    both = S.temper(test.crossJoin(F.broadcast(fitted.select("temperature"))), F.col("temperature"), out="cal_")
+    best = fit_temperature(cal, grid).first()["temperature"]
+    both = S.temper(test.withColumn("temperature", F.lit(best)), best, out="cal_")
     sets = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), *[F.col(pre + p).alias(p) for p in S.P3]) for n, pre in (("raw", ""), ("calibrated", "cal_"))])).alias("s")
     long = both.select("actual", "temperature", sets).select("actual", "temperature", "s.*")
     m = M.metric_set(long, ["kind"])
     any_win = M.ece_outcome(long, "any_win", keys=["kind"])
-    return m.drop("ece").join(any_win, "kind").crossJoin(F.broadcast(fitted.select("temperature")))
+    return m.drop("ece").join(any_win, "kind").withColumn("temperature", F.lit(best))
 
 
 def half_split_slope(df: DataFrame, ts: str = "kickoff_ts", outcome: int = 0, bins: int = 10, keys: list[str] = ()) -> DataFrame:
@@ -152,7 +153,7 @@ def half_split_slope(df: DataFrame, ts: str = "kickoff_ts", outcome: int = 0, bi
     us = epoch_us(ts)
     rows = df.withColumn("_t", us.cast("double"))
     mid = exact_quantiles(rows, list(keys), "_t", {"_mid": 0.5})
-    rows = rows.join(mid, list(keys)) if keys else rows.crossJoin(F.broadcast(mid))
+    rows = rows.join(mid, list(keys)) if keys else with_one_row(rows, mid)
     rows = rows.withColumn("half", F.when(F.col("_t") < F.col("_mid"), "first").otherwise("second"))
     k = [*keys, "half"]
     s = M.curve_slope(M.calibration_curve(rows, outcome, bins, k), k)
@@ -166,7 +167,7 @@ def component_ablation(variants: DataFrame, full: str = "full", keys: list[str]
     m = variants.groupBy(*keys, "variant").agg(F.avg(hit()).alias("accuracy"), F.avg(logloss_row()).alias("log_loss"), F.avg(brier_row()).alias("brier"))
     base = m.filter(F.col("variant") == full).select(*keys, *[F.col(c).alias(f"_{c}") for c in ("accuracy", "log_loss", "brier")])
     other = m.filter(F.col("variant") != full)
-    out = other.join(base, list(keys)) if keys else other.crossJoin(F.broadcast(base))  # one row
+    out = other.join(base, list(keys)) if keys else with_one_row(other, base)
     out = out.select(*keys, "variant", *[(F.col(c) - F.col(f"_{c}")).alias(f"d_{c}") for c in ("accuracy", "log_loss", "brier")])
     return out.withColumn("label", F.when(F.col("d_accuracy") < -0.01, "CRITICAL").when(F.col("d_accuracy") > 0.01, "HARMFUL").otherwise("NEUTRAL"))
 

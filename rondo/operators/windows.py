@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import add, col, epoch_us, seconds_between
+from ..functions.expr import add, seconds_between
 from .slices import SLICE, add_slice, carried_rows, drop_halo, halo_window, running, with_halo
 
 TEAM = ["pool", "team"]

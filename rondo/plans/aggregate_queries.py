@@ -69,10 +69,10 @@ def _(t):
 
 
 @query("group_stats", """
-SELECT l_suppkey, #2[avg(l_extendedprice)]# AS mean, #2[quantile_cont(l_extendedprice, 0.5)]# AS median, #2[min(l_extendedprice)]# AS min, #2[max(l_extendedprice)]# AS max, #2[stddev_samp(l_extendedprice)]# AS std
+SELECT l_suppkey, #4[avg(l_extendedprice)]# AS mean, #4[quantile_cont(l_extendedprice, 0.5)]# AS median, #4[min(l_extendedprice)]# AS min, #4[max(l_extendedprice)]# AS max, #4[stddev_samp(l_extendedprice)]# AS std
 FROM lineitem GROUP BY 1""")
 def _(t):
-    return A.group_stats(t.lineitem, "l_suppkey", "l_extendedprice", 2)
+    return A.group_stats(t.lineitem, "l_suppkey", "l_extendedprice", 4)
 
 
 @query("dataset_profile", "SELECT * FROM (" + " UNION ALL ".join(

@@ -30,7 +30,7 @@ def _kind(s: pd.Series) -> str:
 
 
 def _cell(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return "∅"
     if isinstance(v, float):
         if math.isnan(v):

@@ -78,7 +78,7 @@ def _(t):
 @query("master_dataset_join", """
 WITH m AS (SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS date, CAST(o_custkey % 16 AS INT) AS city_id, CAST(o_custkey % 24 AS INT) AS home, CAST((o_custkey + 5) % 24 AS INT) AS away FROM orders),
 rk AS (SELECT CAST(o_custkey % 24 AS INT) AS team, CAST(o_orderdate AS DATE) AS date, CAST(floor(min(o_totalprice) / 1000) AS DOUBLE) AS rank FROM orders GROUP BY 1, 2)
-SELECT match_id, #8[temp_max]# AS temp_avg, CAST(coalesce(temp_max > 30, FALSE) OR coalesce(precip > 10, FALSE) AS INT) AS adverse, rh.rank - ra.rank AS rank_diff,
+SELECT match_id, #9[temp_max]# AS temp_avg, CAST(coalesce(temp_max > 30, FALSE) OR coalesce(precip > 10, FALSE) AS INT) AS adverse, rh.rank - ra.rank AS rank_diff,
   #[coalesce(sh.rating, 0) - coalesce(sa.rating, 0)]# AS xg_diff
 FROM m LEFT JOIN weather w ON m.date = w.date AND m.city_id = w.city_id LEFT JOIN rk rh ON rh.team = home AND rh.date = m.date LEFT JOIN rk ra ON ra.team = away AND ra.date = m.date
 LEFT JOIN teams sh ON sh.team = home LEFT JOIN teams sa ON sa.team = away""", "weather teams")
@@ -88,7 +88,7 @@ def _(t):
                         (F.col("o_custkey") % 24).cast("int").alias("home"), ((F.col("o_custkey") + 5) % 24).cast("int").alias("away"))
     rk = t.orders.groupBy((F.col("o_custkey") % 24).cast("int").alias("team"), day.alias("date")).agg(F.floor(F.min("o_totalprice") / 1000).cast("double").alias("rank"))
     out = J.master_dataset(m, t.weather, rk, t.teams.select("team", F.col("rating").alias("xg")))
-    return out.select("match_id", rnd("temp_avg", 8).alias("temp_avg"), "adverse", "rank_diff", rnd("xg_diff").alias("xg_diff"))
+    return out.select("match_id", rnd("temp_avg", 9).alias("temp_avg"), "adverse", "rank_diff", rnd("xg_diff").alias("xg_diff"))
 
 
 _FEW = "(SELECT * FROM teams WHERE team < 20)"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import rnd
+from ..functions.expr import rnd, with_one_row
 from ..operators import models as MD
 from ..operators import scoring as S
 from ..operators import splits as SP
@@ -98,7 +98,7 @@ def _(t):
     scored = MD.score_goals(model, df.filter("split = 'test'")).withColumn("actual", S.outcome())
     rho = MD.fit_low_score_rho(scored, [round(-0.2 + 0.02 * i, 2) for i in range(21)])
     ev = scored.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(brier_row()), 4).alias("brier"), rnd(F.avg(logloss_row()), 4).alias("log_loss"))
-    return ev.crossJoin(F.broadcast(rho.select("rho")))
+    return with_one_row(ev, rho.select("rho"))
 
 
 @query("ensemble_alpha_search", f"""

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import rnd
 from ..operators import monitor as MO
 from .drift_queries import _PSI, LONG, grid_sql, long_features
 from .metric_queries import r, rel, y

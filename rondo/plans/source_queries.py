@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as SC
 from ..functions.expr import rnd
-from ..operators import clean as C
 from ..operators import rating as R
 from ..session import shared_dir
 from ..sources import readers as RD
@@ -52,22 +51,27 @@ def _(t):
     return r(RD.read_entity_map(t.spark, path, SC.struct(name=SC._s, rating=SC._d), per_line=True), "rating", digits=2)
 
 
-@query("write_feature_store", "SELECT team_id, feature_name, #[feature_value]# AS feature_value, source_id, strftime(feature_ts, '%Y-%m') AS year_month FROM features", "features")
+@query("write_feature_store", "SELECT team_id % 24 AS team_id, feature_name, #[feature_value]# AS feature_value, source_id, strftime(feature_ts, '%Y-%m') AS year_month FROM features", "features")
 def _(t):
     path = shared_dir(t.spark)
-    SK.save_features(t.features, path)
+    SK.save_features(t.features.withColumn("team_id", F.col("team_id") % 24), path)
     return r(RD.read_feature_store(t.spark, path).select(F.col("team_id").cast("bigint").alias("team_id"), "feature_name", "feature_value", "source_id", "year_month"), "feature_value")
 
 
+def squads(t):
+    """Snapshots of 24 clubs with several squads each: partition directories stay few at every scale."""
+    return t.snapshots.withColumns({"squad_id": F.col("team_id"), "team_id": F.col("team_id") % 24})
+
+
 @query("write_partitioned_layouts", """
 SELECT 'matches' AS layout, CAST(year(kickoff_ts) AS INT) AS year, CAST(day(kickoff_ts) AS INT) AS part, count(*) AS n, CAST(sum(match_id) AS BIGINT) AS ids FROM matches WHERE month(kickoff_ts) = 1 GROUP BY 1, 2, 3
 UNION ALL SELECT 'features', CAST(year(feature_ts) AS INT), length(feature_name)::INT, count(*), CAST(sum(source_id) AS BIGINT) FROM features GROUP BY feature_name, 2, 3
-UNION ALL SELECT 'snapshots', CAST(year(announced_ts) AS INT), CAST(team_id AS INT), count(*), CAST(sum(len(players)) AS BIGINT) FROM snapshots GROUP BY 2, 3""", "matches features snapshots")
+UNION ALL SELECT 'snapshots', CAST(year(announced_ts) AS INT), CAST(team_id % 24 AS INT), count(*), CAST(sum(len(players)) AS BIGINT) FROM snapshots GROUP BY 2, 3""", "matches features snapshots")
 def _(t):
     base = shared_dir(t.spark)
     SK.write_layout(t.matches.select("match_id", "kickoff_ts", "pool"), "matches", f"{base}/m", "kickoff_ts")
     SK.write_layout(t.features, "features", f"{base}/f", "feature_ts")
-    SK.write_layout(t.snapshots, "snapshots", f"{base}/s", "announced_ts")
+    SK.write_layout(squads(t), "snapshots", f"{base}/s", "announced_ts")
     n = F.count(F.lit(1)).alias("n")
     read = t.spark.read.parquet
     m = read(f"{base}/m").filter("month = 1").groupBy("year", F.col("day").alias("part")).agg(n, F.sum("match_id").alias("ids")).withColumn("layout", F.lit("matches"))
@@ -117,12 +121,12 @@ def _(t):
     return r(t.spark.read.parquet(path), "p_home")
 
 
-@query("compact_snapshots", "SELECT team_id, strftime(announced_ts, '%Y-%m-%d') AS day, len(players)::INT AS n_players FROM snapshots WHERE announced_ts < TIMESTAMP '2024-02-10' - INTERVAL 25 DAY", "snapshots")
+@query("compact_snapshots", "SELECT team_id % 24 AS team_id, team_id AS squad_id, strftime(announced_ts, '%Y-%m-%d') AS day, len(players)::INT AS n_players FROM snapshots WHERE announced_ts < TIMESTAMP '2024-02-10' - INTERVAL 25 DAY", "snapshots")
 def _(t):
     base = shared_dir(t.spark)
-    SK.write_layout(t.snapshots, "snapshots", f"{base}/raw", "announced_ts")
+    SK.write_layout(squads(t), "snapshots", f"{base}/raw", "announced_ts")
     SK.compact_snapshots(t.spark, f"{base}/raw", f"{base}/compact", 25, "2024-02-10")
-    return t.spark.read.parquet(f"{base}/compact").select(F.col("team_id").cast("bigint").alias("team_id"), F.date_format("announced_ts", "yyyy-MM-dd").alias("day"), F.size("players").alias("n_players"))
+    return t.spark.read.parquet(f"{base}/compact").select(F.col("team_id").cast("bigint").alias("team_id"), "squad_id", F.date_format("announced_ts", "yyyy-MM-dd").alias("day"), F.size("players").alias("n_players"))
 
 
 @query("dataset_fingerprint")

@@ -1,7 +1,5 @@
 """Registered queries: temporal splits, backtests, leakage control."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions.expr import brier_row, rnd
@@ -9,7 +7,6 @@ from ..operators import metrics as M
 from ..operators import rating as R
 from ..operators import scoring as S
 from ..operators import splits as SP
-from ..operators import windows as W
 from .metric_queries import BR, PA, PICK, ece_sql, metric_set_sql, r, rel, y
 from .rating_queries import CAP, PRED_SQL
 from .registry import query

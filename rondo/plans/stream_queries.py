@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as SC
 from ..functions.expr import epoch_us, rnd
-from ..operators import monitor as MO
 from ..operators import rating as R
 from ..streaming import jobs as J
 from .adapters import Tables
