@@ -9,34 +9,47 @@ from ..functions.expr import lookup
 from .slices import SLICE, add_slice
 
 
-def asof_wide(events: DataFrame, features: DataFrame, names: list[str], key: str = "team_id", left_ts: str = "kickoff_ts", right_ts: str = "feature_ts",
-              event_id: str = "match_id", source_id: str = "source_id", strict: bool = True, unit: str = "month") -> DataFrame:
-    """Each event with, per requested feature, the latest (value, ts, id) of its key before the event, as structs ``f_<name>``.
+def _asof(events: DataFrame, right: DataFrame, values: list[str], key: str, left_ts: str, event_id: str, strict: bool, unit: str) -> DataFrame:
+    """``events`` plus, per struct column in ``values``, its last non-null value among the ``right`` rows of the key before the event.
 
-    One pass: both sides are united and a window keeps the last value seen, per (key, time slice); a slice starts
-    from the last values of earlier slices. Events are never multiplied and no range join is built.
+    ``right`` has columns _k, _ts, _id and the values. One pass: both sides are united and a window keeps the last value
+    seen, per (key, time slice); a slice starts from the last values of earlier slices. Events are never multiplied and
+    no range join is built.
     """
-    side_event, side_feature = (0, 1) if strict else (1, 0)
+    before_event, after_event = (0, 1) if strict else (1, 0)
+    types = {v: right.schema[v].dataType for v in values}
     payload = F.struct(*[F.col(c) for c in events.columns])
-    empty = F.lit(None).cast("struct<value:double,ts:timestamp_ntz,id:bigint>")
-    left = events.select(F.col(key).alias("_k"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"), F.lit(side_event).alias("_side"),
-                         F.col(event_id).cast("bigint").alias("_id"), payload.alias("_e"), *[empty.alias(f"f_{n}") for n in names])
-    value = F.struct(F.col("feature_value").cast("double").alias("value"), F.col(right_ts).cast("timestamp_ntz").alias("ts"), F.col(source_id).cast("bigint").alias("id"))
-    right = features.filter(F.col("feature_name").isin(names)).select(
-        F.col(key).alias("_k"), F.col(right_ts).cast("timestamp_ntz").alias("_ts"), F.lit(side_feature).alias("_side"), F.col(source_id).cast("bigint").alias("_id"),
-        F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), *[F.when(F.col("feature_name") == n, value).alias(f"f_{n}") for n in names])
+    left = events.select(F.col(key).cast(right.schema["_k"].dataType).alias("_k"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"), F.lit(before_event).alias("_side"),
+                         F.col(event_id).cast("bigint").alias("_id"), payload.alias("_e"), *[F.lit(None).cast(types[v]).alias(v) for v in values])
+    right = right.select("_k", "_ts", F.lit(after_event).alias("_side"), "_id", F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), *values)
     left, right = add_slice(left, "_ts", unit), add_slice(right, "_ts", unit)
-    order = ["_ts", "_side", "_id"]
-    # what each slice of the features ends with; slices with events only are added so that they get a carry too
-    ends = right.groupBy("_k", SLICE).agg(*[F.max_by(f"f_{n}", F.when(F.col(f"f_{n}").isNotNull(), F.struct("_ts", "_id"))).alias(f"v_{n}") for n in names])
+    # what each slice of the right side ends with; slices with events only are added so that they get a carry too
+    ends = right.groupBy("_k", SLICE).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct("_ts", "_id"))).alias(f"_v_{v}") for v in values])
     asked = left.select("_k", SLICE).distinct().join(ends.select("_k", SLICE), ["_k", SLICE], "left_anti")
     per_slice = ends.unionByName(asked, allowMissingColumns=True)
     before = Window.partitionBy("_k").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_slice.select("_k", SLICE, *[F.last(f"v_{n}", ignorenulls=True).over(before).alias(f"c_{n}") for n in names])
-    inside = Window.partitionBy("_k", SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_slice.select("_k", SLICE, *[F.last(f"_v_{v}", ignorenulls=True).over(before).alias(f"_c_{v}") for v in values])
+    inside = Window.partitionBy("_k", SLICE).orderBy("_ts", "_side", "_id").rowsBetween(Window.unboundedPreceding, -1)
     out = left.unionByName(right).join(carry, ["_k", SLICE])
-    out = out.select("_e", *[F.coalesce(F.last(f"f_{n}", ignorenulls=True).over(inside), F.col(f"c_{n}")).alias(f"f_{n}") for n in names])
-    return out.filter(F.col("_e").isNotNull()).select("_e.*", *[f"f_{n}" for n in names])
+    out = out.select("_e", *[F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_c_{v}")).alias(v) for v in values])
+    return out.filter(F.col("_e").isNotNull()).select("_e.*", *values)
+
+
+def asof_row(events: DataFrame, rows: DataFrame, columns: list[str], name: str = "row", key: str = "team_id", left_ts: str = "kickoff_ts", right_ts: str = "announced_ts",
+             event_id: str = "match_id", tie: str | None = None, strict: bool = True, unit: str = "month") -> DataFrame:
+    """Each event with the latest row of its key before it, as one struct of ``columns``. ``tie`` orders rows of one instant."""
+    right = rows.select(F.col(key).alias("_k"), F.col(right_ts).cast("timestamp_ntz").alias("_ts"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_id"), F.struct(*columns).alias(name))
+    return _asof(events, right, [name], key, left_ts, event_id, strict, unit)
+
+
+def asof_wide(events: DataFrame, features: DataFrame, names: list[str], key: str = "team_id", left_ts: str = "kickoff_ts", right_ts: str = "feature_ts",
+              event_id: str = "match_id", source_id: str = "source_id", strict: bool = True, unit: str = "month") -> DataFrame:
+    """Each event with, per requested feature, the latest (value, ts, id) of its key before the event, as structs ``f_<name>``."""
+    ts, sid = F.col(right_ts).cast("timestamp_ntz"), F.col(source_id).cast("bigint")
+    value = F.struct(F.col("feature_value").cast("double").alias("value"), ts.alias("ts"), sid.alias("id"))
+    right = features.filter(F.col("feature_name").isin(names)).select(
+        F.col(key).alias("_k"), ts.alias("_ts"), sid.alias("_id"), *[F.when(F.col("feature_name") == n, value).alias(f"f_{n}") for n in names])
+    return _asof(events, right, [f"f_{n}" for n in names], key, left_ts, event_id, strict, unit)
 
 
 def asof_join(events: DataFrame, features: DataFrame, names: list[str], **options) -> DataFrame:
@@ -72,11 +85,9 @@ def _pivot_sides(long: DataFrame, cols: list[str]) -> DataFrame:
 
 def two_sided_asof(matches: DataFrame, snaps: DataFrame, unit: str = "month") -> DataFrame:
     """Latest snapshot (team_id, announced_ts, value) before kickoff for home and away; matches lacking either side are dropped."""
-    feats = snaps.select("team_id", F.lit("snap").alias("feature_name"), F.col("value").cast("double").alias("feature_value"),
-                         F.col("announced_ts").alias("feature_ts"), F.lit(0).alias("source_id"))
-    long = asof_wide(_match_sides(matches, []), feats, ["snap"], unit=unit)
-    long = long.select("match_id", "side", "kickoff_ts", F.col("f_snap.ts").alias("snapshot_ts"), F.col("f_snap.value").alias("value"))
-    long = long.withColumn("valid", F.col("snapshot_ts") < F.col("kickoff_ts").cast("timestamp_ntz"))
+    long = asof_row(_match_sides(matches, []), snaps, ["announced_ts", "value"], "snap", unit=unit)
+    long = long.select("match_id", "side", "kickoff_ts", F.col("snap.announced_ts").alias("snapshot_ts"), F.col("snap.value").alias("value"))
+    long = long.withColumn("valid", F.col("snapshot_ts") < F.col("kickoff_ts"))
     out = _pivot_sides(long, ["snapshot_ts", "value", "valid"])
     return out.filter(F.col("home_snapshot_ts").isNotNull() & F.col("away_snapshot_ts").isNotNull())
 
@@ -85,11 +96,11 @@ def two_sided_asof(matches: DataFrame, snaps: DataFrame, unit: str = "month") ->
 NEUTRAL = {"squad_size": 23.0, "continuity_index": 1.0, "defenders_continuity": 1.0, "midfielders_continuity": 1.0, "forwards_continuity": 1.0, "squad_size_delta": 0.0}
 
 
-def enrich_matches(matches: DataFrame, features: DataFrame, unit: str = "month") -> DataFrame:
-    """home_/away_ squad features as known at kickoff; all neutral when either side has none; and their differences."""
+def enrich_matches(matches: DataFrame, squads: DataFrame, unit: str = "month") -> DataFrame:
+    """home_/away_ squad features (wide, as of ``squad_continuity``) as known at kickoff; all neutral when either side has none; and their differences."""
     names = list(NEUTRAL)
-    long = asof_wide(_match_sides(matches, []), features, names, unit=unit)
-    long = long.select("match_id", "side", F.col("f_squad_size").isNotNull().alias("known"), *[F.col(f"f_{n}.value").alias(n) for n in names])
+    long = asof_row(_match_sides(matches, []), squads, names, "squad", unit=unit)
+    long = long.select("match_id", "side", F.col("squad").isNotNull().alias("known"), *[F.col(f"squad.{n}").cast("double").alias(n) for n in names])
     wide = _pivot_sides(long, ["known", *names])
     both = F.col("home_known") & F.col("away_known")
     filled = {f"{s}_{n}": F.when(both, F.col(f"{s}_{n}")).otherwise(F.lit(v)) for s in ("home", "away") for n, v in NEUTRAL.items()}

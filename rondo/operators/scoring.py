@@ -79,16 +79,19 @@ def poisson_lambdas(df: DataFrame, home: str = "rating_home", away: str = "ratin
 
 
 def poisson_probs(df: DataFrame, lam_home: str = "lambda_home", lam_away: str = "lambda_away") -> DataFrame:
-    """Outcome probabilities over the goal grid 0..11 x 0..11: sums of products, no UDF."""
-    def pmf(lam: str, k: int) -> Column:
-        return F.exp(-F.col(lam)) * F.pow(F.col(lam), F.lit(float(k))) / F.factorial(F.lit(k))
-
-    df = df.withColumns({"_h": F.array(*[pmf(lam_home, k) for k in range(MAX_GOALS)]), "_a": F.array(*[pmf(lam_away, k) for k in range(MAX_GOALS)])})
-    h, a = ([F.col(c)[k] for k in range(MAX_GOALS)] for c in ("_h", "_a"))
-    wins = add([h[i] * add(a[:i]) for i in range(1, MAX_GOALS)])
-    losses = add([a[i] * add(h[:i]) for i in range(1, MAX_GOALS)])
-    draws = add([x * y for x, y in zip(h, a)])
-    return normalise(df.withColumns({"p_home": wins, "p_draw": draws, "p_away": losses}).drop("_h", "_a"))
+    """Outcome probabilities over the goal grid 0..11 x 0..11.
+
+    A chain of small projections walks the goals k of both sides and carries the running sums: a win adds h_k times
+    the away sum below k, and so on. The 144 cells are never formed and the chain compiles to straight-line code.
+    """
+    keep = [f"`{c}`" for c in df.columns if c not in P3]
+    out = df.selectExpr(*keep, f"`{lam_home}` AS _x", f"`{lam_away}` AS _y", f"exp(-`{lam_home}`) AS _h", f"exp(-`{lam_away}`) AS _a")
+    out = out.selectExpr(*keep, "_x", "_y", "_h", "_a", "_h AS _ch", "_a AS _ca", "0D AS p_home", "_h * _a AS p_draw", "0D AS p_away")
+    for k in range(1, MAX_GOALS):
+        out = out.selectExpr(*keep, "_x", "_y", f"_h * _x / {k} AS _h", f"_a * _y / {k} AS _a", "_ch", "_ca", *P3)
+        out = out.selectExpr(*keep, "_x", "_y", "_h", "_a", "_ch + _h AS _ch", "_ca + _a AS _ca",
+                             "p_home + _h * _ca AS p_home", "p_draw + _h * _a AS p_draw", "p_away + _a * _ch AS p_away")
+    return normalise(out.selectExpr(*keep, *P3))
 
 
 def form_adjust(df: DataFrame) -> DataFrame:

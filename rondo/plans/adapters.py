@@ -108,11 +108,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name not in self._read:
+                self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._read[name]
         raise AttributeError(name)
 
     @cached_property

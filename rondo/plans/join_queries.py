@@ -41,7 +41,7 @@ _SNAP = "(SELECT team_id, announced_ts, len(players) AS value FROM snapshots)"
 SELECT m.match_id, strftime(h.announced_ts, '%Y-%m-%d') AS home_day, strftime(a.announced_ts, '%Y-%m-%d') AS away_day, CAST(h.value AS DOUBLE) AS home_value, CAST(a.value AS DOUBLE) AS away_value, TRUE AS home_valid, TRUE AS away_valid
 FROM matches m ASOF JOIN {_SNAP} h ON m.home = h.team_id AND m.kickoff_ts > h.announced_ts ASOF JOIN {_SNAP} a ON m.away = a.team_id AND m.kickoff_ts > a.announced_ts""", "matches snapshots")
 def _(t):
-    snaps = t.snapshots.select("team_id", "announced_ts", F.size("players").alias("value"))
+    snaps = t.snapshots.select("team_id", "announced_ts", F.size("players").cast("double").alias("value"))
     out = J.two_sided_asof(t.matches, snaps, UNIT)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return out.select("match_id", day("home_snapshot_ts").alias("home_day"), day("away_snapshot_ts").alias("away_day"), "home_value", "away_value", "home_valid", "away_valid")
@@ -60,7 +60,7 @@ SELECT m.match_id, {_side('h', 'squad_size', 23)} AS home_squad_size, {_side('a'
 FROM (SELECT * REPLACE (home * 3 AS home, away * 7 AS away) FROM matches) m ASOF LEFT JOIN cont h ON m.home = h.team_id AND m.kickoff_ts > h.announced_ts ASOF LEFT JOIN cont a ON m.away = a.team_id AND m.kickoff_ts > a.announced_ts""", "matches snapshots")
 def _(t):
     m = t.matches.withColumns({"home": F.col("home") * 3, "away": F.col("away") * 7})
-    out = J.enrich_matches(m, W.feature_timeline(t.snapshots), UNIT)
+    out = J.enrich_matches(m, W.squad_continuity(t.snapshots), UNIT)
     cols = ["squad_size", "continuity_index", "defenders_continuity"]
     return out.select("match_id", *[rnd(f"{s}_{c}").alias(f"{s}_{c}") for c in cols for s in ("home", "away")], rnd("continuity_diff").alias("continuity_diff"), rnd("squad_size_diff").alias("squad_size_diff"))
 
