@@ -251,8 +251,8 @@ def comprehensive_drift(values: DataFrame, now: str, end_dates: list[str], segme
     if cohorts is not None:
         parts.append(_alert(cohorts.filter("alert"), "TOURNAMENT_VS_FRIENDLY", F.lit("MEDIUM"), F.lit(None), F.col("divergence"), F.lit(0.15)))
     if wide is not None:
-        miss = missing_ratio(wide, list(wide_columns), 0.10).filter("exceeds")
-        parts.append(_alert(miss, "FEATURE_SPARSITY", F.lit("HIGH"), F.col("feature"), F.col("ratio"), F.lit(0.10)))
+        miss = missing_ratio(wide, list(wide_columns), 0.30).filter("exceeds")
+        parts.append(_alert(miss, "FEATURE_SPARSITY", F.lit("HIGH"), F.col("feature"), F.col("ratio"), F.lit(0.30)))
     if calendar is not None:
         bad = calendar_checks(calendar, now).groupBy("issue", "severity").agg(F.count(F.lit(1)).alias("n"))
         parts.append(_alert(bad, "CALENDAR_CORRUPTION", F.col("severity"), F.col("issue"), F.col("n"), F.lit(0.0)))

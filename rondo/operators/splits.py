@@ -159,7 +159,7 @@ def half_split_slope(df: DataFrame, ts: str = "kickoff_ts", outcome: int = 0, bi
     s = M.curve_slope(M.calibration_curve(rows, outcome, bins, k), k)
     out = s.groupBy(*keys).agg(F.max(F.when(F.col("half") == "first", F.col("slope"))).alias("slope_first"), F.max(F.when(F.col("half") == "second", F.col("slope"))).alias("slope_second"))
     diff = F.abs(F.col("slope_first") - F.col("slope_second"))
-    return out.withColumn("drift", diff).withColumn("label", F.when(diff > 0.3, "DRIFT").otherwise("STABLE"))
+    return out.withColumn("drift", diff).withColumn("label", F.when(diff > 0.1, "TEMPORAL_DRIFT").when(diff < 0.05, "STABLE_INVERSION").otherwise("MODERATE_DRIFT"))
 
 
 def component_ablation(variants: DataFrame, full: str = "full", keys: list[str] = ()) -> DataFrame:
@@ -169,7 +169,7 @@ def component_ablation(variants: DataFrame, full: str = "full", keys: list[str]
     other = m.filter(F.col("variant") != full)
     out = other.join(base, list(keys)) if keys else with_one_row(other, base)
     out = out.select(*keys, "variant", *[(F.col(c) - F.col(f"_{c}")).alias(f"d_{c}") for c in ("accuracy", "log_loss", "brier")])
-    return out.withColumn("label", F.when(F.col("d_accuracy") < -0.01, "CRITICAL").when(F.col("d_accuracy") > 0.01, "HARMFUL").otherwise("NEUTRAL"))
+    return out.withColumn("label", F.when(F.col("d_accuracy") < -0.01, "DEGRADA").when(F.col("d_accuracy") > 0.01, "MEJORA").otherwise("NEUTRO"))
 
 
 def go_no_go(iterations: DataFrame, threshold: float = 0.005) -> DataFrame:

@@ -124,7 +124,19 @@ def _(t):
                                    rnd(F.avg(logloss_row()), 4).alias("log_loss"), rnd(F.avg(hit()), 4).alias("accuracy"))
 
 
-@query("match_feature_table")
+_LAGS = [f"lag(pts, {i + 1}) OVER w" for i in range(10)]
+
+
+@query("match_feature_table", f"""WITH {fold_sql(f'20 + 5 * ({_M} - 1)', _FLAG.format(b=80.0))},
+form AS (SELECT match_id, max(f) FILTER (is_home) AS fh, max(f) FILTER (NOT is_home) AS fa FROM (
+  SELECT match_id, is_home, coalesce(({' + '.join(f'coalesce({x} * exp(-0.1 * {i}), 0)' for i, x in enumerate(_LAGS))}) / nullif({' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE exp(-0.1 * {i}) END' for i, x in enumerate(_LAGS))}, 0), 0.5) AS f
+  FROM long_view WINDOW w AS (PARTITION BY pool, team ORDER BY kickoff_ts, match_id)) GROUP BY 1),
+h2h AS (SELECT match_id, coalesce((CASE WHEN home < away THEN lw ELSE hw END) / nullif(n, 0), 0.5) AS h FROM (
+  SELECT match_id, home, away, count(*) OVER w AS n, coalesce(sum(CAST(win = least(home, away) AS INT)) OVER w, 0) AS lw, coalesce(sum(CAST(win = greatest(home, away) AS INT)) OVER w, 0) AS hw FROM (
+    SELECT *, CASE WHEN home_score > away_score THEN home WHEN home_score < away_score THEN away ELSE -1 END AS win FROM matches)
+  WINDOW w AS (PARTITION BY pool, least(home, away), greatest(home, away) ORDER BY kickoff_ts, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+SELECT m.match_id, m.pool, #3[e.pre_h + e.bonus - e.pre_a]# AS elo_diff, CAST(m.neutral AS INT) AS is_neutral, #[fh]# AS form_home, #[fa]# AS form_away, #[h]# AS h2h, CAST(sign(m.home_score - m.away_score) AS INT) AS outcome
+FROM matches m JOIN elo e USING (match_id) JOIN form USING (match_id) JOIN h2h USING (match_id)""", "matches long_view", recursive=True)
 def _(t):
     """Point-in-time feature row per match: rating difference, decayed form of both sides, head-to-head, rest."""
     m = t.matches

@@ -119,7 +119,7 @@ def _(t):
 @query("half_split_slope", f"""
 WITH h AS (SELECT *, CASE WHEN epoch_us(kickoff_ts) < (SELECT quantile_cont(CAST(epoch_us(kickoff_ts) AS DOUBLE), 0.5) FROM predictions) THEN 'first' ELSE 'second' END AS half FROM predictions),
 s AS (SELECT half, regr_slope(obs, pm) AS slope FROM {rel('p_home', y(1), 10, 'h', 'half')} GROUP BY 1)
-SELECT #[a]# AS slope_first, #[b]# AS slope_second, #[abs(a - b)]# AS drift, CASE WHEN abs(a - b) > 0.3 THEN 'DRIFT' ELSE 'STABLE' END AS label FROM (SELECT max(slope) FILTER (half = 'first') AS a, max(slope) FILTER (half = 'second') AS b FROM s)""", "predictions")
+SELECT #[a]# AS slope_first, #[b]# AS slope_second, #[abs(a - b)]# AS drift, CASE WHEN abs(a - b) > 0.1 THEN 'TEMPORAL_DRIFT' WHEN abs(a - b) < 0.05 THEN 'STABLE_INVERSION' ELSE 'MODERATE_DRIFT' END AS label FROM (SELECT max(slope) FILTER (half = 'first') AS a, max(slope) FILTER (half = 'second') AS b FROM s)""", "predictions")
 def _(t):
     return r(SP.half_split_slope(t.predictions, outcome=1), "slope_first", "slope_second", "drift")
 
@@ -146,7 +146,7 @@ UNION ALL SELECT 'no_rating', actual, 0.45, 0.25, 0.30 FROM predictions)"""
 
 
 @query("component_ablation", f"""WITH {_VAR}, m AS (SELECT variant, avg(CAST(actual = {PICK} AS INT)) AS a, avg(-ln({PA})) AS l, avg({BR}) AS b FROM v GROUP BY 1)
-SELECT m.variant, #[m.a - f.a]# AS d_accuracy, #[m.l - f.l]# AS d_log_loss, #[m.b - f.b]# AS d_brier, CASE WHEN m.a - f.a < -0.01 THEN 'CRITICAL' WHEN m.a - f.a > 0.01 THEN 'HARMFUL' ELSE 'NEUTRAL' END AS label
+SELECT m.variant, #[m.a - f.a]# AS d_accuracy, #[m.l - f.l]# AS d_log_loss, #[m.b - f.b]# AS d_brier, CASE WHEN m.a - f.a < -0.01 THEN 'DEGRADA' WHEN m.a - f.a > 0.01 THEN 'MEJORA' ELSE 'NEUTRO' END AS label
 FROM m, (SELECT * FROM m WHERE variant = 'full') f WHERE m.variant <> 'full'""", "predictions")
 def _(t):
     h, a = F.col("p_home"), F.col("p_away")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_us
+from ..session import persist_table
 
 
 def _write(df: DataFrame, path: str, partitions: list[str], mode: str = "overwrite", dynamic: bool = False) -> None:
@@ -50,6 +51,7 @@ def export_reports(df: DataFrame, base: str, positions: list[str]) -> list[str]:
     from ..operators.aggregates import group_stats, pivot_counts
     from ..operators.clean import roster_features
 
+    df = persist_table(df)  # read once per table
     n = F.count(F.lit(1))
     meta = df.agg(n.alias("players"), F.count_distinct("country").alias("countries"), F.count_distinct("group").alias("groups"), F.count_distinct("confederation").alias("confederations"))
     tables = {

@@ -32,11 +32,19 @@ def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", trigg
     return df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
-def run_available(df: DataFrame, timeout_s: int = 600) -> DataFrame:
-    """Process everything available now and read the result back."""
+def run_available(df: DataFrame, timeout_s: int = 1800, state_partitions: int | None = None) -> DataFrame:
+    """Process everything available now and read the result back.
+
+    A stream keeps the number of state partitions it starts with; by default one per core of the cluster.
+    """
     spark = df.sparkSession
     base = shared_dir(spark)
-    q = start(df, f"{base}/out", f"{base}/checkpoint", trigger={"availableNow": True})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = start(df, f"{base}/out", f"{base}/checkpoint", trigger={"availableNow": True})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     if not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"stream did not finish within {timeout_s} s")
