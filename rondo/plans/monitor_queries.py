@@ -43,7 +43,7 @@ UNION ALL SELECT 'dtype_corruption_continuity_index', 'FAIL', count(*) FROM ft W
 UNION ALL SELECT 'out_of_range_continuity_index', 'WARN', count(*) FROM ft WHERE TRY_CAST(continuity_index AS DOUBLE) > 1"""
 
 
-@query("feature_health", f"WITH {_FEAT} {_FCHK}")
+@query("feature_health", f"WITH {_FEAT} SELECT * FROM ({_FCHK}) WHERE n > 0")
 def _(t):
     checks = MO.feature_health(text_features(t), ["event_id"], ["continuity_index", "defenders_continuity"])
     return checks.groupBy("metric", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -69,7 +69,7 @@ _CALH = f"""lw AS (SELECT * FROM (SELECT pool, p_home, actual, pow(p_home - {y(1
 
 @query("calibration_health", f"""WITH {_CALH},
 s AS (SELECT pool, regr_slope(obs, pm) AS slope, count(*) AS nb FROM {rel('p_home', y(1), 4, 'lw', 'pool')} GROUP BY 1)
-SELECT pool, count(*) AS sample_size, #[avg(sq)]# AS rolling_brier, #[avg(sq) FILTER (rn <= 10) - avg(sq) FILTER (rn > 10)]# AS degradation, avg(sq) FILTER (rn <= 10) - avg(sq) FILTER (rn > 10) > 0.01 AS degraded,
+SELECT pool, count(*) AS sample_size, #[avg(sq)]# AS rolling_brier, #[CASE WHEN count(*) >= 50 THEN avg(sq) FILTER (rn <= 10) - avg(sq) FILTER (rn > 10) END]# AS degradation, CASE WHEN count(*) >= 50 THEN avg(sq) FILTER (rn <= 10) - avg(sq) FILTER (rn > 10) > 0.01 END AS degraded,
   #[any_value(CASE WHEN nb >= 3 THEN slope END)]# AS slope, any_value(CASE WHEN nb >= 3 THEN slope BETWEEN 0.95 AND 1.05 END) AS slope_ok FROM lw LEFT JOIN s USING (pool) GROUP BY 1""", "prediction_log")
 def _(t):
     return r(MO.calibration_health(t.prediction_log, "pool", ["kickoff_ts", "request_id"]), "rolling_brier", "degradation", "slope")
