@@ -6,6 +6,7 @@ from ..functions.expr import rnd
 from ..operators import clean as C
 from ..operators import joins as J
 from ..operators import windows as W
+from ..session import persist_table
 from .registry import query
 from .window_queries import CONT_SQL
 
@@ -60,7 +61,8 @@ SELECT m.match_id, {_side('h', 'squad_size', 23)} AS home_squad_size, {_side('a'
 FROM (SELECT * REPLACE (home * 3 AS home, away * 7 AS away) FROM matches) m ASOF LEFT JOIN cont h ON m.home = h.team_id AND m.kickoff_ts > h.announced_ts ASOF LEFT JOIN cont a ON m.away = a.team_id AND m.kickoff_ts > a.announced_ts""", "matches snapshots")
 def _(t):
     m = t.matches.withColumns({"home": F.col("home") * 3, "away": F.col("away") * 7})
-    out = J.enrich_matches(m, W.squad_continuity(t.snapshots), UNIT)
+    squads = persist_table(W.squad_continuity(t.snapshots))  # the join reads its right side twice
+    out = J.enrich_matches(m, squads, UNIT)
     cols = ["squad_size", "continuity_index", "defenders_continuity"]
     return out.select("match_id", *[rnd(f"{s}_{c}").alias(f"{s}_{c}") for c in cols for s in ("home", "away")], rnd("continuity_diff").alias("continuity_diff"), rnd("squad_size_diff").alias("squad_size_diff"))
 
