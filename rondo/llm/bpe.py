@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vocabulary import SAFE, Vocabulary, vocabulary
@@ -112,14 +112,40 @@ def concatenate(parts: list[Part], vocab: Vocabulary) -> np.ndarray:
     return parts[0][1]
 
 
-def _encode(path: str, keep: list[str]):
+def _slices(rows: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of one column, so that what a task holds doesn't depend on the length of texts."""
+    n = max(1, rows.column(column).nbytes // most)
+    step = max(1, rows.num_rows // n)
+    for k in range(0, rows.num_rows, step):
+        yield rows.slice(k, step)
+
+
+def _listed(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32)))
+
+
+def _as_ids(ids: list[np.ndarray], vocab: Vocabulary) -> dict[str, pa.Array]:
+    return {"ids": _listed(ids)}
+
+
+def _as_digests(ids: list[np.ndarray], vocab: Vocabulary) -> dict[str, pa.Array]:
+    """Number of tokens, digest of the ids and digest of what they decode to."""
+    hexed = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+    texts = [vocab.decode(x)[0].tobytes().decode(errors="replace") for x in ids]
+    return {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(hexed), "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])}
+
+
+IDS, DIGESTS = "doc_id long, ids array<int>", "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _encode(path: str, keep: list[str], finish: Callable = _as_ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for rows in batches:
-            ids = [vocab.encode(t) for t in rows.column("text").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(offsets), values)], [*keep, "ids"])
+        for batch in batches:
+            for rows in _slices(batch, "text"):
+                made = finish([vocab.encode(t) for t in rows.column("text").to_pylist()], vocab)
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *made.values()], [*keep, *made])
 
     return run
 
@@ -136,16 +162,24 @@ def _cut(path: str):
     return run
 
 
-def _join(path: str):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _join(path: str, finish: Callable):
+    def run(rows: pa.Table) -> pa.Table:
         vocab = vocabulary(path)
-        rows = rows.sort_values("part")
-        ids = concatenate([(t.encode(), np.asarray(x, dtype=np.int64)) for t, x in zip(rows["text"], rows["ids"], strict=True)], vocab)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "ids": [ids.astype(np.int32)]})
+        rows = rows.sort_by("part")
+        parts = [(t.as_py().encode(), np.asarray(x.values)) for t, x in zip(rows.column("text"), rows.column("ids"), strict=True)]
+        return pa.table({"doc_id": rows.column("doc_id").slice(0, 1), **finish([concatenate(parts, vocab)], vocab)})
 
     return run
 
 
+def _encoded(docs: DataFrame, path: str, finish: Callable, schema: str) -> DataFrame:
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    short = rows.filter(F.length("text") <= LONG).drop("row").mapInArrow(_encode(path, ["doc_id"], finish), schema)
+    parts = rows.filter(F.length("text") > LONG).mapInArrow(_cut(path), "row long, doc_id long, part long, text string").repartition("row", "part")
+    encoded = parts.mapInArrow(_encode(path, ["row", "doc_id", "part", "text"]), "row long, doc_id long, part long, text string, ids array<int>")
+    return short.unionByName(encoded.groupBy("row").applyInArrow(_join(path, finish), schema))
+
+
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """Per row of documents: doc_id and ids, as the tokenizers library gives them without added special tokens.
 
@@ -154,12 +188,12 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     A task holds the parts of one text at a time. NULL texts count as empty (no ids), NULL identifiers stay, repeated rows are
     encoded each, an empty table gives none. Other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = rows.filter(F.length("text") <= LONG).drop("row").mapInArrow(_encode(path, ["doc_id"]), "doc_id long, ids array<int>")
-    parts = rows.filter(F.length("text") > LONG).mapInArrow(_cut(path), "row long, doc_id long, part long, text string").repartition("row", "part")
-    kept = ["row", "doc_id", "part", "text"]
-    encoded = parts.mapInArrow(_encode(path, kept), "row long, doc_id long, part long, text string, ids array<int>")
-    return short.unionByName(encoded.groupBy("row").applyInPandas(_join(path), "doc_id long, ids array<int>"))
+    return _encoded(docs, path, _as_ids, IDS)
+
+
+def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` in one pass: doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    return _encoded(docs, path, _as_digests, DIGESTS)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -168,7 +202,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for rows in batches:
+        for rows in (part for batch in batches for part in _slices(batch, "ids")):
             ids = rows.column("ids")
             data, ends = vocab.decode(ids.flatten().to_numpy(zero_copy_only=False))
             bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in ids])])]
@@ -178,14 +212,3 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{kinds}, text string")
-
-
-def hex_of_ids(ids: Column) -> Column:
-    """SHA-256 of the decimal ids joined by commas."""
-    return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
-
-
-def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text."""
-    decoded = bpe_decode(bpe_encode(docs, path), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
