@@ -78,3 +78,8 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def small(written: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written table of short rows with a broadcast hint if it has at most ``rows`` rows; beyond that the planner shuffles."""
+    return F.broadcast(written) if written.count() <= rows else written
