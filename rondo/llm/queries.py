@@ -10,6 +10,7 @@ from . import decontaminate, line_dedup
 from .bpe import bpe_round_trip
 from .minhash_dedup import near_duplicates
 from .pii import find_personal_data
+from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .token_count import token_counts
@@ -61,6 +62,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
