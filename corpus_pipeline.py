@@ -1,26 +1,55 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
+
+Every stage works on all rows its predecessor kept; all but the last return the columns of documents. A NULL identifier, a NULL text or an empty
+table pass through every stage as its operator defines it. Rows that share an identifier are one document to every decision.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondo.llm.quality_rules import quality_rules
+from rondo.llm.bpe import bpe_round_trip
+from rondo.llm.decontaminate import drop_contaminated
+from rondo.llm.line_dedup import dedup_lines
+from rondo.llm.minhash_dedup import drop_near_duplicates
+from rondo.llm.quality_rules import drop_rejected
+from rondo.llm.queries import byte_bpe, table
 from rondo.session import persist_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; equal identifiers share their fate."""
-    rejected = quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["gone"]), "left_anti")
+    """Documents that the quality rules reject go."""
+    return drop_rejected(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines within one edit of an earlier line go; n_chars follows the text."""
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    return dedup_lines(docs).select(*[n_chars if c == "n_chars" else c for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near-duplicates one document stays."""
+    return drop_near_duplicates(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document left is encoded and decoded: doc_id, n_tokens and both digests."""
+    return bpe_round_trip(docs, byte_bpe())
 
 
-STAGES = [("quality rules", quality)]
-ORACLE_SQL = None
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near), ("benchmark decontamination", benchmark), ("byte-pair encoding", tokens)]
+ORACLE_SQL = None  # SQL states neither the divergence verdict's stored references nor the encoding; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rondo.session import persist_table
 
-from .text import bind, same, total, words
+from .text import bind, same, small, total, words
 
 #: The most common words of the languages served (fixed values).
 COMMON_WORDS = {
@@ -123,3 +123,9 @@ def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_dis
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"),
         class_distance.alias("class_distance"), word_distance.alias("word_distance"))
+
+
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """The documents without those that the rules reject; all columns stay. Of rows that share an identifier all go if one is rejected."""
+    gone = persist_table(quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(small(gone), same(docs["doc_id"], gone["gone_id"]), "left_anti")
