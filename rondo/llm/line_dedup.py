@@ -23,35 +23,45 @@ def _xor(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
 
 
-def _deletions(line: Column) -> Column:
+def _deletions(line: Column, opened: Column) -> Column:
     """Structs of the hashed key and the place of every variant with one character less, and of the line itself (place -1).
 
+    Only places in the open stretches (``_quarters``) are deleted.
+
     A key is the exclusive or of the hashes of the variant's pieces and their places. A deletion in piece j leaves the pieces before it, and those
     after it are the pieces of the line moved by one, so a variant costs the hash of one piece and not of the whole line.
     """
     hashed = lambda p, j: F.when(F.length(p) > 0, F.xxhash64(p, j)).otherwise(F.lit(0).cast("long"))
+    n = F.length(line)
 
-    def of(plain: Column, moved: Column) -> Column:
+    def of(plain: Column, moved: Column, stretches: Column) -> Column:
         heads, tails = F.transform(plain, hashed), F.transform(moved, hashed)
         itself = F.array(F.struct(_xor(heads).alias("key"), F.lit(-1).alias("at")))
-        return F.concat(itself, bind(heads, lambda h: bind(tails, lambda t: F.flatten(F.transform(plain, lambda p, j: _in_piece(p, j, moved, h, t))))))
+        return F.concat(itself, bind(heads, lambda h: bind(tails, lambda t: F.flatten(F.transform(plain, lambda p, j: _in_piece(p, j, moved, h, t, stretches))))))
 
-    def _in_piece(p: Column, j: Column, moved: Column, heads: Column, tails: Column) -> Column:
+    def _in_piece(p: Column, j: Column, moved: Column, heads: Column, tails: Column, stretches: Column) -> Column:
         rest = _xor(F.slice(heads, F.lit(1), j)).bitwiseXOR(_xor(F.slice(tails, j + 2, F.size(tails))))
         widened = F.concat(p, F.substring(F.coalesce(F.get(moved, j), F.lit("")), F.length(p), F.lit(1)))
         variant = lambda w, i: F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.length(w)))
+        places = F.filter(F.sequence(F.lit(0), F.length(p) - 1), lambda i: F.exists(stretches, lambda x: (j * PIECE + i).between(x["low"], x["high"])))
         return bind(rest, lambda r: bind(widened, lambda w: F.transform(
-            F.sequence(F.lit(0), F.length(p) - 1), lambda i: F.struct(r.bitwiseXOR(hashed(variant(w, i), j)).alias("key"), (j * PIECE + i).alias("at")))))
+            places, lambda i: F.struct(r.bitwiseXOR(hashed(variant(w, i), j)).alias("key"), (j * PIECE + i).alias("at")))))
 
-    n = F.length(line)
-    return bind(_pieces(line, 0, n), lambda plain: bind(_pieces(line, 1, n), lambda moved: of(plain, moved)))
+    stretches = F.transform(opened, lambda o: F.struct(((3 - o["kind"]) * o["q"]).alias("low"), (n - 1 - o["kind"] * o["q"]).alias("high")))
+    return bind(_pieces(line, 0, n), lambda plain: bind(_pieces(line, 1, n), lambda moved: bind(stretches, lambda x: of(plain, moved, x))))
 
 
-def _halves(line: Column) -> Column:
-    """Keys of beginnings and ends of half the length: of two lines within one edit, one half is the same."""
+def _quarters(line: Column) -> Column:
+    """Keys of all of a line but one quarter, as structs of key, kind (quarters taken from the end) and q (characters of a quarter).
+
+    Two lines within one edit agree in three quarters of the shorter one, counted from the start before the edit and from the end after it, so they share the
+    key that leaves out the stretch of the edit: from place (3 - kind) * q to the last kind * q characters.
+    """
     n = F.length(line)
-    lengths = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")))
-    return F.flatten(F.transform(lengths, lambda k: F.array(F.xxhash64(F.lit("head"), k, F.substring(line, F.lit(1), k)), F.xxhash64(F.lit("tail"), k, F.substring(line, n - k + 1, k)))))
+    sizes = F.array_distinct(F.array(F.floor((n - 1) / 4).cast("int"), F.floor(n / 4).cast("int")))
+    head, tail = (lambda k: F.substring(line, F.lit(1), k)), (lambda k: F.substring(line, n - k + 1, k))
+    key = lambda q, kind: F.xxhash64(F.lit(kind), q, *[head((3 - kind) * q)] * (kind < 3), *[tail(kind * q)] * (kind > 0))
+    return F.flatten(F.transform(sizes, lambda q: F.array(*[F.struct(key(q, k).alias("key"), F.lit(k).alias("kind"), q.alias("q")) for k in range(4)])))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -64,8 +74,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """Places of lines that come within one edit (insertion, deletion or substitution of a character) of an earlier line, itself dropped or not.
 
     Lines are parts of a text between line feeds, without white space at their ends; those under ``MIN_CHARS`` characters are left
-    alone. Earlier means a smaller (doc_id, line number). Equal lines are counted once and stand for their earliest place. Only lines that share a half
-    with another line (a necessary condition, checked on two keys a half) emit the keys of their deletion neighbourhood. Variants that agree
+    alone. Earlier means a smaller (doc_id, line number). Equal lines are counted once and stand for their earliest place. Only lines that share all
+    but a quarter with another line (a necessary condition) emit the keys of their deletion neighbourhood, and only for deletions in that quarter. Variants that agree
     in key and place come from lines that differ in that place; a variant that equals a whole line comes from one with a character more. So the earliest line
     of each group is a partner of every other one, groups need no pairs, and the edit distance to that partner is verified on the lines.
 
@@ -75,9 +85,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs.filter(F.col("doc_id").isNotNull()))
     place = F.struct("doc_id", "line_no")
     distinct = persist_table(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    keyed = lines.select("h", "h2", F.explode(_halves(F.col("line"))).alias("half"))
-    ranked = keyed.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high")
-    shared = persist_table(keyed.join(ranked.select("half"), "half", "left_semi").select("h", "h2").distinct())
+    keyed = lines.select("h", "h2", F.explode(_quarters(F.col("line"))).alias("k")).select("h", "h2", "k.key", "k.kind", "k.q")
+    crowded = persist_table(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high").select("key"))
+    shared = persist_table(keyed.join(small(crowded), "key").groupBy("h", "h2").agg(F.collect_set(F.struct("kind", "q")).alias("opened")))
     near = _near_lines(lines, distinct, shared)
     bound = distinct.join(near, ["h", "h2"], "left").select("h", "h2", F.least("first", "partner").alias("earliest"), (F.col("copies") > 1).alias("again"))
     bound = persist_table(bound.filter(F.col("again") | F.col("earliest").isNotNull()))
@@ -87,10 +97,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def _near_lines(lines: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
     """For lines of ``shared`` with an earlier line one edit away: hashes and the partner's place."""
-    firsts = persist_table(distinct.join(small(shared), ["h", "h2"]).select("h", "h2", "first"))
-    texts = lines.join(small(firsts), ["h", "h2"]).filter(F.col("first") == F.struct("doc_id", "line_no")).select("h", "h2", "first", "line")
+    firsts = persist_table(distinct.join(small(shared), ["h", "h2"]).select("h", "h2", "first", "opened"))
+    texts = lines.join(small(firsts), ["h", "h2"]).filter(F.col("first") == F.struct("doc_id", "line_no")).select("h", "h2", "first", "line", "opened")
     texts = persist_table(texts.dropDuplicates(["h", "h2"]))
-    variants = texts.select("h", "h2", "first", F.explode(_deletions(F.col("line"))).alias("v")).select("h", "h2", "first", "v.key", "v.at")
+    variants = texts.select("h", "h2", "first", F.explode(_deletions(F.col("line"), F.col("opened"))).alias("v")).select("h", "h2", "first", "v.key", "v.at")
     other = F.when(F.col("at") >= 0, F.col("at"))
     groups = variants.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high").select("key")
     met = persist_table(variants.join(groups, "key"))
