@@ -14,8 +14,11 @@ def _asof(events: DataFrame, right: DataFrame, values: list[str], key: str, left
 
     ``right`` has columns _k, _ts, _id and the values. One pass: both sides are united and a window keeps the last value
     seen, per (key, time slice); a slice starts from the last values of earlier slices. Events are never multiplied and
-    no range join is built.
+    no range join is built. Events without a key or a time know nothing: they keep NULL values and take no part in the windows.
     """
+    placed = F.col(key).isNotNull() & F.col(left_ts).isNotNull()
+    unplaced = events.filter(~placed).select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
+    events, right = events.filter(placed), right.filter(F.col("_k").isNotNull() & F.col("_ts").isNotNull())
     before_event, after_event = (0, 1) if strict else (1, 0)
     types = {v: right.schema[v].dataType for v in values}
     payload = F.struct(*[F.col(c) for c in events.columns])
@@ -32,7 +35,7 @@ def _asof(events: DataFrame, right: DataFrame, values: list[str], key: str, left
     inside = Window.partitionBy("_k", SLICE).orderBy("_ts", "_side", "_id").rowsBetween(Window.unboundedPreceding, -1)
     out = left.unionByName(right).join(carry, ["_k", SLICE])
     out = out.select("_e", *[F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_c_{v}")).alias(v) for v in values])
-    return out.filter(F.col("_e").isNotNull()).select("_e.*", *values)
+    return out.filter(F.col("_e").isNotNull()).select("_e.*", *values).unionByName(unplaced)
 
 
 def asof_row(events: DataFrame, rows: DataFrame, columns: list[str], name: str = "row", key: str = "team_id", left_ts: str = "kickoff_ts", right_ts: str = "announced_ts",

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from ..functions.expr import add, count_if, epoch_us, lookup, share, with_one_ro
 from ..session import persist_table
 from . import drift as D
 from . import metrics as M
-from .slices import drop_halo, halo_window, prefix_sum, with_halo
 from .windows import brier_degradation, latency_percentiles, newest
 
 P3 = ("p_home", "p_draw", "p_away")
@@ -137,74 +134,35 @@ def guardrails(checks: DataFrame, config: dict[str, tuple] = GUARDRAILS) -> Data
     return out.withColumn("affected_feature", F.when(feature != "", feature))
 
 
-_COOL_OUT = "guardrail string, segment long, t long, id long, accepted boolean"
-
-
-def _cooldown_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Greedy acceptance over rows sorted by (key, segment, time); keeps one timestamp."""
-    key, last = None, None
-    for pdf in batches:
-        out = []
-        for k, seg, t, cool in zip(pdf["guardrail"].tolist(), pdf["segment"].tolist(), pdf["t"].tolist(), pdf["cool"].tolist()):
-            if (k, seg) != key:
-                key, last = (k, seg), None
-            ok = last is None or t - last >= cool
-            if ok:
-                last = t
-            out.append(ok)
-        yield pdf[["guardrail", "segment", "t", "id"]].assign(accepted=out)
-
-
-_SLICE_US = {"hour": 3_600_000_000, "day": 86_400_000_000, "month": 2_592_000_000_000}
-
-
-def cooldown(triggers: DataFrame, ts: str = "ts", trigger_id: str = "trigger_id", unit: str = "day", rows_per_walk: int = 5_000_000) -> DataFrame:
+def cooldown(triggers: DataFrame, ts: str = "ts", trigger_id: str = "trigger_id", unit: str = "day") -> DataFrame:
     """Mark triggers accepted or suppressed: one within the cooldown of the last accepted trigger is suppressed.
 
-    A trigger that follows its predecessor by at least the cooldown is accepted whatever came before, so there the
-    chain of a guardrail is cut into independent segments, and each is walked in order with one timestamp of state.
-    Guardrails with more than ``rows_per_walk`` triggers take the parallel way of ``_cooldown_jumps`` instead.
-    """
-    rows = triggers.select("guardrail", epoch_us(ts).alias("t"), F.col(trigger_id).cast("bigint").alias("id"), (F.col("cooldown_s").cast("bigint") * 1_000_000).alias("cool"))
-    biggest = rows.groupBy("guardrail").count().agg(F.max("count")).first()[0] or 0
-    if biggest > rows_per_walk:
-        out = _cooldown_jumps(rows, unit)
-    else:
-        slice_by = F.floor(F.col("t") / _SLICE_US[unit])
-        key, order = ["guardrail"], ["t", "id"]
-        gaps = drop_halo(with_halo(rows, key, order, 1, slice_by).withColumn("_p", F.lag("t").over(halo_window(key, order))))
-        starts = F.when(F.col("_p").isNull() | (F.col("t") - F.col("_p") >= F.col("cool")), 1).otherwise(0)
-        segs = prefix_sum(gaps.withColumn("_new", starts).drop("_p"), key, order, {"segment": F.col("_new")}, slice_by).select("guardrail", "segment", "t", "id", "cool")
-        out = segs.repartition("guardrail", "segment").sortWithinPartitions("guardrail", "segment", "t", "id").mapInPandas(_cooldown_stream, _COOL_OUT)
-    return out.select(F.col("id").alias(trigger_id), "guardrail", "accepted")
-
-
-def _cooldown_jumps(rows: DataFrame, unit: str) -> DataFrame:
-    """The same marks without walking: pointers to the first trigger after the cooldown, doubled until the chain is covered.
-
-    Every round joins on (guardrail, time), which spreads a hot guardrail over all tasks; after round i the first 2^i accepted
-    triggers of each guardrail are known, so the rounds are logarithmic in the accepted triggers.
+    Pointers lead from every trigger to the first one after its cooldown and are doubled until the chain is covered. Every round joins on
+    (guardrail, time), which spreads a hot guardrail over all tasks; after round i the first 2^i accepted triggers of each
+    guardrail are known, so the rounds are logarithmic in the accepted triggers.
     """
     from .joins import asof_row
 
+    rows = triggers.select("guardrail", epoch_us(ts).alias("t"), F.col(trigger_id).cast("bigint").alias("id"), (F.col("cooldown_s").cast("bigint") * 1_000_000).alias("cool"))
     mirror = lambda c: F.timestamp_micros(F.lit(4_102_444_800_000_000) - c).cast("timestamp_ntz")  # noqa: E731  time reversed: 'next' becomes 'latest before'
-    nodes = rows.filter(F.col("cool") > 0).groupBy("guardrail", "t").agg(F.min("id").alias("id"), F.max("cool").alias("cool"))
+    nodes = persist_table(rows.filter(F.col("cool") > 0).groupBy("guardrail", "t").agg(F.min("id").alias("id"), F.max("cool").alias("cool")))
     probes = nodes.select("guardrail", "t", "id", mirror(F.col("t") + F.col("cool")).alias("at"))
     marks = nodes.select("guardrail", "t", mirror(F.col("t")).alias("at"))
     jump = asof_row(probes, marks, ["t"], "n", "guardrail", "at", "at", "id", strict=False, unit=unit)
     jump = persist_table(jump.select("guardrail", "t", F.col("n.t").alias("to")).filter(F.col("to").isNotNull()))
     reached = persist_table(nodes.groupBy("guardrail").agg(F.min("t").alias("t")))
+    known = reached.count()
     while True:
         ahead = reached.join(jump, ["guardrail", "t"]).select("guardrail", F.col("to").alias("t"))
-        grown = persist_table(reached.unionByName(ahead).distinct())
-        if grown.count() == reached.count():
+        reached = persist_table(reached.unionByName(ahead).distinct())
+        before, known = known, reached.count()
+        if known == before:
             break
-        reached = grown
         twice = jump.select("guardrail", F.col("t").alias("from"), F.col("to").alias("t")).join(jump, ["guardrail", "t"])
         jump = persist_table(twice.select("guardrail", F.col("from").alias("t"), "to"))
     first = nodes.select("guardrail", "t", "id").join(reached, ["guardrail", "t"]).select("guardrail", "t", "id", F.lit(True).alias("hit"))
-    out = rows.join(first, ["guardrail", "t", "id"], "left")
-    return out.select("guardrail", "t", "id", F.coalesce("hit", F.col("cool") == 0).alias("accepted"))
+    out = rows.join(first, ["guardrail", "t", "id"], "left").select("guardrail", "id", F.coalesce("hit", F.col("cool") == 0).alias("accepted"))
+    return out.select(F.col("id").alias(trigger_id), "guardrail", "accepted")
 
 
 def guardrail_state(actions: DataFrame, ts: str = "ts", order: str = "trigger_id") -> DataFrame:

@@ -1,13 +1,8 @@
 """Sequential ratings: every match reads two ratings that earlier matches of the pool wrote.
 
 Within a pool this is a chain, so no window or aggregate expresses it. The fold is a stream over rows that
-Spark has partitioned by (pool, variant) and sorted by (time, id); a task keeps one Arrow batch and one
-rating per team of the current pool, never a pool's matches.
-
-Pools larger than ``rows_per_slice`` are cut into time slices that are folded in parallel. Each slice starts
-from the ratings its teams had at the end of the last round's earlier slices; rounds repeat until no start rating
-moves by more than ``tol``. After round i the first i slices are exact, so the loop always ends; since ratings forget
-their start geometrically it ends after a few rounds. The last round emits the matches.
+Spark has partitioned by (pool, variant, slice) and sorted by (time, id); a task keeps one Arrow batch and one
+rating per team of the current slice, never a slice's matches. Slices are calendar units (``elo_fold``).
 """
 
 from __future__ import annotations
@@ -20,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import epoch_us
+from ..functions.expr import epoch_us, lookup
 from ..session import persist_table
 
 # K by keyword, matched longest keyword first (fixed values)
@@ -194,11 +189,15 @@ def _stream(rows: DataFrame, fn, schema: str) -> DataFrame:
     return (rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "kind", "t", "match_id").mapInPandas(fn, schema))
 
 
-def _match_rows(matches: DataFrame, rules: list[Rules]) -> DataFrame:
-    """One row per match and variant with everything that does not depend on ratings."""
+_SLICE_BEFORE_ALL, _SLICE_NO_TIME = -2_000_000, -1_000_000
+
+
+def _match_rows(matches: DataFrame, rules: list[Rules], unit: str) -> DataFrame:
+    """One row per match and variant with everything that does not depend on ratings; ``slice`` is the day its calendar unit begins."""
     per_rule = F.explode(F.array(*[F.struct(*_inputs(matches, r)) for r in rules]))
+    day = F.date_diff(F.date_trunc(unit, "kickoff_ts").cast("date"), F.lit("1970-01-01").cast("date"))
     return matches.select(
-        F.col("pool").cast("string"), F.lit(0).alias("slice"), F.lit(1).alias("kind"), epoch_us("kickoff_ts").alias("t"), "match_id",
+        F.col("pool").cast("string"), F.coalesce(day, F.lit(_SLICE_NO_TIME)).alias("slice"), F.lit(1).alias("kind"), epoch_us("kickoff_ts").alias("t"), "match_id",
         "home", "away", F.lit(None).cast("double").alias("seed"), per_rule.alias("r")).select(
         "pool", "r.variant", "slice", "kind", "t", F.col("match_id").cast("bigint").alias("match_id"), F.col("home").cast("int").alias("home"),
         F.col("away").cast("int").alias("away"), "r.k", "r.extra", "r.bonus", "r.score", "r.base", "r.dampen", "seed")
@@ -212,59 +211,40 @@ def _seed_rows(seeds: DataFrame) -> DataFrame:
                         null.alias("score"), null.alias("base"), F.lit(False).alias("dampen"), F.col("rating").alias("seed"))
 
 
-def elo_fold(matches: DataFrame, rules: Rules | list[Rules], seeds: DataFrame | None = None,
-             rows_per_slice: int = 5_000_000, tol: float = 1e-9) -> DataFrame:
+def elo_fold(matches: DataFrame, rules: Rules | list[Rules], seeds: DataFrame | None = None, unit: str = "month") -> DataFrame:
     """Ratings of both sides before and after every match: (pool, variant, match_id, home, away, t, pre_*, post_*).
 
     ``seeds`` (pool, team, rating) are ratings to start from; other teams start at the variant's base.
+
+    Every pool is cut into slices of a calendar ``unit``, and all slices are folded side by side. What a team ends one slice with is what it
+    starts its next one with; slices whose starts that changes are folded again, until none changes at all. In every round at least one more
+    slice of a pool has final starts, so the loop ends after as many rounds as there are slices, with the numbers of the plain sequential fold.
     """
     rules = [rules] if isinstance(rules, Rules) else rules
-    rows = _match_rows(matches, rules)
-    start = None
+    rows = persist_table(_match_rows(matches, rules, unit).select(*_FOLD_IN))
+    first = None
     if seeds is not None:
         variants = F.explode(F.array(*[F.lit(r.name) for r in rules])).alias("variant")
-        start = seeds.select(F.col("pool").cast("string"), variants, F.lit(0).alias("slice"), "team", F.col("rating").cast("double"))
-    biggest = matches.groupBy("pool").count().agg(F.max("count")).first()[0] or 0
-    if biggest <= rows_per_slice:
-        return _stream(rows if start is None else rows.unionByName(_seed_rows(start)), _emit_matches, _MATCH_OUT)
-    return _fold_slices(matches, rows, start, rows_per_slice, tol)
-
-
-def _fold_slices(matches: DataFrame, rows: DataFrame, start: DataFrame | None, rows_per_slice: int, tol: float) -> DataFrame:
-    # cut points of the hot pools only: at most total rows / rows_per_slice numbers
-    t = epoch_us("kickoff_ts")
-    hot = matches.groupBy(F.col("pool").cast("string").alias("pool")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_slice)
-    parts = int(hot.agg(F.max(F.ceil(F.col("n") / rows_per_slice))).first()[0])
-    cuts = persist_table(matches.withColumn("pool", F.col("pool").cast("string")).join(hot, "pool", "left_semi").groupBy("pool").agg(
-        F.percentile_approx(t, [i / parts for i in range(1, parts)], 10_000).alias("cuts")))
-    slice_no = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("t"))), F.lit(0))
-    sliced = persist_table(rows.drop("slice").join(cuts, "pool", "left").withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(slice_no)).drop("cuts"))
-    names = [c for c in _FOLD_IN]
-    sliced = sliced.select(*names)
-
-    def seeded(boundary: DataFrame | None) -> DataFrame:
-        out = sliced
-        for extra in (start, boundary):
-            if extra is not None:
-                out = out.unionByName(_seed_rows(extra))
-        return out
-
+        first = seeds.select(F.col("pool").cast("string"), variants, F.lit(_SLICE_BEFORE_ALL).alias("slice"), F.col("team").cast("int").alias("team"), F.col("rating").cast("double"))
+    bases = {r.name: r.base for r in rules}
+    base = lookup(bases, F.col("variant"))
     by_team = Window.partitionBy("pool", "variant", "team").orderBy("slice")  # one row per slice a team plays in
-    bases = sliced.groupBy("variant").agg(F.max("base").alias("base"))
-    boundary = None
-    for _ in range(parts + 1):
-        ends = _stream(seeded(boundary), _emit_ends, _END_OUT)
-        if start is not None:
-            ends = ends.unionByName(start.withColumn("slice", F.lit(-1)).select("pool", "variant", "slice", "team", "rating"))
-        moved = ends.withColumn("rating", F.lag("rating").over(by_team)).filter((F.col("slice") >= 1) & F.col("rating").isNotNull())
-        new = persist_table(moved)
-        known = boundary if boundary is not None else new.limit(0)
-        delta = (new.join(known.withColumnRenamed("rating", "old"), ["pool", "variant", "slice", "team"], "left").join(bases, "variant")
-                 .agg(F.max(F.abs(F.col("rating") - F.coalesce("old", "base")))).first()[0])
-        boundary = new
-        if delta is None or delta <= tol:
-            break
-    return _stream(seeded(boundary), _emit_matches, _MATCH_OUT)
+    ends = persist_table(_stream(rows, _emit_ends, _END_OUT))
+    starts = ends.limit(0)
+    while True:
+        known = ends if first is None else ends.unionByName(first)
+        moved = known.withColumn("rating", F.lag("rating").over(by_team)).filter((F.col("slice") > _SLICE_BEFORE_ALL) & F.col("rating").isNotNull())
+        group = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*_GROUP, "team")]
+        before = starts.select(*[F.col(c).alias(f"_{c}") for c in (*_GROUP, "team")], F.col("rating").alias("_old"))
+        differs = F.col("rating") != F.coalesce("_old", base)
+        compared = persist_table(moved.join(before, group, "left").select(*_GROUP, "team", "rating", differs.alias("_new")))
+        changed = persist_table(compared.filter("_new").select(*[F.col(c).alias(f"_{c}") for c in _GROUP]).distinct())
+        starts = compared.drop("_new")
+        if not changed.limit(1).count():
+            return _stream(rows.unionByName(_seed_rows(starts)), _emit_matches, _MATCH_OUT)
+        hit = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _GROUP]
+        again = rows.unionByName(_seed_rows(starts)).join(changed, hit, "left_semi")
+        ends = persist_table(ends.join(changed, hit, "left_anti").unionByName(_stream(again, _emit_ends, _END_OUT)))
 
 
 def final_ratings(folded: DataFrame) -> DataFrame:

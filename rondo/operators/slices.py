@@ -53,7 +53,10 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], unit: str | Column) -> DataFrame:
-    """Add, per row, the sum of each expression over all strictly earlier rows of the key (0 when there are none)."""
+    """Add, per row, the sum of each expression over all strictly earlier rows of the key (0 when there are none).
+
+    No row is lost: NULL is a key like any other, and rows without a time come first.
+    """
     sliced = add_slice(df, order[0], unit)
     for name, expr in sums.items():
         sliced = sliced.withColumn(f"_x_{name}", expr)
@@ -61,7 +64,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, SLICE, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
     inside = halo_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    out = sliced.join(carry, [*keys, SLICE])
+    named = carry.withColumnsRenamed({c: f"_r_{c}" for c in [*keys, SLICE]})
+    out = sliced.join(named, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, SLICE]], "left")
     for n in sums:
         zero = F.lit(0)
         out = out.withColumn(n, F.coalesce(F.col(f"_c_{n}"), zero) + F.coalesce(F.sum(f"_x_{n}").over(inside), zero))

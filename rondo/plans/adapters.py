@@ -37,6 +37,8 @@ SELECT user_id AS team_id, event_type AS feature_name, value / 1000.0 AS feature
 FROM events WHERE event_type <> 'purchase'"""),
     "kickoffs": ((), """
 SELECT event_id AS match_id, user_id AS team_id, ts AS kickoff_ts FROM events WHERE event_type = 'purchase'"""),
+    "gappy_kickoffs": (("kickoffs",), """
+SELECT match_id, CASE WHEN match_id % 50 <> 0 THEN team_id END AS team_id, CASE WHEN match_id % 50 <> 1 THEN kickoff_ts END AS kickoff_ts FROM kickoffs"""),
     "predictions": (("matches", "teams"), """
 SELECT m.match_id, m.kickoff_ts, m.pool, m.tournament,
   e * (1 - pd) AS p_home, pd AS p_draw, (1 - e) * (1 - pd) AS p_away,
@@ -161,6 +163,12 @@ class Tables:
         return self.events.filter(F.col("event_type") == "purchase").select(
             F.col("event_id").alias("match_id"), F.col("user_id").alias("team_id"), F.col("ts").alias("kickoff_ts"))
 
+    @cached_property
+    def gappy_kickoffs(self) -> DataFrame:
+        """Kickoffs of which some lack the team and some the time."""
+        i = F.col("match_id") % 50
+        return self.kickoffs.select("match_id", F.when(i != 0, F.col("team_id")).alias("team_id"), F.when(i != 1, F.col("kickoff_ts")).alias("kickoff_ts"))
+
     @cached_property
     def predictions(self) -> DataFrame:
         h = self.teams.select(F.col("team").alias("home"), F.col("rating").alias("rh"))

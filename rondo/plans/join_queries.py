@@ -15,17 +15,17 @@ NAMES = ["click", "view"]
 
 
 def _asof(n):
-    return f"(SELECT k.match_id, f.feature_value, f.source_id FROM kickoffs k ASOF LEFT JOIN (SELECT * FROM features WHERE feature_name = '{n}') f ON k.team_id = f.team_id AND k.kickoff_ts > f.feature_ts)"
+    return f"(SELECT k.match_id, f.feature_value, f.source_id FROM gappy_kickoffs k ASOF LEFT JOIN (SELECT * FROM features WHERE feature_name = '{n}') f ON k.team_id = f.team_id AND k.kickoff_ts > f.feature_ts)"
 
 
-@query("asof_join_features", " UNION ALL ".join(f"SELECT match_id, '{n}' AS feature_name, #[feature_value]# AS feature_value, coalesce(source_id, -1) AS source_id FROM {_asof(n)}" for n in NAMES), "kickoffs features")
+@query("asof_join_features", " UNION ALL ".join(f"SELECT match_id, '{n}' AS feature_name, #[feature_value]# AS feature_value, coalesce(source_id, -1) AS source_id FROM {_asof(n)}" for n in NAMES), "gappy_kickoffs features")
 def _(t):
-    return J.asof_join(t.kickoffs, t.features, NAMES, unit=UNIT).select("match_id", "feature_name", rnd("feature_value").alias("feature_value"), F.coalesce("source_id", F.lit(-1)).alias("source_id"))
+    return J.asof_join(t.gappy_kickoffs, t.features, NAMES, unit=UNIT).select("match_id", "feature_name", rnd("feature_value").alias("feature_value"), F.coalesce("source_id", F.lit(-1)).alias("source_id"))
 
 
-@query("asof_wide", f"SELECT c.match_id, #[c.feature_value]# AS click, #[v.feature_value]# AS view FROM {_asof('click')} c JOIN {_asof('view')} v USING (match_id)", "kickoffs features")
+@query("asof_wide", f"SELECT c.match_id, #[c.feature_value]# AS click, #[v.feature_value]# AS view FROM {_asof('click')} c JOIN {_asof('view')} v USING (match_id)", "gappy_kickoffs features")
 def _(t):
-    return J.asof_wide(t.kickoffs, t.features, NAMES, unit=UNIT).select("match_id", *[rnd(f"f_{n}.value").alias(n) for n in NAMES])
+    return J.asof_wide(t.gappy_kickoffs, t.features, NAMES, unit=UNIT).select("match_id", *[rnd(f"f_{n}.value").alias(n) for n in NAMES])
 
 
 @query("latest_before", """

@@ -42,7 +42,7 @@ def _(t):
 
 @query("fit_random_forest")
 def _(t):
-    return _fit_eval(t, lambda d: MD.fit_random_forest(d, FEATURES, trees=20, depth=5))
+    return _fit_eval(t, lambda d: MD.fit_random_forest(d, FEATURES, trees=100, depth=10))
 
 
 @query("fit_logistic")
@@ -145,7 +145,7 @@ def _(t):
 def _(t):
     df = training(t)
     model = MD.fit_logistic(df.filter("split = 'train'"), FEATURES, balanced=False)
-    out = MD.permutation_importance(model, df.filter("split = 'test'").select("match_id", "actual", *FEATURES), FEATURES[:2])
+    out = MD.permutation_importance(model, df.filter("split = 'test'").select("match_id", "actual", *FEATURES), FEATURES)
     return r(out, "base_loss", "loss", "importance", digits=4)
 
 

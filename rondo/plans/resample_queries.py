@@ -23,22 +23,22 @@ _SUMM = "#[avg(value)]# AS mean, #[stddev_pop(value)]# AS std, #[quantile_cont(v
 
 @query("block_bootstrap", f"""
 WITH blk AS (SELECT a, b, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT CAST(kickoff_ts AS DATE) AS d, sum(2.0/3 - {BR}) AS a, count(*) AS b FROM predictions GROUP BY 1)),
-dr AS (SELECT it, {_draw('it', 'j', '(SELECT max(n) FROM blk)', 7)} AS i FROM range(500) x(it), range((SELECT max(n) FROM blk)) w(j))
+dr AS (SELECT it, {_draw('it', 'j', '(SELECT max(n) FROM blk)', 7)} AS i FROM range(1000) x(it), range((SELECT max(n) FROM blk)) w(j))
 SELECT {_SUMM} FROM (SELECT it, sum(a) / sum(b) AS value FROM dr JOIN blk USING (i) GROUP BY 1)""", "predictions")
 def _(t):
     df = t.predictions.withColumn("d", F.to_date("kickoff_ts"))
-    return r(B.block_bootstrap(df, "d", 2.0 / 3 - brier_row(), iterations=500, seed=7), *SUM)
+    return r(B.block_bootstrap(df, "d", 2.0 / 3 - brier_row(), iterations=1000, seed=7), *SUM)
 
 
 @query("moving_block_bootstrap", f"""
 WITH ser AS (SELECT pool, {BR} AS x, row_number() OVER (PARTITION BY pool ORDER BY kickoff_ts, match_id) - 1 AS pos, count(*) OVER (PARTITION BY pool) AS n FROM predictions),
 bs AS (SELECT pool, pos AS i, sum(x) OVER (PARTITION BY pool ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s, n FROM ser),
 sz AS (SELECT pool, any_value(n) AS n, avg(x) AS original FROM ser GROUP BY 1),
-dr AS (SELECT pool, it, {_draw('it', 'j', 'n - 19', 3)} AS i FROM (SELECT pool, n, unnest(range(n // 20)) AS j FROM sz WHERE n >= 20), range(100) x(it))
+dr AS (SELECT pool, it, {_draw('it', 'j', 'n - 19', 3)} AS i FROM (SELECT pool, n, unnest(range(n // 20)) AS j FROM sz WHERE n >= 20), range(1000) x(it))
 SELECT pool, {_SUMM}, #[any_value(original)]# AS original FROM (SELECT pool, it, sum(s) / (count(*) * 20) AS value FROM dr JOIN bs USING (pool, i) GROUP BY 1, 2) JOIN sz USING (pool) GROUP BY 1""", "predictions")
 def _(t):
     df = t.predictions.withColumn("br", brier_row())
-    return r(B.moving_block_bootstrap(df, ["pool"], W.ORDER, "br", 20, 100, 3, "day"), *SUM, "original")
+    return r(B.moving_block_bootstrap(df, ["pool"], W.ORDER, "br", 20, 1000, 3, "day"), *SUM, "original")
 
 
 @query("acceptance_tests", """

@@ -132,12 +132,12 @@ def _goals(t):
 
 @query("backtest_uplift")
 def _(t):
-    return r(SP.backtest_uplift(_goals(t), ["gap", "on_neutral"], k=3, embargo_days=2), "mse_base", "mse_adjusted", "improvement", digits=4)
+    return r(SP.backtest_uplift(_goals(t), ["gap", "on_neutral"], k=5, embargo_days=2), "mse_base", "mse_adjusted", "improvement", digits=4)
 
 
 @query("feature_group_ablation")
 def _(t):
-    out = SP.feature_group_ablation(_goals(t), {"gap": ["gap"], "venue": ["on_neutral"]}, k=2, embargo_days=2)
+    out = SP.feature_group_ablation(_goals(t), {"gap": ["gap"], "venue": ["on_neutral"]}, k=5, embargo_days=2)
     return r(out, "mean_improvement", digits=4)
 
 

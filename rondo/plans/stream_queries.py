@@ -23,8 +23,7 @@ class StreamTables(Tables):
 
 
 def streamed(t) -> StreamTables:
-    J.use_rocksdb(t.spark)
-    return StreamTables(t.spark, t.sf_dir)
+    return StreamTables(J.stream_session(t.spark), t.sf_dir)
 
 
 def stream_log(t):

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "rondo", cores: int | str = "*") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     spark = (
@@ -17,6 +21,7 @@ def build_session(app: str = "rondo", cores: int | str = "*") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
@@ -26,18 +31,34 @@ def build_session(app: str = "rondo", cores: int | str = "*") -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
+@lru_cache(maxsize=1)
+def _stand_in() -> tempfile.TemporaryDirectory:
+    """One folder of a local process, removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="rondo-")
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (a local test session)
-    does a temporary folder stand in for it.
-    """
+
+def _application_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="rondo-")
-    return f"{base.rstrip('/')}/rondo-{uuid.uuid4().hex}"
+        base = _stand_in().name
+    return f"{base.rstrip('/')}/rondo-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh sub-folder of the cluster's shared checkpoint folder, below one folder per application.
+
+    The folder comes from ``spark.checkpoint.dir``; only where that is unset (a local test session)
+    does a temporary folder of the process stand in for it.
+    """
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that still read them can't be used after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def persist_table(df, spark: SparkSession | None = None):

@@ -17,14 +17,14 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.expr import add, count_if, epoch_us, share
 from ..operators.rating import Rules, _inputs
-from ..session import shared_dir
+from ..session import ROCKSDB, shared_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """The keyed-state operators need this state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for keyed-state streams: their state store and one state partition per core; no other job's settings change."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return own
 
 
 def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None):
@@ -32,20 +32,12 @@ def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", trigg
     return df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
-def run_available(df: DataFrame, timeout_s: int = 1800, state_partitions: int | None = None) -> DataFrame:
-    """Process everything available now and read the result back.
-
-    A stream keeps the number of state partitions it starts with; by default one per core of the cluster.
-    """
+def run_available(df: DataFrame, timeout_s: int | None = None) -> DataFrame:
+    """Process everything available now and read the result back. It takes as long as the input needs, unless a limit is given."""
     spark = df.sparkSession
     base = shared_dir(spark)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
-        q = start(df, f"{base}/out", f"{base}/checkpoint", trigger={"availableNow": True})
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    if not q.awaitTermination(timeout_s):
+    q = start(df, f"{base}/out", f"{base}/checkpoint", trigger={"availableNow": True})
+    if not q.awaitTermination(timeout_s) and timeout_s is not None:
         q.stop()
         raise TimeoutError(f"stream did not finish within {timeout_s} s")
     if q.exception() is not None:

@@ -5,12 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from rondo.session import build_session  # noqa: E402
+from rondo.session import build_session, clear_shared  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("tests")
+    session = build_session("tests")
+    yield session
+    clear_shared(session)
 
 
 @pytest.fixture(scope="session")

@@ -6,6 +6,7 @@ import __spark_entry__ as entry_point
 from rondo.plans.compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
+MAY_BE_EMPTY: set[str] = set()  # queries whose right answer has no rows on the smallest data set
 QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 
 
@@ -23,7 +24,7 @@ def test_query(spark, con, name):
     got = QUERIES[name](spark, SF_DIR).toPandas()
     if name in ORACLES:
         message = compare(got, con.execute(ORACLES[name]).df())
-        assert message in (None, "no rows"), message
+        assert message is None or (message == "no rows" and name in MAY_BE_EMPTY), message
     else:
         assert len(got) > 0
 

@@ -16,14 +16,14 @@ def brute(rows, k=30.0, bonus=100.0, base=1500.0):
     return out, ratings
 
 
-@pytest.mark.parametrize("rows_per_slice", [10_000_000, 40])
-def test_fold_equals_definition_sliced_or_not(tables, rows_per_slice):
+@pytest.mark.parametrize("unit", ["year", "week", "day"])
+def test_fold_equals_definition_in_any_slices(tables, unit):
     m = tables.matches
     want, final = brute(m.collect())
-    folded = R.elo_fold(m, R.CONSTANT_30, rows_per_slice=rows_per_slice)
+    folded = R.elo_fold(m, R.CONSTANT_30, unit=unit)
     got = {r.match_id: (r.pre_h, r.pre_a) for r in folded.collect()}
     assert got.keys() == want.keys()
-    assert max(abs(a - b) for k in want for a, b in zip(got[k], want[k])) < 1e-7
+    assert max(abs(a - b) for k in want for a, b in zip(got[k], want[k])) < 1e-9
     last = {(r.pool, r.team): r.rating for r in R.final_ratings(folded).collect()}
     assert max(abs(last[k] - final[k]) for k in final) < 1e-7
 
@@ -32,7 +32,7 @@ def test_sliced_fold_uses_seeds(spark, tables):
     m = tables.matches
     seeds = m.select("pool", F.explode(F.array("home", "away")).alias("team")).distinct().withColumn("rating", 1400.0 + F.col("team") * 10)
     a = R.elo_fold(m, R.GROUP_PHASE, seeds=seeds).select("match_id", "pre_h", "post_a")
-    b = R.elo_fold(m, R.GROUP_PHASE, seeds=seeds, rows_per_slice=60).select("match_id", F.col("pre_h").alias("x"), F.col("post_a").alias("y"))
+    b = R.elo_fold(m, R.GROUP_PHASE, seeds=seeds, unit="week").select("match_id", F.col("pre_h").alias("x"), F.col("post_a").alias("y"))
     worst = a.join(b, "match_id").agg(F.max(F.abs(F.col("pre_h") - F.col("x"))), F.max(F.abs(F.col("post_a") - F.col("y"))), F.count(F.lit(1))).first()
     assert worst[2] == 1000 and worst[0] < 1e-7 and worst[1] < 1e-7
 
