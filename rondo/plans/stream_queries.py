@@ -19,7 +19,7 @@ class StreamTables(Tables):
 
     @property
     def events(self) -> DataFrame:
-        return self.spark.readStream.schema(SC.EVENTS).parquet(f"{self.sf_dir}/events.parquet*")
+        return self.spark.readStream.schema(SC.EVENTS).option("maxFilesPerTrigger", 64).parquet(f"{self.sf_dir}/events.parquet*")
 
 
 def streamed(t) -> StreamTables:
@@ -38,10 +38,10 @@ def stream_log(t):
 @query("stream_prediction_monitor", """
 SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS window_start, count(*) AS requests, #[avg(CAST(event_id % 19 = 0 OR event_id % 41 = 0 AS INT))]# AS fallback_rate, count(*) FILTER (event_id % 53 = 0) AS nan_probabilities,
   #[avg(10 + event_id % 190)]# AS mean_latency, max(10 + event_id % 190) AS max_latency, #[coalesce(avg(pow(CASE WHEN event_id % 53 <> 0 THEN value / 1000.0 END - CAST(event_id % 3 = 2 AS INT), 2)), -1)]# AS brier_home, count(*) FILTER (event_id % 41 = 0 AND event_id % 19 <> 0) AS leakage_rejections
-FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1""")
+FROM events GROUP BY 1""")
 def _(t):
-    """Windows that the watermark has closed; the open ones are not emitted in append mode."""
-    out = J.run_available(J.stream_health(stream_log(t)))
+    """All windows, the last ones included."""
+    out = J.run_to_end(stream_log(t), "kickoff_ts", J.stream_health)
     out = out.withColumn("brier_home", F.coalesce("brier_home", F.lit(-1.0)))
     out = out.select(F.floor(epoch_us("window_start") / 1000000).alias("window_start"), "requests", "fallback_rate", "nan_probabilities", "mean_latency", "max_latency", "brier_home", "leakage_rejections")
     return r(out, "fallback_rate", "mean_latency", "brier_home")
@@ -49,12 +49,12 @@ def _(t):
 
 @query("stream_cooldown_alerts", f"WITH {_GR}, {_ACC.format(scale=20)} SELECT g.trigger_id, g.guardrail, a.trigger_id IS NOT NULL AS accepted FROM gr g LEFT JOIN acc a USING (trigger_id)", "triggers", recursive=True)
 def _(t):
-    return J.run_available(J.stream_cooldown(triggered(streamed(t), 20)))
+    return J.run_to_end(triggered(streamed(t), 20), "ts", J.stream_cooldown)
 
 
 @query("stream_rating_update", f"WITH {CAP} {_OUT}", "matches", recursive=True)
 def _(t):
-    out = J.run_available(J.stream_ratings(streamed(t).matches, R.TOURNAMENT_CAP))
+    out = J.run_to_end(streamed(t).matches, "kickoff_ts", lambda m: J.stream_ratings(m, R.TOURNAMENT_CAP, late="60 days"))
     return out.select("pool", "match_id", *[rnd(c, 3).alias(c) for c in _COLS])
 
 

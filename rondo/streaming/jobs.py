@@ -1,19 +1,19 @@
 """Structured Streaming forms of the live monitor, guardrail cooldown, rating update and ingest.
 
-Every job is a plain transformation of a streaming frame; ``run_available`` drives one to the end of its input and
-returns what it wrote, ``start`` keeps it running. State is one timestamp per guardrail, one rating per team, or the keys
-inside the watermark.
+Every job is a plain transformation of a streaming frame; ``run_available`` and ``run_to_end`` drive one over the input there is and
+return what it wrote, ``start`` keeps it running. State is one timestamp per guardrail, one rating per team, the keys
+inside the watermark, and the rows the watermark has not passed yet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StructField, StructType
 
 from ..functions.expr import add, count_if, epoch_us, share
 from ..operators.rating import Rules, _inputs
@@ -32,17 +32,35 @@ def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", trigg
     return df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
-def run_available(df: DataFrame, timeout_s: int | None = None) -> DataFrame:
-    """Process everything available now and read the result back. It takes as long as the input needs, unless a limit is given."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
+def _finish(df: DataFrame, base: str) -> None:
     q = start(df, f"{base}/out", f"{base}/checkpoint", trigger={"availableNow": True})
-    if not q.awaitTermination(timeout_s) and timeout_s is not None:
-        q.stop()
-        raise TimeoutError(f"stream did not finish within {timeout_s} s")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def run_available(df: DataFrame) -> DataFrame:
+    """Process everything available now and read the result back. What the watermark has not passed yet stays in state."""
+    base = shared_dir(df.sparkSession)
+    _finish(df, base)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def run_to_end(rows: DataFrame, ts: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a job over an input that has ended, so that its last windows close and its last rows leave the state.
+
+    A clock stream is united with the input. It is empty until all input is processed; then it gets one row of a far future,
+    which carries the watermark past every row of the input, and the job goes on from its checkpoint.
+    """
+    spark = rows.sparkSession
+    base = shared_dir(spark)
+    spark.createDataFrame([], "tick timestamp").write.parquet(f"{base}/clock")
+    clock = spark.readStream.schema("tick timestamp").parquet(f"{base}/clock").select(F.col("tick").cast(dict(rows.dtypes)[ts]).alias(ts))
+    out = job(rows.unionByName(clock, allowMissingColumns=True))
+    _finish(out, base)
+    spark.range(1).select(F.timestamp_micros(F.lit(7_258_118_400_000_000)).alias("tick")).write.mode("append").parquet(f"{base}/clock")
+    _finish(out, base)
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 def stream_health(log: DataFrame, ts: str = "kickoff_ts", window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -56,57 +74,89 @@ def stream_health(log: DataFrame, ts: str = "kickoff_ts", window: str = "1 hour"
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests", "fallback_rate", "nan_probabilities", "mean_latency", "max_latency", "brier_home", "leakage_rejections")
 
 
-def _sorted_batch(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame | None:
-    """Rows of one key in one micro-batch (bounded by the trigger's input limit) in event order."""
-    parts = [p for p in rows if len(p)]
-    return pd.concat(parts).sort_values(by, kind="stable") if parts else None
+class _InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them and then hands them over in event order, whatever order they came in."""
 
-
-class _Cooldown(StatefulProcessor):
-    """One timestamp per guardrail: the last accepted trigger."""
+    fields: list[tuple[str, DataType]] = []
+    order: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("t", LongType())]))
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType([StructField(n, t) for n, t in self.fields]))
+        self.names = [n for n, _ in self.fields]
+        self.prepare(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted_batch(rows, ["t", "trigger_id"])
-        if pdf is None:
+        first = None
+        for part in rows:
+            if len(part):
+                self.waiting.appendList(list(part[self.names].itertuples(index=False, name=None)))
+                start = int(part["t"].min())
+                first = start if first is None else min(first, start)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = [], []
+        for row in self.waiting.get():
+            (ready if row[0] < passed else later).append(tuple(row))
+        if not ready:
             return
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[0] for r in later) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        at = [self.names.index(n) for n in self.order]
+        yield self.apply(key, sorted(ready, key=lambda r: tuple(r[i] for i in at)))
+
+    def close(self) -> None:
+        pass
+
+
+class _Cooldown(_InOrder):
+    """One timestamp per guardrail: the last accepted trigger."""
+
+    fields = [("t", LongType()), ("trigger_id", LongType()), ("cool", LongType())]
+    order = ("t", "trigger_id")
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", StructType([StructField("t", LongType())]))
+
+    def apply(self, key, rows: list[tuple]) -> pd.DataFrame:
         last = self.last.get()[0] if self.last.exists() else None
-        accepted = []
-        for t, cool in zip(pdf["t"].tolist(), pdf["cool"].tolist()):
+        out = []
+        for t, trigger, cool in rows:
             ok = last is None or t - last >= cool
             last = t if ok else last
-            accepted.append(ok)
+            out.append((trigger, key[0], ok))
         self.last.update((last,))
-        yield pdf[["trigger_id", "guardrail"]].assign(accepted=accepted)
+        return pd.DataFrame(out, columns=["trigger_id", "guardrail", "accepted"])
 
-    def close(self) -> None:
-        pass
 
-
-def stream_cooldown(triggers: DataFrame, ts: str = "ts") -> DataFrame:
-    """Accept or suppress guardrail triggers (trigger_id, guardrail, cooldown_s) with keyed state."""
-    rows = triggers.select("trigger_id", "guardrail", epoch_us(ts).alias("t"), (F.col("cooldown_s").cast("bigint") * 1_000_000).alias("cool"))
-    return rows.groupBy("guardrail").transformWithStateInPandas(_Cooldown(), "trigger_id long, guardrail string, accepted boolean", "append", "None")
+def stream_cooldown(triggers: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Accept or suppress guardrail triggers (trigger_id, guardrail, cooldown_s) in event order. Rows that come later than ``late`` are dropped."""
+    rows = triggers.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(
+        ts, "guardrail", F.coalesce(F.col("trigger_id").cast("bigint"), F.lit(0)).alias("trigger_id"), epoch_us(ts).alias("t"), F.coalesce(F.col("cooldown_s").cast("bigint") * 1_000_000, F.lit(0)).alias("cool"))
+    return rows.groupBy("guardrail").transformWithStateInPandas(_Cooldown(), "trigger_id long, guardrail string, accepted boolean", "append", "EventTime")
 
 
 _RATING = StructType([StructField("rating", DoubleType())])
 _TEAM = StructType([StructField("team", LongType())])
 
 
-class _Ratings(StatefulProcessor):
-    """Ratings of a pool's teams, and the time of the last match applied; earlier matches count as late."""
+class _Ratings(_InOrder):
+    """Ratings of a pool's teams."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    fields = [("t", LongType()), ("match_id", LongType()), ("home", LongType()), ("away", LongType()), *[(n, DoubleType()) for n in ("k", "extra", "bonus", "score", "base")], ("dampen", BooleanType())]
+    order = ("t", "match_id")
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
         self.ratings = handle.getMapState("ratings", _TEAM, _RATING)
-        self.clock = handle.getValueState("clock", StructType([StructField("t", LongType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted_batch(rows, ["t", "match_id"])
-        if pdf is None:
-            return
-        clock = self.clock.get()[0] if self.clock.exists() else None
+    def apply(self, key, rows: list[tuple]) -> pd.DataFrame:
         seen: dict[int, float] = {}
 
         def rating(team: int, base: float) -> float:
@@ -115,35 +165,29 @@ class _Ratings(StatefulProcessor):
             return seen[team]
 
         out = []
-        for r in pdf.itertuples(index=False):
-            rh, ra = rating(r.home, r.base), rating(r.away, r.base)
-            late = clock is not None and r.t < clock
-            if not late and r.score == r.score:
-                gain = r.score - 1.0 / (1.0 + 10.0 ** (-(rh + r.bonus - ra) / 400.0))
-                step = r.k * gain * (1.0 + r.extra)
-                seen[r.home], seen[r.away] = rh + step, ra - step
-            out.append((r.match_id, rh, ra, seen[r.home], seen[r.away], late))
+        for _, match_id, home, away, k, extra, bonus, score, base, dampen in rows:
+            rh, ra = rating(home, base), rating(away, base)
+            if score is not None and score == score:
+                gain = score - 1.0 / (1.0 + 10.0 ** (-(rh + bonus - ra) / 400.0))
+                if dampen:
+                    extra *= 2.2 / ((rh - ra if score == 1.0 else ra - rh) * 0.001 + 2.2)
+                step = k * gain * (1.0 + extra)
+                seen[home], seen[away] = rh + step, ra - step
+            out.append((key[0], match_id, rh, ra, seen[home], seen[away]))
         for team, value in seen.items():
             self.ratings.updateValue((team,), (value,))
-        last = int(pdf["t"].max())
-        self.clock.update((last if clock is None else max(clock, last),))
-        table = pd.DataFrame(out, columns=["match_id", "pre_h", "pre_a", "post_h", "post_a", "late"])
-        table.insert(0, "pool", key[0])
-        yield table
+        return pd.DataFrame(out, columns=["pool", "match_id", "pre_h", "pre_a", "post_h", "post_a"])
 
-    def close(self) -> None:
-        pass
 
+def stream_ratings(matches: DataFrame, rules: Rules, late: str = "1 hour") -> DataFrame:
+    """Incremental rating fold per pool: the same numbers as the batch fold, in whatever order matches come within the watermark's delay.
 
-def stream_ratings(matches: DataFrame, rules: Rules) -> DataFrame:
-    """Incremental rating fold per pool: the same numbers as the batch fold when matches arrive in time order."""
-    if rules.dampen:
-        raise ValueError("the damped margin rule is offered in batch only")
-    variant, *rest = _inputs(matches, rules)
-    del variant
-    rows = matches.select("pool", "match_id", epoch_us("kickoff_ts").alias("t"), F.col("home").cast("bigint").alias("home"), F.col("away").cast("bigint").alias("away"), *rest)
-    return rows.groupBy("pool").transformWithStateInPandas(
-        _Ratings(), "pool string, match_id long, pre_h double, pre_a double, post_h double, post_a double, late boolean", "append", "None")
+    Matches that come later than ``late`` are dropped, as in every event-time job.
+    """
+    _, *rest = _inputs(matches, rules)
+    whole = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c)
+    rows = matches.withColumn("kickoff_ts", F.col("kickoff_ts").cast("timestamp")).withWatermark("kickoff_ts", late).select("kickoff_ts", "pool", whole("match_id"), epoch_us("kickoff_ts").alias("t"), whole("home"), whole("away"), *rest)
+    return rows.groupBy("pool").transformWithStateInPandas(_Ratings(), "pool string, match_id long, pre_h double, pre_a double, post_h double, post_a double", "append", "EventTime")
 
 
 def stream_dedupe(rows: DataFrame, keys: list[str], ts: str, late: str = "3 days") -> DataFrame:
