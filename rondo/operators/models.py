@@ -85,7 +85,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)  # one row per class
+    return df.join(class_weights(df, label).select(label, "weight"), label)  # one row per class
 
 
 @contextmanager
@@ -164,11 +164,15 @@ def standard_scale(train: DataFrame, df: DataFrame, columns: list[str]) -> DataF
 
 
 def fit_isotonic(df: DataFrame) -> dict[str, object]:
-    """One isotonic map per class from its probability to its observed rate."""
+    """One isotonic map per class from its probability to its observed rate.
+
+    The solver brings its blocks to the driver, so rows are first summed up by probability to six digits: a million weighted points at most.
+    """
     models = {}
     for v, p in M.OUTCOMES:
-        rows = df.select(F.when(F.col("actual") == v, 1.0).otherwise(0.0).alias("label"), F.col(p).alias("x"))
-        models[p] = IsotonicRegression(labelCol="label", featuresCol="x", predictionCol=f"iso_{p}").fit(rows)
+        rows = df.select(F.when(F.col("actual") == v, 1.0).otherwise(0.0).alias("label"), F.round(F.col(p), 6).alias("x"))
+        points = rows.groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+        models[p] = IsotonicRegression(labelCol="label", featuresCol="x", weightCol="weight", predictionCol=f"iso_{p}").fit(points)
     return models
 
 

@@ -274,12 +274,20 @@ def autocorrelation(df: DataFrame, key: str, value: str, order: list[str], lags:
     return stats.join(cov, key).select(key, "n", F.explode(F.array(*entries)).alias("e")).select(key, "n", "e.*")
 
 
-def chi2_sf_even(q: Column, dof: int) -> Column:
-    """Upper tail of chi-square with an even number of degrees of freedom (closed form)."""
-    if dof % 2:
-        raise ValueError("closed form needs an even number of degrees of freedom")
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0 by the series of erf, with 200 terms; beyond 6 it is 0 to double precision."""
+    step = lambda acc, n: F.struct((acc["term"] * 2 * x * x / (2 * n + 1)).alias("term"), (acc["total"] + acc["term"] * 2 * x * x / (2 * n + 1)).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(x.alias("term"), x.alias("total")), step, lambda acc: acc["total"])
+    return F.when(x > 6, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series))
+
+
+def chi2_sf(q: Column, dof: int) -> Column:
+    """Upper tail of chi-square: the closed forms of even and of odd degrees of freedom."""
     half = q / 2.0
-    return F.exp(-half) * add([F.pow(half, F.lit(float(k))) / math.factorial(k) for k in range(dof // 2)])
+    if dof % 2 == 0:
+        return F.exp(-half) * add([F.pow(half, F.lit(float(k))) / math.factorial(k) for k in range(dof // 2)])
+    powers = [F.pow(half, F.lit(k - 0.5)) / math.gamma(k + 0.5) for k in range(1, (dof + 1) // 2)]
+    return erfc(F.sqrt(half)) + (F.exp(-half) * add(powers) if powers else F.lit(0.0))
 
 
 def ljung_box(df: DataFrame, key: str, value: str, order: list[str], lags: int = 10, unit: str = "month") -> DataFrame:
@@ -288,7 +296,7 @@ def ljung_box(df: DataFrame, key: str, value: str, order: list[str], lags: int =
     rho = F.col("acf") * (F.col("n") - F.col("lag")) / F.col("n")
     q = F.first("n") * (F.first("n") + 2) * F.sum(rho * rho / (F.col("n") - F.col("lag")))
     out = acf.groupBy(key).agg(q.alias("q"))
-    return out.select(key, "q", chi2_sf_even(F.col("q"), lags).alias("p_value") if lags % 2 == 0 else F.lit(None).cast("double").alias("p_value"))
+    return out.select(key, "q", chi2_sf(F.col("q"), lags).alias("p_value"))
 
 
 # published asymptotic critical values of the unit-root t statistic with a constant (fixed values)

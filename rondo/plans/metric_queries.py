@@ -133,9 +133,9 @@ def metric_set_sql(src, keys, min_n=1):
     count(*) FILTER (least(p_home, p_away) < 0.35) AS nc, count(*) FILTER ({_UPSET}) AS nu, count(*) FILTER ({_UPSET} AND least(p_home, p_away) >= 0.20) AS nd FROM {src} GROUP BY ALL) {g} HAVING sum(n) >= {min_n}"""
 
 
-@query("metrics_by_slice", metric_set_sql("(SELECT *, left(tournament, 35) AS slice FROM predictions)", "slice", 20), "predictions")
+@query("metrics_by_slice", metric_set_sql("(SELECT *, tournament AS slice FROM predictions)", "slice", 20), "predictions")
 def _(t):
-    return M.metrics_by(t.predictions, {"slice": F.substring("tournament", 1, 35)})
+    return M.metrics_by(t.predictions, {"slice": F.col("tournament")})
 
 
 @query("metric_set", metric_set_sql("predictions", ""), "predictions")

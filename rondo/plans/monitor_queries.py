@@ -75,14 +75,23 @@ def _(t):
     return r(MO.calibration_health(t.prediction_log, "pool", ["kickoff_ts", "request_id"]), "rolling_brier", "degradation", "slope")
 
 
-@query("health_summary", f"""WITH {_CHK}, {_FEAT}, f AS ({_FCHK})
-SELECT n + (SELECT sum(n) FROM f)::BIGINT AS n_checks, #[nanv]# AS nan_probabilities, il AS invalid_lambdas, pf AS prediction_fail, pw AS prediction_warn, (SELECT sum(n) FROM f WHERE status = 'FAIL')::BIGINT AS feature_fail,
-  (SELECT sum(n) FROM f WHERE status = 'WARN')::BIGINT AS feature_warn, 0::BIGINT AS operational_fail, 0::BIGINT AS operational_warn, 0::BIGINT AS calibration_fail, 0::BIGINT AS calibration_warn FROM (
+_OPS = """op AS (SELECT CAST(avg(CAST(status LIKE '%FAILSAFE%' AS INT)) > 0.05 AS BIGINT) AS fail, CAST(max(abs(shadow_lambda - baseline_lambda) / baseline_lambda) > 0.10 AS BIGINT) AS warn FROM prediction_log)"""
+_CALC = f"""{_CALH}, cs AS (SELECT pool, regr_slope(obs, pm) AS slope, count(*) AS nb FROM {rel('p_home', y(1), 4, 'lw', 'pool')} GROUP BY 1),
+cal AS (SELECT pool, count(*) >= 50 AND avg(sq) FILTER (rn <= 10) - avg(sq) FILTER (rn > 10) > 0.01 AS degraded, any_value(nb >= 3 AND slope NOT BETWEEN 0.95 AND 1.05) AS off_slope FROM lw LEFT JOIN cs USING (pool) GROUP BY 1),
+cc AS (SELECT coalesce(count(*) FILTER (degraded), 0)::BIGINT + coalesce(count(*) FILTER (off_slope), 0)::BIGINT AS fail FROM cal)"""
+
+
+@query("health_summary", f"""WITH {_CHK}, {_FEAT}, f AS ({_FCHK}), {_OPS}, {_CALC}
+SELECT n + (SELECT sum(n) FROM f)::BIGINT + (SELECT op.fail + op.warn + cc.fail FROM op, cc) AS n_checks, #[nanv]# AS nan_probabilities, il AS invalid_lambdas, pf AS prediction_fail, pw AS prediction_warn, (SELECT sum(n) FROM f WHERE status = 'FAIL')::BIGINT AS feature_fail,
+  (SELECT sum(n) FROM f WHERE status = 'WARN')::BIGINT AS feature_warn, (SELECT fail FROM op) AS operational_fail, (SELECT warn FROM op) AS operational_warn, (SELECT fail FROM cc) AS calibration_fail, 0::BIGINT AS calibration_warn FROM (
   SELECT count(*) AS n, sum(value) FILTER (metric = 'nan_probabilities') AS nanv, count(*) FILTER (metric = 'invalid_lambda') AS il, count(*) FILTER (status = 'FAIL') AS pf, count(*) FILTER (status = 'WARN') AS pw FROM chk)""", "prediction_log")
 def _(t):
     a = MO.prediction_health(faulty_log(t), [])
     b = MO.feature_health(text_features(t), [], ["continuity_index", "defenders_continuity"])
-    return r(MO.health_summary(a.unionByName(b)), "nan_probabilities")
+    order = ["kickoff_ts", "request_id"]
+    c = MO.operational_checks(MO.operational_health(t.prediction_log, order))
+    d = MO.calibration_checks(MO.calibration_health(t.prediction_log, "pool", order), "pool").drop("pool")
+    return r(MO.health_summary(a.unionByName(b).unionByName(c).unionByName(d)), "nan_probabilities")
 
 
 _GK = "CASE metric WHEN 'psi_drift_continuity_index' THEN 'psi_drift' WHEN 'nan_probabilities' THEN 'nan_predictions' ELSE metric END"

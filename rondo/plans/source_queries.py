@@ -38,6 +38,43 @@ def _(t):
     return m.select(F.col("home_team").cast("bigint").alias("o_orderkey"), F.date_format("date", "yyyy-MM-dd").alias("day"), "home_score", "away_score")
 
 
+def _csv(t, raw, layout):
+    path = shared_dir(t.spark)
+    raw.write.csv(path, header=True)
+    return RD.read_matches(t.spark, path, layout)
+
+
+@query("read_results_full_csv", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_custkey % 7 AS INT) AS home_score, CAST(o_orderkey % 5 AS INT) AS away_score, 'C' || o_custkey % 11 AS city, 'K' || o_custkey % 3 AS country, o_orderkey % 2 = 0 AS neutral FROM orders""")
+def _(t):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    raw = t.orders.select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), k.cast("string").alias("home_team"), c.cast("string").alias("away_team"), (c % 7).alias("home_score"), (k % 5).alias("away_score"),
+        F.lit("Cup").alias("tournament"), F.concat(F.lit("C"), c % 11).alias("city"), F.concat(F.lit("K"), c % 3).alias("country"), (k % 2 == 0).alias("neutral"))
+    m = _csv(t, raw, "results_full")
+    return m.select(F.col("home_team").cast("bigint").alias("o_orderkey"), F.date_format("date", "yyyy-MM-dd").alias("day"), "home_score", "away_score", "city", "country", "neutral")
+
+
+@query("read_league_round_csv", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_custkey % 7 AS INT) AS home_score, CAST(o_orderkey % 5 AS INT) AS away_score, o_orderpriority AS tournament, 'R' || o_orderkey % 38 AS round FROM orders")
+def _(t):
+    a, b = F.col("o_custkey") % 7, F.col("o_orderkey") % 5
+    raw = t.orders.select(
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date"), F.col("o_orderkey").cast("string").alias("HomeTeam"), F.col("o_custkey").cast("string").alias("AwayTeam"), a.alias("FTHG"), b.alias("FTAG"),
+        F.when(a > b, "H").when(a == b, "D").otherwise("A").alias("FTR"), F.col("o_orderpriority").alias("Competition"), F.concat(F.lit("R"), F.col("o_orderkey") % 38).alias("Round"))
+    m = _csv(t, raw, "league_round")
+    return m.select(F.col("home_team").cast("bigint").alias("o_orderkey"), F.date_format("date", "yyyy-MM-dd").alias("day"), "home_score", "away_score", "tournament", "round")
+
+
+@query("read_json_records", "SELECT CAST(s_suppkey AS VARCHAR) AS entity, s_name AS name, #2[s_acctbal]# AS rating FROM supplier")
+def _(t):
+    """Arrays of records, one array a file part."""
+    s = t.supplier.select(F.col("s_suppkey").cast("string").alias("entity"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("rating"))
+    path = shared_dir(t.spark)
+    arrays = s.groupBy(F.floor(F.col("entity").cast("bigint") / 100).alias("_file")).agg(F.to_json(F.collect_list(F.struct("entity", "name", "rating"))).alias("value"))
+    arrays.write.partitionBy("_file").text(path)
+    return r(RD.read_records(t.spark, f"{path}/*", SC.struct(entity=SC._s, name=SC._s, rating=SC._d)), "rating", digits=2)
+
+
 @query("read_events_parquet", "SELECT event_id, user_id, #[value]# AS value FROM events WHERE event_type = 'purchase'")
 def _(t):
     return r(RD.read_events(t.spark, f"{t.sf_dir}/events.parquet", ["event_id", "user_id", "value", "event_type"]).filter("event_type = 'purchase'").drop("event_type"), "value")

@@ -83,3 +83,22 @@ def test_alternating_series_has_negative_first_lag(spark):
     df = spark.range(100).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"), F.col("id"), (F.col("id") % 2).cast("double").alias("x"))
     acf = {r.lag: r.acf for r in W.autocorrelation(df, "k", "x", ["ts", "id"], 2).collect()}
     assert acf[1] == pytest.approx(-1.0) and acf[2] == pytest.approx(1.0)
+
+
+def test_chi_square_tail_for_even_and_odd_degrees(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from rondo.operators.windows import chi2_sf
+
+    def tail(q, k):  # numerical integral of the density
+        n, top = 200_000, q + 200
+        h = (top - q) / n
+        f = lambda x: x ** (k / 2 - 1) * math.exp(-x / 2) / (2 ** (k / 2) * math.gamma(k / 2))
+        return h * (f(q) / 2 + f(top) / 2 + sum(f(q + i * h) for i in range(1, n)))
+
+    row = spark.createDataFrame([(4.2, 30.0)], "a double, b double").select(*[chi2_sf(F.col(c), k).alias(f"{c}{k}") for c in "ab" for k in (2, 3, 7, 10)]).first()
+    for c, q in (("a", 4.2), ("b", 30.0)):
+        for k in (2, 3, 7, 10):
+            assert abs(row[f"{c}{k}"] - tail(q, k)) < 1e-6
