@@ -105,6 +105,20 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     return models[0], models[1], Logistic(logits, y[calibrate])
 
 
+def _sample(rows: DataFrame, columns: list[str], bound: int) -> pa.Table:
+    """At most ``bound`` rows, those with the smallest hashes of their identifiers. A first cut at the hash that leaves about as many keeps what
+    partitions send to the driver small, however many there are."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    n = rows.count()
+    cut = rows if n <= bound else rows.filter(h < int((1 << 40) * bound / n))
+    return cut.orderBy(h, "doc_id", *[c for c in columns if c == "y"]).limit(bound).select(*columns).toArrow()
+
+
+def _matrix(table: pa.Table, column: str, width: int | None = None) -> np.ndarray:
+    flat = table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, width or len(flat) // table.num_rows)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Probability of good quality of every document by two views: doc_id, p_text, p_page, p_quality and kept (p_quality >= threshold).
 
@@ -118,18 +132,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     seen = persist_table(fields.mapInArrow(_text_views, "doc_id long, page array<double>, words array<double>"))
     known = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("y"))
     rows = seen.join(known, F.col("doc_id") == F.col("label_id"))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    sample = rows.orderBy(*order, "y").select("doc_id", "words", "page", "y").limit(LABELLED).toPandas()
-    pool = seen.join(known, F.col("doc_id") == F.col("label_id"), "left_anti").filter(F.col("doc_id").isNotNull()).orderBy(*order).select("words", "page").limit(POOL).toPandas()
-    if not len(sample):
+    sample = _sample(rows, ["words", "page", "y"], LABELLED)
+    unknown = seen.join(known, F.col("doc_id") == F.col("label_id"), "left_anti").filter(F.col("doc_id").isNotNull())
+    pool = _sample(unknown, ["words", "page"], POOL)
+    if not sample.num_rows:
         half = F.lit(0.5)
         return seen.select("doc_id", half.alias("p_text"), half.alias("p_page"), half.alias("p_quality"), (half >= threshold).alias("kept"))
-    stack = lambda frame, c: np.array(frame[c].tolist(), dtype=float).reshape(len(frame), -1)
-    width = [stack(sample, c).shape[1] for c in ("words", "page")]
-    views = tuple(stack(sample, c) for c in ("words", "page"))
-    free = tuple(stack(pool, c).reshape(len(pool), k) for c, k in zip(("words", "page"), width, strict=True))
-    held = np.arange(len(sample)) % HELD_OUT == 0
-    text_model, page_model, both = co_train(views, sample["y"].to_numpy(float), free, held)
+    views = tuple(_matrix(sample, c) for c in ("words", "page"))
+    free = tuple(_matrix(pool, c, v.shape[1]) for c, v in zip(("words", "page"), views, strict=True))
+    held = np.arange(sample.num_rows) % HELD_OUT == 0
+    text_model, page_model, both = co_train(views, sample["y"].to_numpy(), free, held)
     scored = seen.select("doc_id", _logit("words", text_model).alias("a"), _logit("page", page_model).alias("b"))
     (wa, wb), c = both.linear()
     chance = lambda x: 1 / (1 + F.exp(-x))
