@@ -86,3 +86,12 @@ def test_co_training_uses_the_other_view():
     p = both.logit(np.column_stack([first.logit(a[2000:]), second.logit(b[2000:])])) > 0
     assert (p == (y[2000:] > 0.5)).mean() > 0.97
     assert (Logistic(np.zeros((0, 3)), np.zeros(0)).logit(a[:2]) == 0).all()
+
+
+def test_samples_are_bounded_and_whole_when_small(spark):
+    from rondo.llm.quality_classifier import _sample
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("double").alias("y"))
+    assert _sample(rows, ["doc_id", "y"], 6000).num_rows == 5000
+    some = _sample(rows, ["doc_id", "y"], 500)
+    assert 400 < some.num_rows <= 500 and some.equals(_sample(rows.repartition(9), ["doc_id", "y"], 500))
