@@ -28,10 +28,10 @@ def _(t):
 
 
 @query("rating_report", f"""
-WITH form AS (SELECT team, avg({_P3}) / 3 AS points, avg(CAST(gf > ga AS INT)) AS win_rate FROM {_LAST.format(w=" WHERE pool = 'click'")} WHERE rn <= 5 GROUP BY 1)
+WITH form AS (SELECT team, avg({_P3}) / 3 AS points, avg(CAST(gf > ga AS INT)) AS win_rate FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY kickoff_ts DESC, match_id DESC) AS rn FROM long_view) WHERE rn <= 5 GROUP BY 1)
 SELECT team, #[rating]# AS rating, #[points]# AS points, #[win_rate]# AS win_rate FROM (SELECT * FROM teams ORDER BY rating DESC, team LIMIT 10) LEFT JOIN form USING (team)""", "long_view teams")
 def _(t):
-    form = A.recent_form(t.matches.filter("pool = 'click'")).select("team", "points", "win_rate")
+    form = A.recent_form(t.matches.withColumn("pool", F.lit("all"))).select("team", "points", "win_rate")
     out = A.rating_report(t.teams.select("team", "rating"), form, 10)
     return out.select("team", *[rnd(c).alias(c) for c in ("rating", "points", "win_rate")])
 

@@ -177,6 +177,15 @@ def _(t):
     return r(out, *[c for c in out.columns if c not in ("pattern", "suppression")])
 
 
+@query("draw_slope_pattern", """
+SELECT pool, #[s]# AS slope, CASE WHEN abs(s - 1) < 0.2 THEN 'LINEAR_COMPRESSION' WHEN s < 0.2 THEN 'COLLAPSE' WHEN s < 0.5 THEN 'S_SHAPED_FLATTENED' ELSE 'HIGH_VARIANCE' END AS pattern
+FROM (SELECT pool, regr_slope(CAST(actual = 0 AS DOUBLE), p_draw) AS s FROM predictions GROUP BY 1)""", "predictions")
+def _(t):
+    drawn = F.when(F.col("actual") == 0, 1.0).otherwise(0.0)
+    out = t.predictions.groupBy("pool").agg(F.regr_slope(drawn, F.col("p_draw")).alias("slope"))
+    return r(out.withColumn("pattern", M.slope_pattern(F.col("slope"))), "slope")
+
+
 @query("prob_integrity", """
 SELECT pool, count(*) AS n, count(*) FILTER (abs(p_home * f + p_draw + p_away - 1) >= 1e-6) AS bad_sum, count(*) FILTER (p_home * f > 1) AS out_of_range,
   #[stddev_pop(p_home * f)]# AS std_home, #[stddev_pop(p_draw)]# AS std_draw, #[stddev_pop(p_away)]# AS std_away
