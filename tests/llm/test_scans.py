@@ -37,7 +37,7 @@ def test_known_secrets_match_brute_force(spark, odd):
 def test_entropy_finds_random_strings_and_spares_plain_ones(spark, none):
     texts = [
         "see Kx8vQ2mZr7Lw1TbN5yHc and", "number 12345678901234567890123456", "word internationalizationandmore", "path usr/local/lib/python/site-packages",
-        "id 123e4567-e89b-12d3-a456-426614174000", "key EXAMPLEx8vQ2mZr7Lw1TbN5yHc", "aaaaaaaaaaaaaaaaaaaaaa1", "token=Kx8vQ2mZr7Lw1TbN5yHc", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa0Kx8vQ2mZr7Lw1TbN5yHc",
+        "id 123e4567-e89b-12d3-a456-426614174000", "key EXAMPLEx8vQ2mZr7Lw1TbN5yHc", "aaaaaaaaaaaaaaaaaaaaaa1", "token=Kx8vQ2mZr7Lw1TbN5yHc", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz0Kx8vQ2mZr7Lw1TbN5yHc",
     ]
     got = [r.spans for r in secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got[0] == "entropy:4:24" and got[1] == "hex:7:33" and got[2:7] == [""] * 5 and got[7] == "assign:0:26"
