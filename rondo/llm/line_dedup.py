@@ -9,7 +9,7 @@ from rondo.session import persist_table
 
 from .text import WHITE_CHARS, bind, small
 
-MIN_CHARS = 20
+MIN_CHARS = 20  # of a line that is compared with others by edits
 PIECE = 64  # characters of a line hashed at a time
 
 
@@ -64,17 +64,17 @@ def _quarters(line: Column) -> Column:
     return F.flatten(F.transform(sizes, lambda q: F.array(*[F.struct(key(q, k).alias("key"), F.lit(k).alias("kind"), q.alias("q")) for k in range(4)])))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-    lines = split.select("doc_id", "line_no", F.btrim("raw", F.lit(WHITE_CHARS)).alias("line")).filter(F.length("line") >= MIN_CHARS)
+    lines = split.select("doc_id", "line_no", F.btrim("raw", F.lit(WHITE_CHARS)).alias("line")).filter(F.length("line") >= shortest)
     return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """Places of lines that come within one edit (insertion, deletion or substitution of a character) of an earlier line, itself dropped or not.
 
-    Lines are parts of a text between line feeds, without white space at their ends; those under ``MIN_CHARS`` characters are left
-    alone. Earlier means a smaller (doc_id, line number). Equal lines are counted once and stand for their earliest place. Only lines that share all
+    Lines are parts of a text between line feeds, without white space at their ends; those under ``shortest`` characters are left
+    alone (1 leaves only blank ones), those under ``MIN_CHARS`` go only as exact repeats. Earlier means a smaller (doc_id, line number). Equal lines are counted once and stand for their earliest place. Only lines that share all
     but a quarter with another line (a necessary condition) emit the keys of their deletion neighbourhood, and only for deletions in that quarter. Variants that agree
     in key and place come from lines that differ in that place; a variant that equals a whole line comes from one with a character more. So the earliest line
     of each group is a partner of every other one, groups need no pairs, and the edit distance to that partner is verified on the lines.
@@ -82,10 +82,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     NULL texts have no lines. Rows with a NULL identifier are left alone. Rows that share an identifier and place keep or lose the line alike. An empty table gives none.
     Columns: doc_id, line_no (from 0).
     """
-    lines = _lines(docs.filter(F.col("doc_id").isNotNull()))
+    lines = _lines(docs.filter(F.col("doc_id").isNotNull()), shortest)
     place = F.struct("doc_id", "line_no")
     distinct = persist_table(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    keyed = lines.select("h", "h2", F.explode(_quarters(F.col("line"))).alias("k")).select("h", "h2", "k.key", "k.kind", "k.q")
+    keyed = lines.filter(F.length("line") >= MIN_CHARS).select("h", "h2", F.explode(_quarters(F.col("line"))).alias("k")).select("h", "h2", "k.key", "k.kind", "k.q")
     crowded = persist_table(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high").select("key"))
     shared = persist_table(keyed.join(small(crowded), "key").groupBy("h", "h2").agg(F.collect_set(F.struct("kind", "q")).alias("opened")))
     near = _near_lines(lines, distinct, shared)
@@ -116,21 +116,21 @@ def _near_lines(lines: DataFrame, distinct: DataFrame, shared: DataFrame) -> Dat
     return persist_table(verified.groupBy("h", "h2").agg(F.min("partner").alias("partner")))
 
 
-def _kept_lines(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+def _kept_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> tuple[DataFrame, Column, Column]:
     """The documents beside the places of their repeated lines (NULL if none), and the text without them."""
-    gone = persist_table(repeated_lines(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("gone_lines")))
+    gone = persist_table(repeated_lines(docs, shortest).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("gone_lines")))
     marked = docs.join(small(gone), docs["doc_id"] == gone["gone_id"], "left")
     lines = F.split(docs["text"], "\n")
     kept = F.array_join(F.array_compact(F.transform(lines, lambda x, i: F.when(~F.array_contains(gone["gone_lines"], i), x))), "\n")
     return marked, gone["gone_lines"], F.when(gone["gone_lines"].isNull(), docs["text"]).otherwise(kept)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """The documents without their repeated lines: all columns stay, ``text`` holds the lines left, joined by line feeds.
 
     A text without repeated lines stays as it is, NULL stays NULL, and a document that loses all its lines stays with an empty text.
     """
-    marked, _, text = _kept_lines(docs)
+    marked, _, text = _kept_lines(docs, shortest)
     return marked.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

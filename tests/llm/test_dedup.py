@@ -123,6 +123,12 @@ def test_line_dedup_matches_brute_force(spark):
         assert got[i] == "\n".join(kept), i
 
 
+def test_short_lines_go_as_exact_repeats(spark):
+    docs = spark.createDataFrame([(1, "Home\n\n} \nBy A. Writer\n\nHome"), (2, "Hole\n}\nBy A. Writer")], "doc_id long, text string")
+    assert dict(dedup_lines(docs, shortest=1).collect()) == {1: "Home\n\n} \nBy A. Writer\n", 2: "Hole"}
+    assert dict(dedup_lines(docs).collect()) == dict(docs.collect())
+
+
 def test_line_dedup_odd_rows(odd, none):
     left = dedup_lines(odd)
     assert left.columns == odd.columns and left.count() == odd.count()
