@@ -1,11 +1,13 @@
 """The corpus pipeline: stages over documents, each written and read again before the next.
 
-Every stage works on all rows its predecessor kept; all but the last return the columns of documents. A NULL identifier, a NULL text or an empty
-table pass through every stage as its operator defines it. Rows that share an identifier are one document to every decision.
+Every stage works on all rows its predecessor kept; all but the last return the columns of documents. A NULL text or an empty
+table pass through every stage as its operator defines it. Every row is a document of its own to every decision, whether its identifier is NULL or shared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,18 @@ from rondo.llm.line_dedup import dedup_lines
 from rondo.llm.minhash_dedup import drop_near_duplicates
 from rondo.llm.quality_rules import drop_rejected
 from rondo.llm.queries import byte_bpe, table
+from rondo.llm.text import own_keys
 from rondo.session import persist_table
 
 
+def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage over documents whose identifiers are replaced by ordered keys of their own while it runs."""
+    keyed, key = own_keys(docs, ordered=True)
+    kept = f"{key}_id"
+    left = stage(keyed.select(F.col(key).alias("doc_id"), F.col("doc_id").alias(kept), *[c for c in docs.columns if c != "doc_id"]))
+    return left.select(*[F.col(kept).alias(c) if c == "doc_id" else c for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return drop_rejected(docs)
@@ -26,12 +37,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within one edit of an earlier line go; n_chars follows the text."""
     n_chars = F.length("text").cast("long").alias("n_chars")
-    return dedup_lines(docs).select(*[n_chars if c == "n_chars" else c for c in docs.columns])
+    return by_row(docs, dedup_lines).select(*[n_chars if c == "n_chars" else c for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near-duplicates one document stays."""
-    return drop_near_duplicates(docs)
+    return by_row(docs, drop_near_duplicates)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rondo.session import persist_table
+
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 SHINGLE = 5
@@ -80,6 +82,19 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def own_keys(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
+    """The documents in a written table with a key of its own for every row, and the name of the key (no column of the documents).
+
+    Ordered keys rise with the identifier, NULL last; rows that share one are told apart in the order they are read.
+    """
+    key = "own_key"
+    while key in docs.columns:
+        key += "_"
+    if ordered:
+        docs = docs.withColumn(key, F.monotonically_increasing_id()).sort(F.col("doc_id").asc_nulls_last(), key).drop(key)
+    return persist_table(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def small(written: DataFrame, rows: int = 500_000) -> DataFrame:
     """A written table of short rows with a broadcast hint if it has at most ``rows`` rows; beyond that the planner shuffles."""
     return F.broadcast(written) if written.count() <= rows else written

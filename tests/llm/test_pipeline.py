@@ -37,3 +37,24 @@ def test_odd_tables(spark, odd, none):
 def test_every_operator_is_registered():
     names = entry_point.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_rows_are_judged_by_their_own_text(spark, sample):
+    """One bad row must not take the rows with its identifier along, and copies under NULL or a shared identifier must go."""
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    good = [r for r in quality_rules(sample).filter("kept AND doc_id < 60").join(sample.select("doc_id", "text"), "doc_id").orderBy("doc_id").collect()][:3]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], sample.schema)
+    texts = lambda f: sorted((r.doc_id or -1, r.text) for r in f.collect())
+    line = "One line that all of these documents hold, long enough."
+    for i in (None, 7):
+        docs = frame([(i, good[0].text), (i, "bad bad"), (i, good[1].text), (1, good[2].text)])
+        assert texts(corpus_pipeline.quality(spark, docs, SF_DIR)) == sorted([(i or -1, good[0].text), (i or -1, good[1].text), (1, good[2].text)])
+        docs = frame([(i, "clean words only"), (i, f"before {item} after")])
+        assert texts(corpus_pipeline.benchmark(spark, docs, SF_DIR)) == [(i or -1, "clean words only")]
+        docs = frame([(i, f"{line}\na"), (i, f"{line}\nb"), (3, f"{line}\nc")])
+        got = persist_table(corpus_pipeline.lines(spark, docs, SF_DIR)).collect()
+        assert len(got) == 3 and sum(line in r.text for r in got) == 1 and sorted(r.text[-1] for r in got) == ["a", "b", "c"]
+        assert [line in r.text for r in got if r.doc_id == 3] == [True]
+        docs = frame([(i, good[0].text), (i, good[0].text), (9, good[0].text), (i, good[1].text)])
+        left = corpus_pipeline.near(spark, docs, SF_DIR).collect()
+        assert sorted(r.text for r in left) == sorted([good[0].text, good[1].text])
