@@ -21,8 +21,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TRIGGER = re.compile(r"@|\+[0-9]|[0-9][\x20.()-]{0,2}[0-9]{2}")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
-MARGIN = 40  # characters of context on each side of a trigger
+MARGIN = 40  # characters of context on each side of a trigger in the training sample
 MAX_TOKENS = 20  # of an entity
+REACH = re.compile(r"(?:[A-Za-z]++|[0-9]++|[^\S\n]++|[^\n]){0,%d}+" % (MAX_TOKENS + 1))  # what an entity may add to a trigger; none crosses a line feed
+WINDOW = 1_600  # characters labelled at a time, at first
 TRAIN_REGIONS = 400  # bound of the training sample
 EPOCHS, RATE, DECAY = 3, 0.3, 1e-4
 Span = tuple[int, int, int]  # kind, start, end
@@ -56,8 +58,35 @@ def known_spans(text: str) -> list[Span]:
     return spans
 
 
+def _behind(text: str, at: int, floor: int) -> int:
+    """Start of the reach before ``at``, not before ``floor``."""
+    size = 8 * MAX_TOKENS
+    while True:
+        low = max(floor, at - size)
+        n = REACH.match(text[low:at][::-1]).end()
+        if n < at - low or low == floor:
+            return at - n
+        size *= 2
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers, widened to white space within bounds and merged where they meet."""
+    """Stretches that hold every entity around a trigger whole: widened by the reach of ``MAX_TOKENS``, up to a line feed, and merged where they meet."""
+    found: list[tuple[int, int]] = []
+    start = last = -1
+    for m in TRIGGER.finditer(text):
+        if start >= 0 and not (m.start() - last <= MAX_TOKENS and text.find("\n", last, m.start()) < 0):
+            end = REACH.match(text, last).end()
+            if end < m.start() and (low := _behind(text, m.start(), end)) > end:
+                found.append((start, end))
+                start = low
+        elif start < 0:
+            start = _behind(text, m.start(), 0)
+        last = m.end()
+    return found + [(start, REACH.match(text, last).end())] * (start >= 0)
+
+
+def sample_regions(text: str) -> list[tuple[int, int]]:
+    """Stretches around triggers, merged where they meet up to a bound: pieces for the training sample, which may cut an entity."""
     found: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
         start, end = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
@@ -118,11 +147,11 @@ class SemiMarkov:
     def scores(self, features: list[str]) -> np.ndarray:
         return sum((self.weights[f] for f in features if f in self.weights), np.zeros(OUT))
 
-    def decode(self, lattice: Lattice) -> list[tuple[int, int, int]]:
-        """Best segments as kind, first token, end token (Viterbi over segment ends)."""
+    def _best(self, lattice: Lattice, first: int):
+        """Scores of the best segments up to each token, by label of the last one, and the way back (Viterbi over segment ends) from the label ``first``."""
         best = np.full((lattice.n + 1, N), -np.inf)
         back: list[list[tuple[int, int] | None]] = [[None] * N for _ in range(lattice.n + 1)]
-        best[0, OUT] = 0.0
+        best[0, first] = 0.0
         for j in range(1, lattice.n + 1):
             out = best[j - 1] + self.moves[:, OUT]
             best[j, OUT], back[j][OUT] = out.max(), (j - 1, int(out.argmax()))
@@ -131,7 +160,11 @@ class SemiMarkov:
                 value = through.max(0) + self.scores(features)
                 for y in np.flatnonzero(value > best[j, :OUT]):
                     best[j, y], back[j][y] = value[y], (i, int(through[:, y].argmax()))
-        found, j, y = [], lattice.n, int(best[lattice.n].argmax()) if lattice.n else OUT
+        return best, back
+
+    @staticmethod
+    def _way(back: list, j: int, y: int) -> list[tuple[int, int, int]]:
+        found = []
         while j > 0:
             i, before = back[j][y]
             if y != OUT:
@@ -139,6 +172,36 @@ class SemiMarkov:
             j, y = i, before
         return found[::-1]
 
+    def decode(self, lattice: Lattice, first: int = OUT) -> list[tuple[int, int, int]]:
+        """Best segments as kind, first token, end token."""
+        best, back = self._best(lattice, first)
+        return self._way(back, lattice.n, int(best[lattice.n].argmax()) if lattice.n else first)
+
+    def segments(self, text: str, start: int, end: int) -> Iterator[Span]:
+        """Best segments of a stretch of any length, the same as those of one lattice over it, as kind, start, end.
+
+        The stretch is labelled window by window. A window's last token may be cut, so only the ways that end in the ``MAX_TOKENS`` tokens before it count, and
+        every way through the whole stretch continues one of them. What they have in common is certain; the next window starts where they part.
+        If they have nothing in common the window grows.
+        """
+        first, width = OUT, WINDOW
+        while start + width < end:
+            lattice = Lattice(text, start, start + width)
+            best, back = self._best(lattice, first)
+            ways = {(j, y) for j in range(max(0, lattice.n - 1 - MAX_TOKENS), lattice.n) for y in range(N) if best[j, y] > -np.inf}
+            while len(ways) > 1:
+                j, y = max(ways)
+                ways.remove((j, y))
+                ways.add(back[j][y])
+            j, y = ways.pop()
+            if j == 0:
+                width *= 2
+                continue
+            yield from ((kind, lattice.starts[a], lattice.ends[b - 1]) for kind, a, b in self._way(back, j, y))
+            start, first, width = lattice.ends[j - 1], y, WINDOW
+        lattice = Lattice(text, start, end)
+        yield from ((kind, lattice.starts[a], lattice.ends[b - 1]) for kind, a, b in self.decode(lattice, first))
+
     def gradient(self, lattice: Lattice, gold: set[tuple[int, int, int]]) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
         """Of the log-likelihood of the gold segments: counted minus expected features (forward and backward sums over segments)."""
         n, score = lattice.n, {}
@@ -215,9 +278,7 @@ def added_spans(text: str, model: SemiMarkov, known: list[Span]) -> list[Span]:
     starts, found = [s for s, _ in taken], []
     reach = np.maximum.accumulate([e for _, e in taken]) if taken else []
     for start, end in regions(text):
-        lattice = Lattice(text, start, end)
-        for kind, i, j in model.decode(lattice):
-            s, e = lattice.starts[i], lattice.ends[j - 1]
+        for kind, s, e in model.segments(text, start, end):
             k = int(np.searchsorted(starts, e))
             if k == 0 or reach[k - 1] <= s:
                 found.append((kind, s, e))
@@ -231,7 +292,7 @@ def _listed(spans: list[Span]) -> str:
 def _regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         texts = [t for t in rows.column("text").to_pylist() if t]
-        yield pa.RecordBatch.from_arrays([pa.array([t[s:e] for t in texts for s, e in regions(t)], pa.string())], ["region"])
+        yield pa.RecordBatch.from_arrays([pa.array([t[s:e] for t in texts for s, e in sample_regions(t)], pa.string())], ["region"])
 
 
 def fit(docs: DataFrame, regions_kept: int = TRAIN_REGIONS) -> SemiMarkov:

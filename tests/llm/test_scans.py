@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from rondo.llm.pii import KINDS, SemiMarkov, find_personal_data, fit, known_spans, redact, regions
+from rondo.llm.pii import KINDS, Lattice, SemiMarkov, added_spans, find_personal_data, fit, known_spans, redact, regions
 from rondo.llm.secret_scan import secret_scan
 
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -107,6 +108,38 @@ def test_held_out_labels(spark, field):
     assert total > 20 and right > 0.9 * total
 
 
+def dense_field():
+    """A field that takes digits, a point and digits for a phone number and nothing else."""
+    return SemiMarkov({"shape 9.9": np.array([0.0, 0.0, 0.0, 9.0]), "bias": np.full(4, -4.0)})
+
+
+def test_added_spans_at_the_seams():
+    rng = random.Random(6)
+    for n in (30, 170, 600):
+        entries = [f"{rng.randrange(10**4, 10**5)}.{rng.randrange(100, 1000)}" for _ in range(n)]
+        for glue in (" ", "; ", "\n"):
+            text = glue.join(entries)
+            places = [(3, i * (9 + len(glue)), i * (9 + len(glue)) + 9) for i in range(n)]
+            assert sorted(added_spans(text, dense_field(), [])) == places
+
+
+def test_windows_give_the_labels_of_one_lattice(field):
+    rng = random.Random(7)
+    parts = ["555-0101", "1.2.3.4", "a@b.c", " ", " ", "-", "+1 ", "(605) ", "12", "abc", "4111 1111 1111 1111", ".", ","]
+    text = "".join(rng.choice(parts) for _ in range(1500))
+    (start, end), lattice = (0, len(text)), Lattice(text, 0, len(text))
+    want = [(k, lattice.starts[i], lattice.ends[j - 1]) for k, i, j in field.decode(lattice)]
+    assert want and list(field.segments(text, start, end)) == want
+
+
+def test_regions_hold_entities_whole():
+    mail = "a.very.long.name.of.somebody.who.writes@mail.host"
+    for text in (f"{'word ' * 40}{mail} and {'word ' * 40}", f"x\n{mail}\ny", mail):
+        at = text.index(mail)
+        assert any(s <= at and at + len(mail) <= e for s, e in regions(text))
+    assert regions("no trigger") == [] and regions("1" * 300_000) == [(0, 300_000)] and regions("a 123\nb 456") == [(0, 5), (6, 11)]
+
+
 def test_redact():
     assert redact("mail a@b.c or 1.2.3.4", "email:5:10,ip:14:21") == "mail [email] or [ip]"
     assert redact("plain", "") == "plain"
