@@ -14,16 +14,22 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Candidate strings of the entropy scan and the least entropy (bits a character in a window) of each character class.
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
-CLASSES = [("hex", "^[0-9a-fA-F]+$", 3.0), ("upper", "^[A-Z0-9]+$", 3.4), ("base64", "^[A-Za-z0-9+/=_-]+$", 3.7)]
-#: Strings that look random but are no secrets: numbers, plain words, paths, placeholders, UUIDs.
+CLASSES = [("hex", "[0-9a-fA-F]", 3.0), ("upper", "[A-Z0-9]", 3.4), ("base64", "[A-Za-z0-9+/=_-]", 3.7)]
+#: Stretches that look random but are no secrets: numbers, plain words, paths.
 ALLOWED = [
-    r"^[0-9_=+/-]+$", r"^[A-Za-z_=+/-]+$", r"^[A-Z]?[a-z]*(?:[-_/][A-Z]?[a-z]*)*[0-9]{0,4}$", r"(?i)example|sample|dummy|placeholder|changeme|xxxx",
-    r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"^[0-9_=+/-]+$", r"^[A-Za-z_=+/-]+$", r"^[A-Z]?[a-z]*(?:[-_/][A-Z]?[a-z]*)*[0-9]{0,4}$",
 ]
+#: Parts of a candidate that are left out, with no window over them: runs between separators that hold a placeholder's word, and UUIDs.
+LEFT_OUT = (
+    r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?i:example|sample|dummy|placeholder|changeme|xxxx)[A-Za-z0-9+]*"
+    r"|(?<![A-Za-z0-9+])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9+])"
+)
 
 
-def _entropy_windows(text: Column, least: Column, width: int = WINDOW) -> Column:
-    """First and last start of a window whose entropy reaches ``least`` (NULL if none), as a struct.
+def _entropy_windows(text: Column, width: int = WINDOW) -> Column:
+    """Stretches of overlapping windows whose entropy reaches the bound of their class, as structs of the first and last start.
+
+    A window is of the first class that holds all its characters; the state keeps the last place outside each class.
 
     The fold slides one character at a time. Of all counts only two change: that of the character that comes and of the one that goes; the
     state keeps the sum of n * log2(n) over characters, from which the entropy follows.
@@ -40,29 +46,52 @@ def _entropy_windows(text: Column, least: Column, width: int = WINDOW) -> Column
                 n = count(come, h)
                 inner = bind(state["sum"] + term(n + 1) - term(n), lambda total: F.when(i < width, total).otherwise(bind(
                     F.when(goes == come, n + 1).otherwise(count(goes, h)), lambda m: total - term(m) + term(m - 1))))
-                return bind(inner, lambda total: _updated(state, total, i, least, width))
+                return bind(inner, lambda total: _updated(state, total, chars[i], i, width))
 
             return bind(held, moved)
 
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda s: F.struct(s["first"], s["last"]))
+        outside = [F.lit(-1).alias(name) for name, _, _ in CLASSES[:-1]]
+        start = F.struct(F.lit(0.0).alias("sum"), *outside, F.array().cast("array<struct<first:int,last:int>>").alias("hot"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda s: s["hot"])
 
     return bind(F.filter(F.split(text, ""), lambda c: c != ""), of)
 
 
-def _updated(state: Column, total: Column, i: Column, least: Column, width: int) -> Column:
-    hot = (i >= width - 1) & (F.log2(F.lit(float(width))) - total / width >= least)
+def _updated(state: Column, total: Column, come: Column, i: Column, width: int) -> Column:
     at = i - (width - 1)
-    return F.struct(total.alias("sum"), F.coalesce(state["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(state["last"]).alias("last"))
+    outside = [F.when(come.rlike(f"^{p}$"), state[name]).otherwise(i).alias(name) for name, p, _ in CLASSES[:-1]]
+    least = F.lit(CLASSES[-1][2])
+    for (_, _, bits), place in zip(reversed(CLASSES[:-1]), reversed(outside), strict=True):
+        least = F.when(place < at, F.lit(bits)).otherwise(least)
+    hot = (at >= 0) & (F.log2(F.lit(float(width))) - total / width >= least)
+    this = lambda first: F.array(F.struct(first.cast("int").alias("first"), at.cast("int").alias("last")))
+    before = F.get(state["hot"], F.size(state["hot"]) - 1)
+    joins = before.isNotNull() & (at <= before["last"] + width)
+    grown = F.when(joins, F.concat(F.slice(state["hot"], F.lit(1), F.size(state["hot"]) - 1), this(before["first"]))).otherwise(F.concat(state["hot"], this(at)))
+    return F.struct(total.alias("sum"), *outside, F.when(hot, grown).otherwise(state["hot"]).alias("hot"))
+
+
+def _parts(x: Column) -> Column:
+    """Structs s, m of what a candidate holds beside ``LEFT_OUT``, parts shorter than a window dropped."""
+    def between(gone: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(gone, lambda g: g["e"].cast("long")))
+        ends = F.concat(F.transform(gone, lambda g: g["s"].cast("long")), F.array(F.length(x["m"]).cast("long")))
+        return F.zip_with(starts, ends, lambda s, e: F.struct((x["s"] + s).cast("long").alias("s"), F.substring(x["m"], (s + 1).cast("int"), (e - s).cast("int")).alias("m")))
+
+    whole = F.array(F.struct(x["s"].cast("long").alias("s"), x["m"].alias("m")))
+    return F.when(x["m"].rlike(LEFT_OUT), F.filter(bind(regex_spans(x["m"], LEFT_OUT), between), lambda p: F.length(p["m"]) >= WINDOW)).otherwise(whole)
 
 
 def _entropy_spans(text: Column) -> Column:
-    """Structs s, e of the stretch of windows of high entropy in each candidate that no rule allows."""
-    least = lambda c: F.coalesce(*[F.when(c.rlike(p), F.lit(bits)) for _, p, bits in CLASSES])
+    """Structs s, e of the stretches of windows of high entropy in each candidate that no rule allows; each stretch is judged by itself."""
     allowed = lambda c: F.exists(F.array(*map(F.lit, ALLOWED)), lambda p: F.regexp_like(c, p))
-    found = F.filter(regex_spans(text, CANDIDATE), lambda x: ~allowed(x["m"]))
-    hot = F.transform(found, lambda x: bind(_entropy_windows(x["m"], least(x["m"])), lambda w: F.struct((x["s"] + w["first"]).alias("s"), (x["s"] + w["last"] + WINDOW).alias("e"))))
-    return F.filter(hot, lambda x: x["s"].isNotNull())
+    parts = F.filter(F.flatten(F.transform(regex_spans(text, CANDIDATE), _parts)), lambda x: ~allowed(x["m"]))
+
+    def stretches(x: Column) -> Column:
+        hot = F.filter(_entropy_windows(x["m"]), lambda w: ~allowed(F.substring(x["m"], w["first"] + 1, w["last"] + WINDOW - w["first"])))
+        return F.transform(hot, lambda w: F.struct((x["s"] + w["first"]).alias("s"), (x["s"] + w["last"] + WINDOW).alias("e")))
+
+    return F.flatten(F.transform(parts, stretches))
 
 
 def _joined(spans: Column) -> Column:
@@ -74,8 +103,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """Per row of documents all secrets: doc_id and ``found``, structs of s, rank, e (code points, end exclusive) and kind.
 
     Kinds: ``assign``, ``access`` and ``hex`` by pattern, leftmost and non-overlapping per kind, short ones dropped; ``entropy`` for stretches of
-    candidate strings in which a window of 20 characters reaches its character class's entropy, unless an allow rule fits or a span
-    of a known kind overlaps. NULL texts count as empty, NULL identifiers stay, repeated rows are scanned each, an empty table gives none.
+    candidate strings in which a window of 20 characters reaches its character class's entropy, unless an allow rule fits the stretch or a span
+    of a known kind overlaps; runs with a placeholder's word and UUIDs are left out. NULL texts count as empty, NULL identifiers stay, repeated rows are scanned each, an empty table gives none.
     Only texts in which a pattern occurs are taken apart.
     """
     none = F.array().cast("array<struct<s:bigint,rank:int,e:bigint,kind:string>>")

@@ -47,6 +47,15 @@ def test_entropy_finds_random_strings_and_spares_plain_ones(spark, none):
     assert secret_scan(none).count() == 0
 
 
+def test_glued_text_does_not_hide_a_secret(spark):
+    rng, secret = random.Random(8), "Kx8vQ2mZr7Lw1TbN5yHc"
+    runs = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(300)]
+    texts = [f"sig={r}" for r in runs] + [f"/srv/examples/data/{secret}", f"sample_{secret}", "id=123e4567-e89b-12d3-a456-426614174000", f"{secret}EXAMPLE"]
+    got = [r.spans for r in secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert sum(x.startswith("entropy:") for x in got[:300]) >= 297
+    assert all(x.startswith("entropy:") and x.endswith(f":{len(t)}") for x, t in zip(got[300:302], texts[300:302], strict=True)) and got[302:] == [""] * 2
+
+
 PLAIN = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
