@@ -1,4 +1,4 @@
-"""Token counts: batch encoding in Arrow functions that return lengths only."""
+"""Token counts: Arrow functions that encode one text at a time and return lengths only."""
 
 from __future__ import annotations
 
