@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, merkle
 from .bpe import bpe_round_trip
 from .chat_format import repair_conversations
 from .minhash_dedup import near_duplicates
@@ -89,3 +89,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 ORACLES["op10_benchmark_decontamination"] = decontaminate.ORACLE
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.merkle_manifest(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.ORACLE
