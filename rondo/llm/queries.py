@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, merkle
+from . import decontaminate, line_dedup, merkle, packing, prefix_trie
 from .bpe import bpe_round_trip
 from .chat_format import repair_conversations
 from .minhash_dedup import near_duplicates
@@ -91,9 +92,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 ORACLES["op10_benchmark_decontamination"] = decontaminate.ORACLE
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.merkle_manifest(table(spark, sf_dir, "documents")))
 
 
 ORACLES["op13_merkle_manifest"] = merkle.ORACLE
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), byte_bpe())
+    return packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
