@@ -148,7 +148,7 @@ class Trie:
         columns = ["x", "n", "ep", "eq", "low", "high", "lead"]
         is_open = "low < high and lead is null"
         state = persist_table(batch.select("x", "n", "ep", "eq", F.lit(0).cast("long").alias("low"), F.col("n").alias("high"), F.lit(None).cast("long").alias("lead")))
-        settled = []
+        settled = [state.filter(f"not ({is_open})")]
         while state.limit(1).count():
             probe = self.at(state.withColumn("at", fattest(F.col("low"), F.col("high"))), "x", F.col("at"), {"p": "sp", "q": "sq"})
             met = probe.join(by_handle, (F.col("at") == F.col("f")) & (F.col("sp") == F.col("hp")) & (F.col("sq") == F.col("hq")), "left")
