@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import add, clip, count_if, epoch_us, seconds_between
-from .slices import prefix_sum
+from ..session import dimension, persist_table
+from .slices import MOST, prefix_sum
 
 EPS = 1e-10
 
@@ -97,18 +98,18 @@ def psi_alerts(psis: DataFrame, critical: float = 0.20, warning: float = 0.10) -
                       F.when(F.col("severity") == "CRITICAL", critical).otherwise(warning).alias("threshold"))
 
 
-def ks_two_sample(df: DataFrame, shards: int = 1000) -> DataFrame:
+def ks_two_sample(df: DataFrame, most: int = MOST) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p value per feature.
 
-    Rows are counted per distinct value first; the cumulative counts run over value ranges of each feature, so one
-    feature with most of the rows is still spread over ``shards`` tasks.
+    Rows are counted per distinct value first. The cumulative counts run over slices of equal count: a feature with more than ``most`` distinct values is
+    cut at quantiles of these, so neither a hot feature nor a skewed one with far outliers lands in one task.
     """
     rows = _long(df)
-    b = rows.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), count_if(F.col("side") == "ref").alias("n_ref"), count_if(F.col("side") == "cur").alias("n_cur"))
-    values = rows.groupBy("feature", "value").agg(count_if(F.col("side") == "ref").alias("r"), count_if(F.col("side") == "cur").alias("c")).join(b, "feature")
-    shard = bin_of(F.col("value"), F.col("lo"), F.col("hi"), shards)
-    cum = prefix_sum(values, ["feature"], ["value"], {"cr": F.col("r"), "cc": F.col("c")}, shard)
-    d = cum.groupBy("feature").agg(F.max(F.abs(F.col("cr") / F.col("n_ref") - F.col("cc") / F.col("n_cur"))).alias("ks"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
+    b = rows.groupBy("feature").agg(count_if(F.col("side") == "ref").alias("n_ref"), count_if(F.col("side") == "cur").alias("n_cur"))
+    values = persist_table(rows.groupBy("feature", "value").agg(count_if(F.col("side") == "ref").alias("r"), count_if(F.col("side") == "cur").alias("c")))
+    cum = prefix_sum(values, ["feature"], ["value"], {"cr": F.col("r"), "cc": F.col("c")}, most)
+    gap = F.max(F.abs(F.col("cr") / F.col("n_ref") - F.col("cc") / F.col("n_cur")))
+    d = cum.join(dimension(b), "feature").groupBy("feature").agg(gap.alias("ks"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
     lam = F.sqrt(F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur"))) * F.col("ks")
     return d.withColumn("p_value", kolmogorov_sf(lam))
 

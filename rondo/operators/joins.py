@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import lookup
-from .slices import SLICE, add_slice
+from .slices import MOST, SLICE, Unit, add_slice
 
 
-def _asof(events: DataFrame, right: DataFrame, values: list[str], key: str, left_ts: str, event_id: str, strict: bool, unit: str) -> DataFrame:
+def _asof(events: DataFrame, right: DataFrame, values: list[str], key: str, left_ts: str, event_id: str, strict: bool, unit: Unit) -> DataFrame:
     """``events`` plus, per struct column in ``values``, its last non-null value among the ``right`` rows of the key before the event.
 
     ``right`` has columns _k, _ts, _id and the values. One pass: both sides are united and a window keeps the last value
-    seen, per (key, time slice); a slice starts from the last values of earlier slices. Events are never multiplied and
+    seen, per (key, slice); a slice of a hot key starts from the last values of earlier slices. Events are never multiplied and
     no range join is built. Events without a key or a time know nothing: they keep NULL values and take no part in the windows.
     """
     placed = F.col(key).isNotNull() & F.col(left_ts).isNotNull()
@@ -25,28 +25,30 @@ def _asof(events: DataFrame, right: DataFrame, values: list[str], key: str, left
     left = events.select(F.col(key).cast(right.schema["_k"].dataType).alias("_k"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"), F.lit(before_event).alias("_side"),
                          F.col(event_id).cast("bigint").alias("_id"), payload.alias("_e"), *[F.lit(None).cast(types[v]).alias(v) for v in values])
     right = right.select("_k", "_ts", F.lit(after_event).alias("_side"), "_id", F.lit(None).cast(left.schema["_e"].dataType).alias("_e"), *values)
-    left, right = add_slice(left, "_ts", unit), add_slice(right, "_ts", unit)
-    # what each slice of the right side ends with; slices with events only are added so that they get a carry too
-    ends = right.groupBy("_k", SLICE).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct("_ts", "_id"))).alias(f"_v_{v}") for v in values])
-    asked = left.select("_k", SLICE).distinct().join(ends.select("_k", SLICE), ["_k", SLICE], "left_anti")
-    per_slice = ends.unionByName(asked, allowMissingColumns=True)
-    before = Window.partitionBy("_k").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_slice.select("_k", SLICE, *[F.last(f"_v_{v}", ignorenulls=True).over(before).alias(f"_c_{v}") for v in values])
+    sliced = add_slice(left.unionByName(right), ["_k"], "_ts", unit)
     inside = Window.partitionBy("_k", SLICE).orderBy("_ts", "_side", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = left.unionByName(right).join(carry, ["_k", SLICE])
-    out = out.select("_e", *[F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_c_{v}")).alias(v) for v in values])
+    seen = {v: F.last(v, ignorenulls=True).over(inside) for v in values}
+    out = sliced.rows
+    if not sliced.whole:
+        # what each slice ends with; events have no values of their own but their slices get a carry too
+        ends = sliced.of_hot_keys().groupBy("_k", SLICE).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct("_ts", "_id"))).alias(f"_v_{v}") for v in values])
+        before = Window.partitionBy("_k").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        carry = ends.select("_k", SLICE, *[F.last(f"_v_{v}", ignorenulls=True).over(before).alias(f"_c_{v}") for v in values])
+        out = out.join(sliced.small(carry), ["_k", SLICE], "left")
+        seen = {v: F.coalesce(c, F.col(f"_c_{v}")) for v, c in seen.items()}
+    out = out.select("_e", *[c.alias(v) for v, c in seen.items()])
     return out.filter(F.col("_e").isNotNull()).select("_e.*", *values).unionByName(unplaced)
 
 
 def asof_row(events: DataFrame, rows: DataFrame, columns: list[str], name: str = "row", key: str = "team_id", left_ts: str = "kickoff_ts", right_ts: str = "announced_ts",
-             event_id: str = "match_id", tie: str | None = None, strict: bool = True, unit: str = "month") -> DataFrame:
+             event_id: str = "match_id", tie: str | None = None, strict: bool = True, unit: Unit = MOST) -> DataFrame:
     """Each event with the latest row of its key before it, as one struct of ``columns``. ``tie`` orders rows of one instant."""
     right = rows.select(F.col(key).alias("_k"), F.col(right_ts).cast("timestamp_ntz").alias("_ts"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_id"), F.struct(*columns).alias(name))
     return _asof(events, right, [name], key, left_ts, event_id, strict, unit)
 
 
 def asof_wide(events: DataFrame, features: DataFrame, names: list[str], key: str = "team_id", left_ts: str = "kickoff_ts", right_ts: str = "feature_ts",
-              event_id: str = "match_id", source_id: str = "source_id", strict: bool = True, unit: str = "month") -> DataFrame:
+              event_id: str = "match_id", source_id: str = "source_id", strict: bool = True, unit: Unit = MOST) -> DataFrame:
     """Each event with, per requested feature, the latest (value, ts, id) of its key before the event, as structs ``f_<name>``."""
     ts, sid = F.col(right_ts).cast("timestamp_ntz"), F.col(source_id).cast("bigint")
     value = F.struct(F.col("feature_value").cast("double").alias("value"), ts.alias("ts"), sid.alias("id"))
@@ -86,7 +88,7 @@ def _pivot_sides(long: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("match_id").agg(*side("h"), *side("a"))
 
 
-def two_sided_asof(matches: DataFrame, snaps: DataFrame, unit: str = "month") -> DataFrame:
+def two_sided_asof(matches: DataFrame, snaps: DataFrame, unit: Unit = MOST) -> DataFrame:
     """Latest snapshot (team_id, announced_ts, value) before kickoff for home and away; matches lacking either side are dropped."""
     long = asof_row(_match_sides(matches, []), snaps, ["announced_ts", "value"], "snap", unit=unit)
     long = long.select("match_id", "side", "kickoff_ts", F.col("snap.announced_ts").alias("snapshot_ts"), F.col("snap.value").alias("value"))
@@ -99,7 +101,7 @@ def two_sided_asof(matches: DataFrame, snaps: DataFrame, unit: str = "month") ->
 NEUTRAL = {"squad_size": 23.0, "continuity_index": 1.0, "defenders_continuity": 1.0, "midfielders_continuity": 1.0, "forwards_continuity": 1.0, "squad_size_delta": 0.0}
 
 
-def enrich_matches(matches: DataFrame, squads: DataFrame, unit: str = "month") -> DataFrame:
+def enrich_matches(matches: DataFrame, squads: DataFrame, unit: Unit = MOST) -> DataFrame:
     """home_/away_ squad features (wide, as of ``squad_continuity``) as known at kickoff; all neutral when either side has none; and their differences."""
     names = list(NEUTRAL)
     long = asof_row(_match_sides(matches, []), squads, names, "squad", unit=unit)

@@ -1,8 +1,9 @@
 """Sequential ratings: every match reads two ratings that earlier matches of the pool wrote.
 
 Within a pool this is a chain, so no window or aggregate expresses it. The fold is a stream over rows that
-Spark has partitioned by (pool, variant, slice) and sorted by (time, id); a task keeps one Arrow batch and one
-rating per team of the current slice, never a slice's matches. Slices are calendar units (``elo_fold``).
+Spark has partitioned by (pool, variant, group of teams) and sorted by (time, id); a task keeps one Arrow batch and one
+rating per team of the group, never its matches. A pool with many matches is cut into slices that are folded one after
+the other, each of them once, by as many tasks as it has groups of teams that don't meet (``elo_fold``).
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import epoch_us, lookup
-from ..session import persist_table
+from ..functions.expr import epoch_us
+from ..session import dimension, persist_table, shared_dir
+from .slices import SLICE, add_slice
 
 # K by keyword, matched longest keyword first (fixed values)
 K_BY_TOURNAMENT = {
@@ -99,23 +101,25 @@ def _inputs(matches: DataFrame, rules: Rules) -> list[Column]:
             bonus.cast("double").alias("bonus"), score.alias("score"), F.lit(rules.base).alias("base"), F.lit(rules.dampen).alias("dampen")]
 
 
-_GROUP = ["pool", "variant", "slice"]
-_FOLD_IN = ["pool", "variant", "slice", "kind", "t", "match_id", "home", "away", "k", "extra", "bonus", "score", "base", "dampen", "seed"]
-_MATCH_OUT = "pool string, variant string, match_id long, home int, away int, t long, pre_h double, pre_a double, post_h double, post_a double"
-_END_OUT = "pool string, variant string, slice int, team int, rating double"
+_GROUP = ["pool", "variant", "grp"]
+_FOLD_IN = ["pool", "variant", "grp", "kind", "t", "match_id", "home", "away", "k", "extra", "bonus", "score", "base", "dampen", "seed"]
+#: kind 1: a match; kind 2: what a team of a group ends with (home: the team, post_h: its rating)
+_OUT = "kind int, pool string, variant string, match_id long, home int, away int, t long, pre_h double, pre_a double, post_h double, post_a double"
+_MATCH_OUT = ["pool", "variant", "match_id", "home", "away", "t", "pre_h", "pre_a", "post_h", "post_a"]
+MOST_ROWS = 1_000_000  # matches of a pool in one slice
 
 
-def _spans(pdf: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
-    """Row ranges of equal (pool, variant, slice) in a sorted batch."""
+def _spans(pdf: pd.DataFrame, group: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Row ranges of one group in a sorted batch."""
     n = len(pdf)
     change = np.zeros(n, dtype=bool)
     change[0] = True
-    for c in _GROUP:
+    for c in group:
         v = pdf[c].to_numpy()
         change[1:] |= v[1:] != v[:-1]
     starts = np.flatnonzero(change).tolist() + [n]
     for lo, hi in zip(starts, starts[1:]):
-        yield (pdf["pool"].iat[lo], pdf["variant"].iat[lo], int(pdf["slice"].iat[lo])), lo, hi
+        yield tuple(pdf[c].iat[lo] for c in group), lo, hi
 
 
 def _walk(cols: dict[str, list], lo: int, hi: int, ratings: dict, played: dict, out: list[list[float]]) -> None:
@@ -150,101 +154,142 @@ def _lists(pdf: pd.DataFrame) -> dict[str, list]:
     return {c: pdf[c].tolist() for c in ("kind", "home", "away", "k", "extra", "bonus", "score", "base", "dampen", "seed")}
 
 
-def _emit_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, ratings = None, {}
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        cols, out = _lists(pdf), [[], [], [], []]
-        for k, lo, hi in _spans(pdf):
-            if k != key:
-                key, ratings = k, {}
-            _walk(cols, lo, hi, ratings, {}, out)
-        rows = pdf.loc[pdf["kind"].to_numpy() == 1, ["pool", "variant", "match_id", "home", "away", "t"]]
-        yield rows.assign(pre_h=out[0], pre_a=out[1], post_h=out[2], post_a=out[3])
-
-
-def _emit_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ratings around every match, and at the end of each group what its teams end with."""
     key, ratings, played = None, {}, {}
 
-    def rows():
+    def ends() -> pd.DataFrame:
         teams = sorted(played)  # after skipped draws only, a team still stands at its base
-        return pd.DataFrame({"pool": key[0], "variant": key[1], "slice": key[2], "team": teams, "rating": [ratings.get(x, played[x]) for x in teams]})
+        rows = pd.DataFrame({"home": teams, "post_h": [ratings.get(x, played[x]) for x in teams]})
+        rows[["kind", "pool", "variant", "match_id", "away", "t"]] = 2, key[0], key[1], 0, 0, 0
+        return rows.assign(pre_h=0.0, pre_a=0.0, post_a=0.0)[columns]
 
+    columns = ["kind", *_MATCH_OUT]
     for pdf in batches:
         if not len(pdf):
             continue
         cols, out = _lists(pdf), [[], [], [], []]
-        for k, lo, hi in _spans(pdf):
+        for k, lo, hi in _spans(pdf, _GROUP):
             if k != key:
                 if played:
-                    yield rows()
+                    yield ends()
                 key, ratings, played = k, {}, {}
             _walk(cols, lo, hi, ratings, played, out)
+        rows = pdf.loc[pdf["kind"].to_numpy() == 1, ["kind", "pool", "variant", "match_id", "home", "away", "t"]]
+        yield rows.assign(pre_h=out[0], pre_a=out[1], post_h=out[2], post_a=out[3])[columns]
     if played:
-        yield rows()
+        yield ends()
+
 
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per (pool, slice) the connected groups of teams, each named after its smallest team; one number per team is held."""
+    key, parent = None, {}
 
-def _stream(rows: DataFrame, fn, schema: str) -> DataFrame:
-    return (rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "kind", "t", "match_id").mapInPandas(fn, schema))
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
+    def groups() -> pd.DataFrame:
+        teams = sorted(parent)
+        return pd.DataFrame({"pool": key[0], "slice": key[1], "team": teams, "grp": [find(x) for x in teams]})
 
-_SLICE_BEFORE_ALL, _SLICE_NO_TIME = -2_000_000, -1_000_000
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        home, away = pdf["home"].tolist(), pdf["away"].tolist()
+        for k, lo, hi in _spans(pdf, ["pool", "slice"]):
+            if k != key:
+                if parent:
+                    yield groups()
+                key, parent = k, {}
+            for h, a in zip(home[lo:hi], away[lo:hi]):
+                x, y = find(h), find(a)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+    if parent:
+        yield groups()
 
 
-def _match_rows(matches: DataFrame, rules: list[Rules], unit: str) -> DataFrame:
-    """One row per match and variant with everything that does not depend on ratings; ``slice`` is the day its calendar unit begins."""
+def _fold(rows: DataFrame) -> DataFrame:
+    return rows.select(*_FOLD_IN).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "kind", "t", "match_id").mapInPandas(_fold_groups, _OUT)
+
+
+def _match_rows(matches: DataFrame, rules: list[Rules]) -> DataFrame:
+    """One row per match and variant with everything that does not depend on ratings."""
     per_rule = F.explode(F.array(*[F.struct(*_inputs(matches, r)) for r in rules]))
-    day = F.date_diff(F.date_trunc(unit, "kickoff_ts").cast("date"), F.lit("1970-01-01").cast("date"))
     return matches.select(
-        F.col("pool").cast("string"), F.coalesce(day, F.lit(_SLICE_NO_TIME)).alias("slice"), F.lit(1).alias("kind"), epoch_us("kickoff_ts").alias("t"), "match_id",
-        "home", "away", F.lit(None).cast("double").alias("seed"), per_rule.alias("r")).select(
-        "pool", "r.variant", "slice", "kind", "t", F.col("match_id").cast("bigint").alias("match_id"), F.col("home").cast("int").alias("home"),
-        F.col("away").cast("int").alias("away"), "r.k", "r.extra", "r.bonus", "r.score", "r.base", "r.dampen", "seed")
+        F.col("pool").cast("string").alias("pool"), F.col("slice").cast("long").alias("slice"), F.lit(1).alias("kind"), epoch_us("kickoff_ts").alias("t"), F.col("match_id").cast("bigint").alias("match_id"),
+        F.col("home").cast("int").alias("home"), F.col("away").cast("int").alias("away"), F.lit(None).cast("double").alias("seed"), per_rule.alias("r")).select(
+        "pool", "slice", "r.variant", "kind", "t", "match_id", "home", "away", "r.k", "r.extra", "r.bonus", "r.score", "r.base", "r.dampen", "seed")
 
 
 def _seed_rows(seeds: DataFrame) -> DataFrame:
-    """Seeds (pool, variant, slice, team, rating) as rows that sort before the matches."""
+    """Seeds (pool, variant, grp, team, rating) as rows that sort before the matches."""
     null = F.lit(None).cast("double")
-    return seeds.select("pool", "variant", "slice", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("match_id"),
+    return seeds.select("pool", "variant", "grp", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("match_id"),
                         F.col("team").cast("int").alias("home"), F.lit(0).alias("away"), null.alias("k"), null.alias("extra"), null.alias("bonus"),
                         null.alias("score"), null.alias("base"), F.lit(False).alias("dampen"), F.col("rating").alias("seed"))
 
 
-def elo_fold(matches: DataFrame, rules: Rules | list[Rules], seeds: DataFrame | None = None, unit: str = "month") -> DataFrame:
+def _slices(matches: DataFrame, unit: str | None, most: int) -> tuple[DataFrame, bool]:
+    """Matches with the number of their slice in the pool (in time order), and whether there is more than one slice."""
+    if unit is None:
+        sliced = add_slice(matches, ["pool"], "kickoff_ts", most)
+        return sliced.rows.withColumnRenamed(SLICE, "slice"), not sliced.whole
+    if matches.count() <= most:
+        return matches.withColumn("slice", F.lit(0)), False
+    day = F.date_trunc(unit, "kickoff_ts")
+    units = matches.groupBy("pool", day.alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
+    ended = F.sum("_n").over(Window.partitionBy("pool").orderBy("_unit").rowsBetween(Window.unboundedPreceding, 0))  # one row per calendar unit
+    ranks = units.select(F.col("pool").alias("_pool"), "_unit", F.floor((ended - 1) / most).alias("slice"))
+    here = F.col("pool").eqNullSafe(F.col("_pool")) & day.eqNullSafe(F.col("_unit"))
+    return matches.join(dimension(ranks), here).drop("_pool", "_unit"), True
+
+
+def elo_fold(matches: DataFrame, rules: Rules | list[Rules], seeds: DataFrame | None = None, unit: str | None = None, most: int = MOST_ROWS) -> DataFrame:
     """Ratings of both sides before and after every match: (pool, variant, match_id, home, away, t, pre_*, post_*).
 
     ``seeds`` (pool, team, rating) are ratings to start from; other teams start at the variant's base.
 
-    Every pool is cut into slices of a calendar ``unit``, and all slices are folded side by side. What a team ends one slice with is what it
-    starts its next one with; slices whose starts that changes are folded again, until none changes at all. In every round at least one more
-    slice of a pool has final starts, so the loop ends after as many rounds as there are slices, with the numbers of the plain sequential fold.
+    Pools of up to ``most`` matches are folded by one task each. A larger one is cut into slices of about that many matches, at equi-depth points of its
+    kickoffs (or where a calendar ``unit`` begins, units being joined up to ``most``). All pools' first slices are folded, then all second ones,
+    and so on: every slice is folded once, when the ratings its teams start with are final. Teams that do not meet in a slice, even through
+    others, are groups of their own and folded side by side. Between slices one rating per team is kept, and a round reads its own slice only.
     """
     rules = [rules] if isinstance(rules, Rules) else rules
-    rows = persist_table(_match_rows(matches, rules, unit).select(*_FOLD_IN))
+    spark = matches.sparkSession
+    sliced, several = _slices(matches, unit, most)
+    rows = _match_rows(sliced, rules)
     first = None
     if seeds is not None:
         variants = F.explode(F.array(*[F.lit(r.name) for r in rules])).alias("variant")
-        first = seeds.select(F.col("pool").cast("string"), variants, F.lit(_SLICE_BEFORE_ALL).alias("slice"), F.col("team").cast("int").alias("team"), F.col("rating").cast("double"))
-    bases = {r.name: r.base for r in rules}
-    base = lookup(bases, F.col("variant"))
-    by_team = Window.partitionBy("pool", "variant", "team").orderBy("slice")  # one row per slice a team plays in
-    ends = persist_table(_stream(rows, _emit_ends, _END_OUT))
-    starts = ends.limit(0)
-    while True:
-        known = ends if first is None else ends.unionByName(first)
-        moved = known.withColumn("rating", F.lag("rating").over(by_team)).filter((F.col("slice") > _SLICE_BEFORE_ALL) & F.col("rating").isNotNull())
-        group = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*_GROUP, "team")]
-        before = starts.select(*[F.col(c).alias(f"_{c}") for c in (*_GROUP, "team")], F.col("rating").alias("_old"))
-        differs = F.col("rating") != F.coalesce("_old", base)
-        compared = persist_table(moved.join(before, group, "left").select(*_GROUP, "team", "rating", differs.alias("_new")))
-        changed = persist_table(compared.filter("_new").select(*[F.col(c).alias(f"_{c}") for c in _GROUP]).distinct())
-        starts = compared.drop("_new")
-        if not changed.limit(1).count():
-            return _stream(rows.unionByName(_seed_rows(starts)), _emit_matches, _MATCH_OUT)
-        hit = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _GROUP]
-        again = rows.unionByName(_seed_rows(starts)).join(changed, hit, "left_semi")
-        ends = persist_table(ends.join(changed, hit, "left_anti").unionByName(_stream(again, _emit_ends, _END_OUT)))
+        first = seeds.select(F.col("pool").cast("string").alias("pool"), variants, F.col("team").cast("int").alias("team"), F.col("rating").cast("double").alias("rating"))
+    if not several:
+        rows = rows.withColumn("grp", F.lit(0))
+        whole = rows if first is None else rows.select(*_FOLD_IN).unionByName(_seed_rows(first.withColumn("grp", F.lit(0))))
+        return _fold(whole).filter("kind = 1").select(*_MATCH_OUT)
+    path = shared_dir(spark)
+    rows.hint("rebalance", "slice").write.partitionBy("slice").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    teams = rows.filter(F.col("variant") == rules[0].name).select("pool", "slice", "home", "away").distinct()
+    teams = persist_table(teams.repartition("pool", "slice").sortWithinPartitions("pool", "slice").mapInPandas(_meet, "pool string, slice long, team int, grp int"))
+    state = persist_table(first if first is not None else spark.createDataFrame([], "pool string, variant string, team int, rating double"))
+    folded = []
+    team = lambda side: F.col("pool").eqNullSafe(F.col("_pool")) & (F.col(side) == F.col("_team"))
+    for number in [r.slice for r in teams.select("slice").distinct().sort("slice").collect()]:  # as many as the largest pool has slices
+        groups = teams.filter(F.col("slice") == number).select(F.col("pool").alias("_pool"), F.col("team").alias("_team"), "grp")
+        now = rows.filter(F.col("slice") == number).join(groups, team("home")).select(*_FOLD_IN)
+        known = state.join(groups, team("team")).select("pool", "variant", "grp", "team", "rating")
+        done = persist_table(_fold(now.unionByName(_seed_rows(known))))
+        folded.append(done.filter("kind = 1").select(*_MATCH_OUT))
+        ends = done.filter("kind = 2").select("pool", "variant", F.col("home").alias("team"), F.col("post_h").alias("rating"))
+        other = ends.select(F.col("pool").alias("_pool"), F.col("variant").alias("_variant"), F.col("team").alias("_team"))
+        state = persist_table(state.join(other, team("team") & (F.col("variant") == F.col("_variant")), "left_anti").unionByName(ends))
+    out = folded[0]
+    for part in folded[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def final_ratings(folded: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import with_one_row
-from .slices import drop_halo, halo_window, running, with_halo
+from ..session import dimension, persist_table
+from .slices import MOST, Unit, drop_halo, halo_window, running, with_halo
 
 _M = 2147483647  # modulus of the multiplicative generator
 
 
-def draw(iteration: Column, number: Column, n: Column, seed: int) -> Column:
+def draw(iteration: Column, number: Column, n: Column, seed: int | Column) -> Column:
     """Uniform index in 0..n-1 for a draw of an iteration."""
     x = (iteration.cast("bigint") * 1000003 + number.cast("bigint") * 7919 + seed + 1) % _M
     x = (x * 48271) % _M
@@ -53,22 +54,40 @@ def block_bootstrap(df: DataFrame, block: str, numerator: Column, denominator: C
     return summarise(boot)
 
 
-def moving_block_bootstrap(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, iterations: int = 1000, seed: int = 0, unit: str | Column = "month") -> DataFrame:
+CELL = 1024  # starts that are drawn from together
+CELL_SEED = 104729
+
+
+def moving_block_bootstrap(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, iterations: int = 1000, seed: int = 0, unit: Unit = MOST) -> DataFrame:
     """Mean of a series under resampling of overlapping blocks of ``length`` rows; one row per key.
 
-    Every start gets its block sum from one bounded window; a sample is n // length starts.
+    Every start gets its block sum from one bounded window; a sample is n // length starts, drawn in two steps. Draw j of an iteration picks a cell of ``CELL`` neighbouring
+    starts with a chance in proportion to its starts; of these draws only the count per (iteration, cell) is kept, combined before the shuffle. Then each cell,
+    one row with its sums and its counts, makes that many draws among its own starts and gives one sum per iteration. Draws never meet starts in a join.
     """
     rows = df.select(*keys, *order, F.col(value).cast("double").alias("_x"))
     haloed = with_halo(rows, keys, order, length - 1, unit)
     frame = halo_window(keys, order).rowsBetween(-(length - 1), 0)
     sums = drop_halo(haloed.withColumns({"_s": F.sum("_x").over(frame), "_c": F.count("_x").over(frame)}))
     placed = running(sums, keys, order, {"_pos": F.lit(1).cast("bigint")}, unit)
-    starts = placed.filter(F.col("_c") == length).select(*keys, (F.col("_pos") - (length - 1)).alias("_i"), "_s")
-    sizes = rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.avg("_x").alias("original"))
+    at = F.col("_pos") - (length - 1)
+    starts = placed.filter(F.col("_c") == length).select(*keys, F.floor(at / CELL).alias("_cell"), F.struct((at % CELL).alias("i"), F.col("_s").alias("s")).alias("_e"))
+    cells = starts.groupBy(*keys, "_cell").agg(F.sort_array(F.collect_list("_e"))["s"].alias("_sums"))  # CELL numbers a row
+    sizes = persist_table(rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.avg("_x").alias("original")))
     its = sizes.filter(F.col("_n") >= length).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    draws = _chunked(its, F.floor(F.col("_n") / length), "_j").select(*keys, "iteration", draw(F.col("iteration"), F.col("_j"), F.col("_n") - length + 1, seed).alias("_i"))
-    boot = draws.join(starts, [*keys, "_i"]).groupBy(*keys, "iteration").agg((F.sum("_s") / (F.count(F.lit(1)) * length)).alias("value"))
-    return summarise(boot, keys).join(sizes.select(*keys, "original"), list(keys))
+    picked = F.floor(draw(F.col("iteration"), F.col("_j"), F.col("_n") - length + 1, seed) / CELL)
+    draws = _chunked(its.repartition(*keys, "iteration"), F.floor(F.col("_n") / length), "_j").select(*keys, "iteration", picked.alias("_cell"))
+    counts = draws.groupBy(*keys, "_cell", "iteration").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    vectors = counts.groupBy(*keys, "_cell").agg(F.collect_list(F.struct("iteration", "k")).alias("_counts"))  # one number per iteration
+
+    def drawn(c: Column) -> Column:
+        index = lambda k: draw(c["iteration"], k, F.size("_sums"), F.lit(seed) + (F.col("_cell") + 1) * CELL_SEED)
+        total = F.aggregate(F.sequence(F.lit(0), c["k"] - 1), F.lit(0.0), lambda acc, k: acc + F.get(F.col("_sums"), index(k).cast("int")))
+        return F.struct(c["iteration"].alias("iteration"), total.alias("s"), c["k"].alias("k"))
+
+    per_cell = cells.join(vectors, [*keys, "_cell"]).select(*keys, F.explode(F.transform("_counts", drawn)).alias("d"))
+    boot = per_cell.groupBy(*keys, F.col("d.iteration").alias("iteration")).agg((F.sum("d.s") / (F.sum("d.k") * length)).alias("value"))
+    return summarise(boot, keys).join(dimension(sizes.select(*keys, "original")), list(keys))
 
 
 def acceptance(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import add, seconds_between
-from .slices import SLICE, add_slice, carried_rows, drop_halo, halo_window, running, with_halo
+from .slices import MOST, SLICE, Unit, add_slice, carried_rows, drop_halo, halo_window, running, with_halo
 
 TEAM = ["pool", "team"]
 ORDER = ["kickoff_ts", "match_id"]
@@ -42,7 +42,7 @@ def _lag_mean(value: str, n: int, window, weights: list[float] | None = None) ->
     return F.try_divide(num, den)
 
 
-def form_last_n(matches: DataFrame, n: int = 5, default: float = 0.5, unit: str = "month") -> DataFrame:
+def form_last_n(matches: DataFrame, n: int = 5, default: float = 0.5, unit: Unit = MOST) -> DataFrame:
     """Mean points of the team's n previous matches."""
     rows = team_long(matches).select(*TEAM, *ORDER, "is_home", "pts")
     haloed = with_halo(rows, TEAM, ORDER, n, unit)
@@ -50,7 +50,7 @@ def form_last_n(matches: DataFrame, n: int = 5, default: float = 0.5, unit: str
     return drop_halo(haloed.withColumn("form", F.coalesce(mean, F.lit(default)))).select("match_id", "team", "is_home", "form")
 
 
-def form_decayed(matches: DataFrame, n: int = 10, rate: float = 0.1, default: float = 0.5, unit: str = "month") -> DataFrame:
+def form_decayed(matches: DataFrame, n: int = 10, rate: float = 0.1, default: float = 0.5, unit: Unit = MOST) -> DataFrame:
     """Mean of the last n points with weight exp(-rate * age); age 0 is the latest match."""
     rows = team_long(matches).select(*TEAM, *ORDER, "is_home", "pts")
     haloed = with_halo(rows, TEAM, ORDER, n, unit)
@@ -61,15 +61,15 @@ def form_decayed(matches: DataFrame, n: int = 10, rate: float = 0.1, default: fl
 def form_before_date(matches: DataFrame, n: int = 5) -> DataFrame:
     """Mean points and goal difference of the last n matches played on strictly earlier dates."""
     rows = team_long(matches).select(*TEAM, *ORDER, "is_home", "pts", (F.col("gf") - F.col("ga")).alias("gd"))
-    dated = add_slice(rows, "kickoff_ts", "day")
-    carried = carried_rows(dated.select(*TEAM, *ORDER, "pts", "gd", SLICE), TEAM, ORDER, n)
+    dated = add_slice(rows, TEAM, "kickoff_ts", "day")
+    carried = carried_rows(dated, ORDER, n)
 
     def mean(field: str) -> Column:
         values = F.col("_prev")[field]
         return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
     carried = carried.select(*TEAM, SLICE, mean("pts").alias("form"), mean("gd").alias("gd_avg"))
-    return dated.join(carried, [*TEAM, SLICE], "left").select(
+    return dated.rows.join(carried, [*TEAM, SLICE], "left").select(
         "match_id", "team", "is_home", F.coalesce("form", F.lit(0.5)).alias("form"), F.coalesce("gd_avg", F.lit(0.0)).alias("gd_avg"))
 
 
@@ -82,7 +82,7 @@ def _pairs(matches: DataFrame) -> DataFrame:
 PAIR = ["pool", "lo", "hi"]
 
 
-def h2h_expanding(matches: DataFrame, default: float = 0.5, unit: str = "month") -> DataFrame:
+def h2h_expanding(matches: DataFrame, default: float = 0.5, unit: Unit = MOST) -> DataFrame:
     """Home side's share of wins in all earlier meetings of the two teams, either orientation."""
     sums = {"n": F.lit(1).cast("bigint"),
             "lo_wins": F.when(F.col("winner") == F.col("lo"), 1).otherwise(0),
@@ -92,7 +92,7 @@ def h2h_expanding(matches: DataFrame, default: float = 0.5, unit: str = "month")
     return out.select("match_id", F.when(F.col("n") > 0, wins / F.col("n")).otherwise(default).alias("h2h"), F.col("n").alias("meetings"))
 
 
-def h2h_last_n(matches: DataFrame, n: int = 5, default: float = 0.5, unit: str = "month") -> DataFrame:
+def h2h_last_n(matches: DataFrame, n: int = 5, default: float = 0.5, unit: Unit = MOST) -> DataFrame:
     """Home side's share of wins in the last n meetings in true time order."""
     rows = _pairs(matches).withColumn("w", F.coalesce("winner", F.lit(-1)))
     haloed = with_halo(rows, PAIR, ORDER, n, unit)
@@ -171,7 +171,7 @@ def lead_hours(df: DataFrame, announced: str = "announced_ts", kickoff: str = "k
 # ---- metric series -------------------------------------------------------------------------------
 
 
-def rolling_uplift(df: DataFrame, w: int, key: str = "pool", order: list[str] | None = None, unit: str = "month") -> DataFrame:
+def rolling_uplift(df: DataFrame, w: int, key: str = "pool", order: list[str] | None = None, unit: Unit = MOST) -> DataFrame:
     """Mean of ``baseline - model`` over the last w rows, only where w rows exist. Needs columns baseline, model."""
     order = order or ORDER
     rows = df.select(key, *order, (F.col("baseline") - F.col("model")).alias("uplift"))
@@ -181,7 +181,7 @@ def rolling_uplift(df: DataFrame, w: int, key: str = "pool", order: list[str] |
     return drop_halo(out.filter(F.col("_n") == w)).select(key, *order, "rolling_uplift")
 
 
-def sequence_audit(df: DataFrame, key: str, ts: str, arrival: str, max_gap_days: int = 30, unit: str = "month", arrivals_per_slice: int = 1_000_000) -> DataFrame:
+def sequence_audit(df: DataFrame, key: str, ts: str, arrival: str, max_gap_days: int = 30, unit: Unit = MOST) -> DataFrame:
     """Duplicate timestamps, long gaps and out-of-order arrivals, counted per key."""
     rows = df.select(key, ts, arrival)
     stamps = rows.groupBy(key, ts).agg(F.count(F.lit(1)).alias("c"))
@@ -189,7 +189,7 @@ def sequence_audit(df: DataFrame, key: str, ts: str, arrival: str, max_gap_days:
     by_time = with_halo(stamps.select(key, ts), [key], [ts], 1, unit)
     gap = drop_halo(by_time.withColumn("_p", F.lag(ts).over(halo_window([key], [ts]))))
     gap = gap.filter(seconds_between("_p", ts) >= (max_gap_days + 1) * 86400).groupBy(key).agg(F.count(F.lit(1)).alias("gaps"))
-    by_arrival = with_halo(rows.select(arrival, key, ts), [key], [arrival], 1, F.floor(F.col(arrival) / arrivals_per_slice))
+    by_arrival = with_halo(rows.select(arrival, key, ts), [key], [arrival], 1, unit if isinstance(unit, int) else MOST)
     late = drop_halo(by_arrival.withColumn("_p", F.lag(ts).over(halo_window([key], [arrival]))))
     late = late.filter(F.col(ts) < F.col("_p")).groupBy(key).agg(F.count(F.lit(1)).alias("out_of_order"))
     base = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -257,7 +257,7 @@ def latency_percentiles(df: DataFrame, value: str, order: list[str], keys: list[
     return last.agg(*[F.percentile(value, p).alias(n) for n, p in PCTS.items()], F.count(value).alias("n"))
 
 
-def autocorrelation(df: DataFrame, key: str, value: str, order: list[str], lags: int = 10, unit: str = "month") -> DataFrame:
+def autocorrelation(df: DataFrame, key: str, value: str, order: list[str], lags: int = 10, unit: Unit = MOST) -> DataFrame:
     """Autocorrelation per key for lags 0..L around the key's mean; mean product over n-l rows; 0 when variance is 0."""
     stats = df.groupBy(key).agg(F.avg(value).alias("mu"), F.var_pop(value).alias("var"), F.count(value).alias("n"))
     rows = df.select(key, *order, F.col(value).alias("x"))
@@ -290,7 +290,7 @@ def chi2_sf(q: Column, dof: int) -> Column:
     return erfc(F.sqrt(half)) + (F.exp(-half) * add(powers) if powers else F.lit(0.0))
 
 
-def ljung_box(df: DataFrame, key: str, value: str, order: list[str], lags: int = 10, unit: str = "month") -> DataFrame:
+def ljung_box(df: DataFrame, key: str, value: str, order: list[str], lags: int = 10, unit: Unit = MOST) -> DataFrame:
     """Portmanteau statistic over the biased autocorrelations, with its p-value."""
     acf = autocorrelation(df, key, value, order, lags, unit).filter(F.col("lag") > 0)
     rho = F.col("acf") * (F.col("n") - F.col("lag")) / F.col("n")
@@ -303,7 +303,7 @@ def ljung_box(df: DataFrame, key: str, value: str, order: list[str], lags: int =
 ADF_CRITICAL = {"1%": -3.43, "5%": -2.86, "10%": -2.57}
 
 
-def adf_stationarity(df: DataFrame, key: str, value: str, order: list[str], unit: str = "month") -> DataFrame:
+def adf_stationarity(df: DataFrame, key: str, value: str, order: list[str], unit: Unit = MOST) -> DataFrame:
     """t statistic of the unit-root regression with constant and one lagged difference, per key.
 
     dx_t = a + b x_{t-1} + c dx_{t-1}: the normal equations are sums over lag columns, solved in closed form.

@@ -54,6 +54,8 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         nullable_int = {a, b} == {"int", "float"} and (got[c].isna().any() or want[c].isna().any())
         if a != b and "any" not in (a, b) and not nullable_int:
             return f"type of {c}: {a} vs {b}"
+        if nullable_int:  # one library turns whole numbers with gaps into floats
+            got, want = got.assign(**{c: got[c].astype("Int64")}), want.assign(**{c: want[c].astype("Int64")})
 
     def rows(df):
         return sorted("|".join(_cell(v) for v in r) for r in df[cols].itertuples(index=False, name=None))

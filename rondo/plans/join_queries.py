@@ -10,7 +10,6 @@ from ..session import persist_table
 from .registry import query
 from .window_queries import CONT_SQL
 
-UNIT = "day"
 NAMES = ["click", "view"]
 
 
@@ -20,12 +19,12 @@ def _asof(n):
 
 @query("asof_join_features", " UNION ALL ".join(f"SELECT match_id, '{n}' AS feature_name, #[feature_value]# AS feature_value, coalesce(source_id, -1) AS source_id FROM {_asof(n)}" for n in NAMES), "gappy_kickoffs features")
 def _(t):
-    return J.asof_join(t.gappy_kickoffs, t.features, NAMES, unit=UNIT).select("match_id", "feature_name", rnd("feature_value").alias("feature_value"), F.coalesce("source_id", F.lit(-1)).alias("source_id"))
+    return J.asof_join(t.gappy_kickoffs, t.features, NAMES).select("match_id", "feature_name", rnd("feature_value").alias("feature_value"), F.coalesce("source_id", F.lit(-1)).alias("source_id"))
 
 
 @query("asof_wide", f"SELECT c.match_id, #[c.feature_value]# AS click, #[v.feature_value]# AS view FROM {_asof('click')} c JOIN {_asof('view')} v USING (match_id)", "gappy_kickoffs features")
 def _(t):
-    return J.asof_wide(t.gappy_kickoffs, t.features, NAMES, unit=UNIT).select("match_id", *[rnd(f"f_{n}.value").alias(n) for n in NAMES])
+    return J.asof_wide(t.gappy_kickoffs, t.features, NAMES).select("match_id", *[rnd(f"f_{n}.value").alias(n) for n in NAMES])
 
 
 @query("latest_before", """
@@ -43,7 +42,7 @@ SELECT m.match_id, strftime(h.announced_ts, '%Y-%m-%d') AS home_day, strftime(a.
 FROM matches m ASOF JOIN {_SNAP} h ON m.home = h.team_id AND m.kickoff_ts > h.announced_ts ASOF JOIN {_SNAP} a ON m.away = a.team_id AND m.kickoff_ts > a.announced_ts""", "matches snapshots")
 def _(t):
     snaps = t.snapshots.select("team_id", "announced_ts", F.size("players").cast("double").alias("value"))
-    out = J.two_sided_asof(t.matches, snaps, UNIT)
+    out = J.two_sided_asof(t.matches, snaps)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return out.select("match_id", day("home_snapshot_ts").alias("home_day"), day("away_snapshot_ts").alias("away_day"), "home_value", "away_value", "home_valid", "away_valid")
 
@@ -62,7 +61,7 @@ FROM (SELECT * REPLACE (home * 3 AS home, away * 7 AS away) FROM matches) m ASOF
 def _(t):
     m = t.matches.withColumns({"home": F.col("home") * 3, "away": F.col("away") * 7})
     squads = persist_table(W.squad_continuity(t.snapshots))  # the join reads its right side twice
-    out = J.enrich_matches(m, squads, UNIT)
+    out = J.enrich_matches(m, squads)
     cols = ["squad_size", "continuity_index", "defenders_continuity"]
     return out.select("match_id", *[rnd(f"{s}_{c}").alias(f"{s}_{c}") for c in cols for s in ("home", "away")], rnd("continuity_diff").alias("continuity_diff"), rnd("squad_size_diff").alias("squad_size_diff"))
 

@@ -141,9 +141,9 @@ def _(t):
     """Point-in-time feature row per match: rating difference, decayed form of both sides, head-to-head, rest."""
     m = t.matches
     elo = R.elo_fold(m, R.LINEAR_MARGIN).select("match_id", "pre_h", "pre_a")
-    form = W.form_decayed(m, unit="day").groupBy("match_id").agg(
+    form = W.form_decayed(m).groupBy("match_id").agg(
         F.max(F.when(F.col("is_home"), F.col("form"))).alias("form_home"), F.max(F.when(~F.col("is_home"), F.col("form"))).alias("form_away"))
-    h2h = W.h2h_expanding(m, unit="day").select("match_id", "h2h")
+    h2h = W.h2h_expanding(m).select("match_id", "h2h")
     return (m.select("match_id", "pool", "neutral", S.outcome().alias("outcome")).join(elo, "match_id").join(form, "match_id").join(h2h, "match_id")
             .select("match_id", "pool", rnd(F.col("pre_h") + F.when(F.col("neutral"), 0).otherwise(80) - F.col("pre_a"), 3).alias("elo_diff"),
                     F.col("neutral").cast("int").alias("is_neutral"), rnd("form_home").alias("form_home"), rnd("form_away").alias("form_away"),

@@ -12,7 +12,7 @@ SUM = ("mean", "std", "ci_lower", "ci_upper", "median", "p_le_zero")
 
 
 def _draw(i, j, n, seed):
-    x = f"((({i})::BIGINT * 1000003 + ({j})::BIGINT * 7919 + {seed + 1}) % 2147483647)"
+    x = f"((({i})::BIGINT * 1000003 + ({j})::BIGINT * 7919 + ({seed}) + 1) % 2147483647)"
     x = f"(({x} * 48271) % 2147483647)"
     x = f"(({x} * 16807 + 12345) % 2147483647)"
     return f"({x} % ({n}))"
@@ -34,11 +34,12 @@ def _(t):
 WITH ser AS (SELECT pool, {BR} AS x, row_number() OVER (PARTITION BY pool ORDER BY kickoff_ts, match_id) - 1 AS pos, count(*) OVER (PARTITION BY pool) AS n FROM predictions),
 bs AS (SELECT pool, pos AS i, sum(x) OVER (PARTITION BY pool ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s, n FROM ser),
 sz AS (SELECT pool, any_value(n) AS n, avg(x) AS original FROM ser GROUP BY 1),
-dr AS (SELECT pool, it, {_draw('it', 'j', 'n - 19', 3)} AS i FROM (SELECT pool, n, unnest(range(n // 20)) AS j FROM sz WHERE n >= 20), range(1000) x(it))
+cl AS (SELECT pool, it, n, {_draw('it', 'j', 'n - 19', 3)} // {B.CELL} AS c, count(*) AS m FROM (SELECT pool, n, unnest(range(n // 20)) AS j FROM sz WHERE n >= 20), range(1000) x(it) GROUP BY ALL),
+dr AS (SELECT pool, it, c * {B.CELL} + {_draw('it', 'k', f'least({B.CELL}, n - 19 - c * {B.CELL})', f'3 + (c + 1) * {B.CELL_SEED}')} AS i FROM (SELECT *, unnest(range(m)) AS k FROM cl))
 SELECT pool, {_SUMM}, #[any_value(original)]# AS original FROM (SELECT pool, it, sum(s) / (count(*) * 20) AS value FROM dr JOIN bs USING (pool, i) GROUP BY 1, 2) JOIN sz USING (pool) GROUP BY 1""", "predictions")
 def _(t):
     df = t.predictions.withColumn("br", brier_row())
-    return r(B.moving_block_bootstrap(df, ["pool"], W.ORDER, "br", 20, 1000, 3, "day"), *SUM, "original")
+    return r(B.moving_block_bootstrap(df, ["pool"], W.ORDER, "br", 20, 1000, 3), *SUM, "original")
 
 
 @query("acceptance_tests", """

@@ -116,7 +116,7 @@ WITH f AS (SELECT match_id, max(CASE WHEN is_home THEN form END) AS fh, max(CASE
   SELECT match_id, is_home, coalesce(avg(pts) OVER (PARTITION BY pool, team ORDER BY kickoff_ts, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.5) AS form FROM long_view) GROUP BY 1)
 SELECT match_id, {_norm('w')} FROM (SELECT match_id, w, w + 0.25 + greatest(0, 1 - w - 0.25) AS s FROM (SELECT match_id, greatest(0.1, least(0.9, fh / (fh + fa + 1e-9))) AS w FROM f))""", "long_view")
 def _(t):
-    f = W.form_last_n(t.matches, 5, unit="day").groupBy("match_id").agg(
+    f = W.form_last_n(t.matches, 5).groupBy("match_id").agg(
         F.max(F.when(F.col("is_home"), F.col("form"))).alias("form_home"), F.max(F.when(~F.col("is_home"), F.col("form"))).alias("form_away"))
     return p3(S.baseline_probs(f, S.form_score()))
 

@@ -6,7 +6,6 @@ from ..functions.expr import brier_row, rnd
 from ..operators import windows as W
 from .registry import query
 
-UNIT = "day"  # the given events span one month
 
 _W_TEAM = "OVER (PARTITION BY pool, team ORDER BY kickoff_ts, match_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 
@@ -14,7 +13,7 @@ _W_TEAM = "OVER (PARTITION BY pool, team ORDER BY kickoff_ts, match_id ROWS BETW
 @query("form_last_n", f"""
 SELECT match_id, team, is_home, #[coalesce(avg(pts) {_W_TEAM.format(n=5)}, 0.5)]# AS form FROM long_view""", "long_view")
 def _(t):
-    return W.form_last_n(t.matches, 5, unit=UNIT).withColumn("form", rnd("form"))
+    return W.form_last_n(t.matches, 5).withColumn("form", rnd("form"))
 
 
 @query("form_strict_date", """
@@ -37,7 +36,7 @@ SELECT match_id, team, is_home, #[coalesce(({' + '.join(f'coalesce({x} * exp(-0.
   / nullif({' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE exp(-0.1 * {i}) END' for i, x in enumerate(_LAGS))}, 0), 0.5)]# AS form
 FROM long_view WINDOW w AS (PARTITION BY pool, team ORDER BY kickoff_ts, match_id)""", "long_view")
 def _(t):
-    return W.form_decayed(t.matches, unit=UNIT).withColumn("form", rnd("form"))
+    return W.form_decayed(t.matches).withColumn("form", rnd("form"))
 
 
 _PAIRS = """SELECT *, least(home, away) AS lo, greatest(home, away) AS hi,
@@ -49,7 +48,7 @@ SELECT match_id, #[coalesce((CASE WHEN home = lo THEN lw ELSE hw END) / nullif(n
   SELECT *, count(*) OVER w AS n, coalesce(sum(CAST(winner = lo AS INT)) OVER w, 0) AS lw, coalesce(sum(CAST(winner = hi AS INT)) OVER w, 0) AS hw
   FROM ({_PAIRS}) WINDOW w AS (PARTITION BY pool, lo, hi ORDER BY kickoff_ts, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", "matches")
 def _(t):
-    return W.h2h_expanding(t.matches, unit=UNIT).withColumn("h2h", rnd("h2h"))
+    return W.h2h_expanding(t.matches).withColumn("h2h", rnd("h2h"))
 
 
 @query("h2h_last_n", f"""
@@ -57,7 +56,7 @@ SELECT match_id, #[coalesce(len(list_filter(ws, lambda x: x = home)) / nullif(le
   SELECT match_id, home, list(winner) OVER (PARTITION BY pool, lo, hi ORDER BY kickoff_ts, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ws
   FROM ({_PAIRS}))""", "matches")
 def _(t):
-    return W.h2h_last_n(t.matches, unit=UNIT).withColumn("h2h", rnd("h2h"))
+    return W.h2h_last_n(t.matches).withColumn("h2h", rnd("h2h"))
 
 
 @query("days_since_last", """
@@ -140,7 +139,7 @@ SELECT pool, match_id, #[u]# AS rolling_uplift FROM (
   SELECT pool, match_id, avg(2.0/3 - {_BR}) OVER w AS u, count(*) OVER w AS n FROM predictions
   WINDOW w AS (PARTITION BY pool ORDER BY kickoff_ts, match_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE n = 30""", "predictions")
 def _(t):
-    return W.rolling_uplift(_uplift_rows(t), 30, unit=UNIT).select("pool", "match_id", rnd("rolling_uplift").alias("rolling_uplift"))
+    return W.rolling_uplift(_uplift_rows(t), 30).select("pool", "match_id", rnd("rolling_uplift").alias("rolling_uplift"))
 
 
 @query("sequence_violations", """
@@ -153,9 +152,9 @@ LEFT JOIN (SELECT k, count(*) AS out_of_order FROM (SELECT l_suppkey AS k, s, la
    FROM (SELECT l_suppkey, l_orderkey, max(l_shipdate) AS s FROM lineitem GROUP BY 1, 2)) WHERE s < p GROUP BY 1) o USING (k)""")
 def _(t):
     li = t.lineitem.select("l_suppkey", "l_shipdate", "l_orderkey")
-    full = W.sequence_audit(li, "l_suppkey", "l_shipdate", "l_orderkey", unit="year").drop("out_of_order")
+    full = W.sequence_audit(li, "l_suppkey", "l_shipdate", "l_orderkey").drop("out_of_order")
     once = li.groupBy("l_suppkey", "l_orderkey").agg(F.max("l_shipdate").alias("l_shipdate"))
-    late = W.sequence_audit(once, "l_suppkey", "l_shipdate", "l_orderkey", unit="year").select("l_suppkey", "out_of_order")
+    late = W.sequence_audit(once, "l_suppkey", "l_shipdate", "l_orderkey").select("l_suppkey", "out_of_order")
     return full.join(late, "l_suppkey").withColumnRenamed("l_suppkey", "user_id")
 
 
@@ -227,7 +226,7 @@ SER_SQL = f"ser AS (SELECT pool, kickoff_ts, match_id, {_BR} AS x, avg({_BR}) OV
 @query("autocorrelation", f"""WITH {SER_SQL}, {ACF_SQL}
 SELECT pool, lag, #[acf]# AS acf FROM acf UNION ALL SELECT DISTINCT pool, 0, 1.0 FROM acf""", "predictions")
 def _(t):
-    out = W.autocorrelation(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER, 10, UNIT)
+    out = W.autocorrelation(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER, 10)
     return out.select("pool", "lag", rnd("acf").alias("acf"))
 
 
@@ -235,7 +234,7 @@ def _(t):
 SELECT pool, #[q]# AS q, #[exp(-q/2) * (1 + q/2 + pow(q/2,2)/2 + pow(q/2,3)/6 + pow(q/2,4)/24)]# AS p_value FROM (
   SELECT pool, max(n) * (max(n) + 2) * sum(pow(acf * (n - lag) / n, 2) / (n - lag)) AS q FROM acf GROUP BY 1)""", "predictions")
 def _(t):
-    out = W.ljung_box(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER, 10, UNIT)
+    out = W.ljung_box(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER, 10)
     return out.select("pool", rnd("q").alias("q"), rnd("p_value").alias("p_value"))
 
 
@@ -249,5 +248,5 @@ SELECT pool, n, #5[b / sqrt(rss / (n - 3) * svv / det / n)]# AS adf_stat, b / sq
             SELECT pool, {_BR} AS x, lag({_BR}) OVER w AS l1, lag({_BR}, 2) OVER w AS l2 FROM predictions
             WINDOW w AS (PARTITION BY pool ORDER BY kickoff_ts, match_id)) WHERE l2 IS NOT NULL) GROUP BY 1))))""", "predictions")
 def _(t):
-    out = W.adf_stationarity(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER, UNIT)
+    out = W.adf_stationarity(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER)
     return out.select("pool", "n", rnd("adf_stat", 5).alias("adf_stat"), "is_stationary")

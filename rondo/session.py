@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import broadcast
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -67,3 +68,22 @@ def persist_table(df, spark: SparkSession | None = None):
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def written_bytes(df) -> int:
+    """Bytes of the files that a frame read from written tables stands on."""
+    spark = df.sparkSession
+    hadoop, total = spark._jsc.hadoopConfiguration(), 0
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        total += path.getFileSystem(hadoop).getFileStatus(path).getLen()
+    return total
+
+
+def dimension(df, most: int = BROADCAST_BYTES):
+    """A small side of a join as a written table; it gets a broadcast hint only if its files have at most ``most`` bytes."""
+    written = persist_table(df)
+    return broadcast(written) if written_bytes(written) <= most else written

@@ -47,3 +47,48 @@ def test_longest_keyword_wins(spark):
     df = spark.createDataFrame([("FIFA World Cup qualification",), ("FIFA World Cup",), ("Kirin Cup",)], "tournament string")
     assert [r[0] for r in df.select(R.tournament_k()).collect()] == [50.0, 60.0, 35.0]
     assert [r[0] for r in df.select(R.tournament_k(longest_first=False)).collect()] == [60.0, 60.0, 35.0]
+
+
+def _counted(monkeypatch):
+    """Rows and groups that every call of the fold streams."""
+    seen, plain = [], R._fold
+    monkeypatch.setattr(R, "_fold", lambda rows: seen.append(rows) or plain(rows))
+    return seen
+
+
+@pytest.mark.parametrize("unit", [None, "day", "month"])
+def test_every_slice_is_folded_once(tables, monkeypatch, unit):
+    """Four pools of about 250 matches in slices of 60: each match goes through the fold once, whatever the slices."""
+    m = tables.matches
+    want, _ = brute(m.collect())
+    seen = _counted(monkeypatch)
+    got = R.elo_fold(m, R.CONSTANT_30, unit=unit, most=60).collect()
+    assert len(seen) > (0 if unit == "month" else 3)  # the matches span one month
+    folds = [(k, r.pool, r.grp, r.n) for k, rows in enumerate(seen) for r in rows.filter("kind = 1").groupBy("pool", "grp").agg(F.count("*").alias("n")).collect()]
+    assert sum(f[3] for f in folds) == len(got) == len(want)
+    assert len({f[:3] for f in folds}) == len(folds)
+    assert max(abs(r.pre_h - want[r.match_id][0]) + abs(r.pre_a - want[r.match_id][1]) for r in got) < 1e-9
+
+
+def test_teams_that_do_not_meet_are_folded_side_by_side(spark, tables, monkeypatch):
+    """One pool of 12 leagues that never meet: every slice has 12 groups, none with another league's matches."""
+    m = tables.matches.filter("home % 2 != away % 2").withColumn("pool", F.lit("one"))
+    m = m.withColumn("home", F.col("home") - F.col("home") % 2 + F.lit(0)).withColumn("away", F.col("home") + 1)
+    want, _ = brute(m.collect())
+    seen = _counted(monkeypatch)
+    got = R.elo_fold(m, R.CONSTANT_30, most=150).collect()
+    assert len(seen) > 2 and max(abs(r.pre_h - want[r.match_id][0]) for r in got) < 1e-9
+    for rows in seen:
+        assert rows.filter("kind = 1 and int(home / 2) != int(grp / 2)").count() == 0
+        assert rows.filter("kind = 1").select("grp").distinct().count() > 6
+
+
+def test_no_slice_is_larger_than_asked(tables):
+    m = tables.matches.withColumn("pool", F.when(F.col("match_id") % 3 > 0, "hot").otherwise(F.col("pool")))
+    sliced, several = R._slices(m, None, 80)
+    assert several and sliced.groupBy("pool", "slice").count().agg(F.max("count")).first()[0] <= 80
+    assert sliced.count() == m.count()
+
+
+def test_empty_table_has_no_ratings(tables):
+    assert R.elo_fold(tables.matches.limit(0), R.CONSTANT_30).count() == 0
