@@ -6,13 +6,12 @@ Every metric takes grouping keys, so one pass serves model x window x slice. Bin
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import OUTCOMES, add, brier_row, clip, count_if, hit, logloss_row, safe_div, share, top_pick, with_one_row
 from .quantiles import exact_quantiles
+from .regression import fit_many
 from .scoring import P3
 
 UPSET = 0.35
@@ -92,12 +91,12 @@ def curve_slope(table: DataFrame, keys: list[str] = (), min_bins: int = 2) -> Da
                                     F.count(F.lit(1)).alias("n_bins")).filter(F.col("n_bins") >= min_bins)
 
 
-def calibration_logit(df: DataFrame, p: str = "p_home", y: Column | None = None) -> DataFrame:
-    """Slope and intercept of the outcome on logit(p), unregularised; one row."""
+def calibration_logit(df: DataFrame, p: str = "p_home", y: Column | None = None, keys: list[str] = ()) -> DataFrame:
+    """Slope and intercept of the outcome on logit(p), unregularised; one row per value of ``keys``, all fitted in the same passes."""
     q = clip(F.col(p), 1e-6, 1 - 1e-6)
-    rows = df.select(F.ln(q / (1 - q)).alias("logit"), (y if y is not None else _is(1)).alias("label"))
-    model = LogisticRegression(maxIter=50, regParam=0.0).fit(VectorAssembler(inputCols=["logit"], outputCol="features").transform(rows))
-    return df.sparkSession.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
+    rows = df.select(*keys, F.ln(q / (1 - q)).alias("logit"), (y if y is not None else _is(1)).alias("label"))
+    fits = fit_many(rows, ["logit"], "label", "logistic", keys)
+    return fits.select(*keys, F.col("coefficients")[1].alias("slope"), F.col("coefficients")[0].alias("intercept"))
 
 
 def rolling_calibration_slope(df: DataFrame, p: Column, y: Column, keys: list[str] = (), bins: int = 4, lo: float = 0.95, hi: float = 1.05, min_n: int = 20) -> DataFrame:

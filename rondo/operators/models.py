@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import add, brier_row, clip, hit, logloss_row, p_actual, with_one_row
 from . import metrics as M
 from . import scoring as S
+from .regression import fit_many
 
 P3 = S.P3
 
@@ -29,12 +30,9 @@ def _grid(df: DataFrame, values: list[float], name: str) -> DataFrame:
 
 
 def fit_uplift(df: DataFrame, features: list[str], target: str = "goals_home", base: str = "lambda_home_base") -> dict[str, float]:
-    """Poisson regression of goals on features with offset ln(base): coefficients by name."""
-    rows = df.select(F.col(target).cast("double").alias("label"), F.ln(F.col(base)).alias("offset"), *features)
-    data = _assembled(features).transform(rows).select("label", "offset", "features")
-    with _kept(data) as kept:
-        model = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="offset", maxIter=25).fit(kept)
-    return {f: float(c) for f, c in zip(features, model.coefficients)} | {"intercept": float(model.intercept)}
+    """Poisson regression of goals on features with offset ln(base): coefficients by name, and the loss."""
+    fit = fit_many(df.filter(F.col(base) > 0), features, target, "poisson", offset=F.ln(F.col(base))).first()
+    return dict(zip(["intercept", *features], fit.coefficients)) | {"loss": fit.loss}
 
 
 def fit_attack_defence(matches: DataFrame, max_iter: int = 25, reg: float = 1e-3):

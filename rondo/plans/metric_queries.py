@@ -6,6 +6,7 @@ from ..functions.expr import rnd
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..operators import windows as W
+from .fit_sql import newton_sql
 from .registry import query
 
 P3 = S.P3
@@ -84,7 +85,10 @@ def _(t):
     return r(M.calibration_curve(t.predictions, 0, 15, ["pool"]), "pred_mean", "obs_rate")
 
 
-@query("calibration_slope_logit")
+_LOGIT = newton_sql("fit", "(SELECT actual, greatest(1e-6, least(1 - 1e-6, p_home)) AS q FROM predictions)", ["ln(q / (1 - q))"], "CAST(actual = 1 AS INT)", "logistic")
+
+
+@query("calibration_slope_logit", f"WITH {_LOGIT} SELECT #4[b1]# AS slope, #4[b0]# AS intercept FROM fit", "predictions", recursive=True)
 def _(t):
     return r(M.calibration_logit(t.predictions), "slope", "intercept", digits=4)
 

@@ -8,9 +8,10 @@ from ..functions.expr import logloss_row, rnd, with_one_row
 from ..operators import models as MD
 from ..operators import scoring as S
 from ..operators import splits as SP
+from .fit_sql import newton_sql
 from .metric_queries import BR, PA, PICK, r
 from .registry import query
-from .split_queries import _goals
+from .split_queries import GOALS_SQL, _goals
 
 P3 = S.P3
 FEATURES = ["rating_diff", "is_neutral", "p_home", "p_draw"]
@@ -36,10 +37,11 @@ def _fit_eval(t, fit):
         (F.max(F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1)) < 1e-6).alias("sums_to_one"), (F.avg(train) < math.log(3)).alias("beats_chance"))
 
 
-@query("fit_poisson_uplift")
+@query("fit_poisson_uplift", f"""WITH {GOALS_SQL}, {newton_sql('fit', 'goals', ['gap', 'on_neutral'], 'y', 'poisson', 'ln(base)')}
+SELECT unnest(['intercept', 'gap', 'on_neutral', 'loss']) AS term, unnest([#4[b0]#, #4[b1]#, #4[b2]#, #4[loss]#]) AS coefficient FROM fit""", "predictions matches", recursive=True)
 def _(t):
     coef = MD.fit_uplift(_goals(t), ["gap", "on_neutral"])
-    return t.spark.createDataFrame([(k, round(v, 4)) for k, v in sorted(coef.items())], "term string, coefficient double")
+    return r(t.spark.createDataFrame(sorted(coef.items()), "term string, coefficient double"), "coefficient", digits=4)
 
 
 @query("fit_gbm_multiclass", _FITTED, "predictions")

@@ -9,6 +9,7 @@ from ..operators import scoring as S
 from ..operators import splits as SP
 from .metric_queries import BR, PA, PICK, ece_sql, metric_set_sql, r, rel, y
 from .rating_queries import CAP, PRED_SQL
+from .fit_sql import newton_sql
 from .registry import query
 
 P3 = S.P3
@@ -130,12 +131,29 @@ def _goals(t):
     return p.join(t.matches.select("match_id", F.col("home_score").alias("goals_home"), F.col("neutral").cast("double").alias("on_neutral")), "match_id")
 
 
-@query("backtest_uplift")
+GOALS_SQL = """goals AS (SELECT p.match_id, p.kickoff_ts, p_home * 2 + 0.5 AS base, rating_diff / 400 AS gap, m.home_score AS y, CAST(m.neutral AS DOUBLE) AS on_neutral
+  FROM predictions p JOIN (SELECT match_id, home_score, neutral FROM matches) m USING (match_id))"""
+_FOLDS = f"""b AS (SELECT min(epoch_us(kickoff_ts)) AS lo, ((max(epoch_us(kickoff_ts)) - min(epoch_us(kickoff_ts))) // {_DAY}) // 6 * {_DAY} AS sz FROM goals),
+w AS (SELECT CAST(i AS INT) AS fold, lo + i * sz AS te, lo + i * sz + 2 * {_DAY} AS vs, lo + i * sz + 2 * {_DAY} + sz AS ve FROM b, range(1, 6) g(i)),
+train AS (SELECT fold, g.* FROM goals g, w WHERE epoch_us(kickoff_ts) < te), val AS (SELECT fold, g.* FROM goals g, w WHERE epoch_us(kickoff_ts) >= vs AND epoch_us(kickoff_ts) < ve)"""
+
+
+def _folds_sql(fit: str, eta: str) -> str:
+    """Errors of base and adjusted expectation per fold under the coefficients of ``fit``."""
+    return f"(SELECT fold, avg(pow(y - base, 2)) AS mb, avg(pow(y - base * exp({eta}), 2)) AS ma, count(*) AS n FROM val JOIN {fit} ON key = fold GROUP BY fold)"
+
+
+@query("backtest_uplift", f"""WITH {GOALS_SQL}, {_FOLDS}, {newton_sql('fit', 'train', ['gap', 'on_neutral'], 'y', 'poisson', 'ln(base)', 'fold')}
+SELECT fold, #4[mb]# AS mse_base, #4[ma]# AS mse_adjusted, n, #4[mb - ma]# AS improvement FROM {_folds_sql('fit', 'b0 + b1 * gap + b2 * on_neutral')}""", "predictions matches", recursive=True)
 def _(t):
     return r(SP.backtest_uplift(_goals(t), ["gap", "on_neutral"], k=5, embargo_days=2), "mse_base", "mse_adjusted", "improvement", digits=4)
 
 
-@query("feature_group_ablation")
+_GROUP_SQL = "SELECT '{g}' AS feature_group, #4[avg(mb - ma)]# AS mean_improvement, count(*) AS folds, CASE WHEN avg(mb - ma) >= 0.005 THEN 'PASS' ELSE 'FAIL' END AS status FROM {t}"
+
+
+@query("feature_group_ablation", f"""WITH {GOALS_SQL}, {_FOLDS}, {newton_sql('f1', 'train', ['gap'], 'y', 'poisson', 'ln(base)', 'fold')}, {newton_sql('f2', 'train', ['on_neutral'], 'y', 'poisson', 'ln(base)', 'fold')}
+{_GROUP_SQL.format(g='gap', t=_folds_sql('f1', 'b0 + b1 * gap'))} UNION ALL {_GROUP_SQL.format(g='venue', t=_folds_sql('f2', 'b0 + b1 * on_neutral'))}""", "predictions matches", recursive=True)
 def _(t):
     out = SP.feature_group_ablation(_goals(t), {"gap": ["gap"], "venue": ["on_neutral"]}, k=5, embargo_days=2)
     return r(out, "mean_improvement", digits=4)

@@ -67,7 +67,16 @@ def persist_table(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.folder = path
+    return written
+
+
+def release(*written) -> None:
+    """Delete tables that ``persist_table`` wrote; nothing may read them any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BROADCAST_BYTES = 32 << 20
