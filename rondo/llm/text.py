@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rondo.session import persist_table
+from rondo.session import persist_table, written_bytes
 
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
@@ -95,6 +95,16 @@ def own_keys(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
     return persist_table(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def small(written: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A written table of short rows with a broadcast hint if it has at most ``rows`` rows; beyond that the planner shuffles."""
-    return F.broadcast(written) if written.count() <= rows else written
+def row_keys(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
+    """The documents and the name of a column that is a key of every row: the identifier where it is one, else ``own_keys``.
+
+    Only identifiers are looked at; the documents are copied only if one is NULL or shared.
+    """
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1).count():
+        return docs, "doc_id"
+    return own_keys(docs, ordered)
+
+
+def small(written: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """A written table with a broadcast hint if its files have at most ``most`` bytes; beyond that the planner shuffles."""
+    return F.broadcast(written) if written_bytes(written) <= most else written

@@ -114,8 +114,8 @@ def test_line_dedup_matches_brute_force(spark):
         kept = []
         for line in text.split("\n"):
             bare = line.strip(" \t")
-            if len(bare) >= 20:
-                again = any(one_edit(bare, s) for s in seen)
+            if bare:
+                again = any(bare == s or len(bare) >= 20 and len(s) >= 20 and one_edit(bare, s) for s in seen)
                 seen.append(bare)
                 if again:
                     continue
@@ -124,9 +124,16 @@ def test_line_dedup_matches_brute_force(spark):
 
 
 def test_short_lines_go_as_exact_repeats(spark):
-    docs = spark.createDataFrame([(1, "Home\n\n} \nBy A. Writer\n\nHome"), (2, "Hole\n}\nBy A. Writer")], "doc_id long, text string")
-    assert dict(dedup_lines(docs, shortest=1).collect()) == {1: "Home\n\n} \nBy A. Writer\n", 2: "Hole"}
-    assert dict(dedup_lines(docs).collect()) == dict(docs.collect())
+    docs = spark.createDataFrame([(1, "Home\n\n} \nBy A. Writer\n\nHome"), (2, "Hole\n}\nBy A. Writer"), (3, "Home")], "doc_id long, text string")
+    assert dict(dedup_lines(docs).collect()) == {1: "Home\n\n} \nBy A. Writer\n", 2: "Hole", 3: ""}
+    assert dict(dedup_lines(docs, shortest=20).collect()) == dict(docs.collect())
+
+
+def test_many_repeated_lines_in_one_text(spark):
+    """Dropping lines is linear in the text: 100,000 lines, every second one a repeat."""
+    text = "\n".join(f"line number {k // 2}" for k in range(100_000))
+    left = dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert left == "\n".join(f"line number {k}" for k in range(50_000))
 
 
 def test_line_dedup_odd_rows(odd, none):
