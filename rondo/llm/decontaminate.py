@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rondo.session import persist_table
 
-from .text import own_keys, same, shingle_hashes, small, words
+from .text import row_keys, same, shingle_hashes, small, words
 
 PERCENT = 75
 MISS = 1e-9  # bound on the chance that the search overlooks an item at the threshold
@@ -64,7 +64,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no test item; all columns stay. Every row is judged by its own text, whatever its identifier."""
-    keyed, key = own_keys(docs)
+    keyed, key = row_keys(docs)
     gone = persist_table(contained_items(keyed.select(F.col(key).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(key)).distinct())
     return keyed.join(small(gone), key, "left_anti").select(*docs.columns)
 

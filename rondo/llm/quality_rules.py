@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rondo.session import persist_table
 
-from .text import bind, own_keys, same, small, total, words
+from .text import bind, row_keys, same, small, total, words
 
 #: The most common words of the languages served (fixed values).
 COMMON_WORDS = {
@@ -127,6 +127,6 @@ def quality_rules(docs: DataFrame, max_class_distance: float = 0.3, max_word_dis
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The documents without those that the rules reject; all columns stay. Every row is judged by its own text, whatever its identifier."""
-    keyed, key = own_keys(docs)
+    keyed, key = row_keys(docs)
     gone = persist_table(quality_rules(keyed.select(F.col(key).alias("doc_id"), "text", "lang")).filter(~F.col("kept")).select(F.col("doc_id").alias(key)))
     return keyed.join(small(gone), key, "left_anti").select(*docs.columns)
