@@ -17,13 +17,15 @@ from rondo.llm.line_dedup import dedup_lines
 from rondo.llm.minhash_dedup import drop_near_duplicates
 from rondo.llm.quality_rules import drop_rejected
 from rondo.llm.queries import byte_bpe, table
-from rondo.llm.text import own_keys
-from rondo.session import persist_table
+from rondo.llm.text import row_keys
+from rondo.session import persist_table, release
 
 
 def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The stage over documents whose identifiers are replaced by ordered keys of their own while it runs."""
-    keyed, key = own_keys(docs, ordered=True)
+    """The stage over documents whose identifiers are keys of the rows; where one is NULL or shared, ordered keys stand in for them while it runs."""
+    keyed, key = row_keys(docs, ordered=True)
+    if key == "doc_id":
+        return stage(docs).select(*docs.columns)
     kept = f"{key}_id"
     left = stage(keyed.select(F.col(key).alias("doc_id"), F.col("doc_id").alias(kept), *[c for c in docs.columns if c != "doc_id"]))
     return left.select(*[F.col(kept).alias(c) if c == "doc_id" else c for c in docs.columns])
