@@ -15,10 +15,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 CLASSES = [("hex", "[0-9a-fA-F]", 3.0), ("upper", "[A-Z0-9]", 3.4), ("base64", "[A-Za-z0-9+/=_-]", 3.7)]
-#: Stretches that look random but are no secrets: numbers, plain words, paths.
-ALLOWED = [
-    r"^[0-9_=+/-]+$", r"^[A-Za-z_=+/-]+$", r"^[A-Z]?[a-z]*(?:[-_/][A-Z]?[a-z]*)*[0-9]{0,4}$",
-]
+BLOCK = 4096  # windows of a candidate that one fold goes through
 #: Parts of a candidate that are left out, with no window over them: runs between separators that hold a placeholder's word, and UUIDs.
 LEFT_OUT = (
     r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?i:example|sample|dummy|placeholder|changeme|xxxx)[A-Za-z0-9+]*"
@@ -26,14 +23,41 @@ LEFT_OUT = (
 )
 
 
+def _allowed(c: Column) -> Column:
+    """Stretches that look random but are no secrets: numbers, plain words, paths. Each rule is one scan without nested repetition.
+
+    Letters without digits are plain if their case changes as seldom as in words set side by side (a hump of six letters on average or more); a random
+    string changes every fourth letter from lower to upper. A path or a dashed list is letters that are capital only where a part begins, with up to four digits at the end.
+    """
+    letters = c.rlike("^[A-Za-z_=+/-]+$") & (6 * F.size(F.regexp_extract_all(c, F.lit("[a-z][A-Z]"), F.lit(0))) <= F.length(c))
+    path = ~F.regexp_replace(c, "[0-9]{1,4}$", "").rlike("[^A-Za-z_/-]|[A-Za-z][A-Z]")
+    return c.rlike("^[0-9_=+/-]+$") | letters | path
+
+
 def _entropy_windows(text: Column, width: int = WINDOW) -> Column:
     """Stretches of overlapping windows whose entropy reaches the bound of their class, as structs of the first and last start.
 
     A window is of the first class that holds all its characters; the state keeps the last place outside each class.
 
     The fold slides one character at a time. Of all counts only two change: that of the character that comes and of the one that goes; the
-    state keeps the sum of n * log2(n) over characters, from which the entropy follows.
+    state keeps the sum of n * log2(n) over characters, from which the entropy follows. Long texts are folded in blocks that share a window less one
+    character, so that no list of stretches grows with the text; stretches that meet at a block's end are joined afterwards.
     """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length(text) - width) / BLOCK).cast("int")), lambda b: b * BLOCK)
+    shifted = lambda start: F.transform(_block_windows(F.substring(text, start + 1, F.lit(BLOCK + width - 1)), width), lambda w: F.struct(
+        (w["first"] + start).alias("first"), (w["last"] + start).alias("last")))
+    found = F.flatten(F.transform(blocks, shifted))
+
+    def joined(all_: Column) -> Column:
+        apart = lambda i: (i == 0) | (all_[i]["first"] > all_[F.greatest(i - 1, F.lit(0))]["last"] + width)
+        firsts = F.filter(F.transform(all_, lambda w, i: F.when(apart(i), w["first"])), lambda x: x.isNotNull())
+        lasts = F.filter(F.transform(all_, lambda w, i: F.when((i == F.size(all_) - 1) | apart(i + 1), w["last"])), lambda x: x.isNotNull())
+        return F.zip_with(firsts, lasts, lambda a, z: F.struct(a.alias("first"), z.alias("last")))
+
+    return F.when(F.length(text) <= BLOCK + width - 1, _block_windows(text, width)).otherwise(bind(found, joined))
+
+
+def _block_windows(text: Column, width: int) -> Column:
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
     def of(chars: Column) -> Column:
@@ -84,11 +108,10 @@ def _parts(x: Column) -> Column:
 
 def _entropy_spans(text: Column) -> Column:
     """Structs s, e of the stretches of windows of high entropy in each candidate that no rule allows; each stretch is judged by itself."""
-    allowed = lambda c: F.exists(F.array(*map(F.lit, ALLOWED)), lambda p: F.regexp_like(c, p))
-    parts = F.filter(F.flatten(F.transform(regex_spans(text, CANDIDATE), _parts)), lambda x: ~allowed(x["m"]))
+    parts = F.filter(F.flatten(F.transform(regex_spans(text, CANDIDATE), _parts)), lambda x: ~_allowed(x["m"]))
 
     def stretches(x: Column) -> Column:
-        hot = F.filter(_entropy_windows(x["m"]), lambda w: ~allowed(F.substring(x["m"], w["first"] + 1, w["last"] + WINDOW - w["first"])))
+        hot = F.filter(_entropy_windows(x["m"]), lambda w: ~_allowed(F.substring(x["m"], w["first"] + 1, w["last"] + WINDOW - w["first"])))
         return F.transform(hot, lambda w: F.struct((x["s"] + w["first"]).alias("s"), (x["s"] + w["last"] + WINDOW).alias("e")))
 
     return F.flatten(F.transform(parts, stretches))
@@ -127,7 +150,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
-    """Counts per known kind, digest of the known spans and the list of all spans: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
+    """Counts per known kind, digest of the known spans and the list of all spans: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy.
+
+    NULLs, empty and long texts, repeated rows and empty tables are as in ``secret_spans``.
+    """
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("found", lambda x: x["kind"] != "entropy")
     return secret_spans(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), count("entropy"))

@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rondo.llm.pii import KINDS, Lattice, SemiMarkov, added_spans, find_personal_data, fit, known_spans, redact, regions
+from rondo.llm import secret_scan as secret_scan_module
 from rondo.llm.secret_scan import secret_scan
 
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -56,6 +58,49 @@ def test_glued_text_does_not_hide_a_secret(spark):
     assert all(x.startswith("entropy:") and x.endswith(f":{len(t)}") for x, t in zip(got[300:302], texts[300:302], strict=True)) and got[302:] == [""] * 2
 
 
+def windows(text):
+    """Stretches of hot windows by counting every window anew."""
+    hot = []
+    for k in range(len(text) - 19):
+        w = text[k : k + 20]
+        bits = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+        least = 3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.4 if re.fullmatch("[A-Z0-9]+", w) else 3.7
+        if bits >= least - 1e-9:
+            if hot and k <= hot[-1][1] + 20:
+                hot[-1][1] = k
+            else:
+                hot.append([k, k])
+    return [tuple(x) for x in hot]
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_windows_match_a_plain_count(spark, monkeypatch, block):
+    monkeypatch.setattr(secret_scan_module, "BLOCK", block)
+    rng = random.Random(block)
+    parts = ["a" * 30, "ABCD1234", "0123456789abcdef", "Kx8vQ2mZr7Lw1TbN5yHc", "q", "Zz", "=", "/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 30))) for _ in range(150)]
+    texts = [t for t in texts if len(t) >= 20]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", secret_scan_module._entropy_windows(F.col("t")).alias("w")).collect()
+    assert {r.i: [(w.first, w.last) for w in r.w] for r in got} == {i: windows(t) for i, t in enumerate(texts)}
+
+
+def test_long_paths_and_lists_do_not_crash(spark):
+    """A million path segments, a dashed list, and a long run that no rule allows; a stack of frames a segment would end the process."""
+    texts = ["a/" * 1_000_000 + "x", "Word-" * 200_000 + "end12", "a/" * 20_000 + "x1y" + "/b" * 20_000, "Kx8vQ2mZr7Lw1TbN5yHc" * 2_000]
+    got = {r.doc_id: r.spans for r in secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == got[2] == "" and got[3] == "entropy:0:40000"
+
+
+def test_letters_only_secrets_are_found(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(k, "key " + "".join(rng.choice(letters) for _ in range(40))) for k in range(300)]
+    plain = ["getHttpResponseCodeFromServer", "InternationalizationServiceProvider", "some_long_identifier_with_words", "usr/Local/share/Documents", "ALLCAPITALLETTERSHERE"]
+    rows += [(1000 + k, t) for k, t in enumerate(plain)]
+    got = {r.doc_id: r.spans for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("entropy" in got[k] for k in range(300)) >= 285 and all(got[1000 + k] == "" for k in range(len(plain)))
+
+
 PLAIN = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
