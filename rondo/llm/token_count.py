@@ -1,10 +1,11 @@
-"""Token counts: Arrow functions that encode one text at a time and return lengths only."""
+"""Token counts: Arrow functions that encode batches of about equal bytes and return lengths only."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,28 +15,29 @@ LONG = 32_768  # characters; longer texts are split before they are counted
 BATCH_BYTES = 1 << 20
 
 
-def _balanced(texts: list[str]) -> Iterator[list[int]]:
-    """Positions of the texts in batches of about equal bytes, longest first."""
+def _balanced(n_bytes: list[int]) -> Iterator[list[int]]:
+    """Positions of the texts in batches of about ``BATCH_BYTES`` UTF-8 bytes, longest first; a longer text is a batch of its own."""
     batch, filled = [], 0
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        batch.append(i)
-        filled += len(texts[i])
-        if filled >= BATCH_BYTES:
+    for i in sorted(range(len(n_bytes)), key=lambda i: -n_bytes[i]):
+        if batch and filled + n_bytes[i] > BATCH_BYTES:
             yield batch
             batch, filled = [], 0
+        batch.append(i)
+        filled += n_bytes[i]
     if batch:
         yield batch
 
 
 def _lengths(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path).encode
+        lengths_of = vocabulary(path).lengths_of
         for rows in batches:
             texts = rows.column("text").to_pylist()
+            sizes = pc.binary_length(rows.column("text")).to_pylist()  # of the piece, not of its document
             lengths = [0] * len(texts)
-            for batch in _balanced(texts):
-                for i in batch:
-                    lengths[i] = len(encode(texts[i]))
+            for batch in _balanced(sizes):
+                for i, n in zip(batch, lengths_of([texts[i] for i in batch]), strict=True):
+                    lengths[i] = n
             yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), rows.column("n_bytes"), pa.array(lengths, pa.int64())], ["row", "doc_id", "n_bytes", "n_tokens"])
 
     return count

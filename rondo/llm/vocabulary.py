@@ -52,6 +52,10 @@ class Vocabulary:
         """Ids as the tokenizers library gives them without added special tokens; special strings in a text are special tokens."""
         return self.encoding.encode_to_numpy(text, allowed_special="all")
 
+    def lengths_of(self, texts: list[str]) -> list[int]:
+        """Numbers of ids of a batch of texts, encoded in one call."""
+        return [len(ids) for ids in self.encoding.encode_batch(texts, num_threads=1, allowed_special="all")]
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids and where each id's bytes end."""
         n = self.lengths[ids]
