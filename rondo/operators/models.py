@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import add, brier_row, clip, hit, logloss_row, p_actual, with_one_row
+from ..session import persist_table, release, small
 from . import metrics as M
 from . import scoring as S
 from .regression import fit_many
+from .slices import MOST, running
 
 P3 = S.P3
 
@@ -35,32 +37,74 @@ def fit_uplift(df: DataFrame, features: list[str], target: str = "goals_home", b
     return dict(zip(["intercept", *features], fit.coefficients)) | {"loss": fit.loss}
 
 
-def fit_attack_defence(matches: DataFrame, max_iter: int = 25, reg: float = 1e-3):
-    """Attack and defence strengths: Poisson goals of a side on its team, its opponent and home ground.
+@dataclass(frozen=True)
+class GoalModel:
+    """Expected goals of a side: attack of the team x leak of its opponent x the home factor on its own ground."""
 
-    Two rows per match; the one-hot team columns stay sparse. Returns a pipeline model predicting goals.
-    """
-    sides = F.explode(F.array(
-        F.struct(F.col("home").cast("string").alias("team"), F.col("away").cast("string").alias("opp"), F.col("home_score").cast("double").alias("label"), F.when(F.col("neutral"), 0.0).otherwise(1.0).alias("at_home")),
-        F.struct(F.col("away").cast("string").alias("team"), F.col("home").cast("string").alias("opp"), F.col("away_score").cast("double").alias("label"), F.lit(0.0).alias("at_home")))).alias("s")
-    rows = matches.select("match_id", sides).select("match_id", "s.*")
-    stages = [StringIndexer(inputCols=["team", "opp"], outputCols=["team_i", "opp_i"], handleInvalid="keep", stringOrderType="alphabetAsc"),
-              OneHotEncoder(inputCols=["team_i", "opp_i"], outputCols=["team_v", "opp_v"], dropLast=True),
-              VectorAssembler(inputCols=["team_v", "opp_v", "at_home"], outputCol="features"),
-              GeneralizedLinearRegression(family="poisson", link="log", maxIter=max_iter, regParam=reg, predictionCol="goals")]
-    with _kept(rows) as kept:
-        return Pipeline(stages=stages).fit(kept)
+    strengths: DataFrame  # team, attack, leak; one row per team
+    home: float
+    mean: float  # attack of a team without matches; its leak is 1
+    sweeps: int
 
 
-def score_goals(model, matches: DataFrame) -> DataFrame:
-    """Expected goals of both sides and the outcome probabilities of the goal grid."""
-    def side(team, opp, at_home, name):
-        rows = matches.select("match_id", F.col(team).cast("string").alias("team"), F.col(opp).cast("string").alias("opp"), at_home.alias("at_home"), F.lit(0.0).alias("label"))
-        return model.transform(rows).select("match_id", F.col("goals").alias(name))
+def fit_attack_defence(matches: DataFrame, sweeps: int = 100, tolerance: float = 1e-8, prior: float = 1.0) -> GoalModel:
+    """Attack and leak of every team and the home factor of a Poisson model of goals, by alternating group sums (iterative proportional fitting).
 
-    h = side("home", "away", F.when(F.col("neutral"), 0.0).otherwise(1.0), "lambda_home")
-    a = side("away", "home", F.lit(0.0), "lambda_away")
-    return S.poisson_probs(matches.join(h, "match_id").join(a, "match_id"))
+    A sweep sets each attack to goals scored over goals expected from the opponents' leaks, each leak to goals conceded over goals expected from the
+    opponents' attacks, and the home factor likewise, until no strength moves by more than ``tolerance``. ``prior`` matches at the
+    mean damp both, so that teams with few matches stay finite. Leaks have mean 1. Matches are summed per (team, opponent, ground)
+    first; a sweep joins these sums with one number per team, so teams may be any number. Rows with a NULL team or score are left out.
+    """
+    def side(team: str, opp: str, goals: str, ground: Column) -> Column:
+        return F.struct(F.col(team).cast("string").alias("team"), F.col(opp).cast("string").alias("opp"), ground.alias("at_home"), F.col(goals).cast("double").alias("goals"))
+
+    at_home = ~F.coalesce("neutral", F.lit(False))
+    sides = F.explode(F.array(side("home", "away", "home_score", at_home), side("away", "home", "away_score", F.lit(False)))).alias("s")
+    rows = matches.select(sides).select("s.*").dropna()
+    pairs = persist_table(rows.groupBy("team", "opp", "at_home").agg(F.count(F.lit(1)).alias("n"), F.sum("goals").alias("goals")))
+    total = pairs.agg(F.sum("n").alias("n"), F.sum("goals").alias("goals"), F.sum(F.when(F.col("at_home"), F.col("goals"))).alias("home")).first()
+    if not total.n:
+        raise ValueError("no matches to fit")
+    mean, home = total.goals / total.n, 1.0
+    scored = pairs.groupBy("team").agg(F.sum("goals").alias("scored")).withColumnRenamed("team", "t")
+    conceded = pairs.groupBy("opp").agg(F.sum("goals").alias("conceded")).withColumnRenamed("opp", "t")
+    both = scored.join(conceded, "t", "full")  # a team has a row on each side of every match
+    state = persist_table(both.select("t", F.coalesce("scored", F.lit(0.0)).alias("scored"), F.coalesce("conceded", F.lit(0.0)).alias("conceded"), F.lit(mean).alias("attack"), F.lit(1.0).alias("leak")))
+    level = 1.0  # mean leak of the state, which the next sweep takes out
+    for done in range(1, sweeps + 1):
+        ground = F.col("n") * F.when(F.col("at_home"), F.lit(home)).otherwise(1.0)
+        attack, leak = F.col("attack") * level, F.col("leak") / level
+        leaks = small(state.select(F.col("t").alias("opp"), leak.alias("leak")), state)
+        faced = pairs.join(leaks, "opp").groupBy(F.col("team").alias("f")).agg(F.sum(ground * F.col("leak")).alias("faced"))
+        attacks = persist_table(state.join(small(faced, state), F.col("t") == F.col("f")).select("t", "scored", "conceded", attack.alias("old_attack"), leak.alias("old_leak"),
+                                ((F.col("scored") + prior * mean) / (F.col("faced") + prior)).alias("attack")))
+        met = pairs.join(small(attacks.select(F.col("t").alias("team"), "attack"), attacks), "team").groupBy(F.col("opp").alias("f")).agg(F.sum(ground * F.col("attack")).alias("met"))
+        after = persist_table(attacks.join(small(met, attacks), F.col("t") == F.col("f")).select("t", "scored", "conceded", "old_attack", "old_leak", "attack", ((F.col("conceded") + prior) / (F.col("met") + prior)).alias("leak")))
+        own, their = small(after.select(F.col("t").alias("team"), "attack"), after), small(after.select(F.col("t").alias("opp"), "leak"), after)
+        at_home = pairs.filter("at_home").join(own, "team").join(their, "opp").agg(F.sum(F.col("n") * F.col("attack") * F.col("leak")).alias("expected"))
+        level_now = after.agg(F.avg("leak").alias("level"))
+        moved = F.greatest(F.abs(F.col("attack") * F.col("level") - F.col("old_attack")), F.abs(F.col("leak") / F.col("level") - F.col("old_leak")))
+        change = with_one_row(after, level_now).agg(F.max(moved).alias("change"), F.first("level").alias("level"))
+        now = with_one_row(change, at_home).first()
+        before, home, level = home, total.home / now.expected if now.expected else 1.0, now.level
+        release(attacks, state)
+        state = after
+        if max(now.change, abs(home - before)) <= tolerance:
+            break
+    state = state.select("t", (F.col("attack") * level).alias("attack"), (F.col("leak") / level).alias("leak"))
+    release(pairs)
+    return GoalModel(persist_table(state.withColumnRenamed("t", "team")), home, mean, done)
+
+
+def score_goals(model: GoalModel, matches: DataFrame) -> DataFrame:
+    """Expected goals of both sides and the outcome probabilities of the goal grid. A team the model does not know is a mean one."""
+    out = matches
+    for name in ("home", "away"):
+        own = model.strengths.select(F.col("team").alias(f"_t_{name}"), F.col("attack").alias(f"_a_{name}"), F.col("leak").alias(f"_l_{name}"))
+        out = out.join(small(own, model.strengths), F.col(name).cast("string") == F.col(f"_t_{name}"), "left")
+    attack, leak = (lambda n: F.coalesce(f"_a_{n}", F.lit(model.mean))), (lambda n: F.coalesce(f"_l_{n}", F.lit(1.0)))
+    ground = F.when(F.col("neutral"), 1.0).otherwise(F.lit(model.home))
+    return S.poisson_probs(out.select(*matches.columns, (attack("home") * leak("away") * ground).alias("lambda_home"), (attack("away") * leak("home")).alias("lambda_away")))
 
 
 def fit_low_score_rho(scored: DataFrame, grid: list[float]) -> DataFrame:
@@ -83,7 +127,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(class_weights(df, label).select(label, "weight"), label)  # one row per class
+    """``df`` with the balanced weight of its class, looked up in one map of all classes: no join."""
+    entries = F.collect_list(F.struct(F.col(label).alias("k"), "weight"))  # one entry per class
+    weights = class_weights(df.filter(F.col(label).isNotNull()), label).agg(F.map_from_entries(entries).alias("_weights"))
+    return with_one_row(df, weights).withColumn("weight", F.try_element_at("_weights", F.col(label))).drop("_weights")
 
 
 @contextmanager
@@ -161,29 +208,6 @@ def standard_scale(train: DataFrame, df: DataFrame, columns: list[str]) -> DataF
 # ---- calibration and searches --------------------------------------------------------------------
 
 
-def fit_isotonic(df: DataFrame) -> dict[str, object]:
-    """One isotonic map per class from its probability to its observed rate.
-
-    The solver brings its blocks to the driver, so rows are first summed up by probability to six digits: a million weighted points at most.
-    """
-    models = {}
-    for v, p in M.OUTCOMES:
-        rows = df.select(F.when(F.col("actual") == v, 1.0).otherwise(0.0).alias("label"), F.round(F.col(p), 6).alias("x"))
-        points = rows.groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-        models[p] = IsotonicRegression(labelCol="label", featuresCol="x", weightCol="weight", predictionCol=f"iso_{p}").fit(points)
-    return models
-
-
-def apply_isotonic(models: dict[str, object], df: DataFrame) -> DataFrame:
-    """Calibrated, renormalised probabilities."""
-    for p, m in models.items():
-        m = m.copy()
-        m.setFeaturesCol(p)
-        df = m.transform(df)
-    df = df.withColumns({p: clip(F.col(f"iso_{p}"), 1e-6, 1.0) for p in models}).drop(*[f"iso_{p}" for p in models])
-    return S.normalise(df)
-
-
 TEMPERATURES = [round(0.5 + 0.1 * i, 1) for i in range(16)]
 
 
@@ -256,30 +280,47 @@ def weight_sensitivity(df: DataFrame, weights: dict[str, float], deltas: list[fl
 # ---- importance and comparison -------------------------------------------------------------------
 
 
-def permuted(df: DataFrame, feature: str, key: str, seed: int = 0) -> DataFrame:
-    """``df`` with the values of one feature dealt out again in a seeded random order.
+ROUNDS = (7919, 104729, 1299709, 15485863)  # multipliers of the network's rounds
+WALKS = 64
 
-    Rows and values are numbered in two hash orders. The numbering is range-partitioned: a shard's offset is the
-    count of all smaller shards, so no window runs over the whole table.
+
+def shuffled_number(number: Column, n: Column, seed: int) -> Column:
+    """A bijection on 0..n-1 that can be replayed anywhere: a four-round network on pairs of digits.
+
+    A number is a pair (left, right) in base ``side``, the least whole number whose square reaches n. Each round adds a mix of one digit to the other, modulo ``side``, and
+    swaps them. A result beyond n goes through the network again until it falls inside; chances against ``WALKS`` times are
+    beyond reckoning save for tiny n, where no orbit is that long; anything else is an error.
     """
-    shards = 4096
+    def network(x: Column, side: Column) -> Column:
+        left, right = F.floor(x / side), x % side
+        for k, m in enumerate(ROUNDS):
+            mixed = ((right * m + (seed + 1) * (k + 1) * 31337) % 2147483647 * 48271 + right) % 2147483647
+            left, right = right, (left + mixed) % side
+        return (left * side + right).cast("bigint")
+
+    def walk(args: Column) -> Column:
+        step = lambda acc, _: F.when(acc < args["n"], acc).otherwise(network(acc, args["side"]))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), network(args["x"], args["side"]), step)
+        return F.when(found < args["n"], found).otherwise(F.raise_error(F.lit("a number left its range")).cast("bigint"))
+
+    args = F.struct(number.cast("bigint").alias("x"), n.cast("bigint").alias("n"), F.ceil(F.sqrt(n.cast("double"))).cast("bigint").alias("side"))
+    return F.transform(F.array(args), walk)[0]
 
-    def numbered(src: DataFrame, salt: str) -> DataFrame:
-        h = F.xxhash64(F.col(key), F.lit(salt), F.lit(seed))
-        shard = F.pmod(F.shiftrightunsigned(h, 40), F.lit(shards))
-        rows = src.withColumn("_h", h).withColumn("_s", shard)
-        sizes = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))  # at most 4096 rows
-        offs = sizes.select("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-        inside = F.row_number().over(Window.partitionBy("_s").orderBy("_h", key))
-        return rows.withColumn("_in", inside).join(offs, "_s").withColumn("_n", F.col("_off") + F.col("_in")).drop("_h", "_s", "_in", "_off")
 
-    left = numbered(df, "rows").drop(feature)
-    right = numbered(df.select(key, feature), "values").select("_n", feature)
-    return left.join(right, "_n").select(*df.columns)
+def permuted(df: DataFrame, feature: str, key: str, seed: int = 0, most: int = MOST) -> DataFrame:
+    """``df`` with the values of one feature dealt out again: row i in the order of ``key`` gets the value of row ``shuffled_number(i)``.
+
+    Rows are numbered over equi-depth slices of the key, so no window runs over more than ``most`` rows. ``key`` is unique.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("_size"))
+    numbered = with_one_row(running(df, [], [key], {"_i": F.lit(1).cast("bigint")}, most), n)
+    left = numbered.drop(feature).withColumn("_from", shuffled_number(F.col("_i"), F.col("_size"), seed)).drop("_i", "_size")
+    right = numbered.select(F.col("_i").alias("_from"), feature)
+    return left.join(right, "_from").select(*df.columns)
 
 
 def permutation_importance(model, df: DataFrame, features: list[str], key: str = "match_id", seed: int = 0, scorer=score) -> DataFrame:
-    """Log-loss after permuting a feature minus the loss before; one row per feature."""
+    """Log-loss after permuting a feature minus the loss before; one row per feature. All features are permuted in one plan; ``scorer(model, rows)`` gives probabilities."""
     base = scorer(model, df).agg(_loss().alias("base_loss"))
     out = None
     for f in features:
@@ -288,6 +329,14 @@ def permutation_importance(model, df: DataFrame, features: list[str], key: str =
     return with_one_row(out, base).select("feature", "base_loss", "loss", (F.col("loss") - F.col("base_loss")).alias("importance"))
 
 
+def linear_scorer(weights: dict[str, dict[str, float]], df: DataFrame) -> DataFrame:
+    """Outcome probabilities of given coefficients: the softmax of one linear score per probability column (``intercept`` is its constant)."""
+    scores = {p: F.exp(add([F.lit(float(w)) * (F.lit(1.0) if f == "intercept" else F.col(f)) for f, w in ws.items()])) for p, ws in weights.items()}
+    out = df.withColumns({f"_e_{p}": e for p, e in scores.items()})
+    whole = add([F.col(f"_e_{p}") for p in weights])
+    return out.withColumns({p: F.col(f"_e_{p}") / whole for p in weights}).drop(*[f"_e_{p}" for p in weights])
+
+
 def bootstrap_importance(df: DataFrame, features: list[str], label: str = "label", replicates: int = 5, trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
     """Mean and interval of forest importances over resamples of the rows."""
     rows = []

@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import persist_table, small
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -171,8 +173,9 @@ class Tables:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        h = self.teams.select(F.col("team").alias("home"), F.col("rating").alias("rh"))
-        a = self.teams.select(F.col("team").alias("away"), F.col("rating").alias("ra"))
+        teams = persist_table(self.teams)
+        h = small(teams.select(F.col("team").alias("home"), F.col("rating").alias("rh")), teams)
+        a = small(teams.select(F.col("team").alias("away"), F.col("rating").alias("ra")), teams)
         m = self.matches.join(h, "home").join(a, "away")
         bonus = F.when(F.col("neutral"), 0).otherwise(100)
         e = 1 / (1 + F.pow(F.lit(10.0), -(F.col("rh") + bonus - F.col("ra")) / 400.0))

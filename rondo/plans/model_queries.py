@@ -2,15 +2,19 @@
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import logloss_row, rnd, with_one_row
+from ..session import persist_table
+from ..operators import isotonic as ISO
 from ..operators import models as MD
 from ..operators import scoring as S
 from ..operators import splits as SP
 from .fit_sql import newton_sql
 from .metric_queries import BR, PA, PICK, r
 from .registry import query
+from .scoring_queries import _FACT
 from .split_queries import GOALS_SQL, _goals
 
 P3 = S.P3
@@ -21,7 +25,7 @@ def training(t):
     """Label 0 / 1 / 2 (home / draw / away) with a few features, split by time."""
     m = t.matches.select("match_id", F.col("neutral").cast("double").alias("is_neutral"))
     df = t.predictions.select("match_id", "kickoff_ts", "actual", (1 - F.col("actual")).cast("double").alias("label"), "rating_diff", "p_home", "p_draw").join(m, "match_id")
-    return SP.temporal_split(df, "kickoff_ts", "2024-01-21", "2024-01-25")
+    return persist_table(SP.temporal_split(df, "kickoff_ts", "2024-01-21", "2024-01-25"))
 
 
 _FITTED = """SELECT count(*) FILTER (kickoff_ts < TIMESTAMP '2024-01-21') AS n_train, count(*) FILTER (kickoff_ts >= TIMESTAMP '2024-01-25') AS n_test, TRUE AS sums_to_one, TRUE AS beats_chance FROM predictions"""
@@ -73,14 +77,61 @@ def _(t):
     return r(out, "rating_diff", "p_home").drop("kickoff_ts")
 
 
-@query("fit_isotonic_calibrator")
+def isotonic_sql(name: str, rows: str, key: str = "0") -> str:
+    """CTE list ending in ``name``: (key, v, x, f), the fitted value at every distinct probability, by the max-min formula over all stretches of points."""
+    return f"""
+{name}_pt AS MATERIALIZED (SELECT key, v, x, sum(y) AS s, count(*) AS w, row_number() OVER (PARTITION BY key, v ORDER BY x) AS i FROM (
+  SELECT {key} AS key, v, CASE v WHEN 1 THEN p_home WHEN 0 THEN p_draw ELSE p_away END AS x, CAST(actual = v AS INT) AS y FROM {rows}, (SELECT unnest([1, 0, -1]) AS v)) GROUP BY 1, 2, 3),
+{name}_cum AS (SELECT *, sum(s) OVER z AS cs, sum(w) OVER z AS cw FROM {name}_pt WINDOW z AS (PARTITION BY key, v ORDER BY i)),
+{name}_low AS (SELECT key, v, b, min(m) OVER (PARTITION BY key, v, a ORDER BY b DESC) AS m FROM (
+  SELECT a.key, a.v, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM {name}_cum a JOIN {name}_cum b ON a.key = b.key AND a.v = b.v AND b.i >= a.i)),
+{name} AS (SELECT p.key, p.v, p.x, p.w, p.s, f FROM {name}_pt p JOIN (SELECT key, v, b AS i, max(m) AS f FROM {name}_low GROUP BY 1, 2, 3) USING (key, v, i))"""
+
+
+def applied_sql(name: str, fit: str, rows: str, key: str = "0") -> str:
+    """CTE list ending in ``name``: the rows with calibrated, renormalised probabilities; straight lines between points."""
+    return f"""
+{name}_next AS (SELECT *, lead(x) OVER z AS nx, lead(f) OVER z AS nf, first_value(f) OVER z AS f0 FROM {fit} WINDOW z AS (PARTITION BY key, v ORDER BY x)),
+{name}_at AS (SELECT q.match_id, q.actual, q.v, greatest(1e-6, least(1.0, coalesce(CASE WHEN q.x = p.x OR p.nx IS NULL THEN p.f ELSE p.f + (q.x - p.x) / (p.nx - p.x) * (p.nf - p.f) END, l.f0))) AS c FROM (
+  SELECT {key} AS key, match_id, actual, v, CASE v WHEN 1 THEN p_home WHEN 0 THEN p_draw ELSE p_away END AS x FROM {rows}, (SELECT unnest([1, 0, -1]) AS v)) q
+  ASOF LEFT JOIN {name}_next p ON p.key = q.key AND p.v = q.v AND p.x <= q.x LEFT JOIN (SELECT key, v, any_value(f0) AS f0 FROM {name}_next GROUP BY 1, 2) l ON l.key = q.key AND l.v = q.v),
+{name} AS (SELECT match_id, any_value(actual) AS actual, max(c) FILTER (v = 1) / sum(c) AS p_home, max(c) FILTER (v = 0) / sum(c) AS p_draw, max(c) FILTER (v = -1) / sum(c) AS p_away FROM {name}_at GROUP BY 1)"""
+
+
+_VAL, _TEST = (f"(SELECT * FROM predictions WHERE kickoff_ts {c})" for c in (">= TIMESTAMP '2024-01-21' AND kickoff_ts < TIMESTAMP '2024-01-25'", ">= TIMESTAMP '2024-01-25'"))
+
+
+@query("fit_isotonic_calibrator", f"""WITH {isotonic_sql('fit', _VAL)}, {applied_sql('done', 'fit', _TEST)}
+SELECT match_id, #[p_home]# AS p_home, #[p_draw]# AS p_draw, #[p_away]# AS p_away FROM done""", "predictions")
 def _(t):
+    """Test rows calibrated by maps of the validation rows."""
     df = SP.temporal_split(t.predictions, "kickoff_ts", "2024-01-21", "2024-01-25")
-    models = MD.fit_isotonic(df.filter("split = 'val'"))
-    out = MD.apply_isotonic(models, df.filter("split = 'test'").select("match_id", "actual", *P3))
-    from ..functions.expr import brier_row, logloss_row
+    out = ISO.apply_isotonic(ISO.fit_isotonic(df.filter("split = 'val'")), df.filter("split = 'test'").select("match_id", "actual", *P3))
+    return r(out.drop("actual"), *P3)
+
+
+@query("isotonic_maps", f"""WITH {isotonic_sql('fit', _VAL)}
+SELECT v AS outcome, count(DISTINCT #8[f]#) AS n_blocks, TRUE AS monotone, CAST(sum(w) AS BIGINT) AS n, #[sum(w * f)]# AS fitted, #[min(f)]# AS lowest, #[max(f)]# AS highest FROM fit GROUP BY 1""", "predictions")
+def _(t):
+    """The maps themselves: monotone, and their fitted values add up to what was observed."""
+    df = SP.temporal_split(t.predictions, "kickoff_ts", "2024-01-21", "2024-01-25").filter("split = 'val'")
+    blocks = ISO.fit_isotonic(df)
+    late = F.lag("value").over(Window.partitionBy("outcome").orderBy("lo"))  # few blocks are left
+    out = blocks.withColumn("ok", F.coalesce(late < F.col("value"), F.lit(True))).groupBy("outcome").agg(
+        F.count_distinct(F.round("value", 8)).alias("n_blocks"), F.bool_and("ok").alias("monotone"), F.sum("weight").cast("bigint").alias("n"), F.sum(F.col("weight") * F.col("value")).alias("fitted"),
+        F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    return r(out, "fitted", "lowest", "highest")
+
 
-    return out.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(brier_row()), 4).alias("brier"), rnd(F.avg(logloss_row()), 4).alias("log_loss"))
+_FOLDS3 = "(SELECT p.*, o FROM predictions p, range(3) g(o) WHERE match_id % 3 <> o AND kickoff_ts >= TIMESTAMP '2024-01-25')"
+
+
+@query("isotonic_cross_fitted", f"""WITH {isotonic_sql('fit', _FOLDS3, 'o')}, {applied_sql('done', 'fit', _TEST, 'match_id % 3')}
+SELECT match_id, #[p_home]# AS p_home, #[p_draw]# AS p_draw, #[p_away]# AS p_away FROM done""", "predictions")
+def _(t):
+    """Rows calibrated by maps of the other two of three folds."""
+    df = SP.temporal_split(t.predictions, "kickoff_ts", "2024-01-21", "2024-01-25").filter("split = 'test'").select("match_id", "actual", *P3)
+    return r(ISO.cross_fitted(df, F.col("match_id") % 3, 3).drop("actual"), *P3)
 
 
 _T = "(pow(p_home, 1 / tt) + pow(p_draw, 1 / tt) + pow(p_away, 1 / tt))"
@@ -98,16 +149,48 @@ def _(t):
     return t.spark.createDataFrame([(0.05 <= best[0] <= 10.0, best[1] <= grid.nll + 1e-9)], "inside_range boolean, no_worse_than_grid boolean")
 
 
-@query("fit_attack_defence")
+_RHO = [round(-0.2 + 0.02 * i, 2) for i in range(21)]
+_DOT = "list_dot_product({m}[x + 1], {v})"
+_SWEEP = f"""
+sides AS (SELECT home AS team, away AS opp, NOT neutral AS own, home_score AS y FROM matches WHERE kickoff_ts < TIMESTAMP '2024-01-21' UNION ALL
+  SELECT away, home, FALSE, away_score FROM matches WHERE kickoff_ts < TIMESTAMP '2024-01-21'),
+sums AS (SELECT team, opp, count(*) FILTER (NOT own) AS n, count(*) FILTER (own) AS nh, sum(y) AS y FROM sides GROUP BY 1, 2),
+cells AS (SELECT i AS team, j AS opp, coalesce(n, 0)::DOUBLE AS n, coalesce(nh, 0)::DOUBLE AS nh, coalesce(y, 0)::DOUBLE AS y FROM range(24) a(i), range(24) b(j) LEFT JOIN sums ON team = i AND opp = j),
+by_team AS (SELECT team, list(n ORDER BY opp) AS n, list(nh ORDER BY opp) AS nh, sum(y) AS y FROM cells GROUP BY 1),
+by_opp AS (SELECT opp, list(n ORDER BY team) AS n, list(nh ORDER BY team) AS nh, sum(y) AS y FROM cells GROUP BY 1),
+const AS MATERIALIZED (SELECT list(t.n ORDER BY team) AS tn, list(t.nh ORDER BY team) AS th, list(t.y ORDER BY team) AS scored, list(o.n ORDER BY opp) AS opn, list(o.nh ORDER BY opp) AS oph, list(o.y ORDER BY opp) AS conceded,
+  (SELECT avg(y) FROM sides) AS mu, (SELECT sum(y)::DOUBLE FROM sides WHERE own) AS yh FROM by_team t JOIN by_opp o ON t.team = o.opp),
+sweep AS (
+  SELECT 0 AS step, list_resize([mu], 24, mu) AS a, list_resize([1.0::DOUBLE], 24, 1.0::DOUBLE) AS d, 1.0::DOUBLE AS h FROM const
+  UNION ALL
+  SELECT step + 1, a, d, yh / list_sum(list_transform(range(24), lambda x: a[x + 1] * {_DOT.format(m='th', v='d')})) FROM (
+    SELECT step, tn, th, yh, list_transform(a, lambda v: v * lvl) AS a, list_transform(d, lambda v: v / lvl) AS d FROM (
+      SELECT *, list_avg(d) AS lvl FROM (
+        SELECT step, tn, th, yh, a, list_transform(range(24), lambda x: (conceded[x + 1] + 1) / ({_DOT.format(m='opn', v='a')} + h * {_DOT.format(m='oph', v='a')} + 1)) AS d FROM (
+          SELECT s.step, s.h, c.*, list_transform(range(24), lambda x: (scored[x + 1] + mu) / ({_DOT.format(m='tn', v='s.d')} + s.h * {_DOT.format(m='th', v='s.d')} + 1)) AS a
+          FROM sweep s, const c WHERE s.step < 100))))),
+goal_model AS (SELECT a, d, h FROM sweep WHERE step = 100)"""
+_GRID = f"exp(-lh) * pow(lh, i) / ({_FACT})[i + 1] * exp(-la) * pow(la, j) / ({_FACT})[j + 1]"
+_TAU = "CASE WHEN x = 0 AND y = 0 THEN 1 - lh * la * rr WHEN x = 0 AND y = 1 THEN 1 + lh * rr WHEN x = 1 AND y = 0 THEN 1 + la * rr WHEN x = 1 AND y = 1 THEN 1 - rr ELSE 1 END"
+
+
+@query("fit_attack_defence", f"""WITH {_SWEEP},
+lam AS (SELECT match_id, home_score AS x, away_score AS y, sign(home_score - away_score) AS actual, a[home + 1] * d[away + 1] * CASE WHEN neutral THEN 1 ELSE h END AS lh, a[away + 1] * d[home + 1] AS la FROM matches, goal_model WHERE kickoff_ts >= TIMESTAMP '2024-01-25'),
+grid AS (SELECT match_id, any_value(actual) AS actual, sum(p) FILTER (i > j) / sum(p) AS p_home, sum(p) FILTER (i = j) / sum(p) AS p_draw, sum(p) FILTER (i < j) / sum(p) AS p_away FROM (SELECT *, {_GRID} AS p FROM lam, range(12) a(i), range(12) b(j)) GROUP BY 1),
+ll AS (SELECT rr, sum(ln(greatest({_TAU}, 1e-10))) AS l FROM lam, (SELECT unnest({_RHO}::DOUBLE[]) AS rr) GROUP BY 1)
+SELECT CAST(t AS VARCHAR) AS team, #4[a[t + 1]]# AS attack, #4[d[t + 1]]# AS leak, #4[h]# AS home_factor, (SELECT arg_max(rr, l) FROM ll) AS rho, e.* FROM goal_model, range(24) g(t),
+  (SELECT count(*) AS n, #4[avg({BR})]# AS brier, #4[avg(-ln({PA}))]# AS log_loss FROM grid) e""", "matches", recursive=True)
 def _(t):
+    """Strengths of all teams with the home factor, and how the model does on later matches."""
     from ..functions.expr import brier_row, logloss_row
 
     df = SP.temporal_split(t.matches, "kickoff_ts", "2024-01-21", "2024-01-25")
-    model = MD.fit_attack_defence(df.filter("split = 'train'"))
-    scored = MD.score_goals(model, df.filter("split = 'test'")).withColumn("actual", S.outcome())
-    rho = MD.fit_low_score_rho(scored, [round(-0.2 + 0.02 * i, 2) for i in range(21)])
+    model = MD.fit_attack_defence(df.filter("split = 'train'"), tolerance=1e-9)
+    scored = persist_table(MD.score_goals(model, df.filter("split = 'test'")).withColumn("actual", S.outcome()))
+    rho = MD.fit_low_score_rho(scored, _RHO)
     ev = scored.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(brier_row()), 4).alias("brier"), rnd(F.avg(logloss_row()), 4).alias("log_loss"))
-    return with_one_row(ev, rho.select("rho"))
+    out = r(model.strengths.withColumn("home_factor", F.lit(model.home)), "attack", "leak", "home_factor", digits=4)
+    return with_one_row(with_one_row(out, ev), rho.select("rho"))
 
 
 @query("ensemble_alpha_search", f"""
@@ -150,8 +233,43 @@ def _(t):
     return r(MD.weight_sensitivity(df, {"elo_": 0.7, "flat_": 0.3}), "accuracy", "brier", "d_accuracy", "d_brier")
 
 
-@query("permutation_importance")
+#: Given coefficients of a linear scorer (parameters of this query).
+_GIVEN = {"p_home": {"intercept": 0.2, "rating_diff": 0.004, "is_neutral": -0.1}, "p_draw": {"intercept": -0.1, "is_neutral": 0.2}, "p_away": {"intercept": 0.0, "rating_diff": -0.004}}
+
+
+def shuffled_sql(x: str, n: str, seed: int) -> str:
+    """The bijection of ``shuffled_number`` as a recursive walk over all rows: (i, source)."""
+    side = f"CAST(ceil(sqrt({n})) AS BIGINT)"
+    left, right, inner = "l0", "r0", f"SELECT *, x // side AS l0, x % side AS r0 FROM (SELECT *, {side} AS side FROM cur)"
+    for k, m in enumerate(MD.ROUNDS):
+        mixed = f"(((r{k} * {m} + {(seed + 1) * (k + 1) * 31337}) % 2147483647) * 48271 + r{k}) % 2147483647"
+        inner = f"SELECT *, r{k} AS l{k + 1}, (l{k} + {mixed}) % side AS r{k + 1} FROM ({inner})"
+    last = len(MD.ROUNDS)
+    return inner.replace("FROM cur", f"FROM (SELECT i, n, step, x FROM {x})"), f"l{last} * side + r{last}"
+
+
+_NET, _NEXT = shuffled_sql("walk WHERE step = 0 OR x >= n", "n", 0)
+_GIVEN_E = {p: " + ".join(f"{w} * {'1' if f == 'intercept' else f}" for f, w in ws.items()) for p, ws in _GIVEN.items()}
+_GIVEN_LOSS = "avg(-ln(greatest(1e-12, CASE actual WHEN 1 THEN {p_home} WHEN 0 THEN {p_draw} ELSE {p_away} END / ({p_home} + {p_draw} + {p_away}))))".format(**{p: f"exp({e})" for p, e in _GIVEN_E.items()})
+_TESTED = "t AS (SELECT p.match_id, p.actual, p.rating_diff, CAST(m.neutral AS DOUBLE) AS is_neutral, row_number() OVER (ORDER BY p.match_id) - 1 AS i, count(*) OVER () AS n FROM predictions p JOIN (SELECT match_id, neutral FROM matches) m USING (match_id) WHERE p.kickoff_ts >= TIMESTAMP '2024-01-25')"
+
+
+@query("permutation_importance", f"""WITH {_TESTED},
+walk AS (SELECT i, n, 0 AS step, i AS x FROM t UNION ALL SELECT i, n, step + 1, {_NEXT} FROM ({_NET})),
+src AS (SELECT i, arg_max(x, step) AS j FROM walk GROUP BY i),
+base AS (SELECT {_GIVEN_LOSS} AS b FROM t),
+moved AS (SELECT 'rating_diff' AS feature, {_GIVEN_LOSS} AS l FROM (SELECT t.actual, o.rating_diff, t.is_neutral FROM t JOIN src USING (i) JOIN t o ON o.i = src.j)
+  UNION ALL SELECT 'is_neutral', {_GIVEN_LOSS} FROM (SELECT t.actual, t.rating_diff, o.is_neutral FROM t JOIN src USING (i) JOIN t o ON o.i = src.j))
+SELECT feature, #[b]# AS base_loss, #[l]# AS loss, #[l - b]# AS importance FROM moved, base""", "predictions matches", recursive=True)
+def _(t):
+    """Importance under given coefficients, so that the check can replay the shuffle."""
+    df = training(t).filter("split = 'test'").select("match_id", "actual", "rating_diff", "is_neutral")
+    return r(MD.permutation_importance(_GIVEN, df, ["rating_diff", "is_neutral"], scorer=MD.linear_scorer), "base_loss", "loss", "importance")
+
+
+@query("permutation_importance_fitted")
 def _(t):
+    """Importance under a fitted model."""
     df = training(t)
     model = MD.fit_logistic(df.filter("split = 'train'"), FEATURES, balanced=False)
     out = MD.permutation_importance(model, df.filter("split = 'test'").select("match_id", "actual", *FEATURES), FEATURES)

@@ -135,16 +135,20 @@ h2h AS (SELECT match_id, coalesce((CASE WHEN home < away THEN lw ELSE hw END) /
   SELECT match_id, home, away, count(*) OVER w AS n, coalesce(sum(CAST(win = least(home, away) AS INT)) OVER w, 0) AS lw, coalesce(sum(CAST(win = greatest(home, away) AS INT)) OVER w, 0) AS hw FROM (
     SELECT *, CASE WHEN home_score > away_score THEN home WHEN home_score < away_score THEN away ELSE -1 END AS win FROM matches)
   WINDOW w AS (PARTITION BY pool, least(home, away), greatest(home, away) ORDER BY kickoff_ts, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
-SELECT m.match_id, m.pool, #3[e.pre_h + e.bonus - e.pre_a]# AS elo_diff, CAST(m.neutral AS INT) AS is_neutral, #[fh]# AS form_home, #[fa]# AS form_away, #[h]# AS h2h, CAST(sign(m.home_score - m.away_score) AS INT) AS outcome
-FROM matches m JOIN elo e USING (match_id) JOIN form USING (match_id) JOIN h2h USING (match_id)""", "matches long_view", recursive=True)
+SELECT m.match_id, m.pool, #3[e.pre_h + e.bonus - e.pre_a]# AS elo_diff, CAST(m.neutral AS INT) AS is_neutral, #[fh]# AS form_home, #[fa]# AS form_away, CAST(rh AS INT) AS rest_home, CAST(ra AS INT) AS rest_away, #[h]# AS h2h, CAST(sign(m.home_score - m.away_score) AS INT) AS outcome
+FROM matches m JOIN elo e USING (match_id) JOIN form USING (match_id) JOIN h2h USING (match_id) JOIN (
+  SELECT match_id, max(coalesce(gap, 14)) FILTER (is_home) AS rh, max(coalesce(gap, 14)) FILTER (NOT is_home) AS ra FROM long_view l
+  JOIN (SELECT pool, team, d, d - lag(d) OVER (PARTITION BY pool, team ORDER BY d) AS gap FROM (SELECT DISTINCT pool, team, CAST(kickoff_ts AS DATE) AS d FROM long_view)) g
+  ON l.pool = g.pool AND l.team = g.team AND CAST(l.kickoff_ts AS DATE) = g.d GROUP BY 1) USING (match_id)""", "matches long_view", recursive=True)
 def _(t):
     """Point-in-time feature row per match: rating difference, decayed form of both sides, head-to-head, rest."""
     m = t.matches
     elo = R.elo_fold(m, R.LINEAR_MARGIN).select("match_id", "pre_h", "pre_a")
-    form = W.form_decayed(m).groupBy("match_id").agg(
-        F.max(F.when(F.col("is_home"), F.col("form"))).alias("form_home"), F.max(F.when(~F.col("is_home"), F.col("form"))).alias("form_away"))
+    sides = W.form_decayed(m).join(W.rest_days(m).drop("team"), ["match_id", "is_home"])
+    at = lambda c, home: F.max(F.when(F.col("is_home") == home, F.col(c)))
+    form = sides.groupBy("match_id").agg(at("form", True).alias("form_home"), at("form", False).alias("form_away"), at("rest_days", True).alias("rest_home"), at("rest_days", False).alias("rest_away"))
     h2h = W.h2h_expanding(m).select("match_id", "h2h")
     return (m.select("match_id", "pool", "neutral", S.outcome().alias("outcome")).join(elo, "match_id").join(form, "match_id").join(h2h, "match_id")
             .select("match_id", "pool", rnd(F.col("pre_h") + F.when(F.col("neutral"), 0).otherwise(80) - F.col("pre_a"), 3).alias("elo_diff"),
-                    F.col("neutral").cast("int").alias("is_neutral"), rnd("form_home").alias("form_home"), rnd("form_away").alias("form_away"),
+                    F.col("neutral").cast("int").alias("is_neutral"), rnd("form_home").alias("form_home"), rnd("form_away").alias("form_away"), "rest_home", "rest_away",
                     rnd("h2h").alias("h2h"), "outcome"))

@@ -92,7 +92,12 @@ def written_bytes(df) -> int:
     return total
 
 
+def small(df, written, most: int = BROADCAST_BYTES):
+    """``df``, made of no more rows than a written table, with a broadcast hint if the table's files have at most ``most`` bytes."""
+    return broadcast(df) if written_bytes(written) <= most else df
+
+
 def dimension(df, most: int = BROADCAST_BYTES):
-    """A small side of a join as a written table; it gets a broadcast hint only if its files have at most ``most`` bytes."""
+    """A small side of a join as a written table, with a broadcast hint if its size allows."""
     written = persist_table(df)
-    return broadcast(written) if written_bytes(written) <= most else written
+    return small(written, written, most)

@@ -2,7 +2,7 @@
 
 Every job is a plain transformation of a streaming frame; ``run_available`` and ``run_to_end`` drive one over the input there is and
 return what it wrote, ``start`` keeps it running. State is one timestamp per guardrail, one rating per team, the keys
-inside the watermark, and the rows the watermark has not passed yet.
+inside the watermark, and the rows the watermark has not passed yet, by time bucket.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StructField, StructType
 
 from ..functions.expr import add, count_if, epoch_us, share
 from ..operators.rating import Rules, _inputs
@@ -75,40 +75,50 @@ def stream_health(log: DataFrame, ts: str = "kickoff_ts", window: str = "1 hour"
 
 
 class _InOrder(StatefulProcessor):
-    """Holds the rows of a key until the watermark has passed them and then hands them over in event order, whatever order they came in."""
+    """Holds the rows of a key in time buckets until the watermark has passed a bucket's end, and then hands its rows over in event order, whatever order they came in.
+
+    One bucket is read at a time, so memory follows the rows of a key in ``bucket_us`` microseconds (whole milliseconds) and not those that wait. Each bucket has a
+    timer; the timers of a key expire in the order of their times, which is checked.
+    """
 
     fields: list[tuple[str, DataType]] = []
     order: tuple[str, ...] = ()
 
+    def __init__(self, bucket_us: int):
+        if bucket_us <= 0 or bucket_us % 1000:
+            raise ValueError("a bucket is a whole number of milliseconds")
+        self.bucket_us = bucket_us
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType([StructField(n, t) for n, t in self.fields]))
+        row = StructType([StructField(n, t) for n, t in self.fields])
+        self.waiting = handle.getMapState("waiting", StructType([StructField("bucket", LongType())]), StructType([StructField("rows", ArrayType(row))]))
+        self.done = handle.getValueState("done", StructType([StructField("bucket", LongType())]))
         self.names = [n for n, _ in self.fields]
         self.prepare(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
         for part in rows:
-            if len(part):
-                self.waiting.appendList(list(part[self.names].itertuples(index=False, name=None)))
-                start = int(part["t"].min())
-                first = start if first is None else min(first, start)
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+            if not len(part):
+                continue
+            part = part[self.names]
+            for bucket, new in part.groupby(part["t"] // self.bucket_us):
+                bucket = int(bucket)
+                held = []
+                if self.waiting.containsKey((bucket,)):
+                    held = [tuple(r) for r in self.waiting.getValue((bucket,))[0]]
+                else:
+                    self.handle.registerTimer((bucket + 1) * self.bucket_us // 1000 + 1)
+                self.waiting.updateValue((bucket,), (held + list(new.itertuples(index=False, name=None)),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[0] < passed else later).append(tuple(row))
-        if not ready:
-            return
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[0] for r in later) // 1000 + 1)
-        else:
-            self.waiting.clear()
+        bucket = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.bucket_us - 1
+        if self.done.exists() and self.done.get()[0] >= bucket:
+            raise RuntimeError(f"bucket {bucket} came after bucket {self.done.get()[0]}")
+        self.done.update((bucket,))
+        ready = [tuple(r) for r in self.waiting.getValue((bucket,))[0]]
+        self.waiting.removeKey((bucket,))
         at = [self.names.index(n) for n in self.order]
         yield self.apply(key, sorted(ready, key=lambda r: tuple(r[i] for i in at)))
 
@@ -136,11 +146,16 @@ class _Cooldown(_InOrder):
         return pd.DataFrame(out, columns=["trigger_id", "guardrail", "accepted"])
 
 
-def stream_cooldown(triggers: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Accept or suppress guardrail triggers (trigger_id, guardrail, cooldown_s) in event order. Rows that come later than ``late`` are dropped."""
+BUCKET_US = 3_600_000_000  # an hour
+
+
+def stream_cooldown(triggers: DataFrame, ts: str = "ts", late: str = "1 hour", bucket_us: int = BUCKET_US) -> DataFrame:
+    """Accept or suppress guardrail triggers (trigger_id, guardrail, cooldown_s) in event order. Rows that come later than ``late`` are dropped.
+
+    A key's rows wait in buckets of ``bucket_us`` microseconds, so a result comes up to that much later than the watermark."""
     rows = triggers.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(
         ts, "guardrail", F.coalesce(F.col("trigger_id").cast("bigint"), F.lit(0)).alias("trigger_id"), epoch_us(ts).alias("t"), F.coalesce(F.col("cooldown_s").cast("bigint") * 1_000_000, F.lit(0)).alias("cool"))
-    return rows.groupBy("guardrail").transformWithStateInPandas(_Cooldown(), "trigger_id long, guardrail string, accepted boolean", "append", "EventTime")
+    return rows.groupBy("guardrail").transformWithStateInPandas(_Cooldown(bucket_us), "trigger_id long, guardrail string, accepted boolean", "append", "EventTime")
 
 
 _RATING = StructType([StructField("rating", DoubleType())])
@@ -179,7 +194,7 @@ class _Ratings(_InOrder):
         return pd.DataFrame(out, columns=["pool", "match_id", "pre_h", "pre_a", "post_h", "post_a"])
 
 
-def stream_ratings(matches: DataFrame, rules: Rules, late: str = "1 hour") -> DataFrame:
+def stream_ratings(matches: DataFrame, rules: Rules, late: str = "1 hour", bucket_us: int = BUCKET_US) -> DataFrame:
     """Incremental rating fold per pool: the same numbers as the batch fold, in whatever order matches come within the watermark's delay.
 
     Matches that come later than ``late`` are dropped, as in every event-time job.
@@ -187,7 +202,7 @@ def stream_ratings(matches: DataFrame, rules: Rules, late: str = "1 hour") -> Da
     _, *rest = _inputs(matches, rules)
     whole = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c)
     rows = matches.withColumn("kickoff_ts", F.col("kickoff_ts").cast("timestamp")).withWatermark("kickoff_ts", late).select("kickoff_ts", "pool", whole("match_id"), epoch_us("kickoff_ts").alias("t"), whole("home"), whole("away"), *rest)
-    return rows.groupBy("pool").transformWithStateInPandas(_Ratings(), "pool string, match_id long, pre_h double, pre_a double, post_h double, post_a double", "append", "EventTime")
+    return rows.groupBy("pool").transformWithStateInPandas(_Ratings(bucket_us), "pool string, match_id long, pre_h double, pre_a double, post_h double, post_a double", "append", "EventTime")
 
 
 def stream_dedupe(rows: DataFrame, keys: list[str], ts: str, late: str = "3 days") -> DataFrame:

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from rondo.operators import clean as C
 from rondo.operators import drift as D
+from rondo.operators import isotonic as ISO
 from rondo.operators import metrics as M
 from rondo.operators import models as MD
+from rondo.operators import regression as RG
 from rondo.operators import resample as B
 from rondo.operators import scoring as S
 
@@ -94,10 +96,99 @@ def test_ks_of_disjoint_samples_is_one_whatever_the_shards(spark):
 
 def test_isotonic_is_no_worse_on_its_own_sample(tables):
     p = tables.predictions
-    iso = MD.apply_isotonic(MD.fit_isotonic(p), p)
+    iso = ISO.apply_isotonic(ISO.fit_isotonic(p), p)
+    assert iso.columns == p.columns and iso.count() == p.count()
     assert M.brier(iso).first().brier <= M.brier(p).first().brier + 1e-9
 
 
+@pytest.mark.parametrize("most", [25, 1_000_000])
+def test_isotonic_in_slices_is_the_plain_fit(spark, most):
+    """Pooling slice by slice gives the blocks of the plain algorithm, also where one block spans many slices, and maps points alike."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, round(rng.random(), 3)) for k in range(150)]
+    shapes = [lambda x: x, lambda x: 1 - x]
+    data = [(i, k, x, 1 - x, x, 1 if rng.random() < shape(x) else 0 if rng.random() < 0.5 else -1) for i, shape in enumerate(shapes) for k, x in rows]
+    df = spark.createDataFrame([(i, k, p, q, h, y) for i, k, p, q, h, y in data], "g int, id int, p_home double, p_draw double, p_away double, actual int")
+    maps = ISO.fit_isotonic(df, ["g"], most)
+    got = {}
+    for r in maps.collect():
+        got.setdefault((r.g, r.outcome), []).append((r.lo, r.hi, r.weight, r.value))
+    for (g, v), blocks in got.items():
+        at = {1: 2, 0: 3, -1: 4}[v]
+        points = {}
+        for r in data:
+            if r[0] == g:
+                w, t = points.get(r[at], (0, 0))
+                points[r[at]] = (w + 1, t + (r[5] == v))
+        xs = sorted(points)
+        want = [(lo, hi, w, t / w) for lo, hi, w, t in ISO.pool(xs, xs, *zip(*[points[x] for x in xs]))]
+        assert [tuple(map(pytest.approx, b)) for b in want] == sorted(blocks)
+        values = [b[3] for b in sorted(blocks)]
+        assert values == sorted(values) and sum(b[2] * b[3] for b in blocks) == pytest.approx(sum(t for _, t in points.values()))
+    few, many = (sorted(map(tuple, ISO.apply_isotonic(maps, df, ["g"], m).collect())) for m in (100, 1_000_000))
+    assert all(a == pytest.approx(b) for a, b in zip(few, many)) and len(few) == len(data)
+
+
+def test_cross_fitted_maps_leave_their_rows_out(tables):
+    p = tables.predictions
+    whole = ISO.cross_fitted(p, F.col("match_id") % 3, 3)
+    apart = None
+    for k in range(3):
+        one = ISO.apply_isotonic(ISO.fit_isotonic(p.filter(F.col("match_id") % 3 != k)), p.filter(F.col("match_id") % 3 == k))
+        apart = one if apart is None else apart.unionByName(one)
+    both = whole.join(apart.select("match_id", F.col("p_home").alias("x")), "match_id")
+    assert both.count() == p.count() and both.filter("abs(p_home - x) > 1e-9").count() == 0
+
+
+def test_many_teams_are_fitted(spark):
+    """50,000 teams: strengths of a team solve its own equations, and each team has finite ones."""
+    n = 50_000
+    m = spark.range(150_000).select(
+        (F.xxhash64("id") % n + n).cast("int").alias("home"), (F.xxhash64("id", F.lit(1)) % n + 3 * n).cast("int").alias("away"), (F.col("id") % 4).cast("int").alias("home_score"), (F.col("id") % 3).cast("int").alias("away_score"), (F.col("id") % 5 == 0).alias("neutral"))
+    model = MD.fit_attack_defence(m, sweeps=6)
+    assert model.strengths.count() > 90_000 and model.strengths.filter("attack <= 0 or leak <= 0 or isnan(attack)").count() == 0 and 1.0 < model.home < 2.0
+
+
+def test_strengths_are_stationary(tables):
+    m = tables.matches
+    model = MD.fit_attack_defence(m, tolerance=1e-10)
+    s = {int(r.team): (r.attack, r.leak) for r in model.strengths.collect()}
+    scored, faced = dict.fromkeys(s, 0.0), dict.fromkeys(s, 0.0)
+    home, expected = 0.0, 0.0
+    for r in m.collect():
+        ground = 1.0 if r.neutral else model.home
+        for a, b, g, f in ((r.home, r.away, r.home_score, ground), (r.away, r.home, r.away_score, 1.0)):
+            scored[a] += g
+            faced[a] += s[b][1] * f
+        if not r.neutral:
+            home += r.home_score
+            expected += s[r.home][0] * s[r.away][1]
+    assert model.home == pytest.approx(home / expected, rel=1e-6)
+    assert sum(v[1] for v in s.values()) / len(s) == pytest.approx(1.0)
+    shares = [s[t][0] * (faced[t] + 1) / (scored[t] + model.mean) for t in s]  # alike for all teams: the level of leaks is set to 1
+    assert max(shares) == pytest.approx(min(shares), rel=1e-8)
+
+
+def test_many_fits_at_once_are_the_single_ones(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(k % 3, rng.gauss(0, 1), rng.gauss(0, 1), rng.choice([0, 0, 1, 2, 3]), None if k % 50 == 7 else 0.5) for k in range(900)]
+    df = spark.createDataFrame(rows, "fold int, u double, v double, y int, o double")
+    both = {(r.fold, r.feature_group): r for r in RG.fit_many(df, ["u", "v"], "y", "poisson", ["fold"], F.col("o"), {"u": ["u"], "all": ["u", "v"]}).collect()}
+    assert len(both) == 6
+    for fold in range(3):
+        part = df.filter(F.col("fold") == fold)
+        one, two = RG.fit_many(part, ["u"], "y", "poisson", offset=F.col("o")).first(), RG.fit_many(part, ["u", "v"], "y", "poisson", offset=F.col("o")).first()
+        assert both[fold, "u"].coefficients == pytest.approx([*one.coefficients, 0.0]) and both[fold, "all"].coefficients == pytest.approx(two.coefficients)
+        assert both[fold, "all"].n == 294 and two.loss <= one.loss
+        b = two.coefficients
+        res = [(y - math.exp(o + b[0] + b[1] * u + b[2] * v), u, v) for f, u, v, y, o in rows if f == fold and o is not None]
+        assert all(abs(sum(r[0] * x for r, x in zip(res, xs))) < 1e-6 for xs in ([1] * len(res), [r[1] for r in res], [r[2] for r in res]))
+
+
 def test_bootstrap_repeats_and_covers_the_mean(spark):
     df = spark.range(600).select((F.col("id") % 20).alias("b"), (F.col("id") % 7).cast("double").alias("x"), F.col("id"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.lit("k").alias("k"))
     a, b = (B.block_bootstrap(df, "b", F.col("x"), iterations=200, seed=1).first() for _ in range(2))
@@ -114,6 +205,12 @@ def test_permutation_keeps_rows_and_values(tables):
     assert out.join(df.withColumnRenamed("p_home", "old"), "match_id").filter("p_home != old").count() > 100
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
+def test_shuffled_numbers_are_a_bijection(spark, n):
+    got = [r[0] for r in spark.range(n).select(MD.shuffled_number(F.col("id"), F.lit(n), 3)).collect()]
+    assert sorted(got) == list(range(n)) and (n < 1000 or sum(a == b for a, b in enumerate(got)) < 20)
+
+
 def test_verdict(spark):
     df = frame(spark, [(0.36, 0.33, 0.31, 1), (0.60, 0.25, 0.15, 1)])
     a, b = C.verdict(df).collect()

@@ -54,3 +54,24 @@ def test_every_window_closes(shuffled, tables):
     log = shuffled.events.select(F.col("ts").cast("timestamp").alias("kickoff_ts"), *[F.lit(0.3).alias(p) for p in ("p_home", "p_draw", "p_away")], F.lit(1).alias("latency_ms"), F.lit("SHADOW").alias("status"), F.lit(1).alias("actual"))
     got = J.run_to_end(log, "kickoff_ts", lambda x: J.stream_health(x, late="60 days"))
     assert got.agg(F.sum("requests")).first()[0] == tables.events.count()
+
+
+@pytest.mark.parametrize("bucket_us", [6 * 3_600_000_000, 40 * 86_400_000_000])
+def test_a_bucket_is_all_that_a_key_holds_at_a_time(shuffled, tables, monkeypatch, bucket_us, tmp_path):
+    """One pool with all rows, in whatever buckets: the same numbers, and no call gets more rows than its bucket has."""
+    seen = tmp_path / "rows"
+    plain = J._Ratings.apply
+
+    def counted(self, key, rows):
+        with seen.open("a") as f:
+            f.write(f"{len(rows)} {rows[0][0] // self.bucket_us} {rows[-1][0] // self.bucket_us}\n")
+        return plain(self, key, rows)
+
+    monkeypatch.setattr(J._Ratings, "apply", counted)
+    hot = lambda m: m.withColumn("pool", F.lit("hot"))
+    got = J.run_to_end(shuffled.matches, "kickoff_ts", lambda m: J.stream_ratings(hot(m), R.CONSTANT_30, late="60 days", bucket_us=bucket_us)).collect()
+    want = {r.match_id: r for r in R.elo_fold(hot(tables.matches), R.CONSTANT_30).collect()}
+    assert len(got) == len(want) and max(abs(r.pre_h - want[r.match_id].pre_h) for r in got) < 1e-9
+    if seen.exists():  # workers may not share the patched class
+        calls = [tuple(map(int, x.split())) for x in seen.read_text().splitlines()]
+        assert all(a == b for _, a, b in calls) and len(calls) == len({a for _, a, _ in calls})
