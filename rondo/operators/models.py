@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import add, brier_row, clip, hit, logloss_row, p_actual, with_one_row
-from ..session import persist_table, release, small
+from ..session import persist_table, release, shared_dir, small
 from . import metrics as M
 from . import scoring as S
 from .regression import fit_many
@@ -37,6 +38,9 @@ def fit_uplift(df: DataFrame, features: list[str], target: str = "goals_home", b
     return dict(zip(["intercept", *features], fit.coefficients)) | {"loss": fit.loss}
 
 
+CHECKED = 4  # sweeps between looks at how much strengths still move
+
+
 @dataclass(frozen=True)
 class GoalModel:
     """Expected goals of a side: attack of the team x leak of its opponent x the home factor on its own ground."""
@@ -47,7 +51,7 @@ class GoalModel:
     sweeps: int
 
 
-def fit_attack_defence(matches: DataFrame, sweeps: int = 100, tolerance: float = 1e-8, prior: float = 1.0) -> GoalModel:
+def fit_attack_defence(matches: DataFrame, sweeps: int = 100, tolerance: float = 1e-6, prior: float = 1.0) -> GoalModel:
     """Attack and leak of every team and the home factor of a Poisson model of goals, by alternating group sums (iterative proportional fitting).
 
     A sweep sets each attack to goals scored over goals expected from the opponents' leaks, each leak to goals conceded over goals expected from the
@@ -65,33 +69,35 @@ def fit_attack_defence(matches: DataFrame, sweeps: int = 100, tolerance: float =
     total = pairs.agg(F.sum("n").alias("n"), F.sum("goals").alias("goals"), F.sum(F.when(F.col("at_home"), F.col("goals"))).alias("home")).first()
     if not total.n:
         raise ValueError("no matches to fit")
-    mean, home = total.goals / total.n, 1.0
+    spark, mean, home, old = matches.sparkSession, total.goals / total.n, 1.0, []
     scored = pairs.groupBy("team").agg(F.sum("goals").alias("scored")).withColumnRenamed("team", "t")
     conceded = pairs.groupBy("opp").agg(F.sum("goals").alias("conceded")).withColumnRenamed("opp", "t")
     both = scored.join(conceded, "t", "full")  # a team has a row on each side of every match
     state = persist_table(both.select("t", F.coalesce("scored", F.lit(0.0)).alias("scored"), F.coalesce("conceded", F.lit(0.0)).alias("conceded"), F.lit(mean).alias("attack"), F.lit(1.0).alias("leak")))
-    level = 1.0  # mean leak of the state, which the next sweep takes out
-    for done in range(1, sweeps + 1):
-        ground = F.col("n") * F.when(F.col("at_home"), F.lit(home)).otherwise(1.0)
-        attack, leak = F.col("attack") * level, F.col("leak") / level
-        leaks = small(state.select(F.col("t").alias("opp"), leak.alias("leak")), state)
-        faced = pairs.join(leaks, "opp").groupBy(F.col("team").alias("f")).agg(F.sum(ground * F.col("leak")).alias("faced"))
-        attacks = persist_table(state.join(small(faced, state), F.col("t") == F.col("f")).select("t", "scored", "conceded", attack.alias("old_attack"), leak.alias("old_leak"),
-                                ((F.col("scored") + prior * mean) / (F.col("faced") + prior)).alias("attack")))
-        met = pairs.join(small(attacks.select(F.col("t").alias("team"), "attack"), attacks), "team").groupBy(F.col("opp").alias("f")).agg(F.sum(ground * F.col("attack")).alias("met"))
-        after = persist_table(attacks.join(small(met, attacks), F.col("t") == F.col("f")).select("t", "scored", "conceded", "old_attack", "old_leak", "attack", ((F.col("conceded") + prior) / (F.col("met") + prior)).alias("leak")))
+    home_row = spark.createDataFrame([(1.0,)], "home double")
+    level = lambda now: now.agg(F.avg("leak").alias("level"))
+    ground = F.col("n") * F.when(F.col("at_home"), F.col("home")).otherwise(1.0)
+    for done in range(1, sweeps + 1):  # one job a sweep; the home factor and the level of the last one are scalars of its plan
+        now = with_one_row(state, level(state)).select("t", "scored", "conceded", (F.col("attack") * F.col("level")).alias("attack"), (F.col("leak") / F.col("level")).alias("leak"))
+        met_on = with_one_row(pairs, home_row)
+        faced = met_on.join(small(now.select(F.col("t").alias("opp"), "leak"), state), "opp").groupBy(F.col("team").alias("f")).agg(F.sum(ground * F.col("leak")).alias("faced"))
+        attacks = now.join(small(faced, state), F.col("t") == F.col("f")).select("t", "scored", "conceded", F.col("attack").alias("old_attack"), F.col("leak").alias("old_leak"),
+                           ((F.col("scored") + prior * mean) / (F.col("faced") + prior)).alias("attack"))
+        met = met_on.join(small(attacks.select(F.col("t").alias("team"), "attack"), state), "team").groupBy(F.col("opp").alias("f")).agg(F.sum(ground * F.col("attack")).alias("met"))
+        after = persist_table(attacks.join(small(met, state), F.col("t") == F.col("f")).select("t", "scored", "conceded", "old_attack", "old_leak", "attack", ((F.col("conceded") + prior) / (F.col("met") + prior)).alias("leak")))
         own, their = small(after.select(F.col("t").alias("team"), "attack"), after), small(after.select(F.col("t").alias("opp"), "leak"), after)
         at_home = pairs.filter("at_home").join(own, "team").join(their, "opp").agg(F.sum(F.col("n") * F.col("attack") * F.col("leak")).alias("expected"))
-        level_now = after.agg(F.avg("leak").alias("level"))
-        moved = F.greatest(F.abs(F.col("attack") * F.col("level") - F.col("old_attack")), F.abs(F.col("leak") / F.col("level") - F.col("old_leak")))
-        change = with_one_row(after, level_now).agg(F.max(moved).alias("change"), F.first("level").alias("level"))
-        now = with_one_row(change, at_home).first()
-        before, home, level = home, total.home / now.expected if now.expected else 1.0, now.level
-        release(attacks, state)
-        state = after
-        if max(now.change, abs(home - before)) <= tolerance:
-            break
-    state = state.select("t", (F.col("attack") * level).alias("attack"), (F.col("leak") / level).alias("leak"))
+        home_row = at_home.select(F.coalesce(F.lit(total.home) / F.col("expected"), F.lit(1.0)).alias("home"))
+        release(*old)
+        old, state = [state], after
+        if done % CHECKED == 0 or done == sweeps:
+            moved = F.greatest(F.abs(F.col("attack") * F.col("level") - F.col("old_attack")), F.abs(F.col("leak") / F.col("level") - F.col("old_leak")))
+            change = with_one_row(after, level(after)).agg(F.max(moved).alias("change"))
+            seen = with_one_row(change, home_row).first()
+            before, home = home, seen.home
+            if max(seen.change, abs(home - before) / CHECKED) <= tolerance:
+                break
+    state = with_one_row(state, level(state)).select("t", (F.col("attack") * F.col("level")).alias("attack"), (F.col("leak") / F.col("level")).alias("leak"))
     release(pairs)
     return GoalModel(persist_table(state.withColumnRenamed("t", "team")), home, mean, done)
 
@@ -162,12 +168,30 @@ class OneAgainstRest:
         return out.withColumn("scores", scores).drop(*[f"_s{i}" for i in range(len(self.models))])
 
 
+def _side_by_side(spark, jobs: list, at_once: int) -> list:
+    """Results of functions that start Spark jobs of their own, ``at_once`` at a time; the jobs share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+def _checkpoints(spark) -> None:
+    """Let solvers of many rounds cut their lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def fit_gbm(df: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 3, seed: int = 42) -> OneAgainstRest:
-    """Gradient-boosted trees, one against the rest for the three classes."""
+    """Gradient-boosted trees, one against the rest for the three classes, which are fitted side by side over one kept table."""
     assembler = _assembled(features)
+    _checkpoints(df.sparkSession)
     with _kept(assembler.transform(df.select(label, *features)).select(label, "features")) as rows:
         gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, labelCol="_y")
-        models = [gbt.fit(rows.withColumn("_y", (F.col(label) == c).cast("double"))) for c in range(3)]
+        fits = [lambda c=c: gbt.fit(rows.withColumn("_y", (F.col(label) == c).cast("double"))) for c in range(3)]
+        models = _side_by_side(df.sparkSession, fits, 3)
     return OneAgainstRest(assembler, models)
 
 
@@ -337,13 +361,30 @@ def linear_scorer(weights: dict[str, dict[str, float]], df: DataFrame) -> DataFr
     return out.withColumns({p: F.col(f"_e_{p}") / whole for p in weights}).drop(*[f"_e_{p}" for p in weights])
 
 
-def bootstrap_importance(df: DataFrame, features: list[str], label: str = "label", replicates: int = 5, trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Mean and interval of forest importances over resamples of the rows."""
-    rows = []
-    for b in range(replicates):
-        sample = df.sample(withReplacement=True, fraction=1.0, seed=seed + b)
-        imp = fit_random_forest(sample, features, label, trees, depth, balanced=False, seed=seed + b).stages[-1].featureImportances
-        rows += [(b, f, float(imp[i])) for i, f in enumerate(features)]
+#: Shares of a row that is drawn 0, 1, 2, ... times when n of n rows are drawn and n is large.
+DRAWN = [math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def drawn_times(key: Column, replicate: int, seed: int = 0) -> Column:
+    """How often a row is in a resample: a number that follows from its key, so that any task can tell it."""
+    u = F.pmod(F.xxhash64(key, F.lit(replicate), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return add([(u >= share).cast("double") for share in DRAWN])
+
+
+def bootstrap_importance(df: DataFrame, features: list[str], label: str = "label", replicates: int = 100, trees: int = 20, depth: int = 5, seed: int = 42,
+                         key: str = "match_id", at_once: int = 8) -> DataFrame:
+    """Mean and interval of forest importances over resamples of the rows.
+
+    A resample is a weight per row (``drawn_times``), so all forests are fitted over one kept table, ``at_once`` side by side.
+    """
+    with _kept(_assembled(features).transform(df.select(key, label, *features)).select(key, label, "features")) as rows:
+        def fit(b: int):
+            forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed + b, weightCol="weight")
+            sample = rows.withColumn("weight", drawn_times(F.col(key), b, seed)).filter("weight > 0")
+            return forest.fit(sample).featureImportances.toArray().tolist()
+
+        found = _side_by_side(df.sparkSession, [lambda b=b: fit(b) for b in range(replicates)], at_once)
+    rows = [(b, f, v) for b, values in enumerate(found) for f, v in zip(features, values)]
     table = df.sparkSession.createDataFrame(rows, "replicate int, feature string, importance double")  # replicates x features
     return table.groupBy("feature").agg(F.avg("importance").alias("mean"), F.percentile("importance", 0.025).alias("ci_low"), F.percentile("importance", 0.975).alias("ci_high"))
 

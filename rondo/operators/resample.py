@@ -77,16 +77,16 @@ def moving_block_bootstrap(df: DataFrame, keys: list[str], order: list[str], val
     its = sizes.filter(F.col("_n") >= length).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     picked = F.floor(draw(F.col("iteration"), F.col("_j"), F.col("_n") - length + 1, seed) / CELL)
     draws = _chunked(its.repartition(*keys, "iteration"), F.floor(F.col("_n") / length), "_j").select(*keys, "iteration", picked.alias("_cell"))
-    counts = draws.groupBy(*keys, "_cell", "iteration").agg(F.count(F.lit(1)).cast("int").alias("k"))
-    vectors = counts.groupBy(*keys, "_cell").agg(F.collect_list(F.struct("iteration", "k")).alias("_counts"))  # one number per iteration
+    counts = draws.groupBy(*keys, "_cell", "iteration").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    vectors = counts.groupBy(*keys, "_cell").agg(F.collect_list(F.struct("iteration", "_times")).alias("_counts"))  # one number per iteration
 
     def drawn(c: Column) -> Column:
         index = lambda k: draw(c["iteration"], k, F.size("_sums"), F.lit(seed) + (F.col("_cell") + 1) * CELL_SEED)
-        total = F.aggregate(F.sequence(F.lit(0), c["k"] - 1), F.lit(0.0), lambda acc, k: acc + F.get(F.col("_sums"), index(k).cast("int")))
-        return F.struct(c["iteration"].alias("iteration"), total.alias("s"), c["k"].alias("k"))
+        total = F.aggregate(F.sequence(F.lit(0), c["_times"] - 1), F.lit(0.0), lambda acc, k: acc + F.get(F.col("_sums"), index(k).cast("int")))
+        return F.struct(c["iteration"].alias("iteration"), total.alias("s"), c["_times"].alias("times"))
 
-    per_cell = cells.join(vectors, [*keys, "_cell"]).select(*keys, F.explode(F.transform("_counts", drawn)).alias("d"))
-    boot = per_cell.groupBy(*keys, F.col("d.iteration").alias("iteration")).agg((F.sum("d.s") / (F.sum("d.k") * length)).alias("value"))
+    per_cell = cells.join(vectors, [*keys, "_cell"]).select(*keys, F.explode(F.transform("_counts", drawn)).alias("_d"))
+    boot = per_cell.groupBy(*keys, F.col("_d.iteration").alias("iteration")).agg((F.sum("_d.s") / (F.sum("_d.times") * length)).alias("value"))
     return summarise(boot, keys).join(dimension(sizes.select(*keys, "original")), list(keys))
 
 

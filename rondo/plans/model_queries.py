@@ -50,7 +50,7 @@ def _(t):
 
 @query("fit_gbm_multiclass", _FITTED, "predictions")
 def _(t):
-    return _fit_eval(t, lambda d: MD.fit_gbm(d, FEATURES, trees=10))
+    return _fit_eval(t, lambda d: MD.fit_gbm(d, FEATURES))
 
 
 @query("fit_random_forest", _FITTED, "predictions")
@@ -178,18 +178,18 @@ _TAU = "CASE WHEN x = 0 AND y = 0 THEN 1 - lh * la * rr WHEN x = 0 AND y = 1 THE
 lam AS (SELECT match_id, home_score AS x, away_score AS y, sign(home_score - away_score) AS actual, a[home + 1] * d[away + 1] * CASE WHEN neutral THEN 1 ELSE h END AS lh, a[away + 1] * d[home + 1] AS la FROM matches, goal_model WHERE kickoff_ts >= TIMESTAMP '2024-01-25'),
 grid AS (SELECT match_id, any_value(actual) AS actual, sum(p) FILTER (i > j) / sum(p) AS p_home, sum(p) FILTER (i = j) / sum(p) AS p_draw, sum(p) FILTER (i < j) / sum(p) AS p_away FROM (SELECT *, {_GRID} AS p FROM lam, range(12) a(i), range(12) b(j)) GROUP BY 1),
 ll AS (SELECT rr, sum(ln(greatest({_TAU}, 1e-10))) AS l FROM lam, (SELECT unnest({_RHO}::DOUBLE[]) AS rr) GROUP BY 1)
-SELECT CAST(t AS VARCHAR) AS team, #4[a[t + 1]]# AS attack, #4[d[t + 1]]# AS leak, #4[h]# AS home_factor, (SELECT arg_max(rr, l) FROM ll) AS rho, e.* FROM goal_model, range(24) g(t),
+SELECT CAST(t AS VARCHAR) AS team, #3[a[t + 1]]# AS attack, #3[d[t + 1]]# AS leak, #3[h]# AS home_factor, (SELECT arg_max(rr, l) FROM ll) AS rho, e.* FROM goal_model, range(24) g(t),
   (SELECT count(*) AS n, #4[avg({BR})]# AS brier, #4[avg(-ln({PA}))]# AS log_loss FROM grid) e""", "matches", recursive=True)
 def _(t):
     """Strengths of all teams with the home factor, and how the model does on later matches."""
     from ..functions.expr import brier_row, logloss_row
 
     df = SP.temporal_split(t.matches, "kickoff_ts", "2024-01-21", "2024-01-25")
-    model = MD.fit_attack_defence(df.filter("split = 'train'"), tolerance=1e-9)
+    model = MD.fit_attack_defence(df.filter("split = 'train'"))
     scored = persist_table(MD.score_goals(model, df.filter("split = 'test'")).withColumn("actual", S.outcome()))
     rho = MD.fit_low_score_rho(scored, _RHO)
     ev = scored.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(brier_row()), 4).alias("brier"), rnd(F.avg(logloss_row()), 4).alias("log_loss"))
-    out = r(model.strengths.withColumn("home_factor", F.lit(model.home)), "attack", "leak", "home_factor", digits=4)
+    out = r(model.strengths.withColumn("home_factor", F.lit(model.home)), "attack", "leak", "home_factor", digits=3)
     return with_one_row(with_one_row(out, ev), rho.select("rho"))
 
 
@@ -278,7 +278,7 @@ def _(t):
 
 @query("bootstrap_importance")
 def _(t):
-    out = MD.bootstrap_importance(training(t).filter("split = 'train'"), FEATURES, replicates=3, trees=5)
+    out = MD.bootstrap_importance(training(t).filter("split = 'train'"), FEATURES)
     return r(out, "mean", "ci_low", "ci_high", digits=3)
 
 
