@@ -23,7 +23,8 @@ def test_stages(spark, sample, byte_bpe):
             assert {r.doc_id: r.n_tokens for r in out.collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in seen[-1].items()}
         docs = out
     assert set(seen[0]) == kept and set(seen[1]) == kept
-    assert set(seen[3]) < set(seen[2]) < set(seen[1]) and seen[2] == {i: seen[1][i] for i in seen[2]}
+    # the one near-duplicate of these rows is a short text that already loses its only line to line dedup
+    assert set(seen[3]) < set(seen[2]) <= set(seen[1]) and seen[2] == {i: seen[1][i] for i in seen[2]}
     assert {r.n_chars == len(r.text) for r in persist_table(corpus_pipeline.lines(spark, sample, SF_DIR)).collect()} == {True}
 
 
@@ -36,7 +37,7 @@ def test_odd_tables(spark, odd, none):
 
 def test_every_operator_is_registered():
     names = entry_point.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_rows_are_judged_by_their_own_text(spark, sample):
