@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pii_variants import example
+
 KINDS = ["email", "ip", "card", "phone"]
 #: The patterns of the known kinds (fixed values), written so that each takes time in proportion to the text.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -19,13 +22,22 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TRIGGER = re.compile(r"@|\+[0-9]|[0-9][\x20.()-]{0,2}[0-9]{2}")
+#: What an entity holds at least: an at sign, an international prefix, three close digits, an at or dot in brackets or spelled out.
+TRIGGER = re.compile(
+    r"@|\+\x20?[0-9]|[0-9][\x20.()/-]{0,2}[0-9]{2}|[\[({<]\x20?(?:[aA][tT]|[dD][oO][tT]|\.)\x20?[\])}>]|[0-9](?:\.\x20|\x20\.\x20|\x20[dD][oO][tT]\x20)[0-9]"
+    r"|\b[aA][tT]\x20[A-Za-z0-9-]+(?:\.[A-Za-z]|(?:\x20[A-Za-z0-9-]+)?\x20(?:[dD][oO][tT]|\.)\x20[A-Za-z])"
+)
+BRACKETED = re.compile(r"\s*[\[({<]\s*(?:(at|@)|(?:dot|\.))\s*[\])}>]\s*", re.I)
+SPELLED = re.compile(r"(?<=\s)(?:(at)|dot)(?=\s)", re.I)
+BEFORE = re.compile(r"([A-Za-z]+|[0-9])[^A-Za-z0-9\n]*\Z")
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 MARGIN = 40  # characters of context on each side of a trigger in the training sample
-MAX_TOKENS = 20  # of an entity
+MAX_TOKENS = 30  # of an entity
 REACH = re.compile(r"(?:[A-Za-z]++|[0-9]++|[^\S\n]++|[^\n]){0,%d}+" % (MAX_TOKENS + 1))  # what an entity may add to a trigger; none crosses a line feed
 WINDOW = 1_600  # characters labelled at a time, at first
 TRAIN_REGIONS = 400  # bound of the training sample
+EXAMPLES = 2_400  # generated ways of writing and lookalikes in the training sample
 EPOCHS, RATE, DECAY = 3, 0.3, 1e-4
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -69,11 +81,21 @@ def _behind(text: str, at: int, floor: int) -> int:
         size *= 2
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that hold every entity around a trigger whole: widened by the reach of ``MAX_TOKENS``, up to a line feed, and merged where they meet."""
+def regions(text: str, known: list[Span] | None = None) -> list[tuple[int, int]]:
+    """Stretches that hold every entity around a trigger whole: widened by the reach of ``MAX_TOKENS``, up to a line feed, and merged where they meet.
+
+    Triggers inside a known span make none: an entity around them would overlap it.
+    """
     found: list[tuple[int, int]] = []
     start = last = -1
+    held = sorted((s, e) for _, s, e in known or [])
+    k, covered = 0, -1
     for m in TRIGGER.finditer(text):
+        while k < len(held) and held[k][0] <= m.start():
+            covered = max(covered, held[k][1])
+            k += 1
+        if m.end() <= covered:
+            continue
         if start >= 0 and not (m.start() - last <= MAX_TOKENS and text.find("\n", last, m.start()) < 0):
             end = REACH.match(text, last).end()
             if end < m.start() and (low := _behind(text, m.start(), end)) > end:
@@ -97,40 +119,77 @@ def sample_regions(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def _features(text: str, start: int, end: int) -> list[str]:
-    """Of a whole span: its shape, counts, checks and neighbours."""
+def _side(c: str) -> str:
+    return "e" if not c else "s" if c.isspace() else "d" if c.isdigit() else "a" if c.isalpha() else c
+
+
+def _features(text: str, start: int, end: int, before: str) -> list[str]:
+    """Of a whole span: its shape, counts, numbers and neighbours; an at or dot that is bracketed or spelled out counts as the sign."""
     s = text[start:end]
-    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))
-    digits = "".join(c for c in s if "0" <= c <= "9")
-    parts = s.split(".")
-    quad = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    side = lambda c: "e" if not c else "s" if c.isspace() else "d" if c.isdigit() else "a" if c.isalpha() else c
-    left, right = side(text[start - 1 : start]), side(text[end : end + 1])
-    runs = "-".join(str(min(len(r), 5)) for r in re.findall(r"[0-9]+", s)[:6])
-    return [
-        "bias", f"shape {shape[:40]}", f"digits {min(len(digits), 20)}", f"at {s.count('@')}", f"dots {min(s.count('.'), 4)}", f"runs {runs}", f"first {side(s[0])}", f"last {side(s[-1])}",
-        f"quad {quad}", f"luhn {len(digits) >= 13 and _luhn(digits)}", f"left {left}", f"right {right}", f"space {' ' in s} {'@' in s}", f"letters {any(c.isalpha() for c in s)} {'@' in s}",
+    if "@" in s or LETTERS.search(s):
+        plain = SPELLED.sub(lambda m: "@" if m[1] else ".", BRACKETED.sub(lambda m: "@" if m[1] else ".", s))
+    else:
+        plain = BRACKETED.sub(".", s) if "[" in s or "(.)" in s or "{" in s else s
+    shape = LETTERS.sub("a", DIGITS.sub("9", plain))
+    runs = DIGITS.findall(plain)
+    digits = "".join(runs)
+    out = [
+        "bias", f"shape {shape[:40]}", f"digits {min(len(digits), 20)}", f"at {plain.count('@')}", f"dots {min(plain.count('.'), 4)}", f"runs {'-'.join(str(min(len(r), 5)) for r in runs[:6])}",
+        f"first {_side(plain[0])}", f"last {_side(plain[-1])}", f"left {_side(text[start - 1 : start])}", f"right {_side(text[end : end + 1])}", f"letters {'a' in shape} {'@' in plain}", f"before {before}",
     ]
+    out += [f"pair {p}" for p in {shape[i : i + 2] for i in range(min(len(shape), 40) - 1)}]
+    if "@" in plain:
+        top, low = plain.rsplit(".", 1)[-1].strip().lower()[:8], s.lower()
+        signs = f"{'@' in s} {' dot ' in low} {' . ' in s} {any(c in s for c in '[(<{')}"
+        out += [f"top {top}", f"signs {signs}", f"signs {signs} top {top}"]
+    elif len(digits) >= 13:
+        out.append(f"sum {_luhn(digits)}")
+    elif len(runs) == 4:
+        out.append(f"bytes {all(len(r) <= 3 and int(r) <= 255 for r in runs)} {'.' in plain}")
+    if runs and "@" not in plain:
+        out += [f"start {runs[0][:2] if runs[0][0] == '0' else runs[0][0]} {len(runs[0])}", f"size {len(digits)} {len(runs)}"]
+    return out
 
 
 class Lattice:
-    """Tokens of a region and the entity spans worth scoring: up to ``MAX_TOKENS`` tokens, no white space at the ends, a digit or @ inside."""
+    """Tokens of a region and the entity spans worth scoring: up to ``MAX_TOKENS`` tokens on one line that can be an entity at all. These are
+    numbers without letters of 7 to 19 digits, four numbers with dots, and stretches with one at and a dot after it."""
 
     def __init__(self, text: str, start: int, end: int):
-        tokens = [(m.start(), m.end(), m[0].isspace(), "@" in m[0] or m[0][0] in "0123456789") for m in TOKEN.finditer(text, start, end)]
+        tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text, start, end)]
         self.starts, self.ends = [t[0] for t in tokens], [t[1] for t in tokens]
         self.n = len(tokens)
         self.spans: list[list[tuple[int, list[str]]]] = [[] for _ in range(self.n + 1)]  # by end token: first token, features
-        for i, first in enumerate(tokens):
-            if first[2]:
+        kinds = []
+        for _, _, t in tokens:
+            low = t.lower()
+            kinds.append("9" if "0" <= t[0] <= "9" else "@" if low in ("@", "at") else "." if low in (".", "dot") else "\n" if "\n" in t else " " if t.isspace() else "a" if t.isalpha() else t)
+        for i, (at, _, t) in enumerate(tokens):
+            if kinds[i] not in "9a+(_" and not (kinds[i] in "@." and t.isalpha()):
                 continue
-            hit = False
+            near = BEFORE.search(text, max(0, at - 24), at)  # a place's own, so that it is the same in every window
+            before = "" if near is None else "9" if near[1].isdigit() else near[1].lower()[-12:]
+            digits = runs = letters = ats = dots = after = 0
             for j in range(i, min(self.n, i + MAX_TOKENS)):
-                hit |= tokens[j][3]
-                if "\n" in text[tokens[j][0] : tokens[j][1]]:
+                kind = kinds[j]
+                if kind == "\n":
                     break
-                if hit and not tokens[j][2] and tokens[j][1] - first[0] >= 5:
-                    self.spans[j + 1].append((i, _features(text, first[0], tokens[j][1])))
+                if kind == "9":
+                    digits, runs = digits + tokens[j][1] - tokens[j][0], runs + 1
+                elif kind == "@":
+                    ats, after = ats + 1, 0
+                    if ats > 1 and "@" in tokens[j][2]:
+                        break
+                elif kind == ".":
+                    dots, after = dots + 1, after + 1
+                elif kind == "a":
+                    letters += 1
+                if kind == "9" and not letters and not ats:
+                    fits = 7 <= digits <= 19 or runs == 4 and dots >= 3
+                else:
+                    fits = kind in "9a" and ats == 1 and after >= 1 and j > i
+                if fits and tokens[j][1] - at >= 5:
+                    self.spans[j + 1].append((i, _features(text, at, tokens[j][1], before)))
 
 
 N = len(KINDS) + 1  # labels; the last one is outside
@@ -246,18 +305,28 @@ class SemiMarkov:
         return by_feature, moves
 
 
-def train(samples: list[str]) -> SemiMarkov:
-    """Fits the field by stochastic gradient steps with adaptive rates; the patterns label the sample."""
+def train(samples: list[str], examples: int = EXAMPLES) -> SemiMarkov:
+    """Fits the field by stochastic gradient steps with adaptive rates, on the sample, which the patterns label, and on generated examples set into prose of
+    the sample: ways of writing that no pattern takes, and lookalikes. Without any sample the examples stand alone."""
+    rng = random.Random(11)
+    labelled = [(text, known_spans(text)) for text in samples]
+    prose = [w for text, _ in labelled for w in text.split() if w.isalpha()] or ["the"]
+    for _ in range(examples):
+        sides = [" ".join(prose[k : k + rng.randint(0, 5)]) for k in (rng.randrange(len(prose)), rng.randrange(len(prose)))]
+        text, planted = example(rng, (sides[0], sides[1]))
+        own = [planted] if planted else []
+        labelled.append((text, own + [k for k in known_spans(text) if not own or k[2] <= own[0][1] or own[0][2] <= k[1]]))
     model, seen = SemiMarkov(), {}
     square = np.full((N, N), 1e-2)
     lattices = []
-    for text in samples:
+    for text, spans in labelled:
         lattice = Lattice(text, 0, len(text))
         at, to = {s: i for i, s in enumerate(lattice.starts)}, {e: i + 1 for i, e in enumerate(lattice.ends)}
-        gold = {(k, at[s], to[e]) for k, s, e in known_spans(text) if s in at and e in to}
-        if len(gold) == len(known_spans(text)) and lattice.n:
+        gold = {(k, at[s], to[e]) for k, s, e in spans if s in at and e in to}
+        if len(gold) == len(spans) and any(lattice.spans):
             lattices.append((lattice, gold))
     for _ in range(EPOCHS):
+        rng.shuffle(lattices)
         for lattice, gold in lattices:
             step = model.gradient(lattice, gold)
             if step is None:
@@ -277,7 +346,7 @@ def added_spans(text: str, model: SemiMarkov, known: list[Span]) -> list[Span]:
     taken = sorted((s, e) for _, s, e in known)
     starts, found = [s for s, _ in taken], []
     reach = np.maximum.accumulate([e for _, e in taken]) if taken else []
-    for start, end in regions(text):
+    for start, end in regions(text, known):
         for kind, s, e in model.segments(text, start, end):
             k = int(np.searchsorted(starts, e))
             if k == 0 or reach[k - 1] <= s:
