@@ -93,3 +93,15 @@ def logloss_row(eps: float = 1e-7, prefix: str = "") -> Column:
 def hit(prefix: str = "") -> Column:
     pick = top_pick(*(F.col(prefix + p) for _, p in OUTCOMES))
     return F.when(pick == F.col("actual"), 1.0).otherwise(0.0)
+
+
+# ---- distributions ---------------------------------------------------------------------------
+
+#: Coefficients of a published rational approximation of the normal distribution function, absolute error under 7.5e-8 (fixed values).
+NORMAL_T, NORMAL_B = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_cdf(z: Column) -> Column:
+    t = F.lit(1.0) / (F.lit(1.0) + F.abs(z) * NORMAL_T)
+    tail = F.exp(-z * z / 2) / F.lit(2.5066282746310002) * reduce(lambda acc, b: (acc + b) * t, reversed(NORMAL_B), F.lit(0.0))
+    return F.when(z >= 0, F.lit(1.0) - tail).otherwise(tail)

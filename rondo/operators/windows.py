@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import add, seconds_between
+from ..functions.expr import add, normal_cdf, seconds_between
 from .slices import MOST, SLICE, Unit, add_slice, carried_rows, drop_halo, halo_window, running, with_halo
 
 TEAM = ["pool", "team"]
@@ -322,3 +322,63 @@ def adf_stationarity(df: DataFrame, key: str, value: str, order: list[str], unit
     se = F.sqrt(rss / (F.col("n") - 3) * F.col("svv") / det / F.col("n"))
     out = s.select(key, "n", (b / se).alias("adf_stat"))
     return out.withColumn("is_stationary", F.col("adf_stat") < ADF_CRITICAL["5%"])
+
+
+# published response surface of the unit-root statistic's p-value with a constant: polynomials below and above a split point, within bounds (fixed values)
+ADF_BOUNDS, ADF_SPLIT = (-18.83, 2.74), -1.61
+ADF_LOW, ADF_HIGH = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def adf_p_value(t: Column) -> Column:
+    """p-value of the unit-root statistic with a constant; NULL stays."""
+    surface = lambda c: normal_cdf(add([t**k * v if k else F.lit(v) for k, v in enumerate(c)]))
+    inside = F.when(t <= ADF_SPLIT, surface(ADF_LOW)).otherwise(surface(ADF_HIGH))
+    return F.when(t < ADF_BOUNDS[0], 0.0).when(t > ADF_BOUNDS[1], 1.0).when(t.isNotNull(), inside)
+
+
+def adf_lags(df: DataFrame, key: str, value: str, order: list[str], max_lag: int = 8, unit: Unit = MOST) -> DataFrame:
+    """Unit-root regressions with a constant and 0 to ``max_lag`` lagged differences, a row per key and lag: n, adf_stat, aic, p_value.
+
+    dx_t = a + b x_{t-1} + sum c_k dx_{t-k}, all lags on the same rows, those with every lag, so that the criterion compares like with like. One aggregate gives the
+    matrix of products of all columns per key; sweeping the lagged differences out one by one leaves what the regression with that many needs, so every lag
+    comes from one pass over the rows. A lag is left out where it is above 12 (n / 100)^(1/4) rounded up, where too few rows remain, or where its columns are linearly dependent.
+    """
+    haloed = with_halo(df.select(key, *order, F.col(value).alias("x")), [key], order, max_lag + 1, unit)
+    w = halo_window([key], order)
+    names = [f"_l{k}" for k in range(1, max_lag + 2)]
+    lagged = haloed.select("*", *[F.lag("x", k + 1).over(w).alias(c) for k, c in enumerate(names)])
+    kept = drop_halo(lagged).filter(F.col(names[-1]).isNotNull())
+    levels = [F.col("x"), *map(F.col, names)]
+    columns = [levels[0] - levels[1], levels[1], *[a - b for a, b in zip(levels[1:], levels[2:], strict=False)]]  # the change, the level before, lagged changes
+    rows = kept.select(key, *[c.alias(f"_c{i}") for i, c in enumerate(columns)])
+    cell = lambda i, j: F.col(f"_s{min(i, j)}_{max(i, j)}")
+    left = list(range(len(columns)))
+    state = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(f"_c{i}", f"_c{j}").alias(f"_s{i}_{j}") for i in left for j in left if i <= j])
+    first = [F.col(f"_s{i}_{i}").alias(f"_own{i}") for i in left]
+    state = state.select("*", *first)
+    fits = []
+    for lag in range(max_lag + 1):
+        b, rss = cell(0, 1) / cell(1, 1), cell(0, 0) - cell(0, 1) ** 2 / cell(1, 1)
+        spare = F.col("n") - lag - 2
+        free = (spare > 0) & (cell(1, 1) > 1e-10 * F.col("_own1")) & (rss > 1e-10 * F.col("_own0")) & (F.lit(lag) <= F.ceil(12 * F.pow(F.col("n") / 100, 0.25)))
+        stat = F.when(free, b / F.sqrt(rss / spare / cell(1, 1)))
+        aic = F.when(free, F.col("n") * F.ln(rss) + 2 * (lag + 2))
+        fits.append(F.struct(F.lit(lag).alias("lag"), F.col(f"_t{lag}").alias("adf_stat"), F.col(f"_a{lag}").alias("aic")))
+        state = state.select("*", stat.alias(f"_t{lag}"), aic.alias(f"_a{lag}"))
+        if lag < max_lag:  # sweep the next lagged change out
+            out = lag + 2
+            left.remove(out)
+            usable = cell(out, out) > 1e-10 * F.col(f"_own{out}")
+            swept = [F.when(usable, cell(i, j) - cell(i, out) * cell(j, out) / cell(out, out)).alias(f"_s{i}_{j}") for i in left for j in left if i <= j]
+            done = [c for c in state.columns if not c.startswith("_s")]
+            state = state.select(*done, *swept)
+    out = state.select(key, "n", F.explode(F.array(*fits)).alias("_f")).select(key, "n", "_f.*").filter(F.col("aic").isNotNull())
+    return out.withColumn("p_value", adf_p_value(F.col("adf_stat")))
+
+
+def adf_best_lag(df: DataFrame, key: str, value: str, order: list[str], max_lag: int = 8, level: float = 0.05, unit: Unit = MOST) -> DataFrame:
+    """The regression of ``adf_lags`` with the smallest information criterion per key (ties: fewer lags), and whether its p-value is under ``level``.
+    A key without any regression (too few rows, a constant series) has no row."""
+    tried = adf_lags(df, key, value, order, max_lag, unit)
+    best = tried.groupBy(key).agg(F.min(F.struct("aic", "lag", "n", "adf_stat", "p_value")).alias("_b")).select(key, "_b.*")
+    return best.select(key, "n", "lag", "adf_stat", "aic", "p_value", (F.col("p_value") < level).alias("is_stationary"))

@@ -250,3 +250,45 @@ SELECT pool, n, #5[b / sqrt(rss / (n - 3) * svv / det / n)]# AS adf_stat, b / sq
 def _(t):
     out = W.adf_stationarity(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER)
     return out.select("pool", "n", rnd("adf_stat", 5).alias("adf_stat"), "is_stationary")
+
+
+def _adf_sql(most: int) -> str:
+    """Regressions with 0 to ``most`` lagged changes: products of all columns, then one lagged change after another swept out."""
+    lags = ", ".join(f"lag({_BR}, {k}) OVER w AS l{k}" for k in range(1, most + 2))
+    changes = ", ".join(f"l{k} - l{k + 1} AS c{k + 1}" for k in range(1, most + 1))
+    left = list(range(most + 2))
+    sql = f"""SELECT pool, count(*) AS n, {", ".join(f"covar_pop(c{i}, c{j}) AS s{i}_{j}" for i in left for j in left if i <= j)} FROM (
+      SELECT pool, x - l1 AS c0, l1 AS c1, {changes} FROM (
+        SELECT pool, {_BR} AS x, {lags} FROM predictions WINDOW w AS (PARTITION BY pool ORDER BY kickoff_ts, match_id)) WHERE l{most + 1} IS NOT NULL) GROUP BY 1"""
+    kept: list[str] = []
+    for lag in range(most + 1):
+        now = [f"s0_1 / s1_1 / sqrt((s0_0 - s0_1 * s0_1 / s1_1) / (n - {lag + 2}) / s1_1) AS t{lag}", f"n * ln(s0_0 - s0_1 * s0_1 / s1_1) + {2 * (lag + 2)} AS a{lag}"]
+        if lag < most:
+            out = lag + 2
+            left.remove(out)
+            at = lambda i, o=out: f"s{min(i, o)}_{max(i, o)}"
+            now += [f"s{i}_{j} - {at(i)} * {at(j)} / s{out}_{out} AS s{i}_{j}" for i in left for j in left if i <= j]
+        sql = f"SELECT pool, n, {', '.join([*kept, *now])} FROM ({sql})"
+        kept += [f"t{lag}", f"a{lag}"]
+    tried = " UNION ALL ".join(f"SELECT pool, n, {lag} AS lag, t{lag} AS t, a{lag} AS aic FROM swept WHERE {lag} <= ceil(12 * pow(n / 100, 0.25))" for lag in range(most + 1))
+    phi = "CASE WHEN z >= 0 THEN 1 - tail ELSE tail END"
+    z = "CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END"
+    k = "(1 / (1 + 0.2316419 * abs(z)))"
+    tail = f"exp(-z * z / 2) / sqrt(2 * pi()) * {k} * (0.319381530 + {k} * (-0.356563782 + {k} * (1.781477937 + {k} * (-1.821255978 + {k} * 1.330274429))))"
+    return f"""swept AS ({sql}), tried AS ({tried}),
+    valued AS (SELECT *, CASE WHEN t < -18.83 THEN 0.0 WHEN t > 2.74 THEN 1.0 ELSE {phi} END AS p FROM (SELECT *, {tail} AS tail FROM (SELECT *, {z} AS z FROM tried)))"""
+
+
+@query("adf_lag_regressions", f"""WITH {_adf_sql(8)}
+SELECT pool, n, lag, #5[t]# AS adf_stat, #4[aic]# AS aic, #5[p]# AS p_value FROM valued""", "predictions")
+def _(t):
+    out = W.adf_lags(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER, 8)
+    return out.select("pool", "n", "lag", rnd("adf_stat", 5).alias("adf_stat"), rnd("aic", 4).alias("aic"), rnd("p_value", 5).alias("p_value"))
+
+
+@query("adf_best_lag", f"""WITH {_adf_sql(8)}
+SELECT pool, n, lag, #5[t]# AS adf_stat, #5[p]# AS p_value, p < 0.05 AS is_stationary FROM valued
+QUALIFY row_number() OVER (PARTITION BY pool ORDER BY aic, lag) = 1""", "predictions")
+def _(t):
+    out = W.adf_best_lag(t.predictions.withColumn("br", brier_row()), "pool", "br", W.ORDER, 8)
+    return out.select("pool", "n", "lag", rnd("adf_stat", 5).alias("adf_stat"), rnd("p_value", 5).alias("p_value"), "is_stationary")

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,44 @@ def test_chi_square_tail_for_even_and_odd_degrees(spark):
     for c, q in (("a", 4.2), ("b", 30.0)):
         for k in (2, 3, 7, 10):
             assert abs(row[f"{c}{k}"] - tail(q, k)) < 1e-6
+
+
+def by_least_squares(x, lag, most):
+    """Statistic and criterion of one unit-root regression on the rows that have ``most`` lagged changes."""
+    d = np.diff(x)
+    at = range(most, len(d))
+    design = np.array([[1.0, x[t], *[d[t - k] for k in range(1, lag + 1)]] for t in at])
+    y = np.array([d[t] for t in at])
+    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
+    rss = ((y - design @ beta) ** 2).sum()
+    se = np.sqrt(rss / (len(y) - lag - 2) * np.linalg.inv(design.T @ design)[1, 1])
+    return beta[1] / se, len(y) * np.log(rss / len(y)) + 2 * (lag + 2)
+
+
+@pytest.mark.parametrize("most_rows", [1_000_000, 40])
+def test_unit_root_lags_match_least_squares(spark, most_rows):
+    rng = np.random.default_rng(4)
+    walk = rng.normal(size=300).cumsum()
+    cyclic = np.zeros(300)
+    for t in range(3, 300):  # its changes depend on three earlier ones
+        cyclic[t] = 0.5 * cyclic[t - 1] - 0.3 * cyclic[t - 2] + 0.4 * cyclic[t - 3] + rng.normal()
+    series = {"walk": walk, "cyclic": cyclic, "noise": rng.normal(size=120), "flat": np.ones(80), "short": rng.normal(size=7), "tiny": np.zeros(1)}
+    rows = [(k, D0 + timedelta(hours=i), i, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, kickoff_ts timestamp, match_id long, x double").repartition(7)
+    got = {(r.k, r.lag): r for r in W.adf_lags(df, "k", "x", W.ORDER, 4, most_rows).collect()}
+    for k in ("walk", "cyclic", "noise"):
+        for lag in range(5):
+            stat, aic = by_least_squares(series[k], lag, 4)
+            assert got[k, lag].adf_stat == pytest.approx(stat, rel=1e-6) and got[k, lag].aic == pytest.approx(aic, rel=1e-6)
+    assert not any(k in ("flat", "tiny") for k, _ in got)
+    best = {r.k: r for r in W.adf_best_lag(df, "k", "x", W.ORDER, 4, unit=most_rows).collect()}
+    for k in ("walk", "cyclic", "noise"):
+        assert best[k].lag == min(range(5), key=lambda p: (by_least_squares(series[k], p, 4)[1], p))
+    assert best["cyclic"].lag >= 2 and best["cyclic"].is_stationary and best["noise"].is_stationary and not best["walk"].is_stationary
+    assert W.adf_best_lag(df.limit(0), "k", "x", W.ORDER).count() == 0
+
+
+def test_unit_root_p_value_at_the_critical_values(spark):
+    rows = spark.createDataFrame([(float(t),) for t in (-3.43, -2.86, -2.57, -20.0, 3.0)], "t double")
+    got = [r.p for r in rows.select(W.adf_p_value(F.col("t")).alias("p")).collect()]
+    assert got == pytest.approx([0.01, 0.05, 0.10, 0.0, 1.0], abs=0.002)
