@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,94 +51,142 @@ MOVES = _moves()
 COST = np.array([[[m[0] if m else FAR for m in row] for row in table] for table in MOVES], dtype=np.int64)
 
 
-def forward(costs: np.ndarray, roles: np.ndarray) -> np.ndarray:
-    """Least cost of reaching each state after every turn; row 0 is where the turns begin."""
-    rows = np.empty((len(roles) + 1, 4), dtype=np.int64)
-    rows[0] = costs
-    for k, role in enumerate(roles):
-        rows[k + 1] = np.minimum((rows[k][:, None] + COST[role]).min(0), FAR)
-    return rows
-
-
-def backward(rows: np.ndarray, roles: np.ndarray, last: int) -> list[int]:
-    """States before every turn and at the end, read from the end; of equal costs the smallest state."""
-    states = [last]
-    for k in range(len(roles) - 1, -1, -1):
-        states.append(int((rows[k] + COST[roles[k]][:, states[-1]]).argmin()))
-    return states[::-1]
-
-
-def _codes(table: pa.Table) -> np.ndarray:
-    code = {r: i for i, r in enumerate(ROLES)}
-    return np.array([code.get(r, 3) for r in table.column("role").to_pylist()], dtype=np.int64)
-
-
-def _segments(table: pa.Table) -> list[tuple[int, int]]:
-    """Runs of one conversation in a sorted part."""
-    ids = table.column("conv_id").to_pylist()
-    cuts = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
+BEGIN = np.array([FAR, FAR, FAR, 0], dtype=np.int64)
+CODE = {r: i for i, r in enumerate(ROLES)}
+BITS = 4 ** np.arange(4)
+WAYS_FIELDS = "part long, pos long, conv_id long, turn long, role string, text string, run long, ways int"
+EDGE_FIELDS = "part long, run long, runs long, conv_id long, costs array<long>"
+EDGES = pa.schema([("part", pa.int64()), ("run", pa.int64()), ("runs", pa.int64()), ("conv_id", pa.int64()), ("costs", pa.list_(pa.int64()))])
+ENTERED = pa.schema([("part", pa.int64()), ("run", pa.int64()), ("states", pa.list_(pa.int64()))])
+TURN_FIELDS = "part long, pos long, conv_id long, turn long, role string, text string, new_role string, action string, inserted array<string>, piece string"
+TURNS = pa.schema([
+    ("part", pa.int64()), ("pos", pa.int64()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("inserted", pa.list_(pa.string())), ("piece", pa.string()),
+])
+
+
+def _marked(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple | pa.RecordBatch]:
+    """Rows of sorted parts as part, number of the run of one conversation in its part, and the columns (conv_id first); after each batch the batch."""
+    at, run = None, 0
+    for rows in batches:
+        for part, *values in zip(*[rows.column(c).to_pylist() for c in ("part", *columns)], strict=True):
+            if at is None or at[0] != part:
+                run = 0
+            elif at[1] != values[0]:
+                run += 1
+            at = part, values[0]
+            yield part, run, values
+        yield rows
+
+
+def _edges_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the first and the last conversation of a part: cost from each state at its first turn to each state at its last. One matrix is held, and a part's first."""
+    part, run, conv, first, matrix = None, 0, None, None, None
+
+    def done() -> pa.RecordBatch:
+        rows = [{"part": part, "run": k, "runs": run + 1, "conv_id": c, "costs": m.ravel().tolist()} for k, c, m in ([(0, *first)] if first else []) + [(run, conv, matrix)]]
+        return pa.RecordBatch.from_pylist(rows, EDGES)
+
+    for mark in _marked(batches, ["conv_id", "role"]):
+        if isinstance(mark, pa.RecordBatch):
+            continue
+        now, number, (conv_id, role) = mark
+        if now != part:
+            if part is not None:
+                yield done()
+            part, first, matrix = now, None, None
+        elif number != run:
+            first = first or (conv, matrix)
+            matrix = None
+        if matrix is None:
+            matrix = np.where(np.eye(4, dtype=bool), 0, FAR)
+        run, conv = number, conv_id
+        matrix = np.minimum((matrix[:, :, None] + COST[CODE.get(role, 3)][None]).min(1), FAR)
+    if part is not None:
+        yield done()
+
+
+def _step(costs: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost of each state after a turn and the state before it on the way there; of equal costs the smallest."""
+    through = costs[:, None] + COST[code]
+    return np.minimum(through.min(0), FAR), through.argmin(0)
 
 
-BEGIN = np.array([FAR, FAR, FAR, 0], dtype=np.int64)
+def _entering(given: dict[tuple[int, int], list[int]]):
+    """For runs that go on in the next part: the state they were entered in for every state they may end in, carried along the turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, costs, origin = None, BEGIN, np.arange(4)
+        for mark in _marked(batches, ["conv_id", "role"]):
+            if isinstance(mark, pa.RecordBatch):
+                continue
+            part, number, (_, role) = mark
+            if (part, number) != key:
+                if key in given:
+                    yield pa.RecordBatch.from_pylist([{"part": key[0], "run": key[1], "states": origin.tolist()}], ENTERED)
+                key = part, number
+                costs, origin = np.array(given.get(key, BEGIN), dtype=np.int64), np.arange(4)
+            if key in given:
+                costs, back = _step(costs, CODE.get(role, 3))
+                origin = origin[back]
+        if key in given:
+            yield pa.RecordBatch.from_pylist([{"part": key[0], "run": key[1], "states": origin.tolist()}], ENTERED)
 
+    return run
 
-def _edges_of_part(table: pa.Table) -> pa.Table:
-    """For the first and the last conversation of a part: cost from each state at its first turn to each state at its last."""
-    table = table.sort_by("pos")
-    codes, runs = _codes(table), _segments(table)
-    out = []
-    for k in sorted({0, len(runs) - 1}):
-        a, b = runs[k]
-        matrix = [forward(np.where(np.arange(4) == s, 0, FAR), codes[a:b])[-1].tolist() for s in range(4)]
-        out.append({"part": table.column("part")[0].as_py(), "run": k, "runs": len(runs), "conv_id": table.column("conv_id")[a].as_py(), "costs": sum(matrix, [])})
-    return pa.Table.from_pylist(out, EDGE_SCHEMA)
 
+def _forward(given: dict[tuple[int, int], list[int]]):
+    """Adds to every turn the state before it on the cheapest way to each state after it, two bits each, and the cheapest state so far (``ways``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, costs, runs, ways = None, BEGIN, [], []
+        for mark in _marked(batches, ["conv_id", "role"]):
+            if isinstance(mark, pa.RecordBatch):
+                columns = [*(mark.column(c) for c in ("part", "pos", "conv_id", "turn", "role", "text")), pa.array(runs, pa.int64()), pa.array(ways, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "pos", "conv_id", "turn", "role", "text", "run", "ways"])
+                runs, ways = [], []
+                continue
+            part, number, (_, role) = mark
+            if (part, number) != key:
+                key = part, number
+                costs = np.array(given.get(key, BEGIN), dtype=np.int64)
+            costs, back = _step(costs, CODE.get(role, 3))
+            runs.append(number)
+            ways.append(int(back @ BITS) | int(costs.argmin()) << 8)
 
-EDGE_SCHEMA = pa.schema([("part", pa.int64()), ("run", pa.int64()), ("runs", pa.int64()), ("conv_id", pa.int64()), ("costs", pa.list_(pa.int64()))])
+    return run
 
 
-def _entering(given: dict[tuple[int, int], list[int]]):
-    """For runs that go on in the next part: the state they were entered in for every state they may end in."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        codes, runs, part = _codes(table), _segments(table), table.column("part")[0].as_py()
-        out = []
-        for k in sorted({0, len(runs) - 1}):
-            if (part, k) in given:
-                a, b = runs[k]
-                rows = forward(np.array(given[part, k], dtype=np.int64), codes[a:b])
-                out.append({"part": part, "run": k, "states": [backward(rows, codes[a:b], e)[0] for e in range(4)]})
-        return pa.Table.from_pylist(out, pa.schema([("part", pa.int64()), ("run", pa.int64()), ("states", pa.list_(pa.int64()))]))
+def _backward(ends: dict[tuple[int, int], int]):
+    """Repairs of turns that come last one first: the state after a turn is known, its ways tell the state before. Nothing but that state is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, 0
+        for rows in batches:
+            out = []
+            for part, pos, number, ways, *turn in zip(*[rows.column(c).to_pylist() for c in ("part", "pos", "run", "ways", "conv_id", "turn", "role", "text")], strict=True):
+                closing = ""
+                if (part, number) != key:
+                    key = part, number
+                    state = ends.get(key, ways >> 8)
+                    closing = "" if key in ends else CLOSE
+                before = ways >> 2 * state & 3
+                _, act, role, fills = MOVES[CODE.get(turn[2], 3)][before][state]
+                piece = GLUE if act == "merge" else (CLOSE if before != START else "") + "".join(OPEN.format(ROLES[f]) + CLOSE for f in fills) + OPEN.format(ROLES[role])
+                out.append((part, pos, *turn, ROLES[role], act, [ROLES[f] for f in fills], piece + (turn[3] or "") + closing))
+                state = before
+            if out:
+                yield _turns(out)
 
     return run
 
 
-def _repair(given: dict[tuple[int, int], list[int]], ends: dict[tuple[int, int], int]):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        codes, runs, part = _codes(table), _segments(table), table.column("part")[0].as_py()
-        texts = table.column("text").to_pylist()
-        new_role, action, inserted, pieces = [], [], [], []
-        for k, (a, b) in enumerate(runs):
-            rows = forward(np.array(given.get((part, k), BEGIN), dtype=np.int64), codes[a:b])
-            last = ends.get((part, k))
-            states = backward(rows, codes[a:b], int(rows[-1].argmin()) if last is None else last)
-            for i in range(a, b):
-                _, act, role, fills = MOVES[codes[i]][states[i - a]][states[i - a + 1]]
-                begun = states[i - a] != START
-                piece = GLUE if act == "merge" else (CLOSE if begun else "") + "".join(OPEN.format(ROLES[f]) + CLOSE for f in fills) + OPEN.format(ROLES[role])
-                closing = CLOSE if i == b - 1 and last is None else ""
-                new_role.append(ROLES[role])
-                action.append(act)
-                inserted.append([ROLES[f] for f in fills])
-                pieces.append(piece + (texts[i] or "") + closing)
-        return pa.table({
-            **{c: table.column(c) for c in ("conv_id", "turn", "role", "text")}, "new_role": pa.array(new_role, pa.string()), "action": pa.array(action, pa.string()),
-            "inserted": pa.array(inserted, pa.list_(pa.string())), "piece": pa.array(pieces, pa.string())})
+def _turns(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TURNS, strict=True)], schema=TURNS)
 
-    return run
+
+def _parts(numbered: DataFrame, *columns: str) -> DataFrame:
+    """The columns, every part in one task in its order; only what a step needs is shuffled."""
+    return numbered.select("part", "pos", *columns).repartition("part").sortWithinPartitions("part", "pos")
 
 
 def _chain(edges: list, numbered: DataFrame) -> tuple[dict, dict]:
@@ -152,7 +202,7 @@ def _chain(edges: list, numbered: DataFrame) -> tuple[dict, dict]:
             goes_on.append((prev, row))
     if not goes_on:
         return {}, {}
-    entered = {(r.part, r.run): r.states for r in numbered.groupBy("part").applyInArrow(_entering(given), "part long, run long, states array<long>").collect()}
+    entered = {(r.part, r.run): r.states for r in _parts(numbered, "conv_id", "role").mapInArrow(_entering(given), "part long, run long, states array<long>").collect()}
     costs = {(r.part, r.run): np.array(r.costs).reshape(4, 4) for r in edges}
     ends: dict[tuple[int, int], int] = {}
     for prev, row in reversed(goes_on):
@@ -171,14 +221,16 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     unknown are always relabelled or merged. NULL texts render as empty; rows with a NULL conv_id form one conversation; an empty table gives none.
 
     Rows are range-partitioned in that order, so a long conversation spreads over parts. The cheapest way through a part is a matrix of
-    least costs between states; matrices of the runs at the parts' edges are chained, and each part then repairs its runs alone.
+    least costs between states; matrices of the runs at the parts' edges are chained, and each part then repairs its runs alone. Parts are streamed: going forward every turn
+    gets the cheapest way to each state after it, going back from the end these are followed; a task holds one batch and one vector of costs, however long a conversation is.
+    Texts are rendered as they are, also where they hold the template's own marks.
     """
     spark = turns.sparkSession
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     columns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     dealt = columns.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie")
     numbered = persist_table(dealt.select("conv_id", "turn", "role", "text", F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("pos")), spark)
-    edges = numbered.groupBy("part").applyInArrow(_edges_of_part, "part long, run long, runs long, conv_id long, costs array<long>").orderBy("part", "run").collect()
+    edges = _parts(numbered, "conv_id", "role").mapInArrow(_edges_of_parts, EDGE_FIELDS).orderBy("part", "run").collect()
     given, ends = _chain(edges, numbered)
-    schema = "conv_id long, turn long, role string, text string, new_role string, action string, inserted array<string>, piece string"
-    return numbered.groupBy("part").applyInArrow(_repair(given, ends), schema)
+    ways = _parts(numbered, "conv_id", "turn", "role", "text").mapInArrow(_forward(given), WAYS_FIELDS)
+    return ways.sortWithinPartitions("part", F.desc("pos")).mapInArrow(_backward(ends), TURN_FIELDS).sortWithinPartitions("part", "pos").drop("part", "pos")

@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
+from rondo.llm import chat_format
 from rondo.llm.chat_format import INSERT, LEGAL, MERGE, RELABEL, ROLES, START, UNKNOWN, repair_conversations
 
 CODE = {r: i for i, r in enumerate(ROLES)}
@@ -74,6 +77,32 @@ def test_repairs_are_legal_and_cheapest_in_any_partitioning(spark):
             assert cost == cheapest([r.role for r in turns])
 
 
+def test_ways_followed_back_match_a_whole_table():
+    """Two streams over batches of any size against the plain dynamic program with all its rows; part 1 is entered in known costs and left in a given state."""
+    rng = random.Random(8)
+    for roles in (["system", "user", "assistant", "user", "assistant", None], [None, "tool"], ["assistant"], ["system", "user"]):
+        turns = [{"part": p, "pos": 1000 * p + k, "conv_id": k // 90, "turn": k, "role": rng.choice(roles), "text": f"t{k}"} for p in (0, 1) for k in range(400)]
+        given, ends = {(1, 0): [30, 7, 9, chat_format.FAR]}, {(1, 2): 1}
+        schema = pa.schema([("part", pa.int64()), ("pos", pa.int64()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+        cut = lambda rows, schema, n: [pa.RecordBatch.from_pylist(rows[k : k + n], schema) for k in range(0, len(rows), n)]
+        ways = [r for b in chat_format._forward(given)(iter(cut(turns, schema, 37))) for r in b.to_pylist()]
+        fields = pa.RecordBatch.from_pylist(ways).schema
+        got = [r for b in chat_format._backward(ends)(iter(cut(ways[::-1], fields, 53))) for r in b.to_pylist()][::-1]
+        want = []
+        for p in (0, 1):
+            for run in range(5):
+                codes = [CODE.get(t["role"], 3) for t in turns if t["part"] == p and t["conv_id"] == run]
+                rows = [list(given.get((p, run), [chat_format.FAR] * 3 + [0]))]
+                for c in codes:
+                    rows.append([min(rows[-1][s] + chat_format.COST[c][s][t] for s in range(4)) for t in range(4)])
+                state = ends.get((p, run), min(range(4), key=lambda s: rows[-1][s]))
+                states = [state]
+                for k in range(len(codes) - 1, -1, -1):
+                    states.append(min(range(4), key=lambda s: rows[k][s] + chat_format.COST[codes[k]][s][states[-1]]))
+                want += [chat_format.MOVES[c][a][b][1:] for c, a, b in zip(codes, states[:0:-1], states[-2::-1], strict=True)]
+        assert [(r["action"], ROLES.index(r["new_role"]), tuple(map(ROLES.index, r["inserted"]))) for r in got] == want
+
+
 def test_empty_table_and_extra_columns(spark):
     assert repair_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
     wide = spark.createDataFrame([(1, 0, "assistant", "hi", 5, 6)], SCHEMA + ", part long, pos long")
