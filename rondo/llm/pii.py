@@ -34,6 +34,7 @@ LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 MARGIN = 40  # characters of context on each side of a trigger in the training sample
 MAX_TOKENS = 30  # of an entity
+GAP = 3  # white space inside an entity, in characters
 REACH = re.compile(r"(?:[A-Za-z]++|[0-9]++|[^\S\n]++|[^\n]){0,%d}+" % (MAX_TOKENS + 1))  # what an entity may add to a trigger; none crosses a line feed
 WINDOW = 1_600  # characters labelled at a time, at first
 TRAIN_REGIONS = 400  # bound of the training sample
@@ -152,7 +153,7 @@ def _features(text: str, start: int, end: int, before: str) -> list[str]:
 
 
 class Lattice:
-    """Tokens of a region and the entity spans worth scoring: up to ``MAX_TOKENS`` tokens on one line that can be an entity at all. These are
+    """Tokens of a region and the entity spans worth scoring: up to ``MAX_TOKENS`` tokens on one line that can be an entity at all, without wider gaps than ``GAP``. These are
     numbers without letters of 7 to 19 digits, four numbers with dots, and stretches with one at and a dot after it."""
 
     def __init__(self, text: str, start: int, end: int):
@@ -172,7 +173,7 @@ class Lattice:
             digits = runs = letters = ats = dots = after = 0
             for j in range(i, min(self.n, i + MAX_TOKENS)):
                 kind = kinds[j]
-                if kind == "\n":
+                if kind == "\n" or kind == " " and tokens[j][1] - tokens[j][0] > GAP:
                     break
                 if kind == "9":
                     digits, runs = digits + tokens[j][1] - tokens[j][0], runs + 1
@@ -374,7 +375,7 @@ def fit(docs: DataFrame, regions_kept: int = TRAIN_REGIONS) -> SemiMarkov:
 def find_personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
     """Personal data in every whole text: n_email, n_ip, n_card, n_phone of the patterns, the digest of their spans, and all spans.
 
-    The field is fitted on a bounded sample (``fit``) unless one is given, and labels the stretches around triggers; the spans it finds beside the known
+    The field is fitted on a bounded sample and generated examples (``fit``, ``train``) unless one is given, and labels the stretches around triggers; the spans it finds beside the known
     ones are added. Spans are kind:start:end by kind, then start, in code points, end exclusive. NULL texts count as empty,
     NULL identifiers stay, repeated rows are searched each, an empty table gives none. Texts pass through one at a time.
     """

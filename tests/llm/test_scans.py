@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -234,6 +235,15 @@ def test_field_finds_what_patterns_miss(spark, field):
     assert wanted > 300 and hits >= 0.9 * wanted and hits >= 0.9 * made, (hits, wanted, made)
 
 
+def test_field_takes_long_runs_in_linear_time(field):
+    """Wide gaps, long words and long numbers beside a trigger; the entity after them is found all the same."""
+    for filler in (" " * 200_000, "x" * 200_000, "7" * 200_000, "12 " * 3_000, "( " * 5_000, "at " * 5_000):
+        text = f"a@ {filler} b.c and call 605-555-9305 now"
+        started = time.time()
+        spans = added_spans(text, field, known_spans(text))
+        assert (3, len(text) - 16, len(text) - 4) in spans and time.time() - started < 20
+
+
 def test_field_matches_enumeration(field):
     """The best labelling and the gradient's expected counts against every segmentation of a short text."""
     rng = random.Random(5)
