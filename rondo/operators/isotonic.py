@@ -113,10 +113,13 @@ def _calibrated(df: DataFrame, name: str, blocks: DataFrame, keys: list[str], mo
 
 
 def apply_isotonic(blocks: DataFrame, df: DataFrame, keys: list[str] = (), most: int = MOST) -> DataFrame:
-    """Calibrated, renormalised probabilities."""
-    columns = df.columns
+    """Calibrated, renormalised probabilities. The rows are written after each outcome, so that cutting the next one's slices does not run the maps before it again."""
+    columns, before = df.columns, None
     for v, p in OUTCOMES:
-        df = _calibrated(df, p, blocks.filter(F.col("outcome") == v), list(keys), most)
+        df = persist_table(_calibrated(df, p, blocks.filter(F.col("outcome") == v), list(keys), most))
+        if before is not None:
+            release(before)
+        before = df
     return S.normalise(df.withColumns({p: clip(F.col(p), 1e-6, 1.0) for _, p in OUTCOMES})).select(*columns)
 
 

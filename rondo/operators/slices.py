@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import with_one_row
+
 SLICE = "_slice"
 HALO = "_halo"
 MOST = 1_000_000  # rows of a key that a window task takes
@@ -38,7 +40,7 @@ class Sliced:
 
     def of_hot_keys(self) -> DataFrame:
         """Rows of the keys whose slices need something from earlier ones."""
-        return self.rows if self.hot is None else self.rows.join(F.broadcast(self.hot), _same(self.keys, "_hot_"), "left_semi")
+        return self.rows if self.hot is None or not self.keys else self.rows.join(F.broadcast(self.hot), _same(self.keys, "_hot_"), "left_semi")
 
     def small(self, summary: DataFrame) -> DataFrame:
         """Per-slice summaries with a broadcast hint if they are of hot keys: these have at most four slices for each ``unit`` rows of the table."""
@@ -50,7 +52,7 @@ def _same(keys: list[str], prefix: str) -> list[Column]:
 
 
 def cut_points(df: DataFrame, keys: list[str], ts: str, most: int = MOST) -> DataFrame | None:
-    """Per key with more than ``most`` rows (NULL is a key like any other) ``_cuts``, ascending values of ``ts``; None if there is no such key.
+    """Per key with more than ``most`` rows (NULL is a key like any other; without keys all rows are of one) ``_cuts``, ascending values of ``ts``; None if there is no such key.
 
     Between two neighbouring cut points lie at most ``most`` rows, save for rows of one single value, which stay together. A slice
     is aimed at half of ``most``; the rest covers the error of the sketch.
@@ -64,8 +66,8 @@ def cut_points(df: DataFrame, keys: list[str], ts: str, most: int = MOST) -> Dat
     parts = -(-2 * largest // most)
     shares = [(i + 1) / parts for i in range(parts - 1)]
     sketch = F.percentile_approx(ts, shares, max(10_000, 4 * parts)).alias("_q")
-    hot = df.join(F.broadcast(counts), _same(keys, "_hot_"))  # at most rows / most keys
-    found = hot.groupBy(*keys).agg(F.max("_n").alias("_n"), sketch)
+    hot = df.join(F.broadcast(counts), _same(keys, "_hot_")) if keys else df  # at most rows / most keys
+    found = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), sketch)
     # a smaller hot key takes every so-manieth of the quantiles
     step = F.greatest(F.lit(1), F.floor(F.lit(parts) * most / (2 * F.col("_n"))).cast("int"))
     picked = F.filter("_q", lambda _, i: (i + 1) % step == 0)
@@ -88,7 +90,7 @@ def add_slice(df: DataFrame, keys: list[str], ts: str, unit: Unit = MOST) -> Sli
     if cuts is None:
         return Sliced(df.withColumn(SLICE, F.lit(0)), keys, whole=True)
     cuts = cuts.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    rows = df.join(F.broadcast(cuts), _same(keys, "_hot_"), "left")  # at most four cut points for each ``unit`` rows
+    rows = df.join(F.broadcast(cuts), _same(keys, "_hot_"), "left") if keys else with_one_row(df, cuts)  # at most four cut points for each ``unit`` rows
     at = F.when(F.col("_cuts").isNull(), 0).otherwise(_slice_of(F.col("_cuts"), F.col(ts)))
     return Sliced(rows.select(*df.columns, at.alias(SLICE)), keys, cuts.drop("_cuts"))
 

@@ -110,3 +110,16 @@ def test_ks_of_a_skewed_feature_is_spread_evenly(spark):
     assert got["f"] == pytest.approx(gap, abs=1e-12) and got["g"] == 1.0
     sizes = SL.add_slice(df.select("feature", "value").distinct(), ["feature"], "value", 200).rows.groupBy("feature", SL.SLICE).count()
     assert sizes.agg(F.max("count")).first()[0] <= 200
+
+
+def test_rows_without_keys_are_cut(spark):
+    """No keys: all rows are one key, which is cut like any other, with rows that have no time before all."""
+    df = spark.range(2000).select("id", F.when(F.col("id") % 97 != 5, (F.col("id") * 7919) % 2003).alias("ts"), (F.col("id") % 7).cast("double").alias("x")).cache()
+    sliced = SL.add_slice(df, [], "ts", 100)
+    assert not sliced.whole and sliced.rows.filter("ts is not null").groupBy(SL.SLICE).count().agg(F.max("count")).first()[0] <= 100
+    w = Window.orderBy("ts", "id")
+    plain = df.select("id", F.coalesce(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("a"), F.sum("x").over(w.rowsBetween(-5, 0)).alias("c"))
+    got = SL.running(df, [], ["ts", "id"], {"b": F.col("x")}, 100)
+    halo = SL.drop_halo(SL.with_halo(df, [], ["ts", "id"], 5, 100).withColumn("d", F.sum("x").over(SL.halo_window([], ["ts", "id"]).rowsBetween(-5, 0))))
+    both = plain.join(got.select("id", "b"), "id").join(halo.select("id", "d"), "id")
+    assert both.count() == 2000 and both.filter("a != b or c != d").count() == 0
