@@ -315,20 +315,31 @@ def shuffled_number(number: Column, n: Column, seed: int) -> Column:
     swaps them. A result beyond n goes through the network again until it falls inside; chances against ``WALKS`` times are
     beyond reckoning save for tiny n, where no orbit is that long; anything else is an error.
     """
+    def one(value: Column, f) -> Column:
+        return F.transform(F.array(value), f)[0]  # the value is worked out once, however often f names it
+
     def network(x: Column, side: Column) -> Column:
-        left, right = F.floor(x / side), x % side
+        digits = F.struct(F.floor(x / side).alias("left"), (x % side).alias("right"))
         for k, m in enumerate(ROUNDS):
-            mixed = ((right * m + (seed + 1) * (k + 1) * 31337) % 2147483647 * 48271 + right) % 2147483647
-            left, right = right, (left + mixed) % side
-        return (left * side + right).cast("bigint")
+            mixed = lambda right: ((right * m + (seed + 1) * (k + 1) * 31337) % 2147483647 * 48271 + right) % 2147483647  # noqa: E731, B023
+            digits = one(digits, lambda d: F.struct(d["right"].alias("left"), ((d["left"] + mixed(d["right"])) % side).alias("right")))  # noqa: B023
+        return one(digits, lambda d: (d["left"] * side + d["right"]).cast("bigint"))
 
     def walk(args: Column) -> Column:
         step = lambda acc, _: F.when(acc < args["n"], acc).otherwise(network(acc, args["side"]))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), network(args["x"], args["side"]), step)
-        return F.when(found < args["n"], found).otherwise(F.raise_error(F.lit("a number left its range")).cast("bigint"))
+        further = lambda x: one(F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), x, step), lambda found: F.when(found < args["n"], found).otherwise(F.raise_error(F.lit("a number left its range")).cast("bigint")))
+        return one(network(args["x"], args["side"]), lambda x: F.when(x < args["n"], x).otherwise(further(x)))
 
     args = F.struct(number.cast("bigint").alias("x"), n.cast("bigint").alias("n"), F.ceil(F.sqrt(n.cast("double"))).cast("bigint").alias("side"))
-    return F.transform(F.array(args), walk)[0]
+    return one(args, walk)
+
+
+def _dealt(df: DataFrame, features: list[str], key: str, seed: int, most: int) -> DataFrame:
+    """``df`` with ``_other``, the features of the row whose values a row gets. Rows are numbered once, in a written table that both sides of the join read."""
+    n = df.agg(F.count(F.lit(1)).alias("_size"))
+    numbered = with_one_row(running(df, [], [key], {"_i": F.lit(1).cast("bigint")}, most), n)
+    rows = persist_table(numbered.withColumn("_from", shuffled_number(F.col("_i"), F.col("_size"), seed)).drop("_size"))
+    return rows.drop("_i").join(rows.select(F.col("_i").alias("_from"), F.struct(*features).alias("_other")), "_from")
 
 
 def permuted(df: DataFrame, feature: str, key: str, seed: int = 0, most: int = MOST) -> DataFrame:
@@ -336,19 +347,17 @@ def permuted(df: DataFrame, feature: str, key: str, seed: int = 0, most: int = M
 
     Rows are numbered over equi-depth slices of the key, so no window runs over more than ``most`` rows. ``key`` is unique.
     """
-    n = df.agg(F.count(F.lit(1)).alias("_size"))
-    numbered = with_one_row(running(df, [], [key], {"_i": F.lit(1).cast("bigint")}, most), n)
-    left = numbered.drop(feature).withColumn("_from", shuffled_number(F.col("_i"), F.col("_size"), seed)).drop("_i", "_size")
-    right = numbered.select(F.col("_i").alias("_from"), feature)
-    return left.join(right, "_from").select(*df.columns)
+    return _dealt(df, [feature], key, seed, most).withColumn(feature, F.col("_other")[feature]).select(*df.columns)
 
 
-def permutation_importance(model, df: DataFrame, features: list[str], key: str = "match_id", seed: int = 0, scorer=score) -> DataFrame:
-    """Log-loss after permuting a feature minus the loss before; one row per feature. All features are permuted in one plan; ``scorer(model, rows)`` gives probabilities."""
+def permutation_importance(model, df: DataFrame, features: list[str], key: str = "match_id", seed: int = 0, scorer=score, most: int = MOST) -> DataFrame:
+    """Log-loss after permuting a feature minus the loss before; one row per feature. All features are dealt out by one join; ``scorer(model, rows)`` gives probabilities."""
     base = scorer(model, df).agg(_loss().alias("base_loss"))
+    dealt = persist_table(_dealt(df, features, key, seed, most))
     out = None
     for f in features:
-        one = scorer(model, permuted(df, f, key, seed)).agg(_loss().alias("loss")).withColumn("feature", F.lit(f))
+        moved = dealt.withColumn(f, F.col("_other")[f]).select(*df.columns)
+        one = scorer(model, moved).agg(_loss().alias("loss")).withColumn("feature", F.lit(f))
         out = one if out is None else out.unionByName(one)
     return with_one_row(out, base).select("feature", "base_loss", "loss", (F.col("loss") - F.col("base_loss")).alias("importance"))
 

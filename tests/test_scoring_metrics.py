@@ -207,6 +207,17 @@ def test_permutation_keeps_rows_and_values(tables):
     assert out.join(df.withColumnRenamed("p_home", "old"), "match_id").filter("p_home != old").count() > 100
 
 
+def test_importance_and_maps_of_many_rows_without_keys(spark):
+    """More rows than a slice holds, and no keys: the same as in one slice."""
+    df = spark.range(800).select(F.col("id").alias("match_id"), (F.col("id") % 3 - 1).cast("int").alias("actual"), ((F.col("id") * 37) % 211 / 300.0 + 0.1).alias("p_home")).withColumns({"p_draw": F.lit(0.2), "u": F.col("p_home") * F.col("actual")})
+    df = df.withColumn("p_away", 1 - F.col("p_home") - F.col("p_draw")).cache()
+    weights = {"p_home": {"u": 1.0}, "p_draw": {"intercept": 0.1}, "p_away": {"u": -1.0, "p_home": 0.5}}
+    few, one = (sorted(map(tuple, MD.permutation_importance(weights, df.select("match_id", "actual", "u", "p_home"), ["u", "p_home"], scorer=MD.linear_scorer, most=m).collect())) for m in (70, 10_000))
+    assert [r[0] for r in few] == ["p_home", "u"] and all(a[1:] == pytest.approx(b[1:]) for a, b in zip(few, one)) and few[1][3] > 0.01
+    few, one = (sorted(map(tuple, ISO.apply_isotonic(ISO.fit_isotonic(df, most=m), df, most=m).collect())) for m in (70, 10_000))
+    assert len(few) == 800 and all(a == pytest.approx(b) for a, b in zip(few, one))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
 def test_shuffled_numbers_are_a_bijection(spark, n):
     got = [r[0] for r in spark.range(n).select(MD.shuffled_number(F.col("id"), F.lit(n), 3)).collect()]
