@@ -24,10 +24,15 @@ def draw(iteration: Column, number: Column, n: Column, seed: int | Column) -> Co
     return x % n
 
 
-def _chunked(df: DataFrame, count: Column, name: str, chunk: int = 100_000) -> DataFrame:
-    """Explode 0..count-1 in two steps, so that no row carries a long array."""
+TASK_DRAWS = 2_000_000  # draws that a task makes, and so the most counts it holds
+
+
+def _chunked(df: DataFrame, count: Column, name: str, chunk: int = 100_000, tasks: int | None = None) -> DataFrame:
+    """Explode 0..count-1 in two steps, so that no row carries a long array. ``tasks``: deal the chunks out to so many tasks between the steps."""
     df = df.withColumn("_cnt", count.cast("bigint")).filter(F.col("_cnt") > 0)
     df = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_cnt") - 1) / chunk))))
+    if tasks:
+        df = df.repartition(tasks, *df.columns)  # a set number: few small rows that become many must not be put together again
     last = F.least((F.col("_chunk") + 1) * chunk, F.col("_cnt")) - 1
     return df.withColumn(name, F.explode(F.sequence(F.col("_chunk") * chunk, last))).drop("_cnt", "_chunk")
 
@@ -64,6 +69,7 @@ def moving_block_bootstrap(df: DataFrame, keys: list[str], order: list[str], val
     Every start gets its block sum from one bounded window; a sample is n // length starts, drawn in two steps. Draw j of an iteration picks a cell of ``CELL`` neighbouring
     starts with a chance in proportion to its starts; of these draws only the count per (iteration, cell) is kept, combined before the shuffle. Then each cell,
     one row with its sums and its counts, makes that many draws among its own starts and gives one sum per iteration. Draws never meet starts in a join.
+    Iterations are dealt out to a task per ``TASK_DRAWS`` draws, whatever their own few bytes suggest.
     """
     rows = df.select(*keys, *order, F.col(value).cast("double").alias("_x"))
     haloed = with_halo(rows, keys, order, length - 1, unit)
@@ -76,7 +82,9 @@ def moving_block_bootstrap(df: DataFrame, keys: list[str], order: list[str], val
     sizes = persist_table(rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.avg("_x").alias("original")))
     its = sizes.filter(F.col("_n") >= length).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     picked = F.floor(draw(F.col("iteration"), F.col("_j"), F.col("_n") - length + 1, seed) / CELL)
-    draws = _chunked(its.repartition(*keys, "iteration"), F.floor(F.col("_n") / length), "_j").select(*keys, "iteration", picked.alias("_cell"))
+    samples = F.floor(F.col("_n") / length)
+    total = (sizes.filter(F.col("_n") >= length).agg(F.sum(samples)).first()[0] or 0) * iterations
+    draws = _chunked(its, samples, "_j", tasks=-(-total // TASK_DRAWS) or 1).select(*keys, "iteration", picked.alias("_cell"))
     counts = draws.groupBy(*keys, "_cell", "iteration").agg(F.count(F.lit(1)).cast("int").alias("_times"))
     vectors = counts.groupBy(*keys, "_cell").agg(F.collect_list(F.struct("iteration", "_times")).alias("_counts"))  # one number per iteration
 

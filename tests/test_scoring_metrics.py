@@ -234,3 +234,8 @@ def test_competition_rules(spark):
     names = ["FIFA World Cup", "FIFA World Cup qualification", "Copa America", "UEFA Euro qualification", "Olympic Games", "Friendly", None]
     got = C.classify_competition(spark.createDataFrame([(n,) for n in names], "tournament string")).collect()
     assert [r.match_class for r in got] == ["Mundial", "Eliminatoria", "CopaContinental", "Eliminatoria", "Eliminatoria", "Amistoso", "Amistoso"]
+
+
+def test_draws_are_dealt_out_however_few_bytes_their_rows_have(spark):
+    out = B._chunked(spark.range(3).withColumnRenamed("id", "iteration"), F.lit(10), "j", chunk=4, tasks=5)
+    assert out.rdd.getNumPartitions() == 5 and sorted(map(tuple, out.collect())) == [(i, j) for i in range(3) for j in range(10)]
