@@ -7,9 +7,9 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,7 +156,7 @@ def _assembled(features: list[str]) -> VectorAssembler:
 class OneAgainstRest:
     """Binary models, one per label; ``transform`` adds their scores as one array, all in column expressions."""
 
-    def __init__(self, assembler: VectorAssembler, models: list):
+    def __init__(self, assembler: VectorAssembler | PipelineModel, models: list):
         self.assembler, self.models = assembler, models
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ class OneAgainstRest:
             m = m.copy().setPredictionCol(f"_c{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_s{i}")
             out = m.transform(out).drop(f"_c{i}", f"_r{i}")
         scores = F.array(*[vector_to_array(f"_s{i}")[1] for i in range(len(self.models))])
-        return out.withColumn("scores", scores).drop(*[f"_s{i}" for i in range(len(self.models))])
+        return out.withColumn("scores", scores).select(*df.columns, "features", "scores")
 
 
 def _side_by_side(spark, jobs: list, at_once: int) -> list:
@@ -184,15 +184,36 @@ def _checkpoints(spark) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+BINS = 32  # of a feature, as many as the trees tell apart
+
+
+def _bins(df: DataFrame, features: list[str]) -> PipelineModel:
+    """Stages that turn features into one vector of bin numbers, equi-depth over all rows; rows without a feature are skipped."""
+    found = df.approxQuantile(features, [i / BINS for i in range(1, BINS)], 0.001)
+    cuts = [sorted({c for c in cut if math.isfinite(c)}) or [0.0] for cut in found]
+    splits = [[-math.inf, *c, math.inf] for c in cuts]
+    names = [f"_b_{f}" for f in features]
+    return PipelineModel([Bucketizer(inputCols=features, outputCols=names, splitsArray=splits, handleInvalid="skip"), VectorAssembler(inputCols=names, outputCol="features")])
+
+
+def _cells(df: DataFrame, bins: PipelineModel, label: str) -> DataFrame:
+    """One row per vector of bins and label, weighted by its rows: trees that see rows by their bins alone grow alike on it, and it has at most the product of bins and labels in rows."""
+    return bins.transform(df).groupBy(label, "features").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def fit_gbm(df: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 3, seed: int = 42) -> OneAgainstRest:
-    """Gradient-boosted trees, one against the rest for the three classes, which are fitted side by side over one kept table."""
-    assembler = _assembled(features)
+    """Gradient-boosted trees, one against the rest for the three classes, which are fitted side by side over one kept table of weighted cells.
+
+    Rows are read twice, for the cuts of the bins and for the cells; the rounds run over the cells.
+    """
+    rows = df.select(label, *features)
+    bins = _bins(rows, features)
     _checkpoints(df.sparkSession)
-    with _kept(assembler.transform(df.select(label, *features)).select(label, "features")) as rows:
-        gbt = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, labelCol="_y")
-        fits = [lambda c=c: gbt.fit(rows.withColumn("_y", (F.col(label) == c).cast("double"))) for c in range(3)]
+    with _kept(_cells(rows, bins, label)) as cells:
+        gbt = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=BINS, seed=seed, labelCol="_y", weightCol="weight")
+        fits = [lambda c=c: gbt.fit(cells.withColumn("_y", (F.col(label) == c).cast("double"))) for c in range(3)]
         models = _side_by_side(df.sparkSession, fits, 3)
-    return OneAgainstRest(assembler, models)
+    return OneAgainstRest(bins, models)
 
 
 def fit_random_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 100, depth: int = 8, balanced: bool = True, seed: int = 42):

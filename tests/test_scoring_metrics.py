@@ -239,3 +239,19 @@ def test_competition_rules(spark):
 def test_draws_are_dealt_out_however_few_bytes_their_rows_have(spark):
     out = B._chunked(spark.range(3).withColumnRenamed("id", "iteration"), F.lit(10), "j", chunk=4, tasks=5)
     assert out.rdd.getNumPartitions() == 5 and sorted(map(tuple, out.collect())) == [(i, j) for i in range(3) for j in range(10)]
+
+
+def test_boosting_on_cells_is_boosting_on_rows(spark):
+    """Weighted cells are far fewer than rows, hold every whole row, and give the trees of the rows themselves."""
+    from pyspark.ml.classification import GBTClassifier
+
+    df = spark.range(6000).select(F.col("id").alias("match_id"), (F.pmod(F.xxhash64("id"), F.lit(1009)) / 1009).alias("u"), (F.col("id") % 2).cast("double").alias("v"), F.when(F.col("id") % 100 != 7, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3))).otherwise(0).cast("double").alias("n"))
+    df = df.withColumn("label", F.when(F.col("u") + 0.1 * F.col("v") > 0.7, 0.0).otherwise(F.col("n"))).withColumn("v", F.when(F.col("match_id") % 50 != 3, F.col("v"))).cache()
+    bins = MD._bins(df, ["u", "v"])
+    cells = MD._cells(df, bins, "label")
+    assert cells.count() <= 32 * 2 * 3 and cells.agg(F.sum("weight")).first()[0] == 5880
+    model = MD.fit_gbm(df, ["u", "v"], trees=4)
+    plain = GBTClassifier(maxIter=4, maxDepth=3, labelCol="_y").fit(bins.transform(df).withColumn("_y", (F.col("label") == 1).cast("double"))).setProbabilityCol("_p")
+    got = {r.match_id: r.scores[1] for r in model.transform(df).select("match_id", "scores").collect()}
+    want = {r.match_id: r["_p"][1] for r in plain.transform(bins.transform(df)).select("match_id", "_p").collect()}
+    assert len(got) == 5880 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
