@@ -185,6 +185,7 @@ def _checkpoints(spark) -> None:
 
 
 BINS = 32  # of a feature, as many as the trees tell apart
+PART_CELLS = 20_000  # cells that a task of a round reads
 
 
 def _bins(df: DataFrame, features: list[str]) -> PipelineModel:
@@ -209,10 +210,12 @@ def fit_gbm(df: DataFrame, features: list[str], label: str = "label", trees: int
     rows = df.select(label, *features)
     bins = _bins(rows, features)
     _checkpoints(df.sparkSession)
-    with _kept(_cells(rows, bins, label)) as cells:
+    written = persist_table(_cells(rows, bins, label))
+    with _kept(written.coalesce(-(-written.count() // PART_CELLS) or 1)) as cells:
         gbt = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=BINS, seed=seed, labelCol="_y", weightCol="weight")
         fits = [lambda c=c: gbt.fit(cells.withColumn("_y", (F.col(label) == c).cast("double"))) for c in range(3)]
         models = _side_by_side(df.sparkSession, fits, 3)
+    release(written)
     return OneAgainstRest(bins, models)
 
 
