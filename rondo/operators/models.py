@@ -18,6 +18,7 @@ from ..functions.expr import add, brier_row, clip, hit, logloss_row, p_actual, w
 from ..session import persist_table, release, shared_dir, small
 from . import metrics as M
 from . import scoring as S
+from .forests import resampled_importances
 from .regression import fit_many
 from .slices import MOST, running
 
@@ -394,30 +395,13 @@ def linear_scorer(weights: dict[str, dict[str, float]], df: DataFrame) -> DataFr
     return out.withColumns({p: F.col(f"_e_{p}") / whole for p in weights}).drop(*[f"_e_{p}" for p in weights])
 
 
-#: Shares of a row that is drawn 0, 1, 2, ... times when n of n rows are drawn and n is large.
-DRAWN = [math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
-
-
-def drawn_times(key: Column, replicate: int, seed: int = 0) -> Column:
-    """How often a row is in a resample: a number that follows from its key, so that any task can tell it."""
-    u = F.pmod(F.xxhash64(key, F.lit(replicate), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    return add([(u >= share).cast("double") for share in DRAWN])
-
-
-def bootstrap_importance(df: DataFrame, features: list[str], label: str = "label", replicates: int = 100, trees: int = 20, depth: int = 5, seed: int = 42,
-                         key: str = "match_id", at_once: int = 8) -> DataFrame:
+def bootstrap_importance(df: DataFrame, features: list[str], label: str = "label", replicates: int = 100, trees: int = 20, depth: int = 5, seed: int = 42, key: str = "match_id") -> DataFrame:
     """Mean and interval of forest importances over resamples of the rows.
 
-    A resample is a weight per row (``drawn_times``), so all forests are fitted over one kept table, ``at_once`` side by side.
+    A resample is a weight per row (``drawn_times``); the forests of all resamples grow together, over cells of bins and label (``forests``).
     """
-    with _kept(_assembled(features).transform(df.select(key, label, *features)).select(key, label, "features")) as rows:
-        def fit(b: int):
-            forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed + b, weightCol="weight")
-            sample = rows.withColumn("weight", drawn_times(F.col(key), b, seed)).filter("weight > 0")
-            return forest.fit(sample).featureImportances.toArray().tolist()
-
-        found = _side_by_side(df.sparkSession, [lambda b=b: fit(b) for b in range(replicates)], at_once)
-    rows = [(b, f, v) for b, values in enumerate(found) for f, v in zip(features, values)]
+    found = resampled_importances(df, key, label, features, replicates, trees, depth, seed)
+    rows = [(b, f, float(v)) for b, values in enumerate(found) for f, v in zip(features, values)]
     table = df.sparkSession.createDataFrame(rows, "replicate int, feature string, importance double")  # replicates x features
     return table.groupBy("feature").agg(F.avg("importance").alias("mean"), F.percentile("importance", 0.025).alias("ci_low"), F.percentile("importance", 0.975).alias("ci_high"))
 
